@@ -6,15 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import common as C
-from kinweave.llm import line_rules
+from kinweave.llm import line_rules, mixing, warc
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(C.documents(spark, sf_dir), with_text=False)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(warc.load(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a SHA-1: five hexadecimal digits are twenty bits, four characters.
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, h,
+  list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5))::BIGINT) >> CAST(15 - 5 * k AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
+FROM d
+"""
+
 QUERIES = {
     "op4_line_rules": op4_line_rules,
+    "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": OP10_SQL,
+}
