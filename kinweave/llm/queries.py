@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import common as C
-from kinweave.llm import line_rules, mixing, packing, warc
+from kinweave.llm import langid, line_rules, mixing, packing, warc
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.documents(spark, sf_dir))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(C.documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,6 +45,7 @@ FROM d
 QUERIES = {
     "op4_line_rules": op4_line_rules,
     "op5_packing": op5_packing,
+    "op6_langid": op6_langid,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
