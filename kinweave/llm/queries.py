@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import common as C
-from kinweave.llm import langid, line_rules, mixing, packing, warc
+from kinweave.llm import langid, line_rules, mixing, packing, toxicity, warc
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +47,7 @@ FROM d
 """
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_line_rules": op4_line_rules,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
