@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import common as C
-from kinweave.llm import langid, line_rules, mixing, packing, toxicity, warc
+from kinweave.llm import langid, line_rules, minhash, mixing, packing, toxicity, warc
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(C.documents(spark, sf_dir))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +51,7 @@ FROM d
 """
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_line_rules": op4_line_rules,
     "op5_packing": op5_packing,
