@@ -223,6 +223,8 @@ def learn_terms(rows: DataFrame, how: Toxicity) -> tuple[dict[str, float], dict[
         return {}, {}
     support = max(how.min_support, how.min_support_share * whole["pos"])
     odds = F.log((F.col("pos") + 0.5) / (F.lit(whole["pos"]) + 1.0)) - F.log((F.col("neg") + 0.5) / (F.lit(whole["neg"]) + 1.0))
+    # two standard errors less: among many candidates some look toxic by chance
+    odds = odds - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     found = counted.where((F.col("term") != "#") & (F.col("pos") >= support)).withColumn("odds", odds).where(F.col("odds") >= how.min_log_odds).collect()  # at most words per document / min_support_share terms
     words = {r["term"][1:]: r["odds"] for r in found if r["term"][0] == "="}
     stems = {r["term"][1:]: r["odds"] for r in found if r["term"][0] == "^"}
