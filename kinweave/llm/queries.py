@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import common as C
-from kinweave.llm import langid, line_rules, minhash, mixing, packing, toxicity, warc
+from kinweave.llm import langid, line_rules, minhash, mixing, packing, toxicity, warc, winnowing
+
+
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_fingerprints(C.documents(spark, sf_dir))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +55,7 @@ FROM d
 """
 
 QUERIES = {
+    "op1_winnowing": op1_winnowing,
     "op2_minhash": op2_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_line_rules": op4_line_rules,
