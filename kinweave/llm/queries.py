@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import common as C
-from kinweave.llm import langid, line_rules, minhash, mixing, packing, toxicity, warc, winnowing
+from kinweave.llm import langid, line_rules, minhash, mixing, packing, suffixes, toxicity, warc, winnowing
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(C.documents(spark, sf_dir))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(C.documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_line_rules": op4_line_rules,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
+    "op7_suffixes": op7_suffixes,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
