@@ -1,4 +1,61 @@
-STAGES = []
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+language ID -> near duplicates -> repeated passages -> mixing -> packing. Every
+stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the
+last return the columns of documents.
+
+Defined results: those of the operators that the stages call. A stage given an
+empty table returns an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kinweave.llm import common, langid, minhash, mixing, packing, suffixes
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without a letter or with an unsure language go."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has."""
+    return suffixes.remove_repeats(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix at target weights: for each pass, each document taken, with the words that were taken."""
+    return mixing.mixed_texts(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mixing_sources),
+    ("packing", packed_sequences),
+]
+
+#: No stage but mixing could be written in SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.materialise(docs, f"pipeline-{name}")
+    return docs

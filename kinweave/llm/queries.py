@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import common as C
-from kinweave.llm import langid, line_rules, minhash, mixing, packing, suffixes, toxicity, warc, winnowing
+from kinweave.llm import entropy, langid, line_rules, minhash, mixing, packing, suffixes, toxicity, warc, winnowing
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(C.documents(spark, sf_dir))
 
 
+def op8_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy.cross_entropy_difference(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op7_suffixes": op7_suffixes,
+    "op8_entropy": op8_entropy,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }

@@ -41,7 +41,7 @@ WORD = r"[^\x20\x09-\x0D]{1,32}"
 @dataclass(frozen=True)
 class Winnow:
     k: int = 5
-    w: int = 8
+    w: int = 4
     #: The order by doc_id: rows in a part (about), and the most parts.
     part_rows: int = 64
     parts: int = 1024
