@@ -112,8 +112,7 @@ def fit(dyads: DataFrame, terms: list[str], max_iter: int = 50) -> dict[str, flo
         deviance = -2 * (total["m"] * math.log(p) + (n - total["m"]) * math.log(1 - p))
     else:
         model = LogisticRegression(featuresCol="__x", labelCol="edge", weightCol="weight", maxIter=max_iter).fit(x)
-        p = vector_to_array(model.transform(x)["probability"])[1]
-        row = model.transform(x).withColumn("__p", p).agg(F.sum(-2 * F.col("weight") * F.when(F.col("edge") == 1, F.ln("__p")).otherwise(F.ln(1 - F.col("__p")))).alias("d"), F.sum("weight").alias("n")).first()
+        row = model.transform(x).withColumn("__p", vector_to_array("probability")[1]).agg(F.sum(-2 * F.col("weight") * F.when(F.col("edge") == 1, F.ln("__p")).otherwise(F.ln(1 - F.col("__p")))).alias("d"), F.sum("weight").alias("n")).first()
         got, deviance, n = {"edges": float(model.intercept)} | {t: float(c) for t, c in zip(terms, model.coefficients, strict=True)}, row["d"], row["n"]
     k = len(got)
     return got | {"deviance": deviance, "aic": deviance + 2 * k, "bic": deviance + k * math.log(n)}
