@@ -36,7 +36,7 @@ def sampled_dyads(edges: DataFrame, per_edge: float = 5.0, seed: int = 1) -> Dat
     v = vertices(edges).withColumn("i", F.row_number().over(order) - 1)
     n, m = v.count(), edges.count()
     all_pairs = n * (n - 1) // 2
-    draws = int(min(per_edge * m, max(all_pairs - m, 0)))
+    draws = int(max(per_edge * m, 64)) if all_pairs > m else 0
     pick = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt), F.lit(seed)), F.lit(max(n, 1)))
     pairs = spark.range(draws).select(pick(1).alias("a"), pick(2).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     names = v.select(F.col("i"), F.col("node"))

@@ -14,8 +14,8 @@ from kinweave.validate import cut
 def accepted(docs: DataFrame, excluded: tuple[str, ...] = ("[unknown]",)) -> DataFrame:
     """Documents with a name that isn't excluded, works, sane gaps and an early collaborator."""
     d = docs.where(~F.col("artist_name").isin(*excluded) & (F.size("works") > 0))
-    dates = F.transform("works", lambda w: F.try_to_date(w["first_release_date"], F.lit("yyyy-MM-dd")))
-    works = F.transform("works", lambda w: F.struct(F.try_to_date(w["first_release_date"], F.lit("yyyy-MM-dd")).alias("date"), F.transform(w["collaborators"], lambda c: c["mbid"]).alias("collaborators")))
+    dates = F.transform("works", lambda w: F.try_to_date(w["first_release_date"], "yyyy-MM-dd"))
+    works = F.transform("works", lambda w: F.struct(F.try_to_date(w["first_release_date"], "yyyy-MM-dd").alias("date"), F.transform(w["collaborators"], lambda c: c["mbid"]).alias("collaborators")))
     d = d.withColumn("__start", F.array_min(F.array_compact(dates)))
     return d.where(F.col("__start").isNotNull() & early.gap_sane(dates) & early.early_collaborator(works, F.col("__start"), F.col("mbid"))).drop("__start")
 
