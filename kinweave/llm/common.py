@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -18,8 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, deleted when the driver ends.
+#: Scratch paths of this driver that sweep() may delete.
+_made: list[str] = []
+
+
+def scratch_dir(spark: SparkSession, name: str, swept: bool = True) -> str:
+    """A new path below spark.checkpoint.dir, deleted when the driver ends, or by sweep() before.
 
     Where the setting is absent (tests, a laptop) one local folder is made.
     """
@@ -33,29 +38,53 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if swept:
+        _made.append(path)
     return path
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch tables made so far: for a caller whose results so far are all written elsewhere."""
+    while _made:
+        drop_path(spark, _made.pop())
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches have this many rows at most: texts are long, and a batch is held whole outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, rows)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, swept: bool = True) -> DataFrame:
     """Write df below spark.checkpoint.dir and return a scan of it: lineage ends there.
 
     The finished job's shuffle files are let go, so that they don't pile up on
     executors' disks while the next stage runs.
     """
     spark = df.sparkSession
-    path = scratch_dir(spark, name)
+    path = scratch_dir(spark, name, swept)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out._kinweave_path = path
+    for _ in range(2):  # the second pass finds what the first has let go of in Python
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return out
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; what was made from them is written itself."""
+    for t in tables:
+        drop_path(t.sparkSession, t._kinweave_path)
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, chunk: int = 1024) -> DataFrame:
     """Exclusive running sum of value per keys in the order of a dense integer column.
 
@@ -201,3 +230,18 @@ def shingles_of(word_hash: np.ndarray, word_row: np.ndarray, n_rows: int, k: int
         order = np.argsort(row, kind="stable")
         h, row, start = h[order], row[order], start[order]
     return mix(h), row, start
+
+
+def groups(batches, column: str):
+    """Lists of rows (dicts) with one value of column each, from batches sorted by it."""
+    held, now = [], None
+    for b in batches:
+        for i in range(b.num_rows):
+            x = b.column(column)[i].as_py()
+            if x != now and held:
+                yield held
+                held = []
+            now = x
+            held.append({c: b.column(c)[i].as_py() for c in b.schema.names})
+    if held:
+        yield held

@@ -220,6 +220,7 @@ def train(docs: DataFrame, how: LangId = LangId()) -> Model:
 
 def predict(docs: DataFrame, model: Model, how: LangId = LangId(), carry: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, or with carry: those columns of docs, __kw_lang and __kw_score."""
+    C.small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

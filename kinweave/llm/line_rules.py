@@ -75,6 +75,7 @@ _SCHEMA = T.StructType(
 
 def clean_lines(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True) -> DataFrame:
     """One row per document: the base counts, the verdict, and the text of the lines that passed."""
+    C.small_batches(docs.sparkSession)
     schema = T.StructType([f for f in _SCHEMA if with_text or f.name != "clean_text"])
     names = schema.fieldNames()
 

@@ -12,10 +12,14 @@ a candidate counts if the exact Jaccard similarity of the sets of runs is at
 least `threshold`.
 
 Copies are collapsed to one text first. In a band's bucket every text is
-compared with one of them, a different one in each band; texts of a bucket that
-are then still in different classes are compared with each other, so no link
-between classes that share a bucket is lost while a bucket of one class costs
-its size. Classes are connected components.
+compared with the most central of them, the one with most company over all its
+buckets. Texts of a bucket that are then still in different classes are paired,
+but only those that can have a link at all. Runs are dealt into bins by hash;
+what two texts share is at most the sum over bins of the smaller of their
+numbers of runs that some other such text has too, and a link needs an overlap
+of threshold / (1 + threshold) of the two sizes together. So no link between classes that share a bucket is lost, while a
+bucket of one class, or of texts too different to link, costs its size. Classes
+are connected components.
 
 Defined results: a null text is empty; texts without a word are equal to each
 other and like no other; texts under five words have one run of all their words;
@@ -44,6 +48,11 @@ class NearDup:
     seed: int = 2
 
 
+#: Bins of the overlap bound, two to a slot.
+SLOTS = 16
+BINS = 2 * SLOTS
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((C.mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
@@ -84,6 +93,7 @@ def signatures(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int,
 
 def sketch(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, digest (of the text), key (64 bits of it), bands (array of longs; null for texts without a word)."""
+    C.small_batches(docs.sparkSession)
 
     def run(batches):
         import hashlib
@@ -138,20 +148,66 @@ def verified(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def overlap_bounds(texts: DataFrame, how: NearDup, parts: int | None = None) -> DataFrame:
+    """key, size (number of different runs), common (how many of them another of the texts has), c0.. (common by bin of hashes).
+
+    Hashes of runs are packed and dealt by hash; each part counts for itself and
+    answers with a few numbers for each text.
+    """
+    parts = SLOTS * (parts or max(1, texts.count() // 32_000))
+
+    def send(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i, body, off in C.sub_batches(b.column("text"), 1 << 22):
+                element, row, _ = weighted_sets(body, off, how.words)
+                if not len(element):
+                    continue
+                keys = b.column("key").slice(i, len(off) - 1).to_numpy()[row]
+                part = (element % np.uint64(parts)).astype(np.int64)
+                o = np.argsort(part, kind="stable")
+                element, keys, part = element[o], keys[o], part[o]
+                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                ends = np.concatenate((cut[1:], [len(part)]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([element[a:e].tobytes() for a, e in zip(cut, ends, strict=True)], pa.binary()), pa.array([keys[a:e].tobytes() for a, e in zip(cut, ends, strict=True)], pa.binary())], ["part", "runs", "keys"])
+
+    def count(batches):
+        import pyarrow as pa
+
+        for rows in C.groups(batches, "part"):
+            element = np.concatenate([np.frombuffer(r["runs"], np.uint64) for r in rows])
+            key = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows])
+            _, inverse, n = np.unique(element, return_inverse=True, return_counts=True)
+            k, at = np.unique(key, return_inverse=True)
+            odd = (element // np.uint64(parts)) % np.uint64(2) == 1
+            again = n[inverse] > 1
+            columns = [np.bincount(at), np.bincount(at, again & ~odd).astype(np.int64), np.bincount(at, again & odd).astype(np.int64)]
+            slot = np.full(len(k), rows[0]["part"] % SLOTS, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(slot), *map(pa.array, columns)], ["key", "slot", "size", "even", "odd"])
+
+    sent = texts.select("key", "text").mapInArrow(send, "part int, runs binary, keys binary")
+    got = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "key long, slot int, size long, even long, odd long")
+    bins = [F.sum(F.when(F.col("slot") == i // 2, F.col(("even", "odd")[i % 2])).otherwise(0)).alias(f"c{i}") for i in range(BINS)]
+    return got.groupBy("key").agg(F.sum("size").alias("size"), F.sum(F.col("even") + F.col("odd")).alias("common"), *bins)
+
+
 def classes(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """One row per document: doc_id, class_id, key (of its text)."""
     sketched = C.materialise(sketch(docs, how), "near-sketch")
     copies = sketched.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
     member = copies.where("bands is not null").select("key", F.posexplode("bands").alias("band", "bucket"))
-    # the text that a bucket's others are compared with: another one in each band
-    order = F.xxhash64("key", "band")
-    size = member.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), F.col("key").alias("k"))).alias("h")).where("n > 1").select("band", "bucket", F.col("h")["k"].alias("head"))
-    shared = C.materialise(member.join(size, ["band", "bucket"]), "near-buckets")
+    sizes = member.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    several = C.materialise(member.join(sizes, ["band", "bucket"]), "near-several")
+    company = several.groupBy("key").agg(F.sum("n").alias("company"))
+    weighed = several.join(company, "key")
+    heads = weighed.groupBy("band", "bucket").agg(F.max_by("key", F.struct("company", "key")).alias("head"))
+    shared = C.materialise(several.join(heads, ["band", "bucket"]).select("band", "bucket", "key", "head"), "near-buckets")
     pairs = shared.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
     involved = shared.select(F.col("key").alias("k")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    owner = copies.join(involved, F.col("key") == F.col("k"), "left_semi").select(F.col("first").alias("f"), "key")
-    texts = rows.join(owner, F.col("doc_id").eqNullSafe(F.col("f"))).where(_key_of("text") == F.col("key")).dropDuplicates(["key"]).select("key", "text")
+    rows = docs.select(_some_id("doc_id").alias("o"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("t", _key_of("text"))
+    owner = copies.join(involved, F.col("key") == F.col("k"), "left_semi").select(_some_id("first").alias("f"), "key")
+    texts = rows.join(owner, (F.col("o") == F.col("f")) & (F.col("t") == F.col("key"))).dropDuplicates(["o", "t"]).select("key", "text")
     texts = C.materialise(texts, "near-texts")
     links = C.materialise(verified(pairs, texts, how), "near-links")
     roots = components(links, "near-star")
@@ -160,9 +216,21 @@ def classes(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     placed = shared.join(root, F.col("key") == F.col("n"), "left").select("band", "bucket", "key", "head", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "bucket")
     placed = C.materialise(placed.join(mixed, ["band", "bucket"]), "near-mixed")
-    x = placed.select("band", "bucket", F.col("key").alias("a"), F.col("root").alias("ra"), "head")
-    y = placed.select("band", "bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
-    across = x.join(y, ["band", "bucket"]).where("ra <> rb and a < b and a <> head and b <> head").select("a", "b").distinct()
+    apart = placed.select(F.col("key").alias("k")).distinct()
+    bound = C.materialise(overlap_bounds(texts.join(apart, F.col("key") == F.col("k"), "left_semi"), how), "near-bounds").where(F.col("common") >= how.threshold * F.col("size"))
+    able = placed.join(bound.withColumnRenamed("key", "bk"), F.col("key") == F.col("bk")).select("band", "bucket", "key", "root", "head", "size", "common", *[f"c{i}" for i in range(BINS)])
+    # a bucket's able texts also limit each other by the smallest size among them
+    least = able.groupBy("band", "bucket").agg(F.min("size").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "bucket", "least")
+    share = how.threshold / (1 + how.threshold)
+    able = able.join(least, ["band", "bucket"]).where(F.col("common") >= share * (F.col("size") + F.greatest("least", how.threshold * F.col("size"))) - 1e-9)
+    x = able.select("band", "bucket", F.col("key").alias("a"), F.col("root").alias("ra"), "head", F.col("size").alias("na"), F.col("common").alias("ca"), *[F.col(f"c{i}").alias(f"x{i}") for i in range(BINS)])
+    y = able.select("band", "bucket", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("common").alias("cb"), *[F.col(f"c{i}").alias(f"y{i}") for i in range(BINS)])
+    need = share * (F.col("na") + F.col("nb")) - 1e-9
+    most = F.least("x0", "y0")
+    for i in range(1, BINS):
+        most = most + F.least(f"x{i}", f"y{i}")
+    enough = (F.least("ca", "cb") >= need) & (most >= need)
+    across = x.join(y, ["band", "bucket"]).where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")) & enough).select("a", "b").distinct()
     more = C.materialise(verified(across, texts, how), "near-links-2")
     if not more.isEmpty():
         roots = components(links.union(more), "near-star")
@@ -173,6 +241,11 @@ def classes(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     return sketched.select("doc_id", "key").join(named, F.col("key") == F.col("k")).select("doc_id", "class_id", "key")
 
 
+def _some_id(column: str):
+    """doc_id for equi-joins: null has a number of its own."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
 def _key_of(column: str):
     """The key of a text with a word: the first eight bytes of its digest, little-endian, as a long."""
     d = F.sha2(F.encode(F.col(column), "UTF-8"), 256)
@@ -188,10 +261,11 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """The rows of docs, all columns, one of each class: its smallest doc_id (one row of it)."""
-    keep = classes(docs, how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("__kw_key")).withColumnRenamed("class_id", "__kw_id")
+    keep = classes(docs, how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(_some_id("class_id").alias("__kw_id")).agg(F.min("key").alias("__kw_key"))
     keep = C.materialise(keep, "near-kept")
     empty_key = F.lit(int.from_bytes(bytes.fromhex("e3b0c44298fc1c14"), "little", signed=True))
     has_word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.withColumn("__kw_k", F.when(has_word, _key_of("text")).otherwise(empty_key))
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__kw_id")) & (F.col("__kw_k") == F.col("__kw_key")))
-    return kept.dropDuplicates(["__kw_id", "__kw_key"]).select(*docs.columns)
+    rows = docs.withColumn("__kw_k", F.when(has_word, _key_of("text")).otherwise(empty_key)).withColumn("__kw_o", _some_id("doc_id"))
+    kept = rows.join(keep, (F.col("__kw_o") == F.col("__kw_id")) & (F.col("__kw_k") == F.col("__kw_key")))
+    # by the columns of the join, so that no row is dealt again
+    return kept.dropDuplicates(["__kw_o", "__kw_k"]).select(*docs.columns)

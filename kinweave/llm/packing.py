@@ -72,6 +72,7 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long,
 
 def tokenise(docs: DataFrame, how: Packing = Packing(), all_ids: bool = False) -> DataFrame:
     """Pieces of every document: whole windows, then the rest with its ids (uint32, little-endian)."""
+    C.small_batches(docs.sparkSession)
     cap, closing, name = how.capacity, how.closing_id, how.tokenizer
 
     def run(batches):

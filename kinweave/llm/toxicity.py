@@ -238,6 +238,7 @@ def learn_terms(rows: DataFrame, how: Toxicity) -> tuple[dict[str, float], dict[
 
 
 def with_features(rows: DataFrame, scorer: Scorer, keep: str) -> DataFrame:
+    C.small_batches(rows.sparkSession)
     names = [c.split()[0] for c in keep.split(", ")]
 
     def run(batches):

@@ -110,6 +110,7 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 def write_warc(pages: DataFrame, directory: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", max_file_bytes: int = 1 << 30) -> DataFrame:
     """Write the archives into directory/archives; returns the manifest, a written table."""
+    C.small_batches(pages.sparkSession)
     spark = pages.sparkSession
     archives = f"{directory.rstrip('/')}/archives"
     planned = plan_records(pages, min_bytes)
