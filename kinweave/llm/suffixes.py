@@ -15,10 +15,11 @@ by their first `length` bytes. That is done block by block:
    only, the others are decided on the spot). A block holds all suffixes that
    may be equal; it is sorted one suffix bucket at a time, a bucket being a
    range of the first eight bytes. Suffixes tied in their first and last eight
-   bytes are resolved by ranks of a difference cover (0, 1, 3 modulo 7) of the
+   bytes are resolved by ranks of a difference cover (0, 1 modulo 3) of the
    block's positions, computed once: any two suffixes reach the cover after the
-   same number of steps, under seven, where their ranks are compared. Each class
+   same number of steps, under three, where their ranks are compared. Each class
    of equal suffixes gets its smallest doc_id; later members are marked.
+   Suffixes whose hash no other document's suffix has are left out before.
 3. Marked ranges go back to their texts.
 
 Texts that occur in several documents enter once, as the one of smallest doc_id;
@@ -43,7 +44,7 @@ from kinweave.llm import common as C
 from kinweave.llm.minhash import _key_of
 
 LAST = (1 << 63) - 1  # stands for a null doc_id
-COVER, PERIOD = (0, 1, 3), 7
+COVER, PERIOD = (0, 1), 3
 
 
 @dataclass(frozen=True)
@@ -107,29 +108,32 @@ def _send(kept, blocks: int):
     h = np.concatenate([x[0] for x in kept])
     key = np.concatenate([x[1] for x in kept])
     place = np.concatenate([x[2] for x in kept])
-    keys, row = np.unique(key, return_inverse=True)
-    order = np.lexsort((row, h))
-    h, row, place = h[order], row[order].astype(np.uint32), place[order].astype(np.uint32)
-    first = np.concatenate(([True], h[1:] != h[:-1]))
-    group = np.cumsum(first) - 1
-    at = np.flatnonzero(first)
-    end = np.concatenate((at[1:], [len(h)])) - 1
-    several = (row[at] != row[end])[group]
+    # a text's anchors come together: name the runs first
+    runs = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    keys, name = np.unique(key[runs], return_inverse=True)
+    row = np.repeat(name, np.diff(np.concatenate((runs, [len(key)])))).astype(np.uint32)
+    order = np.argsort(h)
+    h, row, place = h[order], row[order], place[order].astype(np.uint32)
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    size = np.diff(np.concatenate((at, [len(h)])))
+    low, high = np.minimum.reduceat(row, at), np.maximum.reduceat(row, at)
+    several = np.repeat(low != high, size)
     out = {c: [] for c in ("block", "key", "hash", "place", "row", "keys")}
-    if several.any():  # answered here
+    sent = ~several
+    if several.any():  # answered here; one entry of the smallest and of the largest key number speak for the hash
         r, p = row[several], place[several]
         o = np.argsort(r, kind="stable")
         r, p = r[o], p[o]
         cut = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
         for a, b in zip(cut, np.concatenate((cut[1:], [len(r)])), strict=True):
-            for c, v in zip(out, (-1, int(keys[r[a]]), None, p[a:b].tobytes(), None, None), strict=True):
+            k = int(keys[r[a]])
+            for c, v in zip(out, (k % blocks, k, None, p[a:b].tobytes(), None, None), strict=True):
                 out[c].append(v)
-    sent = ~several
-    sent[at] = True
-    sent[end] = True
+        i = np.flatnonzero(several)
+        sent[i] = (row[i] == np.repeat(low, size)[i]) | (row[i] == np.repeat(high, size)[i])
     h, row, place = h[sent], row[sent], place[sent]
     block = block_of(h, blocks)
-    o = np.argsort(block, kind="stable")
+    o = np.argsort(block)
     h, row, place, block = h[o], row[o], place[o], block[o]
     cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     for a, b in zip(cut, np.concatenate((cut[1:], [len(block)])), strict=True):
@@ -162,32 +166,23 @@ def _anchors(rows: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
     return rows.mapInArrow(run, ANCHORS)
 
 
-def _whole_blocks(batches, name: str = "block"):
-    """Lists of rows (dicts) of one block each, from batches sorted by block."""
-    held, now = [], None
-    for b in batches:
-        for i in range(b.num_rows):
-            x = b.column(name)[i].as_py()
-            if x != now and held:
-                yield held
-                held = []
-            now = x
-            held.append({c: b.column(c)[i].as_py() for c in b.schema.names})
-    if held:
-        yield held
-
-
 def _repeated(sent: DataFrame, blocks: int) -> DataFrame:
     """key, place (windows whose anchor another text has)."""
 
     def run(batches):
         import pyarrow as pa
 
-        for rows in _whole_blocks(batches):
+        for rows in C.groups(batches, "block"):
+            known = [r for r in rows if r["hash"] is None]
+            if known:
+                yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in known], pa.int64()), pa.array([r["place"] for r in known], pa.binary())], ["key", "place"])
+            rows = [r for r in rows if r["hash"] is not None]
+            if not rows:
+                continue
             h = np.concatenate([np.frombuffer(r["hash"], np.uint32) for r in rows])
             key = np.concatenate([np.frombuffer(r["keys"], "<i8")[np.frombuffer(r["row"], np.uint16 if len(r["keys"]) <= 8 << 16 else np.uint32)] for r in rows])
             place = np.concatenate([np.frombuffer(r["place"], np.uint32) for r in rows])
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, key, place = h[order], key[order], place[order]
             at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             size = np.diff(np.concatenate((at, [len(h)])))
@@ -195,15 +190,14 @@ def _repeated(sent: DataFrame, blocks: int) -> DataFrame:
             key, place = key[several], place[several]
             if not len(key):
                 continue
-            o = np.argsort(key, kind="stable")
+            o = np.argsort(key)
             key, place = key[o], place[o]
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             end = np.concatenate((cut[1:], [len(key)]))
             yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array([place[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], ["key", "place"])
 
-    here = sent.where("block < 0").select("key", "place")
-    there = sent.where("block >= 0").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "key long, place binary")
-    return here.union(there).groupBy("key").agg(F.collect_list("place").alias("places"))
+    answers = sent.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "key long, place binary")
+    return answers.groupBy("key").agg(F.collect_list("place").alias("places"))
 
 
 # ---- 2: suffixes of repeated anchors ---------------------------------------------
@@ -211,21 +205,64 @@ def _repeated(sent: DataFrame, blocks: int) -> DataFrame:
 STRINGS = "block int, key long, doc binary, keys binary, place binary, count binary, bytes binary, marks binary"
 
 
-def _pack_strings(held: dict, decided: dict, blocks: int):
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices start..start+size of each segment, one after the other."""
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    return np.repeat(start - first, size) + np.arange(int(size.sum()))
+
+
+def _pack_strings(parts: list, blocks: int, how: Suffixes):
+    """Rows for the blocks, and ranges decided here, from a task's strings.
+
+    Of equal strings those of the earliest document go on; the windows of the
+    others are decided.
+    """
     import pyarrow as pa
 
+    body = np.concatenate([p[0] for p in parts])
+    shift = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])[:-1]))
+    at = np.concatenate([p[1] + x for p, x in zip(parts, shift, strict=True)])
+    place, count, block, doc, key = (np.concatenate([p[i] for p in parts]) for i in range(2, 7))
+    size = count + how.length - 1
+    power, back = C.powers(len(body) + 1), C.powers(len(body) + 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
+    prefix = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(C._value_of_byte()[body] * power[:-1], out=prefix[1:])
+    h = C.mix((prefix[at + size] - prefix[at]) * back[at] + size.astype(np.uint64))
+    del power, back, prefix
+    order = np.lexsort((doc, h))
+    h, d = h[order], doc[order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    head = np.flatnonzero(first)[np.cumsum(first) - 1]  # the earliest of each group
+    late = np.flatnonzero(d > d[head])
+    if len(late):  # equal hashes are not taken for equal strings
+        x, y = order[late], order[head[late]]
+        same = size[x] == size[y]
+        late, x, y = late[same], x[same], y[same]
+        equal = body[_ragged(at[x], size[x])] == body[_ragged(at[y], size[x])]
+        if len(late):
+            late = late[np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(size[x])[:-1])))]
+    decided = np.zeros(len(h), bool)
+    decided[late] = True
     out = {c: [] for c in ("block", "key", "doc", "keys", "place", "count", "bytes", "marks")}
-    per: dict[int, list] = {}
-    for (block, text), entries in held.items():
-        for e in entries:
-            per.setdefault(block, []).append((*e, text))
-    for block, e in per.items():
-        row = (block, None, np.array([x[0] for x in e], "<i8").tobytes(), np.array([x[1] for x in e], "<i8").tobytes(), np.array([x[2] for x in e], "<u4").tobytes(), np.array([x[3] for x in e], "<u4").tobytes(), b"".join(x[4] for x in e), None)
+    x = order[decided]
+    if len(x):
+        x = x[np.argsort(key[x], kind="stable")]
+        pairs = np.stack((place[x], place[x] + count[x] - 1 + how.length), axis=1).astype("<u4")
+        cut = np.flatnonzero(np.concatenate(([True], key[x][1:] != key[x][:-1])))
+        for a, b in zip(cut, np.concatenate((cut[1:], [len(x)])), strict=True):
+            k = int(key[x[a]])
+            for c, v in zip(out, (k % blocks, k, None, None, None, None, None, pairs[a:b].tobytes()), strict=True):
+                out[c].append(v)
+    x = order[~decided]
+    x = x[np.argsort(block[x], kind="stable")]
+    text = body[_ragged(at[x], size[x])]
+    ends = np.concatenate(([0], np.cumsum(size[x])))
+    cut = np.flatnonzero(np.concatenate(([True], block[x][1:] != block[x][:-1]))) if len(x) else []
+    for a, b in zip(cut, np.concatenate((cut[1:], [len(x)])) if len(x) else [], strict=True):
+        y = x[a:b]
+        row = (int(block[y[0]]), None, doc[y].astype("<i8").tobytes(), key[y].astype("<i8").tobytes(), place[y].astype("<u4").tobytes(), count[y].astype("<u4").tobytes(), text[ends[a] : ends[b]].tobytes(), None)
         for c, v in zip(out, row, strict=True):
             out[c].append(v)
-    for key, marks in decided.items():
-        for c, v in zip(out, (-1, key, None, None, None, None, None, np.array(marks, "<u4").tobytes()), strict=True):
-            out[c].append(v)
     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
     return pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(out, kinds, strict=True)], list(out))
 
@@ -234,41 +271,24 @@ def _strings(rows: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
     """rows: key, doc (long), text, places."""
 
     def run(batches):
-        held: dict = {}
-        decided: dict = {}
-        size = 0
+        parts, held = [], 0
         for b in batches:
             for i, body, off in C.sub_batches(b.column("text")):
                 part = b.slice(i, len(off) - 1)
                 row, start, count, h = anchors_of(body, off, how)
                 wanted = [np.frombuffer(b"".join(x or []), np.uint32) for x in part.column("places").to_pylist()]
                 want = np.concatenate([np.int64(j) << np.int64(32) | w.astype(np.int64) for j, w in enumerate(wanted)]) if wanted else np.zeros(0, np.int64)
-                take = np.flatnonzero(np.isin(row << np.int64(32) | start, want))
-                block = block_of(h, blocks)
-                keys, docs, whole = part.column("key").to_pylist(), part.column("doc").to_pylist(), body.tobytes()
-                for j in take:
-                    r, s, c = int(row[j]), int(start[j]), int(count[j])
-                    text = whole[off[r] + s : off[r] + s + c + how.length - 1]
-                    entry, at = (docs[r], keys[r], s, c), (int(block[j]), text)
-                    before = held.get(at)
-                    if before is None:
-                        held[at] = [entry]
-                        size += len(text) + 150
-                    elif before[0][0] == entry[0]:
-                        before.append(entry)
-                        size += 150
-                    else:  # the later document's windows are decided; the earlier document speaks for the string
-                        late = [entry] if entry[0] > before[0][0] else before
-                        if late is before:
-                            held[at] = [entry]
-                        for _, k, p, n in late:
-                            decided.setdefault(k, []).extend((p, p + n - 1 + how.length))
-                            size += 24
-                if size > 64 << 20:
-                    yield _pack_strings(held, decided, blocks)
-                    held, decided, size = {}, {}, 0
-        if held or decided:
-            yield _pack_strings(held, decided, blocks)
+                take = np.isin(row << np.int64(32) | start, want)
+                row, start, count, h = row[take], start[take], count[take], h[take]
+                if not len(row):
+                    continue
+                parts.append((body, off[row] + start, start, count, block_of(h, blocks), part.column("doc").to_numpy()[row], part.column("key").to_numpy()[row]))
+                held += len(body) + 60 * len(row)
+                if held > 16 << 20:
+                    yield _pack_strings(parts, blocks, how)
+                    parts, held = [], 0
+        if parts:
+            yield _pack_strings(parts, blocks, how)
 
     return rows.mapInArrow(run, STRINGS)
 
@@ -283,17 +303,30 @@ def earliest(text: np.ndarray, start: np.ndarray, doc: np.ndarray, length: int,
 
     text ends with eight more bytes than any suffix needs.
     """
+    best = doc.copy()
+    if not len(start):
+        return best
+    power, back = C.powers(len(text) + 1), C.powers(len(text) + 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
+    prefix = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(C._value_of_byte()[text] * power[:-1], out=prefix[1:])
+    h = (prefix[start + length] - prefix[start]) * back[start]
+    del power, back, prefix
+    order = np.argsort(h)
+    h = h[order]
+    cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    own = doc[order]
+    apart = np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)
+    keep = order[np.repeat(apart, np.diff(np.concatenate((cut, [len(h)]))))]
+    if not len(keep):
+        return best
+    start = start[keep]
     eight = np.lib.stride_tricks.sliding_window_view(text, 8)
 
     def word(at):
         return np.ascontiguousarray(eight[at]).view(">u8").reshape(-1).astype(np.uint64)
 
-    best = doc.copy()
-    head = word(start)
-    order = np.argsort(head, kind="stable")
     # ranks of the cover's positions by length - PERIOD + 1 bytes
-    reach = length - PERIOD + 1
-    steps = _cover_steps()
+    reach, steps = length - PERIOD + 1, _cover_steps()
     covered = np.zeros(len(text), bool)
     for d in range(PERIOD):
         covered[start + d] = True
@@ -308,38 +341,34 @@ def earliest(text: np.ndarray, start: np.ndarray, doc: np.ndarray, length: int,
     rank = np.zeros(len(text), np.int64)
     rank[sample[by]] = np.cumsum(differs)
     del words
+    head = word(start)
+    order = np.argsort(head)
+    sorted_head = head[order]
     a = 0
     while a < len(order):  # one suffix bucket: a range of first eight bytes
         b = min(a + bucket, len(order))
-        while b < len(order) and head[order[b]] == head[order[b - 1]]:
-            b = min(b + bucket, len(order)) if head[order[min(b + bucket, len(order)) - 1]] == head[order[b - 1]] else b + int(np.searchsorted(head[order[b : b + bucket]], head[order[b - 1]], "right"))
-        at = order[a:b]
+        b = int(np.searchsorted(sorted_head, sorted_head[b - 1], "right"))
+        at, hd = order[a:b], sorted_head[a:b]
         a = b
         p = start[at]
         tail = word(p + length - 8)
-        o = np.lexsort((tail, head[at]))
-        at, p, tail = at[o], p[o], tail[o]
-        hd = head[at]
-        new = np.concatenate(([True], (hd[1:] != hd[:-1]) | (tail[1:] != tail[:-1])))
-        group = np.cumsum(new) - 1
-        tied = np.bincount(group)[group] > 1
-        at, p, group = at[tied], p[tied], group[tied]
-        if not len(at):
-            continue
-        residue = p % PERIOD
-        own = doc[at]
+        o = np.lexsort((tail, hd))
+        at, p, tail, hd = at[o], p[o], tail[o], hd[o]
+        group = np.cumsum(np.concatenate(([False], (hd[1:] != hd[:-1]) | (tail[1:] != tail[:-1]))))
+        own = doc[keep[at]]
         low = own.copy()
+        residue = p % PERIOD
         for (x, y), d in steps.items():
             m = np.flatnonzero((residue == x) | (residue == y))
             if not len(m):
                 continue
             key = group[m] * np.int64(len(sample) + 1) + rank[p[m] + d]
-            s = np.argsort(key, kind="stable")
+            s = np.argsort(key)
             k = key[s]
             cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             least = np.repeat(np.minimum.reduceat(own[m][s], cut), np.diff(np.concatenate((cut, [len(k)]))))
             low[m[s]] = np.minimum(low[m[s]], least)
-        best[at] = low
+        best[keep[at]] = low
     return best
 
 
@@ -349,7 +378,13 @@ def _marks(strings: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for rows in _whole_blocks(batches):
+        for rows in C.groups(batches, "block"):
+            known = [r for r in rows if r["doc"] is None]
+            if known:
+                yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in known], pa.int64()), pa.array([r["marks"] for r in known], pa.binary())], ["key", "marks"])
+            rows = [r for r in rows if r["doc"] is not None]
+            if not rows:
+                continue
             doc, key = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("doc", "keys"))
             place, count = (np.concatenate([np.frombuffer(r[c], "<u4") for r in rows]).astype(np.int64) for c in ("place", "count"))
             text = np.frombuffer(b"".join([*(r["bytes"] for r in rows), bytes(8)]), np.uint8)
@@ -373,9 +408,8 @@ def _marks(strings: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
             end = np.concatenate((cut[1:], [len(k)]))
             yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array([pairs[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], ["key", "marks"])
 
-    here = strings.where("block < 0").select("key", "marks")
-    there = strings.where("block >= 0").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "key long, marks binary")
-    return here.union(there).groupBy("key").agg(F.collect_list("marks").alias("marks"))
+    found = strings.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "key long, marks binary")
+    return found.groupBy("key").agg(F.collect_list("marks").alias("marks"))
 
 
 # ---- all together -----------------------------------------------------------------
@@ -383,6 +417,7 @@ def _marks(strings: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
 
 def marked(docs: DataFrame, how: Suffixes = Suffixes()) -> tuple[DataFrame, DataFrame]:
     """(texts: __kw_key, __kw_first (smallest doc_id with the text), __kw_marks; docs with __kw_key and __kw_doc)."""
+    C.small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("__kw_text", text)
     rows = rows.withColumn("__kw_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__kw_key", _key_of("__kw_text"))
@@ -390,12 +425,11 @@ def marked(docs: DataFrame, how: Suffixes = Suffixes()) -> tuple[DataFrame, Data
     total = firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks = int(min(max(total // how.block_bytes, how.least_blocks), how.most_blocks))
     slim = rows.where(F.octet_length("__kw_text") >= how.length).select(F.col("__kw_key").alias("key"), F.col("__kw_doc").alias("doc"), F.col("__kw_text").alias("text"))
-    sent = C.materialise(_anchors(slim.select("key", "text"), blocks, how), "suffix-anchors")
-    repeated = C.materialise(_repeated(sent, blocks), "suffix-repeated")
+    repeated = C.materialise(_repeated(_anchors(slim.select("key", "text"), blocks, how), blocks), "suffix-repeated")
     sources = repeated.join(firsts.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select("k", "first", "places")
     candidates = slim.join(sources, (F.col("key") == F.col("k")) & (F.col("doc") == F.col("first"))).select("key", "doc", "text", "places")
-    strings = C.materialise(_strings(candidates, blocks, how), "suffix-strings")
-    marks = C.materialise(_marks(strings, blocks, how), "suffix-marks")
+    marks = C.materialise(_marks(_strings(candidates, blocks, how), blocks, how), "suffix-marks")
+    C.forget(repeated)
     texts = firsts.select("key", "first").join(marks.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").select(F.col("key").alias("__kw_k"), F.col("first").alias("__kw_first"), F.col("marks").alias("__kw_marks"))
     return texts, rows
 
