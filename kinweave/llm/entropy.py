@@ -54,9 +54,11 @@ def tokens(body: np.ndarray, off: np.ndarray, how: Entropy):
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, own: whether the row is a target text."""
+    C.small_batches(docs.sparkSession)
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("g")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(good, F.col("doc_id") == F.col("g"), "left").select("doc_id", "text", F.col("g").isNotNull().alias("own"))
+    # one plan at every size: what is shuffled then follows the input
+    return rows.join(good.hint("merge"), F.col("doc_id") == F.col("g"), "left").select("doc_id", "text", F.col("g").isNotNull().alias("own"))
 
 
 def counts(rows: DataFrame, how: Entropy = Entropy()) -> DataFrame:
@@ -87,16 +89,23 @@ def counts(rows: DataFrame, how: Entropy = Entropy()) -> DataFrame:
 
 def fit(counted: DataFrame, how: Entropy = Entropy()) -> list:
     """[(word, bigram, context) counts of the target model, the same of the background]; counted has at most
-    2 * vocabulary + bigrams rows, a bound fixed by the parameters."""
+    2 * vocabulary + bigrams rows, a bound fixed by the parameters, and comes to the driver packed."""
     size = (how.vocabulary, how.bigrams, how.vocabulary)
-    got = counted.toPandas()
-    out = []
-    for column in ("target", "background"):
-        arrays = tuple(np.zeros(n) for n in size)
-        for kind in range(3):
-            part = got[got["kind"] == kind]
-            arrays[kind][part["item"].to_numpy()] = part[column].to_numpy()
-        out.append(arrays)
+
+    def pack(batches):
+        import pyarrow as pa
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            columns = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("kind", "item", "target", "background")]
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in columns], ["kind", "item", "target", "background"])
+
+    out = [tuple(np.zeros(n) for n in size) for _ in range(2)]
+    for r in counted.mapInArrow(pack, "kind binary, item binary, target binary, background binary").toLocalIterator():
+        kind, item, *both = (np.frombuffer(r[c], "<i8") for c in ("kind", "item", "target", "background"))
+        for which, n in enumerate(both):
+            for k in range(3):
+                out[which][k][item[kind == k]] = n[kind == k]
     return out
 
 
