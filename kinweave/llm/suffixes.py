@@ -13,8 +13,9 @@ by their first `length` bytes. That is done block by block:
 2. The windows of a repeated anchor are one short string. These strings go to
    the block of their anchor (equal ones of one task: the earliest document's
    only, the others are decided on the spot). A block holds all suffixes that
-   may be equal; it is sorted one suffix bucket at a time, a bucket being a
-   range of the first eight bytes. Suffixes tied in their first and last eight
+   may be equal; it is handled in parts, by hash of the anchor, and a part is
+   sorted one suffix bucket at a time, a bucket being a range of the first
+   eight bytes. Suffixes tied in their first and last eight
    bytes are resolved by ranks of a difference cover (0, 1 modulo 3) of the
    block's positions, computed once: any two suffixes reach the cover after the
    same number of steps, under three, where their ranks are compared. Each class
@@ -53,7 +54,8 @@ class Suffixes:
     gram: int = 20
     block_bytes: int = 64 << 20  # of text for each block, about
     least_blocks: int = 96
-    most_blocks: int = 4096
+    most_tasks: int = 20_000  # a task takes its blocks one by one
+    part: int = 1 << 19  # suffixes of a block handled at a time, about
     bucket: int = 1 << 18  # suffixes sorted at a time
 
 
@@ -166,7 +168,7 @@ def _anchors(rows: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
     return rows.mapInArrow(run, ANCHORS)
 
 
-def _repeated(sent: DataFrame, blocks: int) -> DataFrame:
+def _repeated(sent: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
     """key, place (windows whose anchor another text has)."""
 
     def run(batches):
@@ -196,13 +198,13 @@ def _repeated(sent: DataFrame, blocks: int) -> DataFrame:
             end = np.concatenate((cut[1:], [len(key)]))
             yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array([place[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], ["key", "place"])
 
-    answers = sent.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "key long, place binary")
+    answers = sent.repartition(min(blocks, how.most_tasks), "block").sortWithinPartitions("block").mapInArrow(run, "key long, place binary")
     return answers.groupBy("key").agg(F.collect_list("place").alias("places"))
 
 
 # ---- 2: suffixes of repeated anchors ---------------------------------------------
 
-STRINGS = "block int, key long, doc binary, keys binary, place binary, count binary, bytes binary, marks binary"
+STRINGS = "block int, key long, doc binary, keys binary, place binary, count binary, fine binary, bytes binary, marks binary"
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -222,7 +224,7 @@ def _pack_strings(parts: list, blocks: int, how: Suffixes):
     body = np.concatenate([p[0] for p in parts])
     shift = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])[:-1]))
     at = np.concatenate([p[1] + x for p, x in zip(parts, shift, strict=True)])
-    place, count, block, doc, key = (np.concatenate([p[i] for p in parts]) for i in range(2, 7))
+    place, count, block, doc, key, fine = (np.concatenate([p[i] for p in parts]) for i in range(2, 8))
     size = count + how.length - 1
     power, back = C.powers(len(body) + 1), C.powers(len(body) + 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
     prefix = np.zeros(len(body) + 1, np.uint64)
@@ -243,7 +245,7 @@ def _pack_strings(parts: list, blocks: int, how: Suffixes):
             late = late[np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(size[x])[:-1])))]
     decided = np.zeros(len(h), bool)
     decided[late] = True
-    out = {c: [] for c in ("block", "key", "doc", "keys", "place", "count", "bytes", "marks")}
+    out = {c: [] for c in ("block", "key", "doc", "keys", "place", "count", "fine", "bytes", "marks")}
     x = order[decided]
     if len(x):
         x = x[np.argsort(key[x], kind="stable")]
@@ -251,7 +253,7 @@ def _pack_strings(parts: list, blocks: int, how: Suffixes):
         cut = np.flatnonzero(np.concatenate(([True], key[x][1:] != key[x][:-1])))
         for a, b in zip(cut, np.concatenate((cut[1:], [len(x)])), strict=True):
             k = int(key[x[a]])
-            for c, v in zip(out, (k % blocks, k, None, None, None, None, None, pairs[a:b].tobytes()), strict=True):
+            for c, v in zip(out, (k % blocks, k, None, None, None, None, None, None, pairs[a:b].tobytes()), strict=True):
                 out[c].append(v)
     x = order[~decided]
     x = x[np.argsort(block[x], kind="stable")]
@@ -260,10 +262,10 @@ def _pack_strings(parts: list, blocks: int, how: Suffixes):
     cut = np.flatnonzero(np.concatenate(([True], block[x][1:] != block[x][:-1]))) if len(x) else []
     for a, b in zip(cut, np.concatenate((cut[1:], [len(x)])) if len(x) else [], strict=True):
         y = x[a:b]
-        row = (int(block[y[0]]), None, doc[y].astype("<i8").tobytes(), key[y].astype("<i8").tobytes(), place[y].astype("<u4").tobytes(), count[y].astype("<u4").tobytes(), text[ends[a] : ends[b]].tobytes(), None)
+        row = (int(block[y[0]]), None, doc[y].astype("<i8").tobytes(), key[y].astype("<i8").tobytes(), place[y].astype("<u4").tobytes(), count[y].astype("<u4").tobytes(), fine[y].tobytes(), text[ends[a] : ends[b]].tobytes(), None)
         for c, v in zip(out, row, strict=True):
             out[c].append(v)
-    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
     return pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(out, kinds, strict=True)], list(out))
 
 
@@ -282,7 +284,7 @@ def _strings(rows: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
                 row, start, count, h = row[take], start[take], count[take], h[take]
                 if not len(row):
                     continue
-                parts.append((body, off[row] + start, start, count, block_of(h, blocks), part.column("doc").to_numpy()[row], part.column("key").to_numpy()[row]))
+                parts.append((body, off[row] + start, start, count, block_of(h, blocks), part.column("doc").to_numpy()[row], part.column("key").to_numpy()[row], (h >> np.uint64(8)).astype(np.uint8)))
                 held += len(body) + 60 * len(row)
                 if held > 16 << 20:
                     yield _pack_strings(parts, blocks, how)
@@ -387,28 +389,42 @@ def _marks(strings: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
                 continue
             doc, key = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("doc", "keys"))
             place, count = (np.concatenate([np.frombuffer(r[c], "<u4") for r in rows]).astype(np.int64) for c in ("place", "count"))
-            text = np.frombuffer(b"".join([*(r["bytes"] for r in rows), bytes(8)]), np.uint8)
+            fine = np.concatenate([np.frombuffer(r["fine"], np.uint8) for r in rows]).astype(np.int64)
+            text = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+            del rows
             size = count + how.length - 1
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
-            entry = np.repeat(np.arange(len(doc)), count)
-            nth = np.arange(len(entry)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
-            best = earliest(text, first[entry] + nth, doc[entry], how.length, how.bucket)
-            hit = best < doc[entry]
-            # runs of marked windows of an entry
-            prev = np.concatenate(([False], hit[:-1] & (entry[1:] == entry[:-1])))
-            nxt = np.concatenate((hit[1:] & (entry[1:] == entry[:-1]), [False]))
-            begin, last = np.flatnonzero(hit & ~prev), np.flatnonzero(hit & ~nxt)
-            if not len(begin):
-                continue
-            k = key[entry[begin]]
-            lo, hi = place[entry[begin]] + nth[begin], place[entry[last]] + nth[last] + how.length
-            o = np.argsort(k, kind="stable")
-            k, pairs = k[o], np.stack((lo[o], hi[o]), axis=1).astype("<u4")
-            cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            end = np.concatenate((cut[1:], [len(k)]))
-            yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array([pairs[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], ["key", "marks"])
+            parts = max(1, -(-int(count.sum()) // how.part))
+            which = fine * parts // 256
+            for i in range(parts):
+                m = np.flatnonzero(which == i)
+                if len(m):
+                    yield from part_marks(text[_ragged(first[m], size[m])], doc[m], key[m], place[m], count[m])
+
+    def part_marks(text, doc, key, place, count):
+        import pyarrow as pa
 
-    found = strings.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "key long, marks binary")
+        text = np.concatenate((text, np.zeros(8, np.uint8)))
+        first = np.concatenate(([0], np.cumsum(count + how.length - 1)[:-1]))
+        entry = np.repeat(np.arange(len(doc)), count)
+        nth = np.arange(len(entry)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
+        best = earliest(text, first[entry] + nth, doc[entry], how.length, how.bucket)
+        hit = best < doc[entry]
+        # runs of marked windows of an entry
+        prev = np.concatenate(([False], hit[:-1] & (entry[1:] == entry[:-1])))
+        nxt = np.concatenate((hit[1:] & (entry[1:] == entry[:-1]), [False]))
+        begin, last = np.flatnonzero(hit & ~prev), np.flatnonzero(hit & ~nxt)
+        if not len(begin):
+            return
+        k = key[entry[begin]]
+        lo, hi = place[entry[begin]] + nth[begin], place[entry[last]] + nth[last] + how.length
+        o = np.argsort(k, kind="stable")
+        k, pairs = k[o], np.stack((lo[o], hi[o]), axis=1).astype("<u4")
+        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        end = np.concatenate((cut[1:], [len(k)]))
+        yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array([pairs[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], ["key", "marks"])
+
+    found = strings.repartition(min(blocks, how.most_tasks), "block").sortWithinPartitions("block").mapInArrow(run, "key long, marks binary")
     return found.groupBy("key").agg(F.collect_list("marks").alias("marks"))
 
 
@@ -423,9 +439,9 @@ def marked(docs: DataFrame, how: Suffixes = Suffixes()) -> tuple[DataFrame, Data
     rows = rows.withColumn("__kw_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__kw_key", _key_of("__kw_text"))
     firsts = C.materialise(rows.groupBy("__kw_key").agg(F.min("__kw_doc").alias("first"), F.max(F.octet_length("__kw_text").cast("long")).alias("size")).withColumnRenamed("__kw_key", "key"), "suffix-texts")
     total = firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    blocks = int(min(max(total // how.block_bytes, how.least_blocks), how.most_blocks))
+    blocks = int(max(total // how.block_bytes, how.least_blocks))
     slim = rows.where(F.octet_length("__kw_text") >= how.length).select(F.col("__kw_key").alias("key"), F.col("__kw_doc").alias("doc"), F.col("__kw_text").alias("text"))
-    repeated = C.materialise(_repeated(_anchors(slim.select("key", "text"), blocks, how), blocks), "suffix-repeated")
+    repeated = C.materialise(_repeated(_anchors(slim.select("key", "text"), blocks, how), blocks, how), "suffix-repeated")
     sources = repeated.join(firsts.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select("k", "first", "places")
     candidates = slim.join(sources, (F.col("key") == F.col("k")) & (F.col("doc") == F.col("first"))).select("key", "doc", "text", "places")
     marks = C.materialise(_marks(_strings(candidates, blocks, how), blocks, how), "suffix-marks")

@@ -44,7 +44,7 @@ def test_periodic_and_overlapping(spark, seed):
         t = "".join(r.choice(pool)[r.randrange(20) : r.randrange(40, 120)] for _ in range(r.randint(0, 4))) + ("" if r.random() < 0.5 else str(r.random()) * 6)
         rows.append((r.randrange(25), t))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    how = X.Suffixes(least_blocks=3, bucket=64)
+    how = X.Suffixes(least_blocks=3, bucket=64, part=500)
     assert sorted(map(tuple, X.repeats(df, how).collect()), key=str) == brute(rows)
 
 
