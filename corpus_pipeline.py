@@ -4,6 +4,9 @@ language ID -> near duplicates -> repeated passages -> mixing -> packing. Every
 stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the
 last return the columns of documents.
 
+As a stage's result is written before the next stage is called, each stage
+first deletes the scratch tables of those before it.
+
 Defined results: those of the operators that the stages call. A stage given an
 empty table returns an empty table.
 """
@@ -17,26 +20,31 @@ from kinweave.llm import common, langid, minhash, mixing, packing, suffixes
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter or with an unsure language go."""
+    common.sweep(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    common.sweep(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has."""
+    common.sweep(spark)
     return suffixes.remove_repeats(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix at target weights: for each pass, each document taken, with the words that were taken."""
+    common.sweep(spark)
     return mixing.mixed_texts(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    common.sweep(spark)
     return packing.pack(docs)
 
 
@@ -53,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = common.materialise(docs, f"pipeline-{name}")
+            docs = common.materialise(docs, f"pipeline-{name}", swept=False)
+            if i:
+                common.forget(before)
+            before = docs
     return docs

@@ -166,16 +166,16 @@ def pieces(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return out.withColumn("first_word", begin - F.col("start")).withColumn("words", end - begin)
 
 
-def mix_plan(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, mix: Mix = Mix(), carry: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with start, targets per source, draws); rows and targets are written tables."""
-    rows = C.materialise(streams(sized(docs), mix), "mix-rows")
+    rows = C.materialise(streams(sized(docs, carry), mix), "mix-rows")
     per = C.materialise(targets(rows, mix), "mix-targets")
     return rows, per, draws(per, mix)
 
 
-def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def mixture(docs: DataFrame, mix: Mix = Mix(), carry: list | None = None) -> DataFrame:
     """The mix itself: shard, slot, pass, source, block, doc_id, start, first_word, words, in slots."""
-    rows, _, drawn = mix_plan(docs, mix)
+    rows, _, drawn = mix_plan(docs, mix, carry)
     p = pieces(rows, mix).withColumnRenamed("source", "__kw_s").withColumnRenamed("block", "__kw_b")
     return drawn.join(p, drawn["source"].eqNullSafe(p["__kw_s"]) & (drawn["block"] == p["__kw_b"])).drop("__kw_s", "__kw_b", "__kw_text")
 
@@ -194,24 +194,20 @@ def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs' columns: for each pass, each document that it took, with the words taken as its text."""
+    """docs' columns: for each pass, each document that it took, with the words taken as its text.
+
+    Words are planned on ids and sizes; a row is found again by two hashes of
+    all its columns (rows equal in all are interchangeable), so texts are dealt
+    once.
+    """
     names = docs.columns
-    spark = docs.sparkSession
-    drawn = mixture(docs, mix).groupBy("source", "start", "doc_id", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("__kw_taken"))
-    drawn = drawn.select(F.col("source").alias("__kw_s"), F.col("start").alias("__kw_start"), F.col("doc_id").alias("__kw_id"), F.col("pass").alias("__kw_pass"), "__kw_taken")
-    whole = docs.select(F.struct(*[F.col(c) for c in names]).alias("__kw_row"), "doc_id", "source", "text")
-    rows = C.materialise(streams(sized(whole, ["__kw_row"]), mix), "mix-texts")
-    both = rows.join(drawn, rows["source"].eqNullSafe(drawn["__kw_s"]) & (rows["start"] == drawn["__kw_start"]) & rows["doc_id"].eqNullSafe(drawn["__kw_id"]) & (rows["size"] > 0))
-    words = F.regexp_extract_all(F.col("__kw_row")["text"], F.lit(PIECE), F.lit(0))
-    one = F.element_at(F.transform(F.array(words), lambda a: F.array_join(F.transform(F.col("__kw_taken"), lambda t: F.array_join(F.slice(a, (t["first_word"] + 1).cast("int"), t["words"].cast("int")), "")), "")), 1)
-    out = both.select(F.col("__kw_row"), one.alias("__kw_text2"))
-    del spark
-    columns = []
-    for c in names:
-        if c == "text":
-            columns.append(F.col("__kw_text2").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.length("__kw_text2").cast("long").alias("n_chars"))
-        else:
-            columns.append(F.col("__kw_row")[c].alias(c))
-    return out.select(*columns)
+    whole = [F.xxhash64(F.lit(i), *[F.col(c) for c in names]).alias(f"__kw_r{i}") for i in (1, 2)]
+    plan = mixture(docs, mix, whole).groupBy("__kw_r1", "__kw_r2", "source", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("__kw_taken"))
+    plan = plan.select(F.col("__kw_r1").alias("__kw_p1"), F.col("__kw_r2").alias("__kw_p2"), "__kw_taken")
+    rows = docs.select(*[F.col(c) for c in names], *whole).dropDuplicates(["__kw_r1", "__kw_r2"])
+    both = rows.join(plan, (F.col("__kw_r1") == F.col("__kw_p1")) & (F.col("__kw_r2") == F.col("__kw_p2")))
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(PIECE), F.lit(0))
+    taken_text = F.element_at(F.transform(F.array(words), lambda a: F.array_join(F.transform(F.col("__kw_taken"), lambda t: F.array_join(F.slice(a, (t["first_word"] + 1).cast("int"), t["words"].cast("int")), "")), "")), 1)
+    out = both.withColumn("__kw_new", taken_text)
+    kinds = dict(docs.dtypes)
+    return out.select(*[F.col("__kw_new").alias(c) if c == "text" else F.length("__kw_new").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in names])
