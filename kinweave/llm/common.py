@@ -86,28 +86,23 @@ def forget(*tables: DataFrame) -> None:
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, chunk: int = 1024) -> DataFrame:
-    """Exclusive running sum of value per keys in the order of a dense integer column.
+    """Exclusive running sum of value per keys in the order of an integer column.
 
     Two levels: sums per block of `chunk` consecutive orders, then inside each
     block, so that a key with a large share of the rows is not sorted in one task.
     """
-    block = F.floor(F.col(order) / chunk)
-    df = df.withColumn("__kw_block", block)
-    per_block = df.groupBy(*keys, "__kw_block").agg(F.sum(value).alias("__kw_sum"))
+    names = df.columns
+    df = df.withColumn("__kw_block", F.floor(F.col(order) / chunk))
+    block = [*keys, "__kw_block"]
     before = W.partitionBy(*keys).orderBy("__kw_block").rowsBetween(W.unboundedPreceding, -1)
-    per_block = per_block.withColumn("__kw_base", F.coalesce(F.sum("__kw_sum").over(before), F.lit(0))).drop("__kw_sum")
-    inside = W.partitionBy(*keys, "__kw_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    same = None
-    for k in [*keys, "__kw_block"]:
-        c = df[k].eqNullSafe(per_block[k])
-        same = c if same is None else same & c
-    joined = df.withColumn("__kw_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    right = per_block.select(*[F.col(k).alias(f"__kw_r_{i}") for i, k in enumerate([*keys, "__kw_block"])], "__kw_base")
-    cond = None
-    for i, k in enumerate([*keys, "__kw_block"]):
-        c = F.col(k).eqNullSafe(F.col(f"__kw_r_{i}"))
-        cond = c if cond is None else cond & c
-    return joined.join(right, cond).withColumn(out, F.col("__kw_base") + F.col("__kw_in")).select(*[c for c in df.columns if c != "__kw_block"], out)
+    inside = W.partitionBy(*block).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    per_block = df.groupBy(*block).agg(F.sum(value).alias("__kw_sum")).withColumn("__kw_base", F.coalesce(F.sum("__kw_sum").over(before), F.lit(0)))
+    right = per_block.select(*[F.col(k).alias(f"__kw_r_{i}") for i, k in enumerate(block)], "__kw_base")
+    cond = F.lit(True)
+    for i, k in enumerate(block):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__kw_r_{i}"))
+    joined = df.withColumn("__kw_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(right, cond)
+    return joined.select(*names, (F.col("__kw_base") + F.col("__kw_in")).alias(out))
 
 
 # ---- numpy views of Arrow text ------------------------------------------------

@@ -15,8 +15,9 @@ The likeness of two fingerprints is the Jaccard similarity of their sets of
 hashes, 1 if both are empty.
 
 The contract's neighbour of a document is the next one by descending doc_id. The
-rows are parted by quantiles of doc_id, and each part also gets a copy of the
-row that follows it, so that a part's window needs no other part.
+rows are parted by quantiles of doc_id, and between two quantiles evenly, so
+that parts keep their size as rows grow; each part also gets a copy of the row
+that follows it, so that a part's window needs no other part.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint;
 a null doc_id sorts last; rows of equal doc_id are ordered by a hash of their
@@ -42,9 +43,10 @@ WORD = r"[^\x20\x09-\x0D]{1,32}"
 class Winnow:
     k: int = 5
     w: int = 4
-    #: The order by doc_id: rows in a part (about), and the most parts.
-    part_rows: int = 64
-    parts: int = 1024
+    #: The order by doc_id: quantiles (at most), rows between two of them (at least), and rows in a part (about, at most).
+    quantiles: int = 1024
+    quantile_rows: int = 64
+    part_rows: int = 4096
 
 
 def _let(value: Column, body) -> Column:
@@ -102,13 +104,23 @@ def fingerprints(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
 def with_next(rows: DataFrame, order: str, carry: list[str], how: Winnow = Winnow()) -> DataFrame:
     """rows with next_<c> for each carried column: those of the row after, by descending `order` (a long, no null) and then ascending __kw_tie; after the last comes the first."""
     ids = rows.select(order)
-    n = ids.count()
-    parts = max(1, min(how.parts, n // how.part_rows))
-    cuts = ids.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] if parts > 1 else [0.5], 100 * parts).alias("cuts")).first()["cuts"] or []  # parts - 1 numbers
+    stats = ids.agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    n = stats["n"]
+    if not n:
+        for c in carry:
+            rows = rows.withColumn(f"next_{c}", F.col(c))
+        return rows
+    parts = max(1, min(how.quantiles, n // how.quantile_rows))
+    cuts = ids.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("cuts")).first()["cuts"]  # parts - 1 numbers
     cuts = sorted(set(cuts)) if parts > 1 else []
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.size(F.filter(edges, lambda e: e < F.col(order)))
-    rows = rows.withColumn("__kw_part", part)
+    edges = F.array(*[F.lit(c).cast("long") for c in [stats["lo"], *cuts, stats["hi"]]])
+    coarse = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<long>"), lambda e: e < F.col(order)))
+    fine = max(1, -(-n // (parts * how.part_rows)))
+    rows = rows.withColumn("__kw_c", coarse)
+    low, high = F.get(edges, F.col("__kw_c")).cast("double"), F.get(edges, F.col("__kw_c") + 1).cast("double")
+    share = F.coalesce(F.try_divide(F.col(order).cast("double") - low, high - low), F.lit(0.0))
+    part = F.col("__kw_c").cast("long") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(share * fine)))
+    rows = rows.withColumn("__kw_part", part).drop("__kw_c")
     by = [F.col(order).desc(), F.col("__kw_tie").asc()]
     top = rows.groupBy("__kw_part").agg(F.max(F.struct(F.col(order), (-F.col("__kw_tie")).alias("t"))).alias("top"))  # a row for each part
     ring = W.orderBy(F.col("__kw_part").desc())

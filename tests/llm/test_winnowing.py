@@ -32,6 +32,12 @@ def test_edited_texts_and_order(docs, corpus, clashing, nothing):
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 2] + t[: len(t) // 2]).encode()).hexdigest()
 
 
+def test_parts_do_not_change_the_order(docs):
+    got = X.edited_fingerprints(docs)
+    for how in (X.Winnow(quantiles=1, part_rows=3), X.Winnow(quantiles=7, quantile_rows=2, part_rows=2), X.Winnow(quantile_rows=1, part_rows=1)):
+        assert same(got, X.edited_fingerprints(docs, how))
+
+
 def brute(spark, text, how):
     ws = re.findall(X.WORD, text)
     if not ws:
