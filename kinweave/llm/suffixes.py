@@ -467,10 +467,12 @@ def _kept(text: bytes, copy: bool, marks: list, length: int):
 
 
 def _applied(docs: DataFrame, how: Suffixes, with_text: bool, carry: list[str]) -> DataFrame:
-    texts, rows = marked(docs, how)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     if with_text:
-        slim = rows.select(F.struct(*carry).alias("__kw_row"), "__kw_text", "__kw_doc", "__kw_key")
+        docs = docs.select(F.struct(*carry).alias("__kw_row"), "doc_id", "text")
+    texts, rows = marked(docs, how)
+    if with_text:
+        slim = rows.select("__kw_row", "__kw_text", "__kw_doc", "__kw_key")
         kept, kept_type = "__kw_row", "struct<" + ",".join(f"`{c}`:{fields[c]}" for c in carry) + ">"
     else:
         slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__kw_text", "__kw_doc", "__kw_key")
@@ -504,8 +506,8 @@ def repeats(docs: DataFrame, how: Suffixes = Suffixes()) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, how: Suffixes = Suffixes()) -> DataFrame:
     """docs with the remaining bytes as text (a character that lost a byte is dropped) and n_chars to match; null texts stay null."""
-    names = docs.columns
+    names, kinds = docs.columns, dict(docs.dtypes)
     got = _applied(docs, how, True, names)
     text = F.when(F.col("__kw_row")["text"].isNotNull(), F.col("kept_text"))
-    columns = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("__kw_row")[c].alias(c) for c in names]
+    columns = [text.alias(c) if c == "text" else F.length(text).cast(kinds[c]).alias(c) if c == "n_chars" else F.col("__kw_row")[c].alias(c) for c in names]
     return got.select(*columns)

@@ -6,8 +6,9 @@ import corpus_pipeline as P
 from kinweave.llm import queries
 
 
-def test_stages(spark, docs, nothing, tmp_path):
-    for start in (docs, nothing):
+def test_stages(spark, docs, clashing, nothing, tmp_path):
+    for i, start in enumerate((docs, clashing, nothing)):
+        tmp_path = tmp_path / str(i)
         df = start
         for i, (name, stage) in enumerate(P.STAGES):
             df = stage(spark, df, "")
@@ -16,7 +17,7 @@ def test_stages(spark, docs, nothing, tmp_path):
             path = str(tmp_path / f"{name}-{start.count()}")
             df.write.parquet(path)
             df = spark.read.parquet(path)
-        assert (df.count() > 0) == (start is docs)
+        assert (df.count() > 0) == (start is not nothing)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
