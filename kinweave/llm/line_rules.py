@@ -48,6 +48,10 @@ BOILERPLATE = (
 )
 
 
+#: Ends of a line besides . ! ? : ; " ) and '
+ENDS = ("…", "”", "»", "。")
+
+
 @dataclass(frozen=True)
 class Rules:
     min_words: int = 20
@@ -153,11 +157,18 @@ def judge(body: np.ndarray, off: np.ndarray, rules: Rules, with_text: bool) -> d
     bad = repeat.copy()
     if len(real):
         last_word = np.searchsorted(line_of_word, real, "right") - 1
-        final = body[end[last_word] - 1]
+        at = end[last_word] - 1
+        final = body[at]
         ends_well = np.zeros(256, bool)
         ends_well[list(b".!?:;\")'")] = True
-        ends_well[0xA6] = ends_well[0x9D] = ends_well[0x82] = ends_well[0xBB] = True  # last bytes of the ellipsis, curly and angle quotes, ideographic stop
-        unended = ~ends_well[final]
+        good = ends_well[final]
+        for mark in ENDS:
+            m = np.frombuffer(mark.encode(), np.uint8)
+            fits = at - start[last_word] >= len(m) - 1
+            for k in range(len(m)):
+                fits &= body[np.maximum(at - k, 0)] == m[-1 - k]
+            good |= fits
+        unended = ~good
         span = lambda flags: C.per_row(flags, np.concatenate((cut, [off[-1]])))[real]
         size = np.maximum((stop - cut)[real], 1)
         words = words_in[real]

@@ -49,6 +49,57 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(warc.load(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: All pairs of texts that share a run of five words, and reachability over those similar enough.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+rep AS (SELECT text, min(doc_id) AS r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d GROUP BY text),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), chr(1)) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM rep WHERE len(w) > 0)),
+c AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN c cx ON cx.r = x JOIN c cy ON cy.r = y WHERE k >= 0.8 * (cx.n + cy.n - k) - 1e-9
+  UNION ALL SELECT (SELECT min(r) FROM rep WHERE len(w) = 0), r FROM rep WHERE len(w) = 0),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+t(node, label) AS (SELECT r, r FROM rep UNION SELECT b.y, t.label FROM t JOIN b ON b.x = t.node WHERE t.label < b.y),
+m AS (SELECT node, min(label) AS label FROM t GROUP BY node)
+SELECT d.doc_id, m.label AS class_id FROM d JOIN rep ON rep.text = d.text JOIN m ON m.node = rep.r
+"""
+
+_PHRASES = "|".join(p.replace("(", "[(]").replace(")", "[)]") for p in line_rules.BOILERPLATE)
+#: Lines and windows of words one by one, under the rules' production parameters.
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+k AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS nth FROM l),
+f AS (SELECT doc_id, len(w) AS n, len(w) > 0 AND nth > 1 AS dup, len(w) > 0 AND (nth > 1 OR NOT regexp_matches(w[-1], '[.!?:;")''…”»。]$')
+  OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.05 * octet_length(encode(x)) OR length(regexp_replace(x, '[^|]', '', 'g')) > 0.2 * len(w)
+  OR length(regexp_replace(x, '[^!]', '', 'g')) > greatest(1, 0.3 * len(w)) OR regexp_matches(lower(x), '{_PHRASES}')) AS bad FROM k),
+a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dup) AS n_dup_lines, count(*) FILTER (WHERE bad) AS n_lines_removed, CAST(coalesce(sum(n) FILTER (WHERE bad), 0) AS BIGINT) AS n_words_removed FROM f GROUP BY doc_id),
+v AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), chr(1)) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM v)),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS c FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM h WHERE c > 1) GROUP BY doc_id),
+z AS (SELECT v.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, coalesce(r.c, 0) AS n_repeat_words, n_lines, n_lines_removed, n_words_removed
+  FROM v JOIN a ON a.doc_id = v.doc_id LEFT JOIN r ON r.doc_id = v.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_words_removed >= 0.5 * n_words AS kept, n_lines, n_lines_removed, n_words_removed FROM z
+"""
+
+#: Every window of 50 bytes in hexadecimal with its first document; marked windows joined to runs.
+OP7_SQL = """
+WITH n AS (SELECT doc_id, h, length(h) // 2 AS n FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - 49, 0))) AS p FROM n)),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+g AS (SELECT w.doc_id, p FROM w JOIN f ON f.s = w.s WHERE first_id < w.doc_id),
+i AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS gap FROM g),
+j AS (SELECT doc_id, p, sum(gap) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM j GROUP BY doc_id, k),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
+t AS (SELECT q.doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS last FROM q JOIN n ON n.doc_id = q.doc_id GROUP BY q.doc_id)
+SELECT n.doc_id, n.n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM n LEFT JOIN t ON t.doc_id = n.doc_id
+"""
+
 #: Base32 of a SHA-1: five hexadecimal digits are twenty bits, four characters.
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -76,5 +127,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": OP2_SQL,
+    "op4_line_rules": OP4_SQL,
+    "op7_suffixes": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
