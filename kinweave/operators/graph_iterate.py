@@ -97,15 +97,18 @@ def core_number(edges: DataFrame) -> DataFrame:
 def distance_to(edges: DataFrame, hubs: DataFrame) -> DataFrame:
     """hubs: node. node, distance to the nearest hub; infinity where none is reached. Breadth first, the frontier joined each step."""
     a = cut(both_ways(edges))
-    seen = cut(hubs.select("node").distinct().withColumn("distance", F.lit(0.0)))
-    frontier, step = seen, 0
+    # an edge's ends are at most one step apart, so only the last two frontiers can be met again
+    before, frontier = None, cut(hubs.select("node").distinct().withColumn("distance", F.lit(0.0)))
+    seen, step = frontier, 0
     while True:
         step += 1
-        new = a.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(float(step)))
-        frontier = cut(new)
-        if frontier.isEmpty():
+        new = a.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(frontier, "node", "left_anti")
+        if before is not None:
+            new = new.join(before, "node", "left_anti")
+        new = cut(new.withColumn("distance", F.lit(float(step))))
+        if new.isEmpty():
             break
-        seen = cut(seen.union(frontier))
+        before, frontier, seen = frontier, new, seen.union(new)
     return vertices(edges).join(seen, "node", "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
 
 

@@ -110,15 +110,17 @@ def distances(edges: DataFrame, from_nodes: DataFrame) -> DataFrame:
 def distances_by_joins(edges: DataFrame, from_nodes: DataFrame) -> DataFrame:
     """The same without any task holding the graph: all sources' frontiers advance together."""
     a = cut(both_ways(edges))
-    seen = cut(from_nodes.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("distance")))
-    front, step = seen, 0
+    before, front = None, cut(from_nodes.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("distance")))
+    seen, step = front, 0
     while True:
         step += 1
-        new = front.select("source", F.col("node").alias("src")).join(a, "src").select("source", F.col("dst").alias("node")).distinct().join(seen, ["source", "node"], "left_anti")
-        front = cut(new.withColumn("distance", F.lit(step).cast("long")))
-        if front.isEmpty():
+        new = front.select("source", F.col("node").alias("src")).join(a, "src").select("source", F.col("dst").alias("node")).distinct().join(front, ["source", "node"], "left_anti")
+        if before is not None:
+            new = new.join(before, ["source", "node"], "left_anti")
+        new = cut(new.withColumn("distance", F.lit(step).cast("long")))
+        if new.isEmpty():
             return seen
-        seen = cut(seen.union(front))
+        before, front, seen = front, new, seen.union(new)
 
 
 def closeness(edges: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
