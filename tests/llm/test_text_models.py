@@ -196,3 +196,33 @@ def test_entropy_takes_a_text_out(spark):
         size = len(word)
         want = [entropy._loss(rest[0], total[0], how, row, word, pair, zero, 0.0).mean(), entropy._loss(rest[1], total[1], how, row, word, pair, zero, 0.0).mean()]
         assert (got[i].target_loss, got[i].background_loss) == pytest.approx(want) and got[i].n_words == size
+
+
+def test_entropy_counts_real_words_and_bigrams(spark):
+    """As by dictionaries, however small the parameters: no word or bigram shares a count with another."""
+    import math
+    from collections import Counter
+
+    r = random.Random(9)
+    how = entropy.Entropy(16, 8)
+    texts = [" ".join(f"w{r.randrange(400)}" for _ in range(r.randint(1, 60))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, own boolean").repartition(3)
+    words = [t.split() for t in texts]
+    size = len({w for t in words for w in t})
+    got = {x.doc_id: x for x in entropy.scores(df, entropy.fit(entropy.counts(df, how), how), how).collect()}
+
+    def loss(i, rest, total):
+        one, two, first = Counter(), Counter(), Counter()
+        for t in rest:
+            one.update(t), two.update(zip(t, t[1:])), first.update(t[:-1])  # noqa: B905
+        out = []
+        for j, w in enumerate(words[i]):
+            p = one[w] / total
+            before = words[i][j - 1] if j else None
+            out.append(-math.log(0.4 * p + 0.5 * (two[before, w] / first[before] if first[before] else p) + 0.1 / size))
+        return sum(out) / len(out)
+
+    n = [sum(len(t) for i, t in enumerate(words) if i % 3 == 0), sum(map(len, words))]
+    for i in range(60):
+        target, background = [t for j, t in enumerate(words) if j % 3 == 0 and j != i], [t for j, t in enumerate(words) if j != i]
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx((loss(i, target, n[0]), loss(i, background, n[1])))
