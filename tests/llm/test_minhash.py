@@ -119,3 +119,14 @@ def test_key_matches(spark, corpus):
     df = spark.createDataFrame([(c[1],) for c in corpus if c[1] and words_of(c[1])], "text string")
     native = sorted(r[0] for r in df.select(X._key_of("text")).collect())
     assert native == sorted(r.key for r in X.sketch(df.withColumn("doc_id", F.lit(1))).collect())
+
+
+def test_frequent_passages_lose_no_link(spark):
+    """Sets that are alike are found however often one text repeats a passage."""
+    rows = []
+    for i in range(6):
+        common = [f"c{i}x{j}" for j in range(304)]
+        passage = [f"p{i}x{j}" for j in range(14)]
+        rows += [(2 * i, " ".join(common + passage)), (2 * i + 1, " ".join(common + passage * 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, X.near_duplicates(df).collect()), key=str) == brute(rows)
