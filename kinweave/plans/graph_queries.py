@@ -128,7 +128,7 @@ def pagerank(spark, d):
 
 
 def betweenness(spark, d):
-    return rounded(graph_traverse.betweenness(edges(spark, d), 64), "betweenness", digits=9)
+    return rounded(graph_traverse.betweenness(edges(spark, d)), "betweenness", digits=9)
 
 
 def closeness(spark, d):

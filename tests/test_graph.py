@@ -104,3 +104,25 @@ def test_node_features_and_walks(spark):
     a = H.adjacency(TAIL)
     assert len(w) == 8 and all(y in a[x] for r in w for x, y in zip(r.walk, r.walk[1:], strict=False))
     assert len(graph_walks.node2vec(e, 4, 5, 2).columns) == 5
+
+
+def test_registered_betweenness_uses_the_operators_sources(spark, monkeypatch):
+    """Exact, by paths of a tree, on a graph of more than 64 and less than 256 vertices."""
+    from kinweave.plans import graph_queries
+
+    n = 120
+    parent = {i: (i * 7 % 11) * (i - 1) // 11 for i in range(1, n)}
+    e = spark.createDataFrame([(p, i) for i, p in parent.items()], "u long, v long")
+    monkeypatch.setattr(graph_queries, "edges", lambda spark, d: e)
+    through = dict.fromkeys(range(n), 0)
+    up = {0: [0]}
+    for i in range(1, n):
+        up[i] = [i, *up[parent[i]]]
+    for i in range(n):
+        for j in range(i):
+            shared = set(up[i]) & set(up[j])
+            top = next(x for x in up[i] if x in shared)
+            for x in ({*up[i], *up[j]} - shared | {top}) - {i, j}:
+                through[x] += 1
+    got = {r.node: r.betweenness for r in graph_queries.betweenness(spark, None).collect()}
+    assert got == {x: pytest.approx(2 * k / ((n - 1) * (n - 2)), abs=1e-8) for x, k in through.items()}
