@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -26,12 +24,14 @@ _made: list[str] = []
 def scratch_dir(spark: SparkSession, name: str, swept: bool = True) -> str:
     """A new path below spark.checkpoint.dir, deleted when the driver ends, or by sweep() before.
 
-    Where the setting is absent (tests, a laptop) one local folder is made.
+    Where the setting is absent a local master gets one local folder; a cluster's executors could not read that, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
@@ -69,13 +69,15 @@ def materialise(df: DataFrame, name: str, swept: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name, swept)
-    df.write.option("compression", "zstd").parquet(path)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, held)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinweave_path = path
-    for _ in range(2):  # the second pass finds what the first has let go of in Python
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
     return out
 
 
@@ -168,19 +170,65 @@ def _value_of_byte() -> np.ndarray:
 
 
 def segment_hash(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of body[start:end] for each segment; disjoint or not, empty ones are equal."""
+    """64-bit hash of body[start:end] for each segment; disjoint or not, empty ones are equal.
+
+    Eight bytes at a time, each mixed with its place before they are added, so
+    that no pattern of bytes cancels out as it may in a polynomial.
+    """
     out = np.zeros(len(start), np.uint64)
-    size = end - start
-    full = np.flatnonzero(size > 0)
-    if len(full):
-        n, s = size[full], start[full]
-        first = np.concatenate(([0], np.cumsum(n)[:-1]))
-        inside = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
-        value = _value_of_byte()[body[np.repeat(s, n) + inside]] * powers(int(n.max()))[inside]
-        out[full] = np.add.reduceat(value, first)
+    size = np.asarray(end - start, np.int64)
+    if len(body) and len(size):
+        padded = np.concatenate((body, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(body),), "<u8", padded, strides=(1,))
+        blocks = (size + 7) >> 3
+        full = np.flatnonzero(blocks > 0)
+        blocks = blocks[full]
+        if len(full):
+            first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+            nth = np.arange(int(blocks.sum()), dtype=np.int64) - np.repeat(first, blocks)
+            value = eight[np.repeat(start[full], blocks) + 8 * nth].astype(np.uint64)
+            last = first + blocks - 1
+            spare = (8 * blocks - size[full]).astype(np.uint64) * np.uint64(8)  # bits beyond the segment
+            value[last] = (value[last] << spare) >> spare
+            value = mix(value + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            out[full] = np.add.reduceat(value, first)
     return mix(out + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices start..start+size of each segment, one after the other."""
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    return np.repeat(start - first, size) + np.arange(int(size.sum()))
+
+
+def equal_segments(body: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether body[a : a + size] is body[b : b + size], byte by byte, for each pair of segments."""
+    same = np.ones(len(a), bool)
+    full = np.flatnonzero((size > 0) & (a != b))
+    if len(full):
+        alike = body[ragged(a[full], size[full])] == body[ragged(b[full], size[full])]
+        same[full] = np.logical_and.reduceat(alike, np.concatenate(([0], np.cumsum(size[full])[:-1])))
+    return same
+
+
+def exact_classes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Class numbers of segments: equal numbers for equal bytes, and for no others."""
+    h = segment_hash(body, start, end)
+    _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    size = end - start
+    first = at[inverse]
+    ok = size == size[first]
+    ok[ok] = equal_segments(body, start[ok], start[first[ok]], size[ok])
+    if ok.all():
+        return inverse
+    # segments that only share a hash are told apart by their bytes
+    whole, known, out = body.tobytes(), {}, inverse.copy()
+    for i in np.flatnonzero(~ok):
+        key = whole[start[i] : end[i]]
+        out[i] = known.setdefault(key, len(at) + len(known))
+    return out
+
+
 def words_of(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word [^\\x20\\x09-\\x0D]+; none crosses rows."""
     table = np.ones(256, bool)

@@ -6,7 +6,8 @@ Failed lines are removed; a document that keeps too small a share of its words
 is rejected. Lines without a word pass and carry no weight.
 
 Defined results: a null text counts as empty (no words, base_failed, not
-kept); equal rows are judged alike, each by itself; an empty table gives an
+kept); lines, words and windows are equal if their bytes are, never by a hash
+alone; equal rows are judged alike, each by itself; an empty table gives an
 empty result; extra columns of the input are ignored. No row looks at another,
 so nothing is shuffled and the cost is linear in bytes at any size.
 """
@@ -100,7 +101,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True)
 def judge(body: np.ndarray, off: np.ndarray, rules: Rules, with_text: bool) -> dict:
     n = len(off) - 1
     start, end, row = C.words_of(body, off)
-    h = C.segment_hash(body, start, end)
+    word = C.exact_classes(body, start, end)
     n_words = np.bincount(row, minlength=n)
     in_word = np.zeros(len(body) + 1, np.int8)
     in_word[start] += 1
@@ -126,11 +127,11 @@ def judge(body: np.ndarray, off: np.ndarray, rules: Rules, with_text: bool) -> d
     line_of_word = np.searchsorted(cut, start, "right") - 1
     # empty rows share their cut with the next row: the last line that begins there holds the word
     words_in = np.bincount(line_of_word, minlength=len(cut))
-    key = C.mix(C.segment_hash(body, cut, stop) ^ C.mix(line_row.astype(np.uint64) + np.uint64(1)))
     real = np.flatnonzero(words_in > 0)
     repeat = np.zeros(len(cut), bool)
     if len(real):
-        _, at = np.unique(key[real], return_index=True)
+        line = C.exact_classes(body, cut[real], stop[real])
+        _, at = np.unique(line_row[real] * np.int64(line.max() + 1) + line, return_index=True)
         repeat[real] = True
         repeat[real[at]] = False
     n_dup = np.bincount(line_row[repeat], minlength=n)
@@ -138,16 +139,20 @@ def judge(body: np.ndarray, off: np.ndarray, rules: Rules, with_text: bool) -> d
     # windows of words found twice or more in a text
     w = rules.repeat_window
     n_repeat = np.zeros(n, np.int64)
-    ws = np.arange(max(len(h) - w + 1, 0))
+    ws = np.arange(max(len(word) - w + 1, 0))
     ws = ws[row[ws] == row[ws + w - 1]] if len(ws) else ws
     if len(ws):
         odd = C.powers(w + 1, 0xC2B2AE3D27D4EB4F)
         k = C.mix(row[ws].astype(np.uint64) + np.uint64(7))
         for j in range(w):
-            k += h[ws + j] * odd[j]
-        _, inv, count = np.unique(C.mix(k), return_inverse=True, return_counts=True)
+            k += C.mix(word[ws + j].astype(np.uint64)) * odd[j]
+        _, at, inv, count = np.unique(C.mix(k), return_index=True, return_inverse=True, return_counts=True)
+        first = ws[at[inv]]
+        if not all((word[ws + j] == word[first + j]).all() for j in range(w)) or (row[ws] != row[first]).any():  # windows that only share a hash
+            _, inv, count = np.unique(np.column_stack([row[ws], *[word[ws + j] for j in range(w)]]), axis=0, return_inverse=True, return_counts=True)
+            inv = inv.reshape(-1)
         twice = ws[count[inv] > 1]
-        cover = np.zeros(len(h) + 1, np.int64)
+        cover = np.zeros(len(word) + 1, np.int64)
         np.add.at(cover, twice, 1)
         np.add.at(cover, twice + w, -1)
         n_repeat = np.bincount(row[np.cumsum(cover[:-1]) > 0], minlength=n)

@@ -207,12 +207,6 @@ def _repeated(sent: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
 STRINGS = "block int, key long, doc binary, keys binary, place binary, count binary, fine binary, bytes binary, marks binary"
 
 
-def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices start..start+size of each segment, one after the other."""
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    return np.repeat(start - first, size) + np.arange(int(size.sum()))
-
-
 def _pack_strings(parts: list, blocks: int, how: Suffixes):
     """Rows for the blocks, and ranges decided here, from a task's strings.
 
@@ -240,7 +234,7 @@ def _pack_strings(parts: list, blocks: int, how: Suffixes):
         x, y = order[late], order[head[late]]
         same = size[x] == size[y]
         late, x, y = late[same], x[same], y[same]
-        equal = body[_ragged(at[x], size[x])] == body[_ragged(at[y], size[x])]
+        equal = body[C.ragged(at[x], size[x])] == body[C.ragged(at[y], size[x])]
         if len(late):
             late = late[np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(size[x])[:-1])))]
     decided = np.zeros(len(h), bool)
@@ -257,7 +251,7 @@ def _pack_strings(parts: list, blocks: int, how: Suffixes):
                 out[c].append(v)
     x = order[~decided]
     x = x[np.argsort(block[x], kind="stable")]
-    text = body[_ragged(at[x], size[x])]
+    text = body[C.ragged(at[x], size[x])]
     ends = np.concatenate(([0], np.cumsum(size[x])))
     cut = np.flatnonzero(np.concatenate(([True], block[x][1:] != block[x][:-1]))) if len(x) else []
     for a, b in zip(cut, np.concatenate((cut[1:], [len(x)])) if len(x) else [], strict=True):
@@ -399,7 +393,7 @@ def _marks(strings: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
             for i in range(parts):
                 m = np.flatnonzero(which == i)
                 if len(m):
-                    yield from part_marks(text[_ragged(first[m], size[m])], doc[m], key[m], place[m], count[m])
+                    yield from part_marks(text[C.ragged(first[m], size[m])], doc[m], key[m], place[m], count[m])
 
     def part_marks(text, doc, key, place, count):
         import pyarrow as pa

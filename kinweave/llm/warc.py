@@ -9,7 +9,7 @@ Reader: every archive is cut into byte ranges; a task opens its range, searches
 for the gzip magic, accepts a candidate only if it inflates to a WARC record
 header and to the member's end with a valid checksum, and owns the records
 whose first byte lies in its range, however far they extend beyond it. A range
-may hold no start at all.
+may hold no start at all. What was read is counted and compared with the manifest.
 
 Paths are opened with pyarrow's file systems (local or mounted folders, object
 stores, HDFS where libhdfs is there).
@@ -194,39 +194,34 @@ def _parse_head(head: bytes):
 def decode_member(window: _Window, start: int, size: int):
     """(fields, block, end of the member) if a whole WARC record begins at start, else None.
 
-    The header is checked as soon as it is inflated, so that a false magic costs
-    little; the record is held in memory once.
+    What is inflated is checked at once to begin like a record, so that a false
+    magic costs little; a header may have any length. The record is held in
+    memory once.
     """
-    z, parts, got, fields, pos, need = zlib.decompressobj(31), [], 0, None, start, None
+    z, whole, fields, pos, need, seen = zlib.decompressobj(31), bytearray(), None, start, None, 0
     try:
         while not z.eof:
             chunk = window.read(pos, min(1 << 16, size - pos))
             if not chunk:
                 return None
             pos += len(chunk)
-            piece = z.decompress(chunk)
-            parts.append(piece)
-            got += len(piece)
+            whole += z.decompress(chunk)
             if fields is None:
-                whole = b"".join(parts)
-                parts = [whole]
                 if not whole.startswith(b"WARC/1."[: len(whole)]):
                     return None
-                at = whole.find(b"\r\n\r\n")
+                at = whole.find(b"\r\n\r\n", seen)
+                seen = max(0, len(whole) - 3)
                 if at >= 0:
-                    fields = _parse_head(whole[:at])
+                    fields = _parse_head(bytes(whole[:at]))
                     if fields is None:
                         return None
                     need = at + 4 + int(fields[b"content-length"])
-                elif got > 1 << 20:
-                    return None
     except zlib.error:
         return None
-    if fields is None or got < need:
+    if fields is None or len(whole) < need:
         return None
-    whole = b"".join(parts)
     begin = need - int(fields[b"content-length"])
-    return fields, whole[begin:need], pos - len(z.unused_data)
+    return fields, bytes(whole[begin:need]), pos - len(z.unused_data)
 
 
 def records_in(window: _Window, start: int, end: int, size: int):
@@ -249,8 +244,18 @@ def _number(urn: str | None):
     return int(tail) if tail.lstrip("-").isdigit() else None
 
 
+def complete(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """records as a written table, after each archive's number is compared with the manifest's; a difference is an error."""
+    records = C.materialise(records, "warc-records")
+    got = records.groupBy("path").agg(F.count("*").alias("got")).withColumnRenamed("path", "p")
+    wrong = manifest.join(got, F.col("path") == F.col("p"), "left").where(F.col("records") != F.coalesce("got", F.lit(0))).select("path", "records", "got").take(3)
+    if wrong:
+        raise ValueError("archives whose records don't add up: " + "; ".join(f"{r['path']} has {r['got'] or 0} of {r['records']}" for r in wrong))
+    return records
+
+
 def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
-    """Records of the archives that manifest (path, size) names, by byte ranges of split_bytes."""
+    """Records of the archives that manifest (path, size) names, by byte ranges of split_bytes; see complete()."""
     spark = manifest.sparkSession
     ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes))).alias("start"))
     n = max(1, ranges.count())
@@ -297,7 +302,8 @@ def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20, with_payload: boo
 
 def round_trip(pages: DataFrame, directory: str | None = None, min_bytes: int = 0, split_bytes: int = 8 << 20, with_payload: bool = False) -> DataFrame:
     directory = directory or C.scratch_dir(pages.sparkSession, "warc")
-    return read_warc(write_warc(pages, directory, min_bytes), split_bytes, with_payload)
+    manifest = write_warc(pages, directory, min_bytes)
+    return complete(read_warc(manifest, split_bytes, with_payload), manifest)
 
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:

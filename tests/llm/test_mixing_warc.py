@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 from conftest_llm import same, words_of
@@ -131,3 +132,22 @@ def test_false_magic_is_passed():
     w = warc._Window(io.BytesIO(data), len(data), 16)
     got = list(warc.records_in(w, 0, len(data), len(data)))
     assert len(got) == 1 and got[0][2].endswith(b"body")
+
+
+@pytest.mark.parametrize("split", [100_000, 1 << 23])
+def test_headers_of_any_length(spark, tmp_path, split):
+    r = random.Random(0)
+    urls = {1: "http://h/" + "".join(r.choice("abcdefghij0123456789") for _ in range(3 << 20)), 2: "http://h/" + "a" * (3 << 20), 3: "http://h/é"}
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], "page_id long, url string, html string")
+    assert {x.page_id: x.url for x in warc.round_trip(df.coalesce(1), str(tmp_path / "w"), split_bytes=split).collect()} == urls
+
+
+def test_lost_records_are_an_error(spark, tmp_path):
+    df, rows = pages(spark)
+    manifest = warc.write_warc(df.coalesce(1), str(tmp_path / "w"))
+    path = next((tmp_path / "w/archives").glob("*.gz"))
+    data = bytearray(path.read_bytes())
+    data[10] ^= 255
+    path.write_bytes(bytes(data))
+    with pytest.raises(ValueError, match="add up"):
+        warc.complete(warc.read_warc(manifest), manifest)

@@ -3,6 +3,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import same, words_of
 from pyspark.sql import functions as F
@@ -39,6 +40,30 @@ def test_line_rules(spark, docs, corpus, clashing, nothing):
     assert line_rules.clean_lines(nothing).count() == 0
 
 
+def test_lines_and_words_are_told_apart_by_bytes(spark, monkeypatch):
+    """Two lines that a polynomial modulo 2^64 can't tell apart; and hashes that nearly all collide."""
+    thue = "a"
+    for _ in range(12):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    r = random.Random(5)
+    texts = [thue + "\n" + other, thue + "\n" + thue, *("\n".join(" ".join(r.choice("abc") * r.randint(1, 2) for _ in range(r.randint(0, 12))) for _ in range(20)) for _ in range(5))]
+    body, off = line_rules.C.utf8(pa.array(texts))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    want = [brute_counts(t) for t in texts]
+    assert want[0][3] == 0 and want[1][3] == 1
+    real = line_rules.C.segment_hash
+    for bad in (real, lambda *x: real(*x) % np.uint64(3)):
+        monkeypatch.setattr(line_rules.C, "segment_hash", bad)
+        got = line_rules.judge(body, off, line_rules.Rules(), False)
+        assert [tuple(int(got[c][i]) for c in names) for i in range(len(texts))] == want
+    monkeypatch.setattr(line_rules.C, "segment_hash", real)
+    mix = line_rules.C.mix
+    monkeypatch.setattr(line_rules.C, "mix", lambda x: mix(x) % np.uint64(2))
+    got = line_rules.judge(body, off, line_rules.Rules(), False)
+    assert [int(x) for x in got["n_repeat_words"]] == [w[4] for w in want]
+
+
 def test_line_cleaning_keeps_prose(spark):
     r = random.Random(1)
     prose = "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(14)) + "." for i in range(6))
