@@ -24,12 +24,14 @@ def as_date(value: str | datetime.date) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again: iterations start from a short plan."""
+    """df written below spark.checkpoint.dir and read again: iterations start from a short plan. A local folder serves only a local master."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
