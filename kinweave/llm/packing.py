@@ -6,10 +6,12 @@ has at most `capacity` rows, whatever the corpus, so the driver may hold it. It
 plans windows from the longest remaining length down: a subset-sum dynamic
 program over a bitset (an integer's bits, counts split in powers of two) finds
 the multiset of remaining lengths that fills the window closest, and its counts
-are backtracked. A pattern with no slack is repeated as often as its counts
-last, so each pattern uses up a length and there are at most `capacity` of them.
-Lengths that no multiset completes join a tail whose pieces are laid end to end
-and cut at window borders, so only the last window is short.
+are backtracked. A pattern is repeated as often as its counts last, so each
+pattern uses up a length and there are at most `capacity` of them. What a closest
+fill leaves empty is padding. Where the lengths don't go together at all (say,
+all are just over half a window) padding would grow without bound: once it is
+`padding_share` of all windows, lengths that can't be completed join a tail
+whose pieces are laid end to end and cut at window borders.
 
 Executors then number the pieces of each length (running counts over chunks of
 pieces) and look their window up in the plan. Nothing but counts is shuffled,
@@ -37,12 +39,20 @@ from kinweave.llm import common as C
 class Packing:
     capacity: int = 1024
     closing_id: int = 0
+    padding_share: float = 0.02
     #: A file of the public tokenizers by name, or an absolute path.
     tokenizer: str = "byte_bpe_50k.tiktoken"
 
 
+#: Fixed value: the vocabulary's one special token and its id.
+SPELLED_OUT = {"<|endoftext|>": 50256}
+
+
 def encoder(name: str):
-    """text -> uint32 ids. A .json file is read by tokenizers, a .tiktoken file (the same vocabulary as ranks) by tiktoken."""
+    """text -> uint32 ids, as tokenizers gives them without special tokens added; those that the text spells out are themselves.
+
+    A .json file is read by tokenizers, a .tiktoken file (the same vocabulary as ranks) by tiktoken, which is several times as fast.
+    """
     import os
 
     path = name
@@ -54,7 +64,6 @@ def encoder(name: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         return lambda text: np.asarray(t.encode(text, add_special_tokens=False).ids, np.uint32)
     import base64
 
@@ -63,8 +72,8 @@ def encoder(name: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.asarray(e.encode_ordinary(text), np.uint32)
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPELLED_OUT)
+    return lambda text: np.asarray(e.encode(text, allowed_special="all"), np.uint32)
 
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, chunk long, piece long, rank long, ids binary"
@@ -152,8 +161,9 @@ class Plan:
         return sequence, offset, np.minimum(length, self.capacity - offset)
 
 
-def plan(histogram: dict[int, int], capacity: int) -> Plan:
+def plan(histogram: dict[int, int], capacity: int, padding_share: float = 0.02) -> Plan:
     left = {k: v for k, v in histogram.items() if v > 0}
+    budget = padding_share * capacity * -(-sum(k * v for k, v in left.items()) // capacity)
     used = dict.fromkeys(left, 0)
     rows, sequence, tail = [], 0, []
     while left:
@@ -161,11 +171,13 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
         left[top] -= 1
         best, counts = fill(left, capacity - top)
         left[top] += 1
-        if best < capacity - top:
-            tail.append((top, left.pop(top)))
-            continue
         counts[top] = counts.get(top, 0) + 1
         times = min(left[k] // c for k, c in counts.items())
+        slack = (capacity - top - best) * times
+        if slack > budget:
+            tail.append((top, left.pop(top)))
+            continue
+        budget -= slack
         offset = 0
         for k in sorted(counts, reverse=True):
             c = counts[k]
@@ -199,7 +211,7 @@ def pack(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
 def place(pieces: DataFrame, how: Packing = Packing()) -> DataFrame:
     counts = C.materialise(pieces.groupBy("chunk", "length").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length: capacity at most
-    the_plan = plan(histogram, how.capacity)
+    the_plan = plan(histogram, how.capacity, how.padding_share)
     before = W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select(F.col("chunk").alias("c"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     slim = pieces.drop("ids")
