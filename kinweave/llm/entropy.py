@@ -5,8 +5,8 @@ corpus: a word (a run of other than the six ASCII spaces) and a bigram are known
 by 63 bits of their hash, so unrelated ones share a count only by an accident of
 the hash (safe to some billions of different ones). Smoothing and orders are the
 same for both. The target model counts every text labelled quality = 1, the
-background model every text; a text is scored with its own counts taken out of
-both, so no text vouches for itself.
+background model every text; a text is scored with its own counts, and its words
+of the totals, taken out of both: by the models of the other rows.
 Counting covers all of every text, and the tables of counts grow with the
 corpus; nobody holds them whole. Texts are dealt to chunks by hash. A chunk
 sends its count of each of its different words and bigrams, sorted and dealt to
@@ -40,6 +40,8 @@ class Entropy:
     bigrams: int = 1 << 19  # about so many bigrams are looked up in one part of the tables
     bigram_share: float = 0.5
     unigram_share: float = 0.4  # the rest is uniform
+    #: Ids of target texts that are sent to every task (16 bytes each or so); more meet the texts by a shuffle.
+    sent_ids: int = 1 << 20
 
 
 #: Bytes of text of which the words and bigrams are made distinct together.
@@ -73,13 +75,14 @@ def _firsts(pair: np.ndarray) -> np.ndarray:
     return np.append(pair[1:] >= 0, False) if len(pair) else pair >= 0
 
 
-def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def flagged(docs: DataFrame, labels: DataFrame, how: Entropy = Entropy()) -> DataFrame:
     """doc_id, text, own: whether the row is a target text."""
     C.small_batches(docs.sparkSession)
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("g")).distinct()
+    if good.count() <= how.sent_ids:
+        good = F.broadcast(good)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # one plan at every size: what is shuffled then follows the input
-    return rows.join(good.hint("merge"), F.col("doc_id") == F.col("g"), "left").select("doc_id", "text", F.col("g").isNotNull().alias("own"))
+    return rows.join(good, F.col("doc_id") == F.col("g"), "left").select("doc_id", "text", F.col("g").isNotNull().alias("own"))
 
 
 def _squeezed(arrays: list) -> bytes:
@@ -259,10 +262,10 @@ def _own_counts(row: np.ndarray, item: np.ndarray, ok: np.ndarray | None = None)
 
 
 def _loss(model, n: float, how: Entropy, row, word, pair, own, left) -> np.ndarray:
-    """-log p of each token; own: its counts in its text, left: 1 where the text is among the model's and is taken out, else 0."""
+    """-log p of each token; own: the counts of its word, bigram and context in its text and the text's words; left: 1 where the text is among the model's and is taken out, else 0."""
     words, pairs, contexts = model
     before = np.concatenate(([0], word[:-1]))
-    p_word = np.maximum(words[word] - left * own[0], 0) / max(n, 1.0)
+    p_word = np.maximum(words[word] - left * own[0], 0) / np.maximum(n - left * own[3], 1.0)
     seen = np.maximum(contexts[before] - left * np.concatenate(([0.0], own[2][:-1])), 0)
     both = np.maximum(pairs[np.maximum(pair, 0)] - left * own[1], 0)
     follow = np.where((pair >= 0) & (seen > 0), both / np.maximum(seen, 1), p_word)
@@ -302,7 +305,7 @@ def scores(rows: DataFrame, models: list, how: Entropy = Entropy()) -> DataFrame
                         table[:, order[cut[p] : cut[p + 1]]] = told[p][which]
                     known.append(table)
                 first = _firsts(pair)
-                own = (_own_counts(row, word), _own_counts(row, np.maximum(pair, 0), pair >= 0), _own_counts(row, word, first))
+                own = (_own_counts(row, word), _own_counts(row, np.maximum(pair, 0), pair >= 0), _own_counts(row, word, first), count[row].astype(float))
                 left = (own_flag[row], 1.0)
                 losses = [_loss((known[0][i], known[1][i], known[0][2 + i]), float(totals[i]), how, row, word, pair, own, left[i]) for i in range(2)]
                 mean = [np.bincount(row, x, n) / np.maximum(count, 1) for x in losses]
@@ -320,5 +323,5 @@ def scores(rows: DataFrame, models: list, how: Entropy = Entropy()) -> DataFrame
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, how: Entropy = Entropy()) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score."""
-    rows = C.materialise(flagged(docs, labels), "entropy-rows")
+    rows = C.materialise(flagged(docs, labels, how), "entropy-rows")
     return scores(rows, fit(counts(rows, how), how), how)

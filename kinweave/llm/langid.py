@@ -7,9 +7,11 @@ probabilities of all of them, and a text's score is the sum over its words of
 the logarithms. Piece probabilities are fitted by expectation maximisation over
 the same sums.
 
-Bounds, both parameters: training takes about `train_docs` documents of each
-language, drawn by a hash of their ids, whole; pieces have at most `max_piece`
-characters. Everything else covers all of every text.
+Bound, a parameter: training takes about `train_docs` documents of each
+language, drawn by a hash of their ids, whole. Everything else covers all of
+every text and all of the vocabulary's pieces of letters. Words of `long_word`
+characters or more, whose probabilities are too small for floating point, are
+summed in logarithms, in training as in scoring.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
 so is any text when no language could be learned. A null lang or doc_id is not
@@ -36,8 +38,7 @@ MARK = "▁"
 @dataclass(frozen=True)
 class LangId:
     train_docs: int = 400
-    max_piece: int = 8
-    long_word: int = 24  # characters; longer words are scored one by one
+    long_word: int = 24
     vocabulary: str = "piece_bpe_32k.model"
     iterations: int = 3
     smoothing: float = 0.01
@@ -59,7 +60,7 @@ def pieces_of(how: LangId) -> list[str]:
         path = public_tokenizers.path(path)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     kept = {p.lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for p in [sp.id_to_piece(i)]}
-    return sorted(p for p in kept if 0 < len(p) <= how.max_piece and (LETTERS.fullmatch(p.lstrip(MARK)) or p == MARK))
+    return sorted(p for p in kept if p and (LETTERS.fullmatch(p.lstrip(MARK)) or p == MARK))
 
 
 def _code(words: list[str], width: int) -> np.ndarray:
@@ -115,26 +116,111 @@ class Lattice:
         return out
 
 
+class LongLattice:
+    """The same sums in logarithms, for words of any length. Pieces are looked up again in each pass, so that memory is one number for each character."""
+
+    def __init__(self, keys: np.ndarray, odd: np.ndarray, words: list[str], max_piece: int):
+        self.keys, self.odd, self.max_piece = keys, odd, max_piece
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.width = int(self.size.max()) if len(words) else 0
+        self.code = _code(words, self.width)
+
+    def arcs(self, i: int):
+        """(length, words, piece) of what may stand at character i."""
+        alive = np.flatnonzero(self.size > i)
+        h = np.zeros(len(alive), np.uint64)
+        for n in range(1, min(self.max_piece, self.width - i) + 1):
+            fits = self.size[alive] >= i + n
+            alive, h = alive[fits], h[fits]
+            if not len(alive):
+                return
+            h = h + self.code[alive, i + n - 1] * self.odd[n - 1]
+            want = C.mix(h + np.uint64(n))
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            hit = self.keys[at] == want
+            if n == 1:
+                yield n, alive, np.where(hit, at, len(self.keys))
+            elif hit.any():
+                yield n, alive[hit], at[hit]
+
+    def log_likelihood(self, p: np.ndarray) -> np.ndarray:
+        log_p, ring = np.log(p), self.max_piece + 1
+        a = np.full((ring, len(self.size), p.shape[1]), -np.inf)
+        a[0] = 0
+        out = np.zeros((len(self.size), p.shape[1]))
+        for i in range(self.width):
+            here = a[i % ring].copy()
+            a[i % ring] = -np.inf
+            for n, rows, piece in self.arcs(i):
+                a[(i + n) % ring, rows] = np.logaddexp(a[(i + n) % ring, rows], here[rows] + log_p[piece])
+            done = self.size == i + 1
+            out[done] = a[(i + 1) % ring, done]
+        return out
+
+    def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        log_p = np.log(p[:, 0])
+        a = np.full((self.width + 1, len(self.size)), -np.inf)
+        a[0] = 0
+        for i in range(self.width):
+            for n, rows, piece in self.arcs(i):
+                a[i + n, rows] = np.logaddexp(a[i + n, rows], a[i, rows] + log_p[piece])
+        every = np.arange(len(self.size))
+        total = a[self.size, every]
+        ring = self.max_piece + 1
+        b = np.full((ring, len(self.size)), -np.inf)
+        out = np.zeros(len(p))
+        for i in range(self.width, -1, -1):
+            here = np.where(self.size == i, 0.0, -np.inf)
+            for n, rows, piece in self.arcs(i):
+                rest = log_p[piece] + b[(i + n) % ring, rows]
+                here[rows] = np.logaddexp(here[rows], rest)
+                np.add.at(out, piece, np.exp(a[i, rows] + rest - total[rows]) * weight[rows])
+            b[i % ring] = here
+        return out
+
+
+def _like_lengths(sizes: np.ndarray, cells: int = 1 << 20):
+    """Numbers of words in groups of like size, each of about `cells` characters at most when all are as long as its longest."""
+    order = np.argsort(sizes, kind="stable")
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j + 1 - i) * sizes[order[j]] <= cells:
+            j += 1
+        yield order[i:j]
+        i = j
+
+
 class Model:
     def __init__(self, how: LangId, languages: list[str], pieces: list[str]):
         self.how, self.languages = how, languages
-        self.odd = C.powers(how.max_piece + 1, 0xC2B2AE3D27D4EB4F)
-        code = _code(pieces, how.max_piece)
+        self.max_piece = max((len(p) for p in pieces), default=1)
+        self.odd = C.powers(self.max_piece + 1, 0xC2B2AE3D27D4EB4F)
+        code = _code(pieces, self.max_piece)
         size = np.array([len(p) for p in pieces], np.uint64)
-        key = C.mix((code * self.odd[: how.max_piece]).sum(axis=1, dtype=np.uint64) + size)
+        key = C.mix((code * self.odd[: self.max_piece]).sum(axis=1, dtype=np.uint64) + size)
         self.keys = np.unique(key)
         self.p = np.zeros((len(self.keys) + 1, len(languages)))
 
+    def _lattices(self, words: list[str]):
+        """(numbers of words, their lattice)."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        for long, kind in ((False, Lattice), (True, LongLattice)):
+            chosen = np.flatnonzero((sizes >= self.how.long_word) == long)
+            for part in _like_lengths(sizes[chosen] + 1, 1 << 20 if long else 100_000):
+                part = chosen[part]
+                yield part, kind(self.keys, self.odd, [MARK + words[k] for k in part], self.max_piece)
+
     def fit(self, column: int, counts: dict[str, int]) -> None:
-        words = [MARK + w for w in sorted(counts) if len(w) < self.how.long_word]
-        weight = np.array([counts[w[1:]] for w in words], float)
+        words = sorted(counts)
+        weight = np.array([counts[w] for w in words], float)
         n = len(self.keys)
         p = np.full((n + 1, 1), 1.0 / n)
         p[n] = self.how.unknown
         for _ in range(self.how.iterations):
             used = np.zeros(n + 1)
-            for i in range(0, len(words), 20_000):
-                used += Lattice(self.keys, self.odd, words[i : i + 20_000], self.how.max_piece).expected(p, weight[i : i + 20_000])
+            for part, lattice in self._lattices(words):
+                used += lattice.expected(p, weight[part])
             p = ((1 - self.how.smoothing) * used[:n] / max(used[:n].sum(), 1e-9) + self.how.smoothing / n)[:, None]
             p = np.vstack((p, [[self.how.unknown]]))
         self.p[:, column] = p[:, 0]
@@ -142,46 +228,10 @@ class Model:
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        sizes = np.array([len(w) for w in words])
-        order = np.argsort(sizes, kind="stable")
-        short = order[sizes[order] < self.how.long_word]
-        i = 0
-        while i < len(short):  # words of like length together
-            j = min(i + 4000, len(short))
-            part = short[i:j]
-            out[part] = Lattice(self.keys, self.odd, [MARK + words[k] for k in part], self.how.max_piece).log_likelihood(self.p)
-            i = j
-        for k in order[len(short) :]:
-            out[k] = self._long(MARK + words[k])
+        for part, lattice in self._lattices(words):
+            out[part] = lattice.log_likelihood(self.p)
         return out
 
-    def _long(self, word: str) -> np.ndarray:
-        """The same sum for a word of any length: only the last max_piece columns are held, rescaled as they shrink."""
-        m, n = self.how.max_piece, len(word)
-        code = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        ids = []
-        h = np.zeros(n, np.uint64)
-        for k in range(1, m + 1):
-            if k > n:
-                break
-            h = h[: n - k + 1] + code[k - 1 :] * self.odd[k - 1]
-            want = C.mix(h + np.uint64(k))
-            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-            ids.append(np.where(self.keys[at] == want, at, -1 if k > 1 else len(self.keys)))
-        held, scale = [np.ones(len(self.languages))], np.zeros(len(self.languages))
-        for end in range(1, n + 1):
-            a = np.zeros(len(self.languages))
-            for k in range(1, min(m, end) + 1):
-                piece = ids[k - 1][end - k]
-                if piece >= 0:
-                    a += held[-k] * self.p[piece]
-            held = [*held[-m + 1 :], a]
-            if a.max() < 1e-100:
-                factor = np.maximum(a, 1e-290)
-                held = [x / factor for x in held]
-                scale += np.log(factor)
-        return np.log(np.maximum(held[-1], 1e-300)) + scale
-
 
 def fold_of(how: LangId):
     return F.crc32(F.col("doc_id").cast("string")) % how.folds

@@ -162,7 +162,9 @@ class Scorer:
             at = end - n + 1
             if at < done or at and low[at - 1].isalpha():
                 continue
-            begin = max((low.rfind(c, 0, at) for c in ".!?;:,\n"), default=-1) + 1 if at < 2000 else max(low.rfind(c, at - 2000, at) for c in ".!?;:,\n") + 1 or at - 2000
+            # the clause begins behind the last mark before the match; the one that ended the clause before may be it
+            floor = max(done, 0)
+            begin = max(floor, max(low.rfind(c, floor, at) for c in ".!?;:,\n") + 1)
             stop = CLAUSE_END.search(low, at)
             done = stop.start() if stop else len(low)
             score = self.clause(low[begin:done])

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -98,44 +100,75 @@ def test_language(spark, docs, corpus, clashing, nothing):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
-    how = langid.LangId(max_piece=4)
-    m = langid.Model(how, ["x", "y"], ["a", "b", "ab", "ba", "aba", "▁", "▁a"])
-    m.p = np.random.default_rng(0).random((len(m.keys) + 1, 2)) * 0.1
-
-    def index(piece):
-        if len(piece) > how.max_piece:
-            return None
-        code = np.array([ord(c) for c in piece], np.uint64)
-        h = np.array([(code * m.odd[: len(code)]).sum(dtype=np.uint64) + np.uint64(len(code))])
-        from kinweave.llm.common import mix
-
-        k = mix(h)[0]
-        at = int(np.searchsorted(m.keys, k))
-        return at if at < len(m.keys) and m.keys[at] == k else None
-
-    for word in ("ababa", "b", "aabz"):
-        text = "▁" + word
-        total = np.zeros(2)
-        for n in range(len(text)):
-            for cuts in combinations(range(1, len(text)), n):
-                parts = [text[i:j] for i, j in zip((0, *cuts), (*cuts, len(text)), strict=True)]
-                p = np.ones(2)
-                for x in parts:
-                    at = index(x)
-                    if at is None and len(x) > 1:
-                        p *= 0
-                    else:
-                        p *= m.p[len(m.keys) if at is None else at]
-                total += p
-        assert m.score_words([word])[0] == pytest.approx(np.log(total))
-        assert m._long(text) == pytest.approx(np.log(total))
-
-
-def test_long_word_is_rescaled():
+def segmentations(text):
+    for n in range(len(text)):
+        for cuts in combinations(range(1, len(text)), n):
+            yield [text[i:j] for i, j in zip((0, *cuts), (*cuts, len(text)), strict=True)]
+
+
+def brute_piece(p, piece):
+    return p[piece] if piece in p else p[None] if len(piece) == 1 else 0.0
+
+
+def brute_fit(counts, pieces, how):
+    """Expectation maximisation over written-out segmentations; None is the unknown character."""
+    p = dict.fromkeys(pieces, 1 / len(pieces)) | {None: how.unknown}
+    for _ in range(how.iterations):
+        used = dict.fromkeys(pieces, 0.0)
+        for w, n in counts.items():
+            ways = [(math.prod(brute_piece(p, x) for x in s), s) for s in segmentations("▁" + w)]
+            total = sum(x for x, _ in ways)
+            for x, s in ways:
+                for piece in s:
+                    if piece in used:
+                        used[piece] += n * x / total
+        whole = sum(used.values())
+        p = {k: (1 - how.smoothing) * v / whole + how.smoothing / len(pieces) for k, v in used.items()} | {None: how.unknown}
+    return p
+
+
+PIECES = ["a", "b", "c", "ab", "ba", "aba", "bcb", "▁", "▁a", "▁ab", "abcabc"]
+
+
+@pytest.mark.parametrize("long_word", [2, 5, 24])
+def test_predictions_against_brute_force(spark, monkeypatch, long_word):
+    """Fitted and scored over all segmentations, written out; short and long words take different ways to the same sums."""
+    monkeypatch.setattr(langid, "pieces_of", lambda how: PIECES)
+    how = langid.LangId(long_word=long_word)
+    r = random.Random(6)
+    rows = []
+    for i in range(40):
+        k = r.choice(["x", "y"])
+        rows.append((i, " ".join("".join(r.choice("aabc" if k == "x" else "bbcaz") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 6))), k, "s", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    learned = {k: Counter(w for d, t, g, *_ in rows if g == k and zlib.crc32(str(d).encode()) % 4 != 2 for w in t.split()) for k in "xy"}
+    models = {k: brute_fit(learned[k], PIECES, how) for k in "xy"}
+    got = {x.doc_id: x for x in langid.identify(df, how).collect()}
+    for d, t, *_ in rows:
+        logs = {k: sum(math.log(sum(math.prod(brute_piece(m, x) for x in s) for s in segmentations("▁" + w))) for w in t.split()) for k, m in models.items()}
+        best = max(logs, key=logs.get)
+        assert got[d].lang_pred == best and got[d].score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel=1e-6)
+
+
+def test_languages_of_long_words(spark):
+    """Runs of 30 letters teach their language as others do."""
+    r = random.Random(7)
+    letters = {"long": "abcde", "short": "aeiou"}
+    rows = []
+    for i in range(120):
+        k = r.choice(sorted(letters))
+        rows.append((i, " ".join("".join(r.choice(letters[k]) for _ in range(30 if k == "long" else 5)) for _ in range(8)), k, "s", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.lang_pred for x in langid.identify(df).where("held_out").collect()}
+    assert got and all(got[d] == k for d, _, k, *_ in rows if d in got)
+
+
+def test_very_long_word():
     m = langid.Model(langid.LangId(), ["x"], ["a", "b"])
     m.p[:] = 1e-3
-    assert np.isfinite(m._long("▁" + "ab" * 4000)).all()
+    assert m.score_words(["ab" * 4000])[0, 0] == pytest.approx(8001 * math.log(1e-3))
+    m.fit(0, {"ab" * 4000: 2, "a": 1})
+    assert m.p[:2, 0].sum() == pytest.approx(1)
 
 
 def toxic_rows(n=400):
@@ -180,6 +213,48 @@ def test_grammar():
     assert g.states == 2 * 4 * 2
 
 
+def brute_clauses(text, weights):
+    """Scores above 0 of a text's clauses, rule by rule."""
+    import re
+
+    T, out = toxicity, []
+    for clause in re.split(r"[.!?;:,\n]", text.lower()):
+        target = report = False
+        scope = total = 0
+        for word in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause):
+            insult = max((w for s, w in weights.items() if word.startswith(s)), default=0)
+            if insult or word in T.THREAT and word not in T.TARGET + T.NEGATION + T.REPORT:
+                factor = insult * (1.5 if target else 1) if insult else 1.5 * target
+                total += factor * (0.5 if scope else 1) * (0.6 if report else 1)
+                scope = 0
+            elif word in T.NEGATION:
+                scope = 0 if scope else 3
+            else:
+                target, report, scope = target or word in T.TARGET, report or word in T.REPORT, max(scope - 1, 0)
+        if total > 0:
+            out.append(total)
+    return out
+
+
+def test_clauses_against_brute_force():
+    r = random.Random(3)
+    weights = {"idiot": 1.0, "grob": 0.7, "grobel": 1.3}
+    scorer = toxicity.Scorer({}, weights)
+    pool = ["idiot", "Idiots", "grobfang", "grobelzap", "kill", "skill", "you", "not", "said", "river", "isn't", "1idiot", "stone", "İx"]
+    for _ in range(400):
+        text = "".join(r.choice(pool) + r.choice([" "] * 8 + [". ", ", ", "\n", "!"]) for _ in range(r.randint(0, 40)))
+        want = brute_clauses(text, weights)
+        got = scorer.features(text)
+        assert got[:2] == pytest.approx((np.log1p(sum(want)), max(want, default=0.0))), text
+        assert (got[2] > 0) == bool(want)
+
+
+@pytest.mark.parametrize("n", [3, 300, 500, 20_000])
+def test_clause_of_any_length(n):
+    s = toxicity.Scorer({"idiot": 1.0}, {})
+    assert s.features("a. you " + "word " * n + "idiot " + "word " * n + "idiot, fine")[1] == pytest.approx(3.0)
+
+
 def test_entropy(spark, docs, clashing, nothing):
     r = random.Random(4)
     rows, labels = [], []
@@ -200,34 +275,8 @@ def test_entropy(spark, docs, clashing, nothing):
     assert entropy.cross_entropy_difference(nothing, lab).count() == 0 and entropy.cross_entropy_difference(docs, lab.limit(0)).count() == docs.count()
 
 
-def test_entropy_takes_a_text_out(spark):
-    """Its own counts taken out, a text is scored as by models that never saw it."""
-    how = entropy.Entropy(1 << 14, 1 << 16)
-    rows = [(1, "a b c a b d", True), (2, "a b e f g", True), (3, "x y z a b", False)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, own boolean")
-    full = entropy.fit(entropy.counts(df, how), how)
-    got = {x.doc_id: x for x in entropy.scores(df, full, how).collect()}
-    for i in (1, 2, 3):
-        rest = entropy.fit(entropy.counts(df.where(f"doc_id <> {i}"), how), how)
-        alone = df.where(f"doc_id = {i}")
-        import pyarrow as pa
-
-        from kinweave.llm import common as C
-
-        body, off = C.utf8(pa.array([alone.first().text]))
-        row, word, pair = entropy.tokens(body, off, how)
-        zero = (np.zeros(len(word)),) * 3
-        total = [float(m[0].sum()) for m in full]
-        size = len(word)
-        want = [entropy._loss(rest[0], total[0], how, row, word, pair, zero, 0.0).mean(), entropy._loss(rest[1], total[1], how, row, word, pair, zero, 0.0).mean()]
-        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(want) and got[i].n_words == size
-
-
 def test_entropy_counts_real_words_and_bigrams(spark):
-    """As by dictionaries, however small the parameters: no word or bigram shares a count with another."""
-    import math
-    from collections import Counter
-
+    """As by models of the other texts alone, made with dictionaries, however small the parameters: no word or bigram shares a count with another."""
     r = random.Random(9)
     how = entropy.Entropy(16, 8)
     texts = [" ".join(f"w{r.randrange(400)}" for _ in range(r.randint(1, 60))) for _ in range(60)]
@@ -236,7 +285,8 @@ def test_entropy_counts_real_words_and_bigrams(spark):
     size = len({w for t in words for w in t})
     got = {x.doc_id: x for x in entropy.scores(df, entropy.fit(entropy.counts(df, how), how), how).collect()}
 
-    def loss(i, rest, total):
+    def loss(i, rest):
+        total = sum(map(len, rest))
         one, two, first = Counter(), Counter(), Counter()
         for t in rest:
             one.update(t), two.update(zip(t, t[1:])), first.update(t[:-1])  # noqa: B905
@@ -247,7 +297,7 @@ def test_entropy_counts_real_words_and_bigrams(spark):
             out.append(-math.log(0.4 * p + 0.5 * (two[before, w] / first[before] if first[before] else p) + 0.1 / size))
         return sum(out) / len(out)
 
-    n = [sum(len(t) for i, t in enumerate(words) if i % 3 == 0), sum(map(len, words))]
     for i in range(60):
         target, background = [t for j, t in enumerate(words) if j % 3 == 0 and j != i], [t for j, t in enumerate(words) if j != i]
-        assert (got[i].target_loss, got[i].background_loss) == pytest.approx((loss(i, target, n[0]), loss(i, background, n[1])))
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx((loss(i, target), loss(i, background)))
+    assert same(entropy.flagged(df.drop("own"), df.selectExpr("doc_id", "cast(own as int) as quality")), entropy.flagged(df.drop("own"), df.selectExpr("doc_id", "cast(own as int) as quality"), entropy.Entropy(sent_ids=1)))
