@@ -1,15 +1,21 @@
 """Document fingerprints by winnowing, with DataFrame operations only.
 
-A text's words (runs of other than the six ASCII spaces, cut every 32
-characters) give one hash per run of k words. In every window of w successive
-hashes the smallest is chosen, the rightmost of equal ones, and a choice is kept
-once, with its position (the number of the run's first word). Any passage of
-k + w - 1 words that two texts share gives both at least one equal hash; whatever
-is shorter than k words gives none, unless it is a whole text: a text of fewer
-than k words has one hash of all its words, one of fewer than w hashes has one
-window. A choice is one long: 32 bits of hash above the complement of its
-position, so the plain minimum of a window is the smallest hash at its rightmost
-place.
+Every run of k characters (code points) of a text has a polynomial hash modulo a
+prime, the rolling hash: the value at a place follows from the one before by the
+character that leaves and the one that comes. No array function carries a state
+along an array in linear time, so the values are made by doubling: that of 2m
+characters is that of m, times the base to the m, plus that of the next m; each
+step reads every place once, log2(k) steps in all. In every window of w
+successive hashes the smallest is chosen, the rightmost of equal ones (by
+doubling too), and a choice is kept once, with its position (the number of the
+run's first character). Any passage of k + w - 1 characters that two texts share
+gives both at least one equal hash, in any script and at any offset; whatever is
+shorter than k gives none, unless it is a whole text: a text of fewer than k
+characters has one hash of all of it, one of fewer than w hashes has one window.
+A choice is one long: 30 bits of hash above the complement of its position, so
+the plain minimum of a window is the smallest hash at its rightmost place.
+
+Memory: a few arrays of a number for each character of the row at hand.
 
 The likeness of two fingerprints is the Jaccard similarity of their sets of
 hashes, 1 if both are empty.
@@ -17,7 +23,8 @@ hashes, 1 if both are empty.
 The contract's neighbour of a document is the next one by descending doc_id. The
 rows are parted by quantiles of doc_id, and between two quantiles evenly, so
 that parts keep their size as rows grow; each part also gets a copy of the row
-that follows it, so that a part's window needs no other part.
+that follows it, so that a part's window needs no other part. A text is dealt
+once, and hashed once before its neighbour takes over its fingerprint.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint;
 a null doc_id sorts last; rows of equal doc_id are ordered by a hash of their
@@ -36,17 +43,22 @@ from pyspark.sql.window import Window as W
 from kinweave.llm import common as C
 
 POSITION = 31  # bits
-WORD = r"[^\x20\x09-\x0D]{1,32}"
+PRIME = (1 << 30) - 35
+BASE = 452_930_477
 
 
 @dataclass(frozen=True)
 class Winnow:
-    k: int = 5
-    w: int = 4
+    """k and w are powers of two."""
+
+    k: int = 16
+    w: int = 32
     #: The order by doc_id: quantiles (at most), rows between two of them (at least), and rows in a part (about, at most).
     quantiles: int = 1024
     quantile_rows: int = 64
     part_rows: int = 4096
+    #: Parts whose first rows are looked for by a table sent to every task (some 40 bytes a part); more are joined by a shuffle.
+    sent_parts: int = 1 << 18
 
 
 def _let(value: Column, body) -> Column:
@@ -54,21 +66,35 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _doubled(a: Column, size: int, join) -> Column:
+    """join(x, y, m) of each element's run of m and the run behind it, for m = 1, 2, 4 up to size elements."""
+
+    def step(a: Column, m: int) -> Column:
+        if m == size:
+            return a
+        left, right = F.slice(a, 1, F.size(a) - m), F.slice(a, m + 1, F.size(a) - m)
+        return _let(F.zip_with(left, right, lambda x, y: join(x, y, m)), lambda b: step(b, 2 * m))
+
+    return step(a, 1)
+
+
 def choices(text: Column, how: Winnow = Winnow()) -> Column:
     """array<long>: the chosen (hash, position) pairs of a text, in order of position."""
-    k, w = how.k, how.w
+    if any(x < 1 or x & (x - 1) for x in (how.k, how.w)):
+        raise ValueError("k and w must be powers of two")
     last = F.lit((1 << POSITION) - 1).cast("long")
 
-    def grams(h):
-        run = lambda i: F.xxhash64(*[F.get(h, i + F.lit(j)) for j in range(k)])  # noqa: E731  null beyond the end of a short text
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.shiftleft(F.shiftrightunsigned(run(i), 32), POSITION).bitwiseOR(last - i))
+    def grams(codes):
+        return _doubled(codes, how.k, lambda x, y, m: (x * F.lit(pow(BASE, m, PRIME)) + y) % F.lit(PRIME))
+
+    def chosen(h):
+        placed = F.transform(h, lambda x, i: x * F.lit(1 << POSITION) + (last - i))
+        return _let(placed, lambda g: F.when(F.size(g) < how.w, F.array(F.array_min(g))).otherwise(F.array_distinct(_doubled(g, how.w, lambda x, y, m: F.least(x, y)))))
 
-    def chosen(g):
-        least = lambda i: F.least(*[F.get(g, i + F.lit(j)) for j in range(w)])  # noqa: E731  least skips nulls
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(g) - w, F.lit(0))), least))
+    def whole(codes):
+        return F.when(F.size(codes) >= how.k, _let(grams(codes), chosen)).otherwise(F.array(F.pmod(F.xxhash64(text), F.lit(PRIME)) * F.lit(1 << POSITION) + last))
 
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))
-    return _let(words, lambda h: F.when(F.size(h) == 0, F.array().cast("array<long>")).otherwise(_let(grams(h), chosen)))
+    return F.when(text == "", F.array().cast("array<long>")).otherwise(_let(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")), whole))
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -101,12 +127,14 @@ def fingerprints(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), positions(choices(text, how)).alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, order: str, carry: list[str], how: Winnow = Winnow()) -> DataFrame:
-    """rows with next_<c> for each carried column: those of the row after, by descending `order` (a long, no null) and then ascending __kw_tie; after the last comes the first."""
+def with_next(rows: DataFrame, order: str, carry: list[str], made: dict[str, Column], how: Winnow = Winnow()) -> DataFrame:
+    """rows with the made columns, and next_<c> for each carried or made column c: those of the row after, by descending `order` (a long, no null) and then ascending __kw_tie; after the last comes the first."""
     ids = rows.select(order)
     stats = ids.agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     n = stats["n"]
+    carry = [*carry, *made]
     if not n:
+        rows = rows.withColumns(made)
         for c in carry:
             rows = rows.withColumn(f"next_{c}", F.col(c))
         return rows
@@ -126,10 +154,14 @@ def with_next(rows: DataFrame, order: str, carry: list[str], how: Winnow = Winno
     ring = W.orderBy(F.col("__kw_part").desc())
     top = top.withColumn("before", F.coalesce(F.lag("__kw_part").over(ring), F.min("__kw_part").over(W.partitionBy())))
     top = top.select("before", F.col("top")[order].alias("__kw_o"), (-F.col("top")["t"]).alias("__kw_t"))
+    if parts * fine <= how.sent_parts:
+        top = F.broadcast(top)
     heads = rows.join(top, (F.col(order) == F.col("__kw_o")) & (F.col("__kw_tie") == F.col("__kw_t"))).dropDuplicates(["__kw_part"])
     heads = heads.withColumn("__kw_part", F.col("before")).withColumn("__kw_extra", F.lit(1)).select(*rows.columns, "__kw_extra")
     all_rows = rows.withColumn("__kw_extra", F.lit(0)).unionByName(heads)
     window = W.partitionBy("__kw_part").orderBy(F.col("__kw_extra"), *by)
+    # dealt and sorted as the window wants it, and only then hashed: the window adds no second shuffle
+    all_rows = all_rows.repartition("__kw_part").sortWithinPartitions("__kw_part", "__kw_extra", *by).withColumns(made)
     for c in carry:
         all_rows = all_rows.withColumn(f"next_{c}", F.lead(c).over(window))
     return all_rows.where("__kw_extra = 0").drop("__kw_extra", "__kw_part")
@@ -140,11 +172,10 @@ def edited_fingerprints(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("__kw_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("__kw_tie", F.shiftright(F.xxhash64("text"), 1))
-    rows = with_next(rows, "__kw_id", ["text"], how)
+    rows = with_next(rows, "__kw_id", ["text"], {"own": choices(F.col("text"), how)}, how)
     half = F.floor(F.length("text") / 2)
     edited = F.concat(F.substring("text", F.lit(1), (F.length("text") - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int")))
     rows = rows.withColumn("edited", edited)
-    own, other, following = (choices(F.col(c), how) for c in ("text", "edited", "next_text"))
-    out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), own.alias("a"), other.alias("b"), following.alias("c"))
+    out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("own").alias("a"), choices(F.col("edited"), how).alias("b"), F.col("next_own").alias("c"))
     sets = out.withColumns({f"h{x}": hashes(F.col(x)) for x in "abc"})
     return sets.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"), likeness(F.col("ha"), F.col("hb")).alias("near_edited"), likeness(F.col("ha"), F.col("hc")).alias("near_next"))

@@ -1,8 +1,9 @@
 import hashlib
-import re
+import random
 
+import pytest
+import xxhash
 from conftest_llm import same
-from pyspark.sql import functions as F
 
 from kinweave.llm import winnowing as X
 
@@ -34,38 +35,66 @@ def test_edited_texts_and_order(docs, corpus, clashing, nothing):
 
 def test_parts_do_not_change_the_order(docs):
     got = X.edited_fingerprints(docs)
-    for how in (X.Winnow(quantiles=1, part_rows=3), X.Winnow(quantiles=7, quantile_rows=2, part_rows=2), X.Winnow(quantile_rows=1, part_rows=1)):
+    for how in (X.Winnow(quantiles=1, part_rows=3), X.Winnow(quantiles=7, quantile_rows=2, part_rows=2), X.Winnow(quantile_rows=1, part_rows=1), X.Winnow(quantiles=5, quantile_rows=2, sent_parts=0)):
         assert same(got, X.edited_fingerprints(docs, how))
 
 
-def brute(spark, text, how):
-    ws = re.findall(X.WORD, text)
-    if not ws:
-        return []
-    wh = [r[0] for r in spark.createDataFrame([(w,) for w in ws], "w string").coalesce(1).select(F.xxhash64("w")).collect()]
+def brute(text, how=X.Winnow()):
+    """(hash, position) pairs, each hash by the definition of the polynomial."""
     k, w = how.k, how.w
-    runs = [tuple(wh[i : i + k]) + (None,) * (k - len(wh[i : i + k])) for i in range(max(1, len(wh) - k + 1))]
-    h = [r[0] & ((1 << 64) - 1) for r in spark.createDataFrame(runs, ", ".join(f"c{i} long" for i in range(k))).coalesce(1).select(F.xxhash64(*[f"c{i}" for i in range(k)])).collect()]
-    h = [x >> 32 for x in h]
+    if not text:
+        return []
+    if len(text) < k:
+        return [(xxhash.xxh64(text.encode(), seed=42).intdigest() % X.PRIME, 0)] if xxhash.xxh64(text.encode(), seed=42).intdigest() < 1 << 63 else [((xxhash.xxh64(text.encode(), seed=42).intdigest() - (1 << 64)) % X.PRIME, 0)]
+    h = [sum(ord(c) * pow(X.BASE, k - 1 - j, X.PRIME) for j, c in enumerate(text[i : i + k])) % X.PRIME for i in range(len(text) - k + 1)]
     out = []
     for i in range(max(1, len(h) - w + 1)):
         win = h[i : i + w]
         m = min(win)
         at = i + max(j for j, x in enumerate(win) if x == m)
-        if (m, at) not in out:
+        if (m, at) not in out[-1:]:
             out.append((m, at))
     return out
 
 
-def test_fingerprint_against_brute_force(spark, docs, corpus):
-    how = X.Winnow()
+def test_fingerprint_against_brute_force(docs, corpus):
+    how = X.Winnow(k=8, w=4)
     got = {r.doc_id: [(x.hash, x.position) for x in r.fingerprint] for r in X.fingerprints(docs, how).collect()}
-    for i in (6, 8, 32, 33, 34, 35, 36, 37, 38):
-        assert got[i] == brute(spark, corpus[i][1] or "", how), i
+    got_wide = {r.doc_id: [(x.hash, x.position) for x in r.fingerprint] for r in X.fingerprints(docs).collect()}
+    for c in corpus:
+        if c[0] is not None and c[0] > 5:
+            assert got[c[0]] == brute(c[1] or "", how) and got_wide[c[0]] == brute(c[1] or ""), c[0]
+
+
+def test_every_column_against_brute_force(docs, corpus):
+    """Likenesses, both fingerprints and the edited text of every document whose neighbour is certain."""
+    by_id = {r.doc_id: r for r in X.edited_fingerprints(docs).collect()}
+    order = sorted((c for c in corpus if c[0] is not None and c[0] > 5), key=lambda x: -x[0])
+
+    def likeness(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for x, y in zip(order, order[1:], strict=False):
+        t, n, r = x[1] or "", y[1] or "", by_id[x[0]]
+        h = len(t) // 2
+        prints = [brute(z) for z in (t, t[: len(t) - h] + n[:h], n)]
+        assert [r.fingerprint, r.edited_fingerprint] == [" ".join(f"{a:X}:{b:X}" for a, b in p) for p in prints[:2]]
+        assert (r.near_edited, r.near_next) == (likeness(prints[0], prints[1]), likeness(prints[0], prints[2]))
+
+
+@pytest.mark.parametrize("script", ["日本語の文章を書きました仮名交じり", "abcdefghijklmnop0123456789+/ABCDEF"])
+def test_passages_without_spaces_match_at_any_offset(spark, script):
+    r = random.Random(1)
+    text = lambda n: "".join(r.choice(script) for _ in range(n))
+    shared = text(47)
+    df = spark.createDataFrame([(i, text(100 + i) + shared + text(90)) for i in range(20)], "doc_id long, text string")
+    sets = [{x.hash for x in z.fingerprint} for z in X.fingerprints(df).collect()]
+    assert all(a & b for a in sets for b in sets)
 
 
 def test_guarantee(spark):
-    shared = "one two three four five six seven eight"
+    shared = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([(1, "a b c d e f g h i j " + shared + " k l m n"), (2, shared + " z y x w v u t s")], "doc_id long, text string")
     a, b = (set(x.hash for x in r.fingerprint) for r in X.fingerprints(df).collect())
     assert a & b
