@@ -51,6 +51,7 @@ class Mix:
     rounds: int = 24
     rows_per_bucket: int = 512
     cells: int = 1024
+    slots_per_task: int = 1 << 15
 
 
 def _unit(*columns) -> Column:
@@ -152,6 +153,8 @@ def draws(per: DataFrame, mix: Mix = Mix()) -> DataFrame:
     numbered = numbered.unionByName(short.select("shard", F.col("slot").cast("long").alias("slot"), "source", "j"))
     plan = plan.select(F.col("source").alias("ps"), "quota", "n_blocks")
     kept = numbered.join(plan, numbered["source"].eqNullSafe(plan["ps"])).where("j < quota")
+    # few bytes, much to compute: dealt by number of slots, as tasks sized by bytes would be too few
+    kept = kept.repartition(max(1, int(total) // mix.slots_per_task), "source", "j")
     number = F.floor(F.col("j") / F.col("n_blocks"))
     index = F.col("j") % F.col("n_blocks")
     return kept.select("shard", "slot", "source", number.alias("pass"), permuted(index, F.col("n_blocks"), [F.lit(mix.seed), F.col("source"), number], mix.rounds).alias("block"))
