@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -107,6 +107,51 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: s
     return joined.select(*names, (F.col("__kw_base") + F.col("__kw_in")).alias(out))
 
 
+# ---- texts known by their digest -----------------------------------------------
+
+
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a string's UTF-8 bytes, binary."""
+    return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
+
+
+def key_of(digest: Column, bits: int = 64) -> Column:
+    """The first 64 bits of a digest as a long, big-endian, or fewer (for tests of clashes)."""
+    high, low = (F.conv(F.hex(F.substring(digest, i, 4)), 16, 10).cast("long") for i in (1, 5))
+    key = F.shiftleft(high, 32).bitwiseOR(low)
+    return key if bits == 64 else F.shiftrightunsigned(key, 64 - bits)
+
+
+def renumbered(texts: DataFrame) -> DataFrame | None:
+    """digest, key: new keys for those texts (one row each: key, digest) whose key another text has too; None if there are none.
+
+    With them a key stands for one text only, whatever their number. 64 bits
+    clash some n * n / 2 ** 65 times among n texts.
+    """
+    shared = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
+    shared = materialise(texts.join(shared, F.col("key") == F.col("k"), "left_semi").select("digest"), "text-clashes")
+    if shared.isEmpty():
+        forget(shared)
+        return None
+    salt = 0
+    while True:
+        salt += 1
+        new = materialise(shared.select("digest", F.xxhash64("digest", F.lit(salt)).alias("key")), "text-keys")
+        twice = new.groupBy("key").count().where("count > 1")
+        if twice.isEmpty() and new.join(texts.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi").isEmpty():
+            return new
+        forget(new)
+
+
+def rekeyed(rows: DataFrame, new: DataFrame | None, digest: str, key: str) -> DataFrame:
+    """rows with the keys of renumbered()."""
+    if new is None:
+        return rows
+    names = rows.columns
+    new = new.select(F.col("digest").alias("__kw_nd"), F.col("key").alias("__kw_nk"))
+    return rows.join(new, F.col(digest) == F.col("__kw_nd"), "left").withColumn(key, F.coalesce("__kw_nk", key)).select(*names)
+
+
 # ---- numpy views of Arrow text ------------------------------------------------
 
 #: The six characters that part words: [^\x20\x09-\x0D]+ is a word.

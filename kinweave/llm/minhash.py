@@ -21,9 +21,11 @@ buckets. Texts of a bucket that are then still in different classes are paired,
 but only those that can have a link at all. Runs are dealt into bins by hash;
 what two texts share is at most the sum over bins of the smaller of their
 numbers of runs that some other such text has too, and a link needs an overlap
-of threshold / (1 + threshold) of the two sizes together. So no link between classes that share a bucket is lost, while a
-bucket of one class, or of texts too different to link, costs its size. Classes
-are connected components.
+of threshold / (1 + threshold) of the two sizes together. So no link between
+classes that share a bucket is lost, while a bucket of one class, or of texts too
+different to link, costs its size; what is left of a large bucket is dealt to
+cells of two slices each. Classes are connected components. A text is known by
+its whole digest; two that share the 64 bits used as a node get other numbers.
 
 Defined results: a null text is empty; texts without a word are equal to each
 other and like no other; texts under five words have one run of all their words;
@@ -50,6 +52,8 @@ class NearDup:
     bands: int = 24
     rows: int = 6
     seed: int = 2
+    #: Texts of a bucket that are compared with each other in one place; more are dealt to cells, a cell for each two slices.
+    slice_texts: int = 512
 
 
 #: Bins of the overlap bound, two to a slot.
@@ -103,7 +107,7 @@ def banded(sig: np.ndarray, how: NearDup) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """doc_id, digest (of the text), key (64 bits of it), bands (array of longs; null for texts without a word).
+    """doc_id, digest (of the text; texts without a word have that of the empty one), key (64 bits of it), bands (array of longs; null for texts without a word).
 
     bands are those of the weighted set and, where a run is repeated, those of the set, null where they are the same.
     """
@@ -134,7 +138,7 @@ def sketch(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
                 has = np.bincount(row, minlength=n) > 0
                 whole = body.tobytes()
                 digests = [hashlib.sha256(whole[off[j] : off[j + 1]]).digest() if has[j] else hashlib.sha256(b"").digest() for j in range(n)]
-                key = np.frombuffer(b"".join(d[:8] for d in digests), "<i8") if n else np.zeros(0, np.int64)
+                key = np.frombuffer(b"".join(d[:8] for d in digests), ">i8").astype(np.int64) if n else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat.view(np.int64), mask=none))
                 lists = pa.array([x if ok else None for x, ok in zip(lists.to_pylist(), has, strict=True)], pa.list_(pa.int64())) if not has.all() else lists
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, n), pa.array(digests, pa.binary()), pa.array(key), lists], ["doc_id", "digest", "key", "bands"])
@@ -216,9 +220,10 @@ def overlap_bounds(texts: DataFrame, how: NearDup, parts: int | None = None) ->
 
 
 def classes(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """One row per document: doc_id, class_id, key (of its text)."""
+    """One row per document: doc_id, class_id, digest (of its text, as in sketch())."""
     sketched = C.materialise(sketch(docs, how), "near-sketch")
-    copies = sketched.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    copies = C.materialise(sketched.groupBy("key", "digest").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "near-copies")
+    copies = C.rekeyed(copies, C.renumbered(copies.select("key", "digest")), "digest", "key")
     member = copies.where("bands is not null").select("key", F.posexplode("bands").alias("place", "bucket")).where("bucket is not null").select("key", (F.col("place") % how.bands).alias("band"), "bucket")
     sizes = member.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     several = C.materialise(member.join(sizes, ["band", "bucket"]), "near-several")
@@ -228,9 +233,9 @@ def classes(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     shared = C.materialise(several.join(heads, ["band", "bucket"]).select("band", "bucket", "key", "head"), "near-buckets")
     pairs = shared.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
     involved = shared.select(F.col("key").alias("k")).distinct()
-    rows = docs.select(_some_id("doc_id").alias("o"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("t", _key_of("text"))
-    owner = copies.join(involved, F.col("key") == F.col("k"), "left_semi").select(_some_id("first").alias("f"), "key")
-    texts = rows.join(owner, (F.col("o") == F.col("f")) & (F.col("t") == F.col("key"))).dropDuplicates(["o", "t"]).select("key", "text")
+    rows = docs.select(_some_id("doc_id").alias("o"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("t", C.digest_of(F.col("text")))
+    owner = copies.join(involved, F.col("key") == F.col("k"), "left_semi").select(_some_id("first").alias("f"), "digest", "key")
+    texts = rows.join(owner, (F.col("o") == F.col("f")) & (F.col("t") == F.col("digest"))).dropDuplicates(["o", "t"]).select("key", "text")
     texts = C.materialise(texts, "near-texts")
     links = C.materialise(verified(pairs, texts, how), "near-links")
     roots = components(links, "near-star")
@@ -246,22 +251,37 @@ def classes(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     least = able.groupBy("band", "bucket").agg(F.min("size").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "bucket", "least")
     share = how.threshold / (1 + how.threshold)
     able = able.join(least, ["band", "bucket"]).where(F.col("common") >= share * (F.col("size") + F.greatest("least", how.threshold * F.col("size"))) - 1e-9)
-    x = able.select("band", "bucket", F.col("key").alias("a"), F.col("root").alias("ra"), "head", F.col("size").alias("na"), F.col("common").alias("ca"), *[F.col(f"c{i}").alias(f"x{i}") for i in range(BINS)])
-    y = able.select("band", "bucket", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("common").alias("cb"), *[F.col(f"c{i}").alias(f"y{i}") for i in range(BINS)])
+    able = C.materialise(able, "near-able")
+    cells = ["band", "bucket", "lo", "hi"]
+    dealt = _cells(able, how.slice_texts)
+    x = dealt.select(*cells, F.col("slice").alias("sa"), F.col("key").alias("a"), F.col("root").alias("ra"), "head", F.col("size").alias("na"), F.col("common").alias("ca"), *[F.col(f"c{i}").alias(f"x{i}") for i in range(BINS)])
+    y = dealt.select(*cells, F.col("slice").alias("sb"), F.col("key").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("common").alias("cb"), *[F.col(f"c{i}").alias(f"y{i}") for i in range(BINS)])
     need = share * (F.col("na") + F.col("nb")) - 1e-9
     most = F.least("x0", "y0")
     for i in range(1, BINS):
         most = most + F.least(f"x{i}", f"y{i}")
     enough = (F.least("ca", "cb") >= need) & (most >= need)
-    across = x.join(y, ["band", "bucket"]).where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")) & enough).select("a", "b").distinct()
+    across = x.join(y, cells).where(((F.col("lo") == F.col("hi")) | (F.col("sa") != F.col("sb"))) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")) & enough).select("a", "b").distinct()
     more = C.materialise(verified(across, texts, how), "near-links-2")
     if not more.isEmpty():
         roots = components(links.union(more), "near-star")
     root = roots.select(F.col("node").alias("n"), "root")
-    owned = copies.select("key", "first").join(root, F.col("key") == F.col("n"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    owned = copies.select("key", "digest", "first").join(root, F.col("key") == F.col("n"), "left").select("digest", "first", F.coalesce("root", "key").alias("root"))
     smallest = owned.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = C.materialise(owned.select("key", "root").join(smallest, "root").select(F.col("key").alias("k"), "class_id"), "near-classes")
-    return sketched.select("doc_id", "key").join(named, F.col("key") == F.col("k")).select("doc_id", "class_id", "key")
+    named = C.materialise(owned.select("digest", "root").join(smallest, "root").select(F.col("digest").alias("d"), "class_id"), "near-classes")
+    return sketched.select("doc_id", "digest").join(named, F.col("digest") == F.col("d")).select("doc_id", "class_id", "digest")
+
+
+def _cells(able: DataFrame, slice_texts: int) -> DataFrame:
+    """able with slice, lo and hi: a bucket of many texts is cut into slices, and a row goes to the cell of its slice and each other.
+
+    Two texts of one slice meet in the cell (slice, slice), two of different
+    slices in theirs, so no place holds more than two slices.
+    """
+    sizes = able.groupBy("band", "bucket").agg(F.ceil(F.count("*") / slice_texts).alias("slices"))
+    dealt = able.join(sizes, ["band", "bucket"]).withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    return dealt.withColumn("lo", F.least("slice", "other")).withColumn("hi", F.greatest("slice", "other")).drop("slices", "other")
 
 
 def _some_id(column: str):
@@ -269,26 +289,17 @@ def _some_id(column: str):
     return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
-def _key_of(column: str):
-    """The key of a text with a word: the first eight bytes of its digest, little-endian, as a long."""
-    d = F.sha2(F.encode(F.col(column), "UTF-8"), 256)
-    swapped = F.concat(*[F.substring(d, 2 * i + 1, 2) for i in range(7, -1, -1)])
-    high = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
-    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     return classes(docs, how).select("doc_id", "class_id")
 
 
 def drop_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """The rows of docs, all columns, one of each class: its smallest doc_id (one row of it)."""
-    keep = classes(docs, how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(_some_id("class_id").alias("__kw_id")).agg(F.min("key").alias("__kw_key"))
+    keep = classes(docs, how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(_some_id("class_id").alias("__kw_id")).agg(F.min("digest").alias("__kw_digest"))
     keep = C.materialise(keep, "near-kept")
-    empty_key = F.lit(int.from_bytes(bytes.fromhex("e3b0c44298fc1c14"), "little", signed=True))
-    has_word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.withColumn("__kw_k", F.when(has_word, _key_of("text")).otherwise(empty_key)).withColumn("__kw_o", _some_id("doc_id"))
-    kept = rows.join(keep, (F.col("__kw_o") == F.col("__kw_id")) & (F.col("__kw_k") == F.col("__kw_key")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    digest = C.digest_of(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit("")))
+    rows = docs.withColumn("__kw_d", digest).withColumn("__kw_o", _some_id("doc_id"))
+    kept = rows.join(keep, (F.col("__kw_o") == F.col("__kw_id")) & (F.col("__kw_d") == F.col("__kw_digest")))
     # by the columns of the join, so that no row is dealt again
-    return kept.dropDuplicates(["__kw_o", "__kw_k"]).select(*docs.columns)
+    return kept.dropDuplicates(["__kw_o", "__kw_d"]).select(*docs.columns)

@@ -21,10 +21,15 @@ by their first `length` bytes. That is done block by block:
    same number of steps, under three, where their ranks are compared. Each class
    of equal suffixes gets its smallest doc_id; later members are marked.
    Suffixes whose hash no other document's suffix has are left out before.
+   An anchor with more than `hot` strings would fill a block by itself: its
+   windows go one by one to the block of their own hash. Tasks are told of such
+   anchors by a table of at most (bytes of the corpus / hot) numbers.
 3. Marked ranges go back to their texts.
 
-Texts that occur in several documents enter once, as the one of smallest doc_id;
-the other documents are wholly removed if they are long enough.
+Texts that occur in several documents (equal in their whole digest) enter once,
+as the one of smallest doc_id; the other documents are wholly removed if they are
+long enough. Inside, a text goes by 64 bits of its digest, renumbered where two
+texts share them.
 
 Defined results: a null text is empty; a text shorter than `length` keeps all; a
 null doc_id comes after all others; rows of equal doc_id never remove each
@@ -42,7 +47,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import common as C
-from kinweave.llm.minhash import _key_of
 
 LAST = (1 << 63) - 1  # stands for a null doc_id
 COVER, PERIOD = (0, 1), 3
@@ -57,6 +61,9 @@ class Suffixes:
     most_tasks: int = 20_000  # a task takes its blocks one by one
     part: int = 1 << 19  # suffixes of a block handled at a time, about
     bucket: int = 1 << 18  # suffixes sorted at a time
+    hot: int = 1 << 20  # strings of one anchor, about, beyond which its windows are dealt one by one
+    often: int = 16  # of an anchor in one task, from where on the task tells its count
+    key_bits: int = 64  # fewer only in tests
 
 
 def anchors_of(body: np.ndarray, off: np.ndarray, how: Suffixes):
@@ -100,10 +107,10 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
 
 # ---- 1: which anchors are repeated -----------------------------------------------
 
-ANCHORS = "block int, key long, hash binary, place binary, row binary, keys binary"
+ANCHORS = "block int, key long, hash binary, place binary, row binary, keys binary, often binary"
 
 
-def _send(kept, blocks: int):
+def _send(kept, blocks: int, how: Suffixes):
     """Rows for the blocks, and answers known here, from a task's anchors: hash, key number, window."""
     import pyarrow as pa
 
@@ -120,7 +127,9 @@ def _send(kept, blocks: int):
     size = np.diff(np.concatenate((at, [len(h)])))
     low, high = np.minimum.reduceat(row, at), np.maximum.reduceat(row, at)
     several = np.repeat(low != high, size)
-    out = {c: [] for c in ("block", "key", "hash", "place", "row", "keys")}
+    out = {c: [] for c in ("block", "key", "hash", "place", "row", "keys", "often")}
+    many = size >= how.often
+    often, often_size = h[at[many]], size[many]
     sent = ~several
     if several.any():  # answered here; one entry of the smallest and of the largest key number speak for the hash
         r, p = row[several], place[several]
@@ -129,7 +138,7 @@ def _send(kept, blocks: int):
         cut = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
         for a, b in zip(cut, np.concatenate((cut[1:], [len(r)])), strict=True):
             k = int(keys[r[a]])
-            for c, v in zip(out, (k % blocks, k, None, p[a:b].tobytes(), None, None), strict=True):
+            for c, v in zip(out, (k % blocks, k, None, p[a:b].tobytes(), None, None, None), strict=True):
                 out[c].append(v)
         i = np.flatnonzero(several)
         sent[i] = (row[i] == np.repeat(low, size)[i]) | (row[i] == np.repeat(high, size)[i])
@@ -138,12 +147,15 @@ def _send(kept, blocks: int):
     o = np.argsort(block)
     h, row, place, block = h[o], row[o], place[o], block[o]
     cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    often_block = block_of(often, blocks)
     for a, b in zip(cut, np.concatenate((cut[1:], [len(block)])), strict=True):
+        here = often_block == block[a] if len(often) else slice(0)
+        counted = np.stack((often[here].astype(np.uint32), np.minimum(often_size[here], (1 << 32) - 1).astype(np.uint32)), axis=1)
         used, local = np.unique(row[a:b], return_inverse=True)
         small = np.uint16 if len(used) <= 1 << 16 else np.uint32
-        for c, v in zip(out, (int(block[a]), None, h[a:b].astype(np.uint32).tobytes(), place[a:b].tobytes(), local.astype(small).tobytes(), keys[used].astype("<i8").tobytes()), strict=True):
+        for c, v in zip(out, (int(block[a]), None, h[a:b].astype(np.uint32).tobytes(), place[a:b].tobytes(), local.astype(small).tobytes(), keys[used].astype("<i8").tobytes(), counted.tobytes()), strict=True):
             out[c].append(v)
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
     return pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(out, kinds, strict=True)], list(out))
 
 
@@ -160,16 +172,16 @@ def _anchors(rows: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
                     kept.append((h, keys[row], start))
                     held += len(row)
                 if held > 3_000_000:
-                    yield _send(kept, blocks)
+                    yield _send(kept, blocks, how)
                     kept, held = [], 0
         if held:
-            yield _send(kept, blocks)
+            yield _send(kept, blocks, how)
 
     return rows.mapInArrow(run, ANCHORS)
 
 
 def _repeated(sent: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
-    """key, place (windows whose anchor another text has)."""
+    """key, places (windows whose anchor another text has); of key null: hot anchors, block and the hash's low half as one number."""
 
     def run(batches):
         import pyarrow as pa
@@ -182,6 +194,12 @@ def _repeated(sent: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
             if not rows:
                 continue
             h = np.concatenate([np.frombuffer(r["hash"], np.uint32) for r in rows])
+            told = np.concatenate([np.frombuffer(r["often"], np.uint32).reshape(-1, 2) for r in rows])
+            anchors, at = np.unique(np.concatenate((h, told[:, 0])), return_inverse=True)
+            hot = anchors[np.bincount(at, np.concatenate((np.ones(len(h)), told[:, 1]))) >= how.hot]
+            if len(hot):
+                names = (np.int64(rows[0]["block"]) << np.int64(32)) | hot.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([names.tobytes()], pa.binary())], ["key", "place"])
             key = np.concatenate([np.frombuffer(r["keys"], "<i8")[np.frombuffer(r["row"], np.uint16 if len(r["keys"]) <= 8 << 16 else np.uint32)] for r in rows])
             place = np.concatenate([np.frombuffer(r["place"], np.uint32) for r in rows])
             order = np.argsort(h)
@@ -263,8 +281,14 @@ def _pack_strings(parts: list, blocks: int, how: Suffixes):
     return pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(out, kinds, strict=True)], list(out))
 
 
-def _strings(rows: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
-    """rows: key, doc (long), text, places."""
+def _one_by_one(body: np.ndarray, first: np.ndarray, count: np.ndarray, how: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """Every window of strings (first byte, number of windows): its first byte, and a hash of its bytes."""
+    at = C.ragged(first, count)
+    return at, C.segment_hash(body, at, at + how.length)
+
+
+def _strings(rows: DataFrame, blocks: int, how: Suffixes, hot=None) -> DataFrame:
+    """rows: key, doc (long), text, places; hot: a broadcast sorted array of hot anchors."""
 
     def run(batches):
         parts, held = [], 0
@@ -278,6 +302,14 @@ def _strings(rows: DataFrame, blocks: int, how: Suffixes) -> DataFrame:
                 row, start, count, h = row[take], start[take], count[take], h[take]
                 if not len(row):
                     continue
+                if hot is not None:
+                    name = (block_of(h, blocks) << np.int64(32)) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    at = np.minimum(np.searchsorted(hot.value, name), len(hot.value) - 1)
+                    single = hot.value[at] == name
+                    windows, wh = _one_by_one(body, (off[row] + start)[single], count[single], how)
+                    owner = np.repeat(row[single], count[single])
+                    row, start = np.concatenate((row[~single], owner)), np.concatenate((start[~single], windows - off[owner]))
+                    count, h = np.concatenate((count[~single], np.ones(len(wh), np.int64))), np.concatenate((h[~single], wh))
                 parts.append((body, off[row] + start, start, count, block_of(h, blocks), part.column("doc").to_numpy()[row], part.column("key").to_numpy()[row], (h >> np.uint64(8)).astype(np.uint8)))
                 held += len(body) + 60 * len(row)
                 if held > 16 << 20:
@@ -430,15 +462,23 @@ def marked(docs: DataFrame, how: Suffixes = Suffixes()) -> tuple[DataFrame, Data
     C.small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("__kw_text", text)
-    rows = rows.withColumn("__kw_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__kw_key", _key_of("__kw_text"))
-    firsts = C.materialise(rows.groupBy("__kw_key").agg(F.min("__kw_doc").alias("first"), F.max(F.octet_length("__kw_text").cast("long")).alias("size")).withColumnRenamed("__kw_key", "key"), "suffix-texts")
+    rows = rows.withColumn("__kw_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__kw_digest", C.digest_of(F.col("__kw_text")))
+    rows = rows.withColumn("__kw_key", C.key_of(F.col("__kw_digest"), how.key_bits))
+    firsts = rows.groupBy(F.col("__kw_key").alias("key"), F.col("__kw_digest").alias("digest")).agg(F.min("__kw_doc").alias("first"), F.max(F.octet_length("__kw_text").cast("long")).alias("size"))
+    firsts = C.materialise(firsts, "suffix-texts")
+    new = C.renumbered(firsts.select("key", "digest"))
+    firsts, rows = C.rekeyed(firsts, new, "digest", "key"), C.rekeyed(rows, new, "__kw_digest", "__kw_key")
     total = firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks = int(max(total // how.block_bytes, how.least_blocks))
     slim = rows.where(F.octet_length("__kw_text") >= how.length).select(F.col("__kw_key").alias("key"), F.col("__kw_doc").alias("doc"), F.col("__kw_text").alias("text"))
     repeated = C.materialise(_repeated(_anchors(slim.select("key", "text"), blocks, how), blocks, how), "suffix-repeated")
+    named = repeated.where("key is null").select(F.explode("places")).collect()  # a number for each hot anchor
+    hot = None
+    if named:
+        hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.frombuffer(r[0], np.int64) for r in named])))
     sources = repeated.join(firsts.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select("k", "first", "places")
     candidates = slim.join(sources, (F.col("key") == F.col("k")) & (F.col("doc") == F.col("first"))).select("key", "doc", "text", "places")
-    marks = C.materialise(_marks(_strings(candidates, blocks, how), blocks, how), "suffix-marks")
+    marks = C.materialise(_marks(_strings(candidates, blocks, how, hot), blocks, how), "suffix-marks")
     C.forget(repeated)
     texts = firsts.select("key", "first").join(marks.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").select(F.col("key").alias("__kw_k"), F.col("first").alias("__kw_first"), F.col("marks").alias("__kw_marks"))
     return texts, rows

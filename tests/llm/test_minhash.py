@@ -58,6 +58,7 @@ def test_large_family(spark):
         rows.append((i, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, X.near_duplicates(df).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, X.near_duplicates(df, X.NearDup(slice_texts=5)).collect()), key=str) == brute(rows)
 
 
 def test_one_of_each_class_stays(docs, nothing):
@@ -117,8 +118,16 @@ def test_components(spark):
 
 def test_key_matches(spark, corpus):
     df = spark.createDataFrame([(c[1],) for c in corpus if c[1] and words_of(c[1])], "text string")
-    native = sorted(r[0] for r in df.select(X._key_of("text")).collect())
-    assert native == sorted(r.key for r in X.sketch(df.withColumn("doc_id", F.lit(1))).collect())
+    digest = C.digest_of(F.col("text"))
+    native = sorted(map(tuple, df.select(C.key_of(digest), digest).collect()))
+    assert native == sorted((r.key, r.digest) for r in X.sketch(df.withColumn("doc_id", F.lit(1))).collect())
+
+
+def test_clashing_keys(docs, corpus, monkeypatch):
+    """Texts are told apart by their whole digest when their keys are the same."""
+    real = X.sketch
+    monkeypatch.setattr(X, "sketch", lambda d, how: real(d, how).withColumn("key", F.lit(7).cast("long")))
+    assert sorted(map(tuple, X.near_duplicates(docs).collect()), key=str) == brute([c[:2] for c in corpus])
 
 
 def test_frequent_passages_lose_no_link(spark):

@@ -48,6 +48,16 @@ def test_periodic_and_overlapping(spark, seed):
     assert sorted(map(tuple, X.repeats(df, how).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("how", [X.Suffixes(hot=2, least_blocks=3), X.Suffixes(hot=30, often=2, least_blocks=2), X.Suffixes(key_bits=3), X.Suffixes(key_bits=0, hot=5)])
+def test_hot_anchors_and_clashing_keys(docs, corpus, spark, how):
+    """Frequent passages between ever different words; texts whose keys are the same."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(5))
+    more = [(2000 + i, " ".join([word() for _ in range(r.randint(0, 8))] + ["one and the same phrase"] + [word() for _ in range(8)] + ["one and the same phrase"] + ["tail tail tail"] * (i % 4))) for i in range(60)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    assert sorted(map(tuple, X.repeats(df, how).collect()), key=str) == brute([*(c[:2] for c in corpus), *more])
+
+
 def test_bucket_sort_kernel():
     r = np.random.default_rng(4)
     text = np.concatenate((r.integers(97, 99, 3000).astype(np.uint8), np.tile(r.integers(97, 101, 90).astype(np.uint8), 12), np.zeros(8, np.uint8)))
