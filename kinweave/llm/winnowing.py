@@ -97,6 +97,39 @@ def choices(text: Column, how: Winnow = Winnow()) -> Column:
     return F.when(text == "", F.array().cast("array<long>")).otherwise(_let(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")), whole))
 
 
+def _position(choice: Column) -> Column:
+    last = F.lit((1 << POSITION) - 1).cast("long")
+    return last - choice.bitwiseAND(last)
+
+
+def _within(found: Column, size: Column, how: Winnow) -> Column:
+    """The choices that the whole windows of a text's first `size` characters make, out of all of its choices.
+
+    The last such window chose the least of the choices that lie in it, and
+    windows choose in order of position: all up to that one are theirs.
+    """
+    first = size - (how.k + how.w - 1)
+    inside = F.filter(found, lambda x: (_position(x) >= first) & (_position(x) < first + how.w))
+    last = _let(F.array_min(inside), _position)
+    return F.when(first < 0, F.array().cast("array<long>")).otherwise(_let(last, lambda p: F.filter(found, lambda x: _position(x) <= p)))
+
+
+def spliced(a: Column, a_found: Column, a_size: Column, b: Column, b_found: Column, b_size: Column, how: Winnow = Winnow()) -> Column:
+    """choices() of the first a_size characters of a and the first b_size of b, end to end, from those of a and b.
+
+    A window's choice depends on its own characters only, so only the windows
+    across the joint are hashed anew. Where a's part has no whole window the
+    text is, unless b_size exceeds a_size by far, short, and is hashed directly.
+    """
+    reach = how.k + how.w - 2
+    whole = F.concat(F.substring(a, F.lit(1), a_size.cast("int")), F.substring(b, F.lit(1), b_size.cast("int")))
+    start = a_size - reach
+    joint = F.concat(F.substring(a, (start + 1).cast("int"), F.lit(reach)), F.substring(b, F.lit(1), F.least(b_size, F.lit(reach)).cast("int")))
+    across = F.when(b_size < 1, F.array().cast("array<long>")).otherwise(F.transform(choices(joint, how), lambda x: x - start))
+    parts = F.concat(_within(a_found, a_size, how), across, F.transform(_within(b_found, b_size, how), lambda x: x - a_size))
+    return F.when(a_size <= reach, choices(whole, how)).otherwise(F.array_distinct(parts))
+
+
 def hashes(fingerprint: Column) -> Column:
     """The distinct hashes of a fingerprint, without positions."""
     return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, POSITION)))
@@ -174,8 +207,9 @@ def edited_fingerprints(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
     rows = rows.withColumn("__kw_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("__kw_tie", F.shiftright(F.xxhash64("text"), 1))
     rows = with_next(rows, "__kw_id", ["text"], {"own": choices(F.col("text"), how)}, how)
     half = F.floor(F.length("text") / 2)
-    edited = F.concat(F.substring("text", F.lit(1), (F.length("text") - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int")))
-    rows = rows.withColumn("edited", edited)
-    out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("own").alias("a"), choices(F.col("edited"), how).alias("b"), F.col("next_own").alias("c"))
+    rows = rows.withColumns({"first": F.length("text") - half, "second": F.least(half, F.length("next_text").cast("long"))})
+    edited = F.concat(F.substring("text", F.lit(1), F.col("first").cast("int")), F.substring("next_text", F.lit(1), F.col("second").cast("int")))
+    changed = spliced(F.col("text"), F.col("own"), F.col("first"), F.col("next_text"), F.col("next_own"), F.col("second"), how)
+    out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), F.col("own").alias("a"), changed.alias("b"), F.col("next_own").alias("c"))
     sets = out.withColumns({f"h{x}": hashes(F.col(x)) for x in "abc"})
     return sets.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("b")).alias("edited_fingerprint"), likeness(F.col("ha"), F.col("hb")).alias("near_edited"), likeness(F.col("ha"), F.col("hc")).alias("near_next"))

@@ -4,6 +4,7 @@ import random
 import pytest
 import xxhash
 from conftest_llm import same
+from pyspark.sql import functions as F
 
 from kinweave.llm import winnowing as X
 
@@ -98,3 +99,19 @@ def test_guarantee(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h i j " + shared + " k l m n"), (2, shared + " z y x w v u t s")], "doc_id long, text string")
     a, b = (set(x.hash for x in r.fingerprint) for r in X.fingerprints(df).collect())
     assert a & b
+
+
+def test_spliced_is_the_fingerprint_of_the_whole(spark):
+    r = random.Random(4)
+    how = X.Winnow(k=4, w=4)
+    rows = []
+    for i in range(300):
+        a, b = ("".join(r.choice("ab" if i % 2 else "abcdefgé日") for _ in range(r.randrange(40))) for _ in range(2))
+        rows.append((i, a, b, r.randint(0, len(a)), r.randint(0, len(b))))
+    df = spark.createDataFrame(rows, "i long, a string, b string, m long, n long")
+    for c in ("a", "b"):
+        df = df.withColumn(f"found_{c}", X.choices(F.col(c), how))
+    got = df.select("i", X.positions(X.spliced(F.col("a"), F.col("found_a"), F.col("m"), F.col("b"), F.col("found_b"), F.col("n"), how)).alias("f")).collect()
+    want = {i: brute(a[:m] + b[:n], how) for i, a, b, m, n in rows}
+    for x in got:
+        assert [(c.hash, c.position) for c in x.f] == want[x.i], rows[x.i]
