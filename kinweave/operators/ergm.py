@@ -11,11 +11,12 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from kinweave.operators.graph_build import vertices
-from kinweave.operators.graph_local import both_ways, degree, density
-from kinweave.operators.relational import z_scores
+from kinweave.operators.graph_local import both_ways, degree, density, two_steps
+from kinweave.operators.graph_traverse import Csr, held
+from kinweave.operators.relational import numbered, z_scores
+from kinweave.validate import cut
 
 # Decays of the geometrically weighted terms.
 GWESP, GWDEGREE, GWDSP = 0.5, 0.8, 0.5
@@ -32,8 +33,7 @@ def density_model(edges: DataFrame) -> DataFrame:
 def sampled_dyads(edges: DataFrame, per_edge: float = 5.0, seed: int = 1) -> DataFrame:
     """u, v, edge (1 or 0), weight: every edge, and distinct random non-edges, about per_edge for each edge, weighted to stand for all."""
     spark = edges.sparkSession
-    order = W.orderBy("node")
-    v = vertices(edges).withColumn("i", F.row_number().over(order) - 1)
+    v = cut(numbered(vertices(edges), "node", "i"))
     n, m = v.count(), edges.count()
     all_pairs = n * (n - 1) // 2
     draws = int(max(per_edge * m, 64)) if all_pairs > m else 0
@@ -50,11 +50,13 @@ def sampled_dyads(edges: DataFrame, per_edge: float = 5.0, seed: int = 1) -> Dat
 def change_statistics(dyads: DataFrame, edges: DataFrame) -> DataFrame:
     """dyads with shared partners and the change statistics of gwesp, gwdegree and gwdsp for adding the pair (an edge is first taken away).
 
-    gwdegree uses the ends' degrees without the pair. gwesp and gwdsp use the
-    number of shared partners: the pair's own edgewise term plus, for each
-    shared partner, the rise of the two side edges' terms, whose partner counts
-    are taken without this pair.
+    gwdegree uses the ends' degrees without the pair. gwesp is the pair's own
+    edgewise term plus, for each shared partner, the rise of the two side edges'
+    terms, whose partner counts are taken without this pair. gwdsp: the new link
+    makes each end a partner of the other end and its neighbours, see
+    dyadwise_rise().
     """
+    edges = cut(edges)
     a = both_ways(edges)
     d = dyads.select("u", "v", "edge")
     mid = d.join(a.select(F.col("src").alias("u"), F.col("dst").alias("w")), "u").join(a.select(F.col("src").alias("v"), F.col("dst").alias("w")), ["v", "w"])
@@ -70,16 +72,59 @@ def change_statistics(dyads: DataFrame, edges: DataFrame) -> DataFrame:
     deg = degree(edges).select("node", "degree")
     out = dyads.join(per, ["u", "v"], "left").fillna(0, ["shared"]).fillna(0.0, ["sides"])
     out = out.join(deg.select(F.col("node").alias("u"), F.col("degree").alias("du")), "u").join(deg.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v")
-    qd, qs = 1 - math.exp(-GWDEGREE), 1 - math.exp(-GWDSP)
+    qd = 1 - math.exp(-GWDEGREE)
+    out = out.join(dyadwise_rise(dyads, edges, 1 - math.exp(-GWDSP)), ["u", "v"], "left").fillna(0.0, ["gwdsp"])
     return out.select(
         *dyads.columns,
         "shared",
         (math.exp(GWESP) * (1 - F.pow(F.lit(q), F.col("shared"))) + F.col("sides")).alias("gwesp"),
         (F.pow(F.lit(qd), F.col("du") - F.col("edge")) + F.pow(F.lit(qd), F.col("dv") - F.col("edge"))).alias("gwdegree"),
-        (F.pow(F.lit(qs), F.col("shared"))).alias("gwdsp"),
+        "gwdsp",
     )
 
 
+def dyadwise_rise(dyads: DataFrame, edges: DataFrame, q: float) -> DataFrame:
+    """u, v, gwdsp: the sum of q ** (shared partners of w and v, without the pair itself) over the other neighbours w of u, and the same with the ends exchanged.
+
+    Linking u and v gives w and v one more partner, u, and a dyad's term rises by
+    q ** partners. Tasks hold the graph where it is small enough; else the
+    partners come from a join.
+    """
+    one = F.struct("u", "v", "edge", F.col("u").alias("x"), F.col("v").alias("y"))
+    both = dyads.select("u", "v", "edge").select(F.inline(F.array(one, F.struct("u", "v", "edge", F.col("v").alias("x"), F.col("u").alias("y")))))
+    g, kind = held(edges), dict(edges.dtypes)["u"]
+    if g is None:
+        a = cut(both_ways(edges))
+        partners = two_steps(a).groupBy(F.col("src").alias("w"), F.col("dst").alias("y")).agg(F.count("*").alias("n"))
+        j = both.join(a.select(F.col("src").alias("x"), F.col("dst").alias("w")), "x").where("w <> y").join(partners, ["w", "y"], "left")
+        return j.groupBy("u", "v").agg(F.sum(F.pow(F.lit(q), F.coalesce("n", F.lit(0)) - F.col("edge"))).alias("gwdsp"))
+    shared = edges.sparkSession.sparkContext.broadcast((g.nodes, g.to, g.at))
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        nodes, to, at = shared.value
+        c = Csr.__new__(Csr)
+        c.nodes, c.to, c.at = nodes, to, at
+        names = np.array(nodes)
+        for pdf in batches:
+            out = np.zeros(len(pdf))
+            x, y = (np.searchsorted(names, pdf[k].to_numpy()) for k in "xy")
+            edge = pdf["edge"].to_numpy()
+            order = np.argsort(y, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(y[order])) + 1) if len(order) else []:
+                end = y[rows[0]]
+                partners = np.bincount(c.neighbours(c.neighbours(np.array([end]))[1])[1], minlength=len(names))
+                i, w = c.neighbours(x[rows])
+                i, w = i[w != end], w[w != end]
+                out[rows] = np.bincount(i, q ** (partners[w] - edge[rows][i]), len(rows))
+            yield pd.DataFrame({"u": pdf["u"], "v": pdf["v"], "s": out})
+
+    parts = both.repartition(edges.sparkSession.sparkContext.defaultParallelism, "y").sortWithinPartitions("y").mapInPandas(run, f"u {kind}, v {kind}, s double")
+    return parts.groupBy("u", "v").agg(F.sum("s").alias("gwdsp"))
+
+
 def covariates(dyads: DataFrame, nodes: DataFrame, key: str, match: list[str] = (), add: list[str] = (), difference: list[str] = ()) -> DataFrame:
     """match_<c> (equal values), sum_<c> and absdiff_<c> of the ends' attributes; unknown text matches 'unknown'."""
     text = {c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown")).alias(c) for c in match}

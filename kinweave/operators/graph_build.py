@@ -3,7 +3,8 @@
 Edges are (u, v, weight), u < v. A work with n participants gives n(n-1)/2
 pairs; that product is what the graph is, so works are joined with themselves on
 their key and pairs are counted with partial aggregation. Participants are made
-distinct before the join.
+distinct before the join; those of a popular work are dealt to blocks, so that
+no task makes all its pairs.
 """
 
 from __future__ import annotations
@@ -13,14 +14,27 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
 
+#: Participants of a work that one task pairs with all others of it.
+BLOCK = 1024
+
+
+def _pairs(m: DataFrame, keys: list[str]) -> DataFrame:
+    """m (keys, n and more) joined with itself: u < v, once a pair and key, with the further columns of u's row.
+
+    A key's rows are dealt to blocks of u; every row is copied to each block as v.
+    """
+    large = m.groupBy(*keys).agg(F.count("*").alias("__c")).where(F.col("__c") > BLOCK).select(*keys, F.ceil(F.col("__c") / BLOCK).alias("__blocks"))
+    dealt = m.join(large, keys, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1).cast("long")))
+    a = dealt.withColumn("__block", F.pmod(F.xxhash64("n"), "__blocks")).drop("__blocks").withColumnRenamed("n", "u")
+    b = dealt.select(*keys, F.col("n").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__block"))
+    return a.join(b, [*keys, "__block"]).where("u < v").drop("__block")
+
 
 def pair_counts(members: DataFrame, key: str | list[str], node: str, weight: Column | None = None) -> DataFrame:
     """members: one row per (key, node). Edges weighted by the number of keys shared, or the sum of a column of the left row."""
     keys = [key] if isinstance(key, str) else key
     m = members.select(*keys, F.col(node).alias("n"), *([weight.alias("w")] if weight is not None else [])).where("n is not null").dropDuplicates([*keys, "n"])
-    a = m.withColumnRenamed("n", "u")
-    b = m.select(*keys, F.col("n").alias("v"))
-    pairs = a.join(b, keys).where("u < v")
+    pairs = _pairs(m, keys)
     return pairs.groupBy("u", "v").agg((F.count("*") if weight is None else F.sum("w")).alias("weight"))
 
 
@@ -47,8 +61,7 @@ def pair_examples(members: DataFrame, key: str | list[str], node: str, title: st
     """u, v, weight and the sorted distinct titles of the shared works, joined by '; '."""
     keys = [key] if isinstance(key, str) else key
     m = members.select(*keys, F.col(node).alias("n"), F.col(title).alias("t")).dropDuplicates([*keys, "n"])
-    b = m.select(*keys, F.col("n").alias("v"))
-    pairs = m.withColumnRenamed("n", "u").join(b, keys).where("u < v")
+    pairs = _pairs(m, keys)
     return pairs.groupBy("u", "v").agg(F.count("*").alias("weight"), F.concat_ws("; ", F.array_sort(F.collect_set("t"))).alias("examples"))
 
 
@@ -86,6 +99,44 @@ def vertices(edges: DataFrame, nodes: DataFrame | None = None, node: str = "node
     return (ends if nodes is None else ends.union(nodes.select(F.col(node).alias("node")))).distinct()
 
 
+def draw_order(node: str, seed: int = 0) -> Column:
+    """A fixed pseudorandom order: MD5 of seed:id, so that any engine can draw the same."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(node).cast("string")))
+
+
 def sample_nodes(nodes: DataFrame, node: str, k: int, seed: int = 0) -> DataFrame:
     """k nodes, the same at every run: the smallest by a hash of id and seed. The sampling is the feature."""
-    return nodes.orderBy(F.xxhash64(F.col(node), F.lit(seed)), node).limit(k)
+    return nodes.orderBy(draw_order(node, seed), node).limit(k)
+
+
+def sampled_subgraph(edges: DataFrame, k: int, least_edges: int = 1, attempts: int = 10, seed: int = 0) -> DataFrame:
+    """Edges among k sampled vertices. Draws with too few edges are repeated with the next seed, up to `attempts` of them; then least_edges sampled edges stand in."""
+    nodes = vertices(edges)
+    for i in range(attempts):
+        got = within(edges, sample_nodes(nodes, "node", k, seed + i), "node")
+        if got.limit(least_edges).count() >= least_edges:
+            return got
+    pair = F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string"))))
+    return edges.orderBy(pair, "u", "v").limit(least_edges)
+
+
+def adjacency(edges: DataFrame, nodes: DataFrame, node: str, value: str) -> DataFrame:
+    """row, column, value of the full symmetric matrix over the given nodes, 0 where there is no edge or no value. Its size is the nodes' square: for samples."""
+    n = nodes.select(F.col(node).alias("__n")).distinct()
+    e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col(value).cast("double").alias("__w"))
+    cells = n.select(F.col("__n").alias("row")).join(n.select(F.col("__n").alias("column")), F.lit(True))
+    j = cells.join(e, (F.least("row", "column") == F.col("u")) & (F.greatest("row", "column") == F.col("v")), "left")
+    return j.select("row", "column", F.coalesce("__w", F.lit(0.0)).alias("value"))
+
+
+def distinct_authors(records: DataFrame) -> DataFrame:
+    """recording_id, mbid, relation, name: authors once per id and relation, the smallest name of several; without an id by name."""
+    one = records.select("recording_id", F.explode("authors").alias("a")).select("recording_id", F.nullif(S.strip("a.mbid"), F.lit("")).alias("mbid"), F.lower("a.relation").alias("relation"), F.col("a.name").alias("name"))
+    key = F.coalesce("mbid", "name").alias("__k")
+    return one.groupBy("recording_id", key, "relation").agg(F.min("mbid").alias("mbid"), F.min("name").alias("name")).select("recording_id", "mbid", "relation", "name")
+
+
+def author_names(records: DataFrame) -> DataFrame:
+    """mbid, name: the last name of each author, by recording."""
+    one = records.select("recording_id", F.explode("authors").alias("a")).where("a.mbid is not null")
+    return one.groupBy(F.col("a.mbid").alias("mbid")).agg(F.max_by("a.name", F.struct("recording_id", "a.name")).alias("name"))

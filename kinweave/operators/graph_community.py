@@ -1,73 +1,76 @@
 """Communities by deterministic modularity optimisation.
 
 Local moving is sequential by nature, so it runs on one machine and on a graph
-of checked size (`HELD_EDGES`); beyond that, `label_communities` gives
-communities by distributed label propagation, which is another algorithm and is
-named so.
+of checked size (`HELD_EDGES`), and raises an error beyond it: nothing is put in
+its place. `label_communities` is another algorithm, by distributed label
+propagation, for those who ask for it.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.graph_local import both_ways
 from kinweave.operators.graph_build import vertices
-from kinweave.validate import cut
+from kinweave.validate import cut, forget
 
-HELD_EDGES = 1_000_000
+HELD_EDGES = 10_000_000
 
 
-def _move(links: list[dict], m2: float) -> list[int]:
-    """One level: vertices in order move to the neighbouring community of greatest gain until none gains; ties to the smaller label."""
-    n = len(links)
-    degree = [sum(w.values()) + w.get(i, 0.0) for i, w in enumerate(links)]  # a loop counts twice
-    label, total = list(range(n)), degree[:]
+def _move(at: np.ndarray, to: np.ndarray, weight: np.ndarray, degree: np.ndarray, m2: float) -> np.ndarray:
+    """One level: vertices in order move to the neighbouring community of greatest gain until none gains; ties to the smaller label. Only vertices whose neighbourhood changed are looked at again."""
+    n = len(at) - 1
+    starts, ends, near, w, deg = at[:-1].tolist(), at[1:].tolist(), to.tolist(), weight.tolist(), degree.tolist()
+    label, total = list(range(n)), degree.tolist()
+    again = [True] * n
     moved = True
     while moved:
         moved = False
         for i in range(n):
-            own = label[i]
-            to: dict[int, float] = defaultdict(float)
-            for j, w in links[i].items():
+            if not again[i]:
+                continue
+            again[i] = False
+            own, k = label[i], deg[i] / m2
+            links: dict[int, float] = {own: 0.0}
+            for p in range(starts[i], ends[i]):
+                j = near[p]
                 if j != i:
-                    to[label[j]] += w
-            total[own] -= degree[i]
-            gain = lambda c: to.get(c, 0.0) - total[c] * degree[i] / m2  # noqa: B023, E731
-            best, value = own, gain(own)
-            for c in sorted(to):
-                g = gain(c)
-                if g > value + 1e-12:
-                    best, value = c, g
-            total[best] += degree[i]
+                    c = label[j]
+                    links[c] = links.get(c, 0.0) + w[p]
+            total[own] -= deg[i]
+            best, value = own, links[own] - total[own] * k
+            for c, x in links.items():
+                g = x - total[c] * k
+                if g > value + 1e-12 or g > value - 1e-12 and c < best and best != own:
+                    best, value = c, max(g, value)
+            total[best] += deg[i]
             if best != own:
                 label[i], moved = best, True
-    return label
+                for p in range(starts[i], ends[i]):
+                    if label[near[p]] != best:
+                        again[near[p]] = True
+    return np.array(label)
 
 
-def louvain_labels(edges: list[tuple[int, int, float]], n: int) -> list[int]:
-    """Communities 0..k-1 of vertices 0..n-1, levels until nothing merges."""
-    links: list[dict] = [defaultdict(float) for _ in range(n)]
-    for u, v, w in edges:
-        links[u][v] += w
-        links[v][u] += w
-    m2 = 2 * sum(w for _, _, w in edges)
-    place = list(range(n))
+def louvain_labels(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Communities 0..k-1 of vertices 0..n-1, levels until nothing merges. Edges once each; a loop counts twice in its vertex's degree."""
+    place, m2 = np.arange(n), 2 * float(w.sum())
     while m2:
-        label = _move(links, m2)
-        names = {c: i for i, c in enumerate(sorted(set(label)))}
-        if len(names) == len(links):
+        loop = u == v
+        src, dst, x = np.concatenate((u, v[~loop])), np.concatenate((v, u[~loop])), np.concatenate((w, w[~loop]))
+        order = np.lexsort((dst, src))
+        at = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=n))))
+        degree = np.bincount(src, x, n) + np.bincount(u[loop], w[loop], n)
+        label = _move(at, dst[order], x[order], degree, m2)
+        names, label = np.unique(label, return_inverse=True)
+        place = label[place]
+        if len(names) == n:
             break
-        merged: list[dict] = [defaultdict(float) for _ in names]
-        for i, w in enumerate(links):
-            for j, x in w.items():
-                a, b = names[label[i]], names[label[j]]
-                # an inner link is met from both ends, a loop once
-                merged[a][b] += x if a != b or i == j else x / 2
-        place = [names[label[p]] for p in place]
-        links = merged
+        a, b = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        key, inverse = np.unique(a * np.int64(len(names)) + b, return_inverse=True)
+        u, v, w, n = key // len(names), key % len(names), np.bincount(inverse, w), len(names)
     return place
 
 
@@ -77,12 +80,14 @@ def louvain(edges: DataFrame) -> DataFrame:
     w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     e = cut(edges.select("u", "v", w.alias("w")))
     if e.count() > HELD_EDGES:
-        raise ValueError(f"over {HELD_EDGES} edges: use label_communities")
-    rows = e.orderBy("u", "v").collect()  # HELD_EDGES rows at most
-    names = sorted({r["u"] for r in rows} | {r["v"] for r in rows})
-    at = {x: i for i, x in enumerate(names)}
-    label = louvain_labels([(at[r["u"]], at[r["v"]], r["w"]) for r in rows], len(names))
-    return edges.sparkSession.createDataFrame(list(zip(names, label, strict=True)), f"node {kind}, community long")
+        raise ValueError(f"Louvain needs the graph in one machine's memory: over {HELD_EDGES} edges")
+    rows = e.toPandas().sort_values(["u", "v"])  # HELD_EDGES rows at most
+    names, at = np.unique(np.concatenate((rows["u"].to_numpy(), rows["v"].to_numpy())), return_inverse=True)
+    label = louvain_labels(at[: len(rows)], at[len(rows) :], rows["w"].to_numpy(), len(names))
+    forget(e)
+    import pandas as pd
+
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": names, "community": label}), f"node {kind}, community long")
 
 
 def label_communities(edges: DataFrame, steps: int = 10) -> DataFrame:

@@ -7,23 +7,34 @@ from pyspark.sql import functions as F
 
 from kinweave.operators.graph_build import vertices
 from kinweave.operators.graph_local import both_ways
-from kinweave.validate import cut
+from kinweave.validate import cut, forget
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node), component_size. Smallest-label steps with a shortcut through the label's label."""
-    a = cut(both_ways(edges))
-    label = a.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
-    label = cut(label)
+    """node, component (its smallest node), component_size.
+
+    Alternates large-star and small-star steps: a node's greater neighbours, and
+    then its smaller ones, are linked to the smallest of all, until the links
+    are stars around the smallest nodes. Both are an aggregation to one row a
+    node that is joined back; the links shrink to one for each node.
+    """
+    links = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+    whole, print_ = vertices(edges), None
     while True:
-        step = a.join(label.select(F.col("node").alias("dst"), F.col("component").alias("l")), "dst").groupBy("src").agg(F.min("l").alias("m"))
-        new = label.join(step, F.col("node") == F.col("src")).select("node", F.least("component", "m").alias("component"))
-        jump = new.select(F.col("node").alias("k"), F.col("component").alias("kc"))
-        new = cut(new.join(jump, F.col("component") == F.col("k"), "left").select("node", F.least("component", F.coalesce("kc", "component")).alias("component")))
-        changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        label = new
-        if not changed:
+        both = links.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+        small = large.join(least, F.col("a") == F.col("n")).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("n").alias("a"), F.col("m").alias("b")))))
+        small = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        hashes = [F.sum(F.xxhash64("a", "b", F.lit(i)).cast("decimal(38,0)")) for i in range(2)]
+        now = tuple(small.agg(F.count("*"), *hashes).first())
+        forget(links)
+        links = small
+        if now == print_:
             break
+        print_ = now
+    label = whole.join(links, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component"))
     size = label.groupBy("component").agg(F.count("*").alias("component_size"))
     return label.join(size, "component").select("node", "component", "component_size")
 
@@ -41,7 +52,7 @@ def eigenvector(edges: DataFrame, max_iter: int = 200, tolerance: float = 1e-6,
     Raises ValueError if max_iter steps don't suffice.
     """
     a = cut(both_ways(edges))
-    x = cut(vertices(edges).withColumn("x", F.lit(1.0)))
+    x = held = cut(vertices(edges).withColumn("x", F.lit(1.0)))
     n = x.count()
     for i in range(fixed or max_iter):
         y = a.join(x.select(F.col("node").alias("dst"), F.col("x").alias("xd")), "dst").groupBy("src").agg(F.sum("xd").alias("s"))
@@ -50,6 +61,8 @@ def eigenvector(edges: DataFrame, max_iter: int = 200, tolerance: float = 1e-6,
         length = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
         before = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] if i == 0 else 1.0
         gap = y.agg(F.sum(F.abs(F.col("x") / length - F.col("old") / before))).first()[0] or 0.0
+        forget(held)
+        held = y
         x = y.select("node", (F.col("x") / length).alias("x"))
         if fixed is None and gap < n * tolerance:
             break
@@ -66,32 +79,38 @@ def pagerank(edges: DataFrame, damping: float = 0.85, steps: int = 20) -> DataFr
     a = cut(a.join(deg, "src"))
     x = cut(vertices(edges))
     n = x.count()
-    x = x.withColumn("x", F.lit(1.0 / max(n, 1)))
+    x, held = x.withColumn("x", F.lit(1.0 / max(n, 1))), None
     for _ in range(steps):
         y = a.join(x.select(F.col("node").alias("src"), "x"), "src").groupBy("dst").agg(F.sum(F.col("x") / F.col("k")).alias("s"))
         x = cut(y.select(F.col("dst").alias("node"), (F.lit((1 - damping) / max(n, 1)) + damping * F.col("s")).alias("x")))
+        if held is not None:
+            forget(held)
+        held = x
     return x.withColumnRenamed("x", "pagerank")
 
 
 def core_number(edges: DataFrame) -> DataFrame:
     """node, kcore: the fixpoint of the h-index of the neighbours' values, begun at the degrees.
 
-    The h-index is taken by ranking a vertex's neighbour values; a vertex's
-    neighbours are one window partition.
+    Neighbours of equal value are counted first, so that a hub is as many rows
+    as its neighbours have values.
     """
     from pyspark.sql.window import Window as W
 
     a = cut(both_ways(edges))
     x = cut(a.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("x")))
     while True:
-        j = a.join(x.select(F.col("node").alias("dst"), F.col("x").alias("xd")), "dst")
-        rank = F.row_number().over(W.partitionBy("src").orderBy(F.col("xd").desc()))
-        h = j.withColumn("r", rank).groupBy("src").agg(F.max(F.least("r", "xd")).alias("h"))
+        n = a.join(x.select(F.col("node").alias("dst"), F.col("x").alias("xd")), "dst").groupBy("src", "xd").agg(F.count("*").alias("n"))
+        above = F.sum("n").over(W.partitionBy("src").orderBy(F.col("xd").desc()))
+        h = n.withColumn("r", above).groupBy("src").agg(F.max(F.least("r", "xd")).alias("h"))
         y = cut(x.join(h, F.col("node") == F.col("src")).select("node", F.col("x").alias("old"), F.least("x", "h").alias("x")))
         done = y.where("x <> old").limit(1).count() == 0
-        x = y.select("node", "x")
+        forget(x)
         if done:
-            return x.withColumnRenamed("x", "kcore")
+            forget(a)
+            return y.select("node", F.col("x").alias("kcore"))
+        x = cut(y.select("node", "x"))
+        forget(y)
 
 
 def distance_to(edges: DataFrame, hubs: DataFrame) -> DataFrame:

@@ -15,7 +15,22 @@ from kinweave.operators.graph_build import vertices
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
+    """src, dst: each edge from both ends, by one scan."""
+    one = F.struct(F.col("u").alias("src"), F.col("v").alias("dst"))
+    return edges.select(F.inline(F.array(one, F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))))
+
+
+def two_steps(a: DataFrame, block: int = 1024) -> DataFrame:
+    """src, dst of every path of two links in a (src, dst, both ways), src <> dst.
+
+    A vertex of n links has n * n such paths. Its incoming links are dealt to
+    blocks and its outgoing ones copied to each, so that no task gets more than
+    block * n of them.
+    """
+    blocks = a.groupBy(F.col("src").alias("mid")).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    into = a.select("src", F.col("dst").alias("mid")).join(blocks, "mid").select("src", "mid", F.pmod(F.xxhash64("src"), "blocks").alias("block"))
+    out = a.select(F.col("src").alias("mid"), "dst").join(blocks, "mid").select("mid", "dst", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return into.join(out, ["mid", "block"]).where("src <> dst").select("src", "dst")
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -91,7 +106,7 @@ def density(edges: DataFrame) -> DataFrame:
 def open_dyads(edges: DataFrame) -> DataFrame:
     """node, open_dyads: vertices within two steps that are no neighbours."""
     a = both_ways(edges)
-    two = a.select("src", F.col("dst").alias("mid")).join(a.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst").select("src", "dst").distinct()
+    two = two_steps(a).distinct()
     far = two.join(a, ["src", "dst"], "left_anti").groupBy("src").agg(F.count("*").alias("open_dyads"))
     return a.select("src").distinct().join(far, "src", "left").select(F.col("src").alias("node"), F.coalesce("open_dyads", F.lit(0)).alias("open_dyads"))
 

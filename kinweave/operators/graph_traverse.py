@@ -1,8 +1,8 @@
 """Traversals from many sources: breadth-first search and Brandes' accumulation.
 
 The adjacency goes to every task as a compressed row array, so its size is
-checked first: up to `held_edges` edges (two ints each) are broadcast, and tasks
-work through blocks of sources. Beyond that, distances come from frontier joins
+checked first: up to HELD_EDGES edges (two ints each), whose vertices' names take
+up to HELD_BYTES, are broadcast, and tasks work through blocks of sources. Beyond that, distances come from frontier joins
 (`distances_by_joins`), which need no task to hold the graph.
 """
 
@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinweave.operators.graph_build import vertices
+from kinweave.operators.graph_build import draw_order, vertices
 from kinweave.operators.graph_local import both_ways
-from kinweave.validate import cut
+from kinweave.validate import cut, forget
 
 HELD_EDGES = 20_000_000
+HELD_BYTES = 1 << 30
 
 
 class Csr:
@@ -70,9 +71,11 @@ class Csr:
 def held(edges: DataFrame) -> Csr | None:
     """The graph for tasks to hold, or None if it is too large for that."""
     edges = cut(edges.select("u", "v"))
-    if edges.count() > HELD_EDGES:
+    size = edges.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("u").cast("string")) + F.octet_length(F.col("v").cast("string"))), F.lit(0))).first()
+    if size[0] > HELD_EDGES or size[1] > HELD_BYTES:
         return None
-    got = edges.toPandas()  # HELD_EDGES rows at most
+    got = edges.toPandas()  # HELD_EDGES rows and HELD_BYTES of names at most
+    forget(edges)
     nodes = np.unique(np.concatenate((got["u"].to_numpy(), got["v"].to_numpy()))) if len(got) else np.array([])
     return Csr(list(nodes), np.searchsorted(nodes, got["u"].to_numpy()), np.searchsorted(nodes, got["v"].to_numpy()))
 
@@ -80,7 +83,7 @@ def held(edges: DataFrame) -> Csr | None:
 def sources(edges: DataFrame, k: int | None, seed: int = 0) -> DataFrame:
     """k vertices by a hash of id and seed, all if there are no more than k."""
     v = vertices(edges)
-    return v if k is None else v.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k)
+    return v if k is None else v.orderBy(draw_order("node", seed), "node").limit(k)
 
 
 def distances(edges: DataFrame, from_nodes: DataFrame) -> DataFrame:
@@ -123,15 +126,51 @@ def distances_by_joins(edges: DataFrame, from_nodes: DataFrame) -> DataFrame:
         before, front, seen = front, new, seen.union(new)
 
 
+def _reach(edges: DataFrame, from_nodes: DataFrame, own: bool) -> DataFrame:
+    """node, r, d: how many sources a node reaches and the sum of their distances; own: a source's own figures over all that it reaches.
+
+    Both are summed inside the task: own is one row a source, the other one row
+    a task and vertex.
+    """
+    g, kind = held(edges), dict(edges.dtypes)["u"]
+    if g is None:
+        d = distances_by_joins(edges, from_nodes)
+        return d.groupBy(F.col("source" if own else "node").alias("node")).agg(F.count("*").alias("r"), F.sum("distance").alias("d"))
+    shared = edges.sparkSession.sparkContext.broadcast((g.nodes, g.to, g.at))
+
+    def run(batches):
+        import pandas as pd
+
+        nodes, to, at = shared.value
+        c = Csr.__new__(Csr)
+        c.nodes, c.to, c.at = nodes, to, at
+        names = np.array(nodes)
+        r, d = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for pdf in batches:
+            for s in pdf["node"]:
+                i = int(np.searchsorted(names, s))
+                dist, _ = c.levels(i)
+                hit = dist >= 0
+                if own:
+                    r[i], d[i] = hit.sum(), dist[hit].sum()
+                else:
+                    r += hit
+                    d += np.where(hit, dist, 0)
+        some = np.flatnonzero(r)
+        yield pd.DataFrame({"node": names[some], "r": r[some], "d": d[some]})
+
+    parts = from_nodes.select("node").repartition(from_nodes.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"node {kind}, r long, d long")
+    return parts.groupBy("node").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
+
+
 def closeness(edges: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     """node, closeness. k None: exact over all vertices, ((r-1)/d) * ((r-1)/(n-1)); else from k sources, reached / summed distance."""
     n = vertices(edges).count()
-    d = distances(edges, sources(edges, k, seed))
-    if k is None or k >= n:
-        per = d.groupBy("node").agg(F.count("*").alias("r"), F.sum("distance").alias("d"))
+    whole = k is None or k >= n
+    per = _reach(edges, sources(edges, None if whole else k, seed), whole)
+    if whole:
         value = F.when(F.col("d") > 0, (F.col("r") - 1) / F.col("d") * ((F.col("r") - 1) / F.lit(max(n - 1, 1)))).otherwise(0.0)
     else:
-        per = d.groupBy("node").agg(F.count("*").alias("r"), F.sum("distance").alias("d"))
         value = F.when(F.col("d") > 0, F.col("r") / F.col("d")).otherwise(0.0)
     return vertices(edges).join(per.select("node", value.alias("closeness")), "node", "left").fillna(0.0, ["closeness"])
 
@@ -170,8 +209,29 @@ def betweenness(edges: DataFrame, k: int | None = 256, seed: int = 0) -> DataFra
 
 
 def path_lengths(edges: DataFrame, k: int | None = 10_000, seed: int = 0) -> DataFrame:
-    """distance, n over sampled sources, without zeros."""
-    return distances(edges, sources(edges, k, seed)).where("distance > 0").groupBy("distance").agg(F.count("*").alias("n"))
+    """distance, n over sampled sources, without zeros. Counted inside the task, a row a distance."""
+    g, from_nodes = held(edges), sources(edges, k, seed)
+    if g is None:
+        return distances_by_joins(edges, from_nodes).where("distance > 0").groupBy("distance").agg(F.count("*").alias("n"))
+    shared = edges.sparkSession.sparkContext.broadcast((g.nodes, g.to, g.at))
+
+    def run(batches):
+        import pandas as pd
+
+        nodes, to, at = shared.value
+        c = Csr.__new__(Csr)
+        c.nodes, c.to, c.at = nodes, to, at
+        names, total = np.array(nodes), np.zeros(len(nodes) + 1, np.int64)
+        for pdf in batches:
+            for s in pdf["node"]:
+                for step, front in enumerate(c.levels(int(np.searchsorted(names, s)))[1]):
+                    total[step] += len(front)
+        total[0] = 0
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"distance": some, "n": total[some]})
+
+    parts = from_nodes.select("node").repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "distance long, n long")
+    return parts.groupBy("distance").agg(F.sum("n").alias("n"))
 
 
 def path_summary(lengths: DataFrame) -> DataFrame:
@@ -191,3 +251,28 @@ def approximate_diameter(edges: DataFrame, start) -> int:
         far = distances(edges, spark.createDataFrame([(at,)], f"node {kind}")).orderBy(F.col("distance").desc(), "node").first()
         at = far["node"]
     return int(far["distance"])
+
+
+def diameters(edges: DataFrame) -> DataFrame:
+    """component, diameter: the exact greatest distance inside each component, by a search from every vertex."""
+    from kinweave.operators.graph_iterate import connected_components
+
+    g, kind = held(edges), dict(edges.dtypes)["u"]
+    of = connected_components(edges).select("node", "component")
+    if g is None:
+        far = distances_by_joins(edges, vertices(edges)).groupBy(F.col("source").alias("node")).agg(F.max("distance").alias("far"))
+    else:
+        shared = edges.sparkSession.sparkContext.broadcast((g.nodes, g.to, g.at))
+
+        def run(batches):
+            import pandas as pd
+
+            nodes, to, at = shared.value
+            c = Csr.__new__(Csr)
+            c.nodes, c.to, c.at = nodes, to, at
+            names = np.array(nodes)
+            for pdf in batches:
+                yield pd.DataFrame({"node": pdf["node"], "far": [len(c.levels(int(np.searchsorted(names, s)))[1]) - 1 for s in pdf["node"]]})
+
+        far = vertices(edges).repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"node {kind}, far long")
+    return of.join(far, "node").groupBy("component").agg(F.max("far").alias("diameter"))

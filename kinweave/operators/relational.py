@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinweave.operators.early import most_common
-
-__all__ = ["most_common"]
-
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the last by an explicit order: an aggregation, so no key's rows are sorted."""
@@ -29,6 +25,62 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def numbered(df: DataFrame, column: str, out: str, rows: int = 100_000) -> DataFrame:
+    """df with out = 0, 1, 2, ... over the rows, by buckets of a hash of `column` (distinct values) and inside them by value: no window holds all rows."""
+    buckets = max(1, df.count() // rows)
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(column), F.lit(buckets)))
+    sizes = df.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    start = sizes.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # a row for each bucket
+    j = df.join(start, F.col("__bucket") == F.col("__b"))
+    return j.withColumn(out, F.col("__start") + F.row_number().over(W.partitionBy("__bucket").orderBy(column)) - 1).drop("__bucket", "__b", "__start")
+
+
+def describe(df: DataFrame, keys: list[str], column: str, percentiles: dict[str, float], prefix: str = "") -> DataFrame:
+    """keys, n, mean_, std_ (sample) of a column and the named exact percentiles."""
+    name = prefix or column
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(column).alias(f"mean_{name}"), F.stddev_samp(column).alias(f"std_{name}"), *[F.percentile(column, F.lit(p)).alias(n) for n, p in percentiles.items()])
+
+
+def threshold_profile(df: DataFrame, keys: list[str], column: str, thresholds: dict[str, float]) -> DataFrame:
+    """keys, mean_, median_, min_, max_ of a column, and the share of rows at or above each threshold."""
+    c = F.col(column)
+    return df.groupBy(*keys).agg(F.avg(c).alias(f"mean_{column}"), F.percentile(c, F.lit(0.5)).alias(f"median_{column}"), F.min(c).alias(f"min_{column}"), F.max(c).alias(f"max_{column}"), *[F.avg((c >= t).cast("double")).alias(name) for name, t in thresholds.items()])
+
+
+def yearly_profile(first: DataFrame, column: str) -> DataFrame:
+    """first: one row for each item, with its earliest year. year, n, mean_, median_, min_, max_, and the quartiles p25 and p75 by nearest rank.
+
+    The two ranks are found by numbering a year's values, so no year is gathered.
+    """
+    n = F.count("*").over(W.partitionBy("year"))
+    ranked = first.where(F.col(column).isNotNull()).withColumn("__i", F.row_number().over(W.partitionBy("year").orderBy(column))).withColumn("__n", n)
+    at = lambda p: F.least(F.col("__n"), F.greatest(F.lit(1).cast("bigint"), F.bround(F.lit(p) * (F.col("__n") + 1)).cast("bigint")))
+    return ranked.groupBy("year").agg(
+        F.count("*").alias("n"), F.avg(column).alias(f"mean_{column}"), F.percentile(column, F.lit(0.5)).alias(f"median_{column}"), F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"),
+        F.max(F.when(F.col("__i") == at(0.25), F.col(column))).alias("p25"), F.max(F.when(F.col("__i") == at(0.75), F.col(column))).alias("p75"),
+    )
+
+
+def id_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """known (ids in both), missing (in b alone), either (in any), as one row."""
+    sides = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(key, F.lit(0), F.lit(1))).where(F.col(key).isNotNull())
+    per = sides.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return per.agg(F.count_if(F.expr("a = 1 and b = 1")).alias("known"), F.count_if(F.expr("a = 0")).alias("missing"), F.count("*").alias("either"))
+
+
+def top_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of a mixed-direction order: a top-k report."""
+    return df.orderBy(*order).limit(k)
+
+
+def union_latest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both, columns of either (null where a side has none); of equal keys b's row."""
+    both = a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*keys, "__side")]
+    g = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("__side", *rest)).alias("__r"))
+    return g.select(*keys, *[F.col("__r")[c].alias(c) for c in rest]).select(*[c for c in both.columns if c != "__side"])
+
+
 def top_or_other(df: DataFrame, column: str, k: int = 10, other: str = "Other") -> DataFrame:
     """value, n: the k most frequent values and the rest as one."""
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.operators import ergm, graph_build, graph_community, graph_iterate, graph_local, graph_traverse, graph_walks, model, relational
 from kinweave.plans.entity_queries import AS_OF, parts, read, recordings, releases, rounded
 from kinweave.operators import early
+from kinweave.validate import cut
 
 
 def members(spark, d) -> DataFrame:
@@ -19,7 +20,8 @@ def weighted(spark, d) -> DataFrame:
 
 
 def edges(spark, d) -> DataFrame:
-    return weighted(spark, d).select("u", "v")
+    """A written table: the operators read it several times."""
+    return cut(weighted(spark, d).select("u", "v"))
 
 
 def attributes(spark, d) -> DataFrame:
@@ -47,7 +49,7 @@ def edge_cleanup(spark, d):
 
 def last_edge_weight(spark, d):
     li = recordings(spark, d).select(F.col("artist").alias("u"), F.col("l_suppkey").alias("v"), F.when(F.col("l_linenumber") > 1, F.col("l_extendedprice")).alias("weight"), ((F.col("release_id") * 100 + F.col("l_linenumber")) * 1000000000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("seq"), "release_id")
-    return graph_build.last_weight(li.where("release_id % 5 = 0"), "seq")
+    return graph_build.last_weight(li, "seq")
 
 
 def edges_within(spark, d):
@@ -116,7 +118,7 @@ def kcore_profile(spark, d):
 
 
 def eigen_centrality(spark, d):
-    return graph_iterate.eigenvector(edges(spark, d), max_iter=1000)
+    return graph_iterate.eigenvector(edges(spark, d))
 
 
 def eigen_steps(spark, d):
@@ -124,7 +126,7 @@ def eigen_steps(spark, d):
 
 
 def pagerank(spark, d):
-    return rounded(graph_iterate.pagerank(edges(spark, d), steps=8), "pagerank", digits=10)
+    return rounded(graph_iterate.pagerank(edges(spark, d)), "pagerank", digits=10)
 
 
 def betweenness(spark, d):
@@ -136,9 +138,7 @@ def closeness(spark, d):
 
 
 def path_lengths(spark, d):
-    e = edges(spark, d)
-    hubs = graph_iterate.top_hubs(graph_local.degree(e), "degree", 20)
-    return graph_traverse.distances(e, hubs).where("distance > 0").groupBy("distance").agg(F.count("*").alias("n"))
+    return graph_traverse.path_lengths(edges(spark, d))
 
 
 def path_length_summary(spark, d):
@@ -151,6 +151,46 @@ def approximate_diameter(spark, d):
     return spark.createDataFrame([(graph_traverse.approximate_diameter(e, start),)], "diameter long")
 
 
+def component_diameters(spark, d):
+    return graph_traverse.diameters(edges(spark, d))
+
+
+def hub_distances_from_sources(spark, d):
+    e = edges(spark, d)
+    return graph_traverse.distances(e, graph_iterate.top_hubs(graph_local.degree(e), "degree", 5))
+
+
+def sampled_closeness(spark, d):
+    return rounded(graph_traverse.closeness(edges(spark, d), 50), "closeness", digits=9)
+
+
+def induced_sample(spark, d):
+    return graph_build.sampled_subgraph(edges(spark, d), 100, 5)
+
+
+def sample_adjacency(spark, d):
+    w = cut(weighted(spark, d))
+    return graph_build.adjacency(w, graph_build.sample_nodes(graph_build.vertices(w), "node", 40), "node", "weight")
+
+
+def _records(spark, d):
+    """Orders as recordings: an author for each supplier of its lines, without an id every seventh, relations by the return flag."""
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("recording_id"), F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"), F.when(F.col("l_suppkey") % 7 != 0, F.concat(F.lit("m"), F.col("l_suppkey").cast("string"))).alias("mbid"), F.element_at(F.create_map(*map(F.lit, ["N", "Composer", "R", "lyricist", "A", "publisher"])), F.col("l_returnflag")).alias("relation")).alias("a"))
+    return li.groupBy("recording_id").agg(F.array_sort(F.collect_list("a")).alias("authors")).withColumn("recording_title", F.concat(F.lit("T"), (F.col("recording_id") % 10).cast("string")))
+
+
+def writer_edges(spark, d):
+    return graph_build.writer_graph(_records(spark, d), ["composer", "lyricist"])
+
+
+def author_dedupe(spark, d):
+    return graph_build.distinct_authors(_records(spark, d))
+
+
+def author_names(spark, d):
+    return graph_build.author_names(_records(spark, d))
+
+
 def _partition(spark, d):
     return attributes(spark, d).select("node", F.col("c_mktsegment").alias("community"))
 
@@ -173,7 +213,7 @@ def louvain_modularity(spark, d):
 
 
 def node2vec_embeddings(spark, d):
-    return graph_walks.node2vec(weighted(spark, d), 16, 8, 4, iterations=1)
+    return graph_walks.node2vec(weighted(spark, d))
 
 
 def endpoint_template_fill(spark, d):
@@ -186,32 +226,33 @@ def endpoint_template_fill(spark, d):
 
 def sampled_subgraph(spark, d):
     e = edges(spark, d)
-    low = attributes(spark, d).where("node % 3 = 1").select("node")
-    return graph_local.density(graph_build.within(e, low, "node"))
+    drawn = graph_build.sample_nodes(attributes(spark, d), "node", 200)
+    return rounded(graph_local.density(graph_build.within(e, drawn, "node")), "density", digits=10)
 
 
 def ergm_density_logit(spark, d):
     return rounded(ergm.density_model(edges(spark, d)), "theta", "deviance")
 
 
-def _edge_dyads(spark, d):
-    e = edges(spark, d)
-    return e, e.select("u", "v", F.lit(1).alias("edge"), F.lit(1.0).alias("weight"))
-
-
 def ergm_dyad_stats(spark, d):
-    e, dy = _edge_dyads(spark, d)
+    """All edges, and for each vertex the pair with every vertex of the 20 drawn ones that it isn't linked to."""
+    e = edges(spark, d)
+    v = graph_build.vertices(e)
+    drawn = F.broadcast(graph_build.sample_nodes(v, "node", 20).select(F.col("node").alias("w")))  # 20 rows
+    pairs = v.join(drawn, F.col("node") != F.col("w")).select(F.least("node", "w").alias("u"), F.greatest("node", "w").alias("v")).distinct().join(e, ["u", "v"], "left_anti")
+    dy = cut(e.select("u", "v", F.lit(1).alias("edge"), F.lit(1.0).alias("weight")).union(pairs.select("u", "v", F.lit(0), F.lit(1.0))))
     nodes = read(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("role"), F.abs("c_acctbal").alias("balance"))
     x = ergm.change_statistics(dy, e)
     out = ergm.covariates(x, nodes, "node", match=["role"], add=["balance"], difference=["balance"])
-    return rounded(out.drop("edge", "weight"), "gwesp", "gwdegree", "gwdsp", "sum_balance", "absdiff_balance")
+    return rounded(out.drop("weight"), "gwesp", "gwdegree", "gwdsp", "sum_balance", "absdiff_balance")
 
 
 def ergm_mple_fit(spark, d):
     e = graph_build.simple_graph(edges(spark, d))
     dy = ergm.sampled_dyads(e, 3.0)
     nodes = read(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("role"))
-    x = ergm.covariates(ergm.change_statistics(dy, e), nodes, "node", match=["role"]).cache()
+    x = ergm.covariates(ergm.change_statistics(dy, e), nodes, "node", match=["role"])
+    x = cut(x)
     return ergm.ladder(x, {"density": [], "structure": ["gwesp", "gwdegree"], "homophily": ["gwesp", "gwdegree", "match_role"]})
 
 
@@ -228,8 +269,8 @@ _FEATURES = ["releases_total", "gap_std_days", "max_dry_spell_days", "label_hhi"
 
 
 def gbt_regression_cv(spark, d):
-    p = model.pipeline(_FEATURES, "target", ["primary_label"], "gbt", maxIter=5, maxDepth=3, seed=1)
-    return model.cross_validate(_model_rows(spark, d).cache(), "artist", p, "target", 3)
+    p = model.pipeline(_FEATURES, "target", ["primary_label"], "gbt", maxIter=10, maxDepth=3, seed=1)
+    return model.cross_validate(cut(_model_rows(spark, d)), "artist", p, "target")
 
 
 def rank_by_prediction(spark, d):
@@ -241,7 +282,8 @@ NAMES = [
     copurchase_edges, size_adjusted_edges, pair_examples, edge_cleanup, last_edge_weight, edges_within, graph_degree, degree_summary, log_binned_degree,
     shared_partners_gwesp_weak, triangles_clustering_wedges, transitivity_triads, homophily_shares, triangle_mixing, open_dyads, graph_density_summary,
     connected_components, component_sizes, hub_distance, kcore, kcore_profile, eigen_centrality, eigen_steps, pagerank, betweenness, closeness, path_lengths,
-    path_length_summary, approximate_diameter, modularity_given_partition, participation, louvain, louvain_modularity, node2vec_embeddings, endpoint_template_fill,
+    path_length_summary, approximate_diameter, component_diameters, hub_distances_from_sources, sampled_closeness, induced_sample, sample_adjacency, writer_edges,
+    author_dedupe, author_names, modularity_given_partition, participation, louvain, louvain_modularity, node2vec_embeddings, endpoint_template_fill,
     sampled_subgraph, ergm_density_logit, ergm_dyad_stats, ergm_mple_fit, gbt_regression_cv, rank_by_prediction,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

@@ -44,8 +44,7 @@ def node_features(edges: DataFrame, nodes: DataFrame, attributes: dict[str, str]
         graph_iterate.connected_components(e).select("node", "component_size"),
         graph_local.open_dyads(e),
     ]
-    community = graph_community.louvain(e) if e.count() <= graph_community.HELD_EDGES else graph_community.label_communities(e)
-    parts.append(graph_local.participation(e, community))
+    parts.append(graph_local.participation(e, graph_community.louvain(e)))
     out = graph_build.vertices(e)
     for p in parts:
         out = out.join(p, "node", "left")

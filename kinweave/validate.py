@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,8 @@ def as_date(value: str | datetime.date) -> Column:
     return F.lit(str(value)).cast("date")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again: iterations start from a short plan. A local folder serves only a local master."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, deleted when the driver ends. Where the setting is absent a local master gets a local folder; a cluster's executors could not read that, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -35,8 +34,30 @@ def cut(df: DataFrame) -> DataFrame:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again: iterations start from a short plan. Its shuffle files go when it is written."""
+    spark = df.sparkSession
+    path, setting = scratch(spark, "step"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, held)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinweave_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._kinweave_path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
