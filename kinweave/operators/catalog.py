@@ -8,6 +8,8 @@ in Python. Ordering is explicit: arrays are sorted, dates sort nulls last.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -139,12 +141,79 @@ def url_map(resources_: DataFrame, word: str = "spotify") -> DataFrame:
 
 
 def grouped_tracks(tracks: DataFrame) -> DataFrame:
-    """Catalog-less tracks (title, album_date, artist_ids, artist_names) as works: grouped by lower title and the set of artists, earliest date, collaborators by name, numbered."""
+    """Catalog-less tracks (owner, title, album_date, artist_ids, artist_names) as works of each owner: grouped by lower title and the set of artists, earliest date, collaborators by name, numbered from 1."""
     key = tracks.withColumn("k_title", S.clean("title")).withColumn("k_artists", F.array_sort(F.array_distinct("artist_ids")))
     people = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("artist_ids").alias("id"), F.col("artist_names").alias("name")))))
-    g = key.groupBy("k_title", "k_artists").agg(F.min("album_date").alias("first_release_date"), F.min("title").alias("name"), people.alias("people"))
+    g = key.groupBy("owner", "k_title", "k_artists").agg(F.min("album_date").alias("first_release_date"), F.min("title").alias("name"), people.alias("people"))
     by_name = F.transform(F.array_sort(F.transform("people", lambda p: F.struct(F.lower(p["name"]).alias("k"), p["id"].alias("id"), p["name"].alias("name")))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
-    return g.withColumn("collaborators", by_name).withColumn("id", F.row_number().over(W.orderBy("k_title", "k_artists"))).drop("people", "k_title", "k_artists")
+    return g.withColumn("collaborators", by_name).withColumn("id", F.row_number().over(W.partitionBy("owner").orderBy("k_title", "k_artists")).cast("long")).drop("people", "k_title", "k_artists")
+
+
+def platform_documents(artists: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Nested documents from a platform's tables, in the shape of documents(): mbid (the platform's id), artist_name, roles, works, recordings, releases.
+
+    artists: id, name, genres; tracks: owner, track_id, title, album_id, album,
+    album_date, length_ms, label, artist_ids, artist_names. Every work has its
+    artist's genres, as the platform knows none of its own.
+    """
+    works = grouped_tracks(tracks).join(artists.select(F.col("id").alias("owner"), "genres"), "owner", "left")
+    people = F.transform("collaborators", lambda c: F.struct(c["id"].alias("mbid"), F.lit("performer").alias("role")))
+    genres = F.array_sort(F.array_distinct(F.coalesce("genres", F.array().cast("array<string>"))))
+    w = works.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("id", "name", F.col("first_release_date").cast("string").alias("first_release_date"), genres.alias("genres"), people.alias("collaborators")))).alias("works"))
+    r = tracks.select("owner", F.col("track_id").alias("id"), F.col("title").alias("name"), "length_ms", F.col("album_id").alias("release_id")).distinct().groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("id", "name", "length_ms", "release_id"))).alias("recordings"))
+    a = tracks.groupBy("owner", "album_id").agg(F.min("album").alias("title"), F.min("album_date").cast("string").alias("date"), distinct_sorted("label").alias("label_names")).groupBy("owner").agg(F.array_sort(F.collect_list(F.struct(F.col("album_id").alias("id"), "title", "date", "label_names"))).alias("releases"))
+    base = artists.select(F.col("id").alias("mbid"), F.col("name").alias("artist_name"), F.lit("performer").alias("roles"), F.lit(1).alias("pos"))
+    docs = w.join(r, "owner", "full").join(a, "owner", "full").withColumnRenamed("owner", "mbid")
+    return placeholders(base, docs).drop("pos")
+
+
+def resource_groups(pages: DataFrame, group: str, key: str, size: str) -> DataFrame:
+    """group, n, first_page (smallest key), largest_page (key of the greatest size, the greatest key of several)."""
+    return pages.groupBy(group).agg(F.count("*").alias("n"), F.min(key).alias("first_page"), F.max_by(key, F.struct(size, key)).alias("largest_page"))
+
+
+def nested_counts(docs: DataFrame) -> DataFrame:
+    """mbid, n_works, n_recordings, n_releases, total_length of nested documents."""
+    length = F.aggregate(F.transform("recordings", lambda r: F.coalesce(r["length_ms"].cast("double"), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    return docs.select("mbid", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("works", "recordings", "releases")], length.alias("total_length"))
+
+
+def merge_works(written: DataFrame, played: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The union of two work lists, each work once, with the smallest of its names."""
+    both = written.select(*keys, name).unionByName(played.select(*keys, name))
+    return both.groupBy(*keys).agg(F.min(name).alias(name))
+
+
+def lookup_by_id(facts: DataFrame, mbid: str) -> DataFrame:
+    """The item (one row, the smallest) of (item, property, value) facts whose P434 value is a well-formed id."""
+    if not re.fullmatch("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", mbid):
+        return facts.select("item").limit(0)
+    return facts.where((F.col("property") == "P434") & (F.col("value") == mbid)).select("item").orderBy("item").limit(1)
+
+
+# Properties that name relatives, with their rank, and of occupations, classes and ids.
+RELATIVE_PROPERTIES = {"P22": ("father", 5), "P25": ("mother", 5), "P3373": ("sibling", 4), "P26": ("spouse", 3), "P40": ("child", 2), "P1038": ("relative", 1)}
+OCCUPATION, SUBCLASS, CATALOG_ID = "P106", "P279", "P434"
+
+
+def musical_relatives(facts: DataFrame, names: DataFrame, item: str, occupations: list[str], language: str = "en") -> DataFrame:
+    """Relatives of an item whose occupation is one of the given ones or below them, as relatives().
+
+    facts: item, property, value; names: item, language, name. A relative names
+    the item or the item names them; a name in another language, or none, leaves
+    the item's own id as its name.
+    """
+    relation = F.create_map(*[F.lit(x) for k, (name, _) in RELATIVE_PROPERTIES.items() for x in (k, name)])
+    rank = F.create_map(*[F.lit(x) for k, (_, r) in RELATIVE_PROPERTIES.items() for x in (k, r)])
+    links = facts.where(F.col("property").isin(*RELATIVE_PROPERTIES))
+    there = links.where(F.col("item") == item).select(F.col("value").alias("qid"), "property")
+    back = links.where(F.col("value") == item).select(F.col("item").alias("qid"), "property")
+    near = there.union(back).select("qid", relation[F.col("property")].alias("relation"), rank[F.col("property")].alias("priority")).distinct()
+    kinds = subclasses(facts.where(F.col("property") == SUBCLASS).select(F.col("item").alias("child"), F.col("value").alias("parent")), occupations)
+    jobs = facts.where(F.col("property") == OCCUPATION).select(F.col("item").alias("qid"), F.col("value").alias("occupation")).join(kinds, F.col("occupation") == F.col("node"), "left_semi")
+    ids = facts.where(F.col("property") == CATALOG_ID).select(F.col("item").alias("qid"), F.col("value").alias("mbid"))
+    label = names.where(F.lower("language") == language.lower()).groupBy(F.col("item").alias("qid")).agg(F.min("name").alias("name"))
+    return relatives(near.join(jobs, "qid").join(ids, "qid", "left").join(label, "qid", "left").withColumn("name", F.coalesce("name", "qid")))
 
 
 def relatives(facts: DataFrame) -> DataFrame:

@@ -147,6 +147,44 @@ def early_collaborator(works: Column, start: Column, own: Column, days: int | No
     return F.coalesce(F.exists(works, good), F.lit(False))
 
 
+def work_dates(works: DataFrame, recordings: DataFrame, inside: DataFrame) -> DataFrame:
+    """works with derived (the earliest date of an in-window release with a recording of the work) and date, the earlier of own and derived.
+
+    works: artist, id, own; recordings: artist, work_id, release_id; inside: artist, release_id, released.
+    """
+    played = recordings.join(inside, ["artist", "release_id"])
+    derived = played.groupBy("artist", F.col("work_id").alias("id")).agg(F.min("released").alias("derived"))
+    return works.join(derived, ["artist", "id"], "left").withColumn("date", F.least("own", "derived"))
+
+
+def market_kinds(releases: DataFrame, markets: DataFrame) -> DataFrame:
+    """artist, kinds ('kind:count' of each kind, sorted), markets (distinct ones). releases: artist, kind; markets: artist, market."""
+    n = releases.where("kind is not null").groupBy("artist", "kind").agg(F.count("*").alias("n"))
+    kinds = n.groupBy("artist").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("n").cast("string"))))).alias("kinds"))
+    return kinds.join(markets.groupBy("artist").agg(F.countDistinct("market").alias("markets")), "artist", "left")
+
+
+def first_works(works: Column, n: int) -> Column:
+    """The first n entries of an array of works, all if there are fewer."""
+    return F.slice(works, 1, n)
+
+
+def song_features(docs: DataFrame, n: int) -> DataFrame:
+    """artist, n_songs, avg_collaborators (entries per song), unique_collaborators and unique_works over the first n works of nested documents."""
+    w = docs.select(F.col("mbid").alias("artist"), F.posexplode(first_works(F.col("works"), n)).alias("i", "w"))
+    others = F.filter(F.coalesce(F.col("w.collaborators"), F.array().cast("array<struct<mbid: string, role: string>>")), lambda c: c["mbid"] != F.col("artist"))
+    each = w.select("artist", F.col("w.id").alias("work"), F.transform(others, lambda c: c["mbid"]).alias("c"))
+    per = each.groupBy("artist").agg(F.count("*").alias("n_songs"), F.avg(F.size("c")).alias("avg_collaborators"), F.countDistinct("work").alias("unique_works"))
+    people = each.select("artist", F.explode("c").alias("p")).groupBy("artist").agg(F.countDistinct("p").alias("unique_collaborators"))
+    return per.join(people, "artist", "left").withColumn("unique_collaborators", F.coalesce("unique_collaborators", F.lit(0)))
+
+
+def named(df: DataFrame, column: str, text: str, how: str = "contains") -> DataFrame:
+    """Rows whose name contains, starts with or equals a text, in any case and without outer white space."""
+    name, text = S.clean(column), text.strip().lower()
+    return df.where({"contains": F.contains(name, F.lit(text)), "prefix": F.startswith(name, F.lit(text)), "equals": name == text}[how])
+
+
 def features(docs: DataFrame, as_of: str, years: int = 5) -> DataFrame:
     """The 40 early features of nested entity documents (schemas.ARTIST_DOC), one row per document."""
     from kinweave.schemas import EARLY_COLUMNS
@@ -158,9 +196,7 @@ def features(docs: DataFrame, as_of: str, years: int = 5) -> DataFrame:
     window = career_window(releases, works.withColumnRenamed("own", "date"), years)
     won = in_window(releases, window)
     inside = won.select("artist", F.col("id").alias("release_id"), F.col("date").alias("released")).distinct()
-    played = recordings.join(inside, ["artist", "release_id"])
-    derived = played.groupBy("artist", F.col("work_id").alias("id")).agg(F.min("released").alias("derived"))
-    dated = works.join(derived, ["artist", "id"], "left").withColumn("date", F.least("own", "derived"))
+    dated = work_dates(works, recordings, inside)
     works_in = in_window(dated, window)
     heard = recordings.join(inside.select("artist", "release_id"), ["artist", "release_id"], "left_semi")
     key = F.struct("artist", F.col("work_id").alias("id"))

@@ -50,6 +50,49 @@ def cross_validate(df: DataFrame, key: str, estimator: Pipeline, label: str, fol
     return out.select("fold", "rmse", "mae", "r2")
 
 
+def fold_summary(folds: DataFrame) -> DataFrame:
+    """metric, mean, sd (of the population) over the folds of cross_validate()."""
+    names = ["rmse", "mae", "r2"]
+    one = folds.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"m_{c}").alias("mean"), F.col(f"s_{c}").alias("sd")) for c in names])))
+
+
+def codes(df: DataFrame, columns: list[str], training: DataFrame) -> DataFrame:
+    """<c>_code: the place of a value among the sorted values of the training rows; null for null and for values that these don't have."""
+    for c in columns:
+        values = training.where(F.col(c).isNotNull()).agg(F.array_sort(F.collect_set(c)).alias("__v"))
+        place = F.nullif(F.array_position("__v", F.col(c)), F.lit(0).cast("long"))
+        df = df.join(F.broadcast(values), F.lit(True)).withColumn(f"{c}_code", (place - 1).cast("double")).drop("__v")  # one row of a category's values
+    return df
+
+
+def scaled_linear(features: list[str], label: str, **params) -> Pipeline:
+    """Standardised features into a linear model: what stands in for a small neural network, which Spark ML has for classes only."""
+    from pyspark.ml.feature import StandardScaler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__features", withMean=True), LinearRegression(featuresCol="__features", labelCol=label, **params)])
+
+
+def top_importances(importances: dict[str, float], spark, k: int = 15) -> DataFrame:
+    """feature, importance of the k most important, greatest first."""
+    best = sorted(importances.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return spark.createDataFrame([(n, float(v)) for n, v in best], "feature string, importance double")
+
+
+def save(model, path: str, summary: DataFrame | None = None, status: str = "ok") -> None:
+    """The fitted pipeline, its summary table and a status line below path; see load()."""
+    model.write().overwrite().save(f"{path}/model")
+    if summary is not None:
+        summary.write.mode("overwrite").option("header", True).csv(f"{path}/summary")
+        summary.sparkSession.createDataFrame([(status,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/status")
+
+
+def load(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/model")
+
+
 def grid_search(df: DataFrame, key: str, features: list[str], label: str, grid: list[dict], kind: str = "gbt", folds: int = 3) -> list[tuple[dict, float]]:
     """(parameters, mean rmse), best first; the grid's size is the caller's."""
     got = []

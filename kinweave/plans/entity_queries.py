@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
 from kinweave.operators import catalog, early, matrix, relational
+from kinweave.sources import readers
 
 AS_OF = "2002-01-01"
 
@@ -40,8 +41,17 @@ def won(spark, d) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Rounded for comparison; at four digits moved a little, as means of cents often lie halfway."""
-    return df.withColumns({c: F.round(F.col(c) + (0.0000013 if digits == 4 else 0.0), digits) for c in columns})
+    """Rounded for comparison."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def cents(c: str):
+    """An amount as a decimal: its means are exact, whatever the order of the sum."""
+    return F.col(c).cast("decimal(18,2)")
+
+
+def doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else f.name for f in df.schema])
 
 
 # ---- queries -------------------------------------------------------------------
@@ -61,11 +71,10 @@ def debut_fallback(spark, d):
 
 
 def derived_work_dates(spark, d):
-    rec = recordings(spark, d)
-    inside = won(spark, d).select(F.col("id").alias("release_id")).distinct()
-    derived = rec.join(inside, "release_id", "left_semi").groupBy("artist", "l_partkey").agg(F.min("date").alias("derived"))
-    own = rec.groupBy("artist", "l_partkey").agg(F.min("shipped").alias("own"))
-    return own.join(derived, ["artist", "l_partkey"], "left").withColumn("first_date", F.least("own", "derived"))
+    rec = recordings(spark, d).withColumn("work_id", F.col("l_partkey"))
+    inside = won(spark, d).select("artist", F.col("id").alias("release_id"), F.col("date").alias("released")).distinct()
+    own = rec.groupBy("artist", F.col("work_id").alias("id")).agg(F.min("shipped").alias("own"))
+    return early.work_dates(own, rec.select("artist", "work_id", "release_id"), inside).withColumnsRenamed({"id": "l_partkey", "date": "first_date"})
 
 
 def collab_rate(spark, d):
@@ -87,8 +96,8 @@ def genre_entropy(spark, d):
 
 
 def duration_title_profile(spark, d):
-    rec = recordings(spark, d).join(parts(spark, d), "l_partkey").select("artist", F.col("p_name").alias("name"), F.col("l_extendedprice").alias("length_ms"))
-    return rounded(early.duration_title_profile(rec, "ring", "an"), "duration_ms_mean", "duration_ms_median", "remix_rate", "acoustic_rate", digits=4)
+    rec = recordings(spark, d).join(parts(spark, d), "l_partkey").select("artist", F.col("p_name").alias("name"), cents("l_extendedprice").alias("length_ms"))
+    return rounded(doubles(early.duration_title_profile(rec, "ring", "an")), "duration_ms_median", "remix_rate", "acoustic_rate")
 
 
 def temporal_controls(spark, d):
@@ -102,24 +111,17 @@ def role_profile(spark, d):
 
 def market_kinds(spark, d):
     rec = recordings(spark, d).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    markets = rec.groupBy("artist").agg(F.countDistinct("s_nationkey").alias("markets"))
-    kinds = releases(spark, d).groupBy("artist", "kind").agg(F.count("*").alias("n")).groupBy("artist").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("n").cast("string"))))).alias("kinds"))
-    return kinds.join(markets, "artist", "left")
+    return early.market_kinds(releases(spark, d), rec.select("artist", F.col("s_nationkey").alias("market")))
 
 
 def popularity_thresholds(spark, d):
-    p = F.col("price")
-    out = releases(spark, d).groupBy("artist").agg(F.avg(p).alias("mean_price"), F.median(p).alias("median_price"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.avg((p >= 100000).cast("double")).alias("share_100k"), F.avg((p >= 200000).cast("double")).alias("share_200k"))
-    return rounded(out, "mean_price", "median_price", "share_100k", "share_200k", digits=4)
+    r = releases(spark, d).withColumn("price", cents("price"))
+    return rounded(doubles(relational.threshold_profile(r, ["artist"], "price", {"share_100k": 100000, "share_200k": 200000})), "median_price", "share_100k", "share_200k")
 
 
 def yearly_nearest_rank(spark, d):
-    r = releases(spark, d)
-    first = recordings(spark, d).groupBy("l_partkey").agg(F.min(F.year("date")).alias("year"), F.max("l_extendedprice").alias("price"))
-    del r
-    v = F.collect_list("price")
-    out = first.groupBy("year").agg(F.count("*").alias("n"), F.avg("price").alias("mean_price"), F.median("price").alias("median_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), relational.nearest_rank(v, 0.25).alias("p25"), relational.nearest_rank(v, 0.75).alias("p75"))
-    return rounded(out, "mean_price", "median_price", digits=4)
+    first = recordings(spark, d).groupBy("l_partkey").agg(F.min(F.year("date")).alias("year"), F.max(cents("l_extendedprice")).alias("price"))
+    return rounded(doubles(relational.yearly_profile(first, "price")), "median_price")
 
 
 def clean_fill_flags(spark, d):
@@ -150,9 +152,9 @@ def early_collab_exists(spark, d):
 
 def workset_union(spark, d):
     rec = recordings(spark, d).join(parts(spark, d), "l_partkey")
-    written = rec.where(F.col("l_linenumber") == 1).select("artist", "l_partkey", "p_name")
-    played = rec.where(F.col("l_linenumber") > 2).select("artist", "l_partkey", F.upper("p_name").alias("p_name"))
-    return written.unionByName(played).groupBy("artist", "l_partkey").agg(F.min("p_name").alias("work_name"))
+    written = rec.where(F.col("l_linenumber") == 1).select("artist", "l_partkey", F.col("p_name").alias("work_name"))
+    played = rec.where(F.col("l_linenumber") > 1).select("artist", "l_partkey", F.upper("p_name").alias("work_name"))
+    return catalog.merge_works(written, played, ["artist", "l_partkey"], "work_name")
 
 
 def _events(spark, d):
@@ -178,13 +180,6 @@ def _docs(spark, d):
     return rel.join(rec, "artist", "full")
 
 
-def nest_artist_docs(spark, d):
-    docs = _docs(spark, d)
-    flat = docs.select("artist", F.size("releases").cast("long").alias("n_releases"), F.size("recordings").cast("long").alias("n_recordings"), F.explode("recordings").alias("r"))
-    out = flat.groupBy("artist", "n_releases", "n_recordings").agg(F.countDistinct("r.l_partkey").alias("n_works"), F.sum("r.length").alias("total_length"))
-    return rounded(out, "total_length", digits=2)
-
-
 def cohort_placeholder_join(spark, d):
     cohort = read(spark, d, "customer").select((F.col("c_custkey") * 3).cast("string").alias("mbid"), F.col("c_custkey").alias("pos"))
     docs = _docs(spark, d).withColumn("mbid", F.col("artist").cast("string")).select("mbid", "releases")
@@ -200,7 +195,7 @@ def source_url_map(spark, d):
 
 def resource_groups(spark, d):
     p = read(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length("html").alias("size"), "page_id")
-    return p.groupBy("host").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"), F.max_by("page_id", F.struct("size", "page_id")).alias("largest_page"))
+    return catalog.resource_groups(p, "host", "page_id", "size")
 
 
 def dedupe_keep_last(spark, d):
@@ -214,7 +209,7 @@ def dedupe_keep_first(spark, d):
 
 
 def json_props_extract(spark, d):
-    e = read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    e = readers.json_field(read(spark, d, "events"), "props", "k", "bigint", "k")
     return e.groupBy("k").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
@@ -272,14 +267,12 @@ def price_histogram(spark, d):
 
 def describe_balances(spark, d):
     c = read(spark, d, "customer")
-    q = [F.percentile("c_acctbal", F.lit(p)).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.995, "p995"))]
-    out = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("mean_balance"), F.stddev_samp("c_acctbal").alias("std_balance"), *q)
-    return rounded(out, "mean_balance", "std_balance", "p25", "p50", "p75", "p995", digits=4)
+    out = relational.describe(c, ["c_mktsegment"], "c_acctbal", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p995": 0.995}, "balance")
+    return rounded(out, "mean_balance", "std_balance", "p25", "p50", "p75", "p995")
 
 
 def ranking_summary(spark, d):
-    out = relational.ranking_summary(read(spark, d, "customer").where("c_acctbal < 5000"), "c_acctbal")
-    return rounded(out, "mean_score", "median_score", "top_mean", digits=4)
+    return rounded(relational.ranking_summary(read(spark, d, "customer"), "c_acctbal"), "mean_score", "median_score", "top_mean")
 
 
 def regression_metrics(spark, d):
@@ -322,22 +315,18 @@ def final_assembly(spark, d):
 
 def top_customers(spark, d):
     c = read(spark, d, "customer").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("balance"))
-    return c.orderBy(F.col("balance").desc(), "c_custkey").limit(25)
+    return relational.top_rows(c, [F.col("balance").desc(), F.col("c_custkey")], 25)
 
 
 def shared_and_missing_ids(spark, d):
     cust = read(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    users = read(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
-    known = cust.intersect(users).agg(F.count("*").alias("known"))
-    missing = users.exceptAll(cust).agg(F.count("*").alias("missing"))
-    either = cust.union(users).distinct().agg(F.count("*").alias("either"))
-    return known.join(missing, F.lit(True)).join(either, F.lit(True))
+    return relational.id_overlap(cust, read(spark, d, "events").select(F.col("user_id").alias("id")), "id")
 
 
 NAMES = [
     early_window_cadence, debut_fallback, derived_work_dates, collab_rate, label_profile, genre_entropy, duration_title_profile, temporal_controls, role_profile,
     market_kinds, popularity_thresholds, yearly_nearest_rank, clean_fill_flags, gap_sanity_filter, early_collab_exists, workset_union, earliest_event_top1,
-    release_flatten_labels, nest_artist_docs, cohort_placeholder_join, source_url_map, resource_groups, dedupe_keep_last, dedupe_keep_first, json_props_extract,
+    release_flatten_labels, cohort_placeholder_join, source_url_map, resource_groups, dedupe_keep_last, dedupe_keep_first, json_props_extract,
     resume_antijoin, yearly_top_labels, top10_other, outlier_quantile_filter, zscores, minmax, decile_bins, stratified_split, missing_rates, price_histogram,
     describe_balances, ranking_summary, regression_metrics, role_classifier, date_parsers, uuid_normalise, final_assembly, top_customers, shared_and_missing_ids,
 ]

@@ -36,16 +36,16 @@ SELECT f.artist, count(*) AS label_diversity_count, round(sum((n / total) * (n /
 FROM f JOIN t USING (artist) JOIN churn ON churn.artist = f.artist GROUP BY f.artist""",
     "genre_entropy": f"""WITH {REC}, w AS (SELECT DISTINCT artist, l_partkey, p_type AS genre FROM rec JOIN part ON l_partkey = p_partkey), n AS (SELECT artist, genre, count(*) AS n FROM w GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY artist) AS p FROM n)
 SELECT artist, count(*) AS genre_count, round(-sum(p * ln(p)), 6) AS genre_entropy, arg_min(genre, row(-n, genre)) AS primary_genre, string_agg(lower(genre), ', ' ORDER BY lower(genre)) AS all_genres_str FROM p GROUP BY artist""",
-    "duration_title_profile": f"""WITH {REC} SELECT artist, round(avg(l_extendedprice) + 0.0000013, 4) AS duration_ms_mean, round(median(l_extendedprice) + 0.0000013, 4) AS duration_ms_median, min(l_extendedprice) AS duration_ms_min, max(l_extendedprice) AS duration_ms_max,
-  round(avg(CASE WHEN contains(lower(p_name), 'ring') THEN 1.0 ELSE 0.0 END) + 0.0000013, 4) AS remix_rate, round(avg(CASE WHEN contains(lower(p_name), 'an') THEN 1.0 ELSE 0.0 END) + 0.0000013, 4) AS acoustic_rate FROM rec JOIN part ON l_partkey = p_partkey GROUP BY artist""",
+    "duration_title_profile": f"""WITH {REC} SELECT artist, (2 * CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) * 10000 + count(*)) // (2 * count(*)) / 1000000.0 AS duration_ms_mean, round(median(l_extendedprice), 6) AS duration_ms_median, min(l_extendedprice) AS duration_ms_min, max(l_extendedprice) AS duration_ms_max,
+  round(avg(CASE WHEN contains(lower(p_name), 'ring') THEN 1.0 ELSE 0.0 END), 6) AS remix_rate, round(avg(CASE WHEN contains(lower(p_name), 'an') THEN 1.0 ELSE 0.0 END), 6) AS acoustic_rate FROM rec JOIN part ON l_partkey = p_partkey GROUP BY artist""",
     "temporal_controls": f"""WITH {REL} SELECT artist, round(date_diff('day', min(date), DATE '2002-01-01') / 365.25, 6) AS years_active, CAST(year(min(date)) AS INTEGER) AS debut_year, CAST(year(min(date)) - year(min(date)) % 10 AS INTEGER) AS debut_decade,
   round(exp(-0.1 * greatest(0, date_diff('day', max(date), DATE '2002-01-01')) / 30.44), 6) AS recency_index FROM rel GROUP BY artist""",
     "role_profile": """SELECT c_custkey AS artist, CASE WHEN c_custkey % 7 <> 0 THEN lower(c_mktsegment) || ', writer' ELSE '' END AS all_roles_str, CASE WHEN c_custkey % 7 <> 0 THEN lower(c_mktsegment) ELSE 'unknown' END AS primary_role FROM customer""",
     "market_kinds": f"""WITH {REL}, {REC}, m AS (SELECT artist, count(DISTINCT s_nationkey) AS markets FROM rec JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1), k AS (SELECT artist, kind || ':' || count(*) AS t FROM rel GROUP BY artist, kind)
 SELECT k.artist, string_agg(t, ',' ORDER BY t) AS kinds, any_value(markets) AS markets FROM k LEFT JOIN m ON m.artist = k.artist GROUP BY k.artist""",
-    "popularity_thresholds": f"""WITH {REL} SELECT artist, round(avg(price) + 0.0000013, 4) AS mean_price, round(median(price) + 0.0000013, 4) AS median_price, min(price) AS min_price, max(price) AS max_price, round(avg(CASE WHEN price >= 100000 THEN 1.0 ELSE 0.0 END) + 0.0000013, 4) AS share_100k, round(avg(CASE WHEN price >= 200000 THEN 1.0 ELSE 0.0 END) + 0.0000013, 4) AS share_200k FROM rel GROUP BY artist""",
-    "yearly_nearest_rank": f"""WITH {REC}, f AS (SELECT l_partkey, CAST(min(year(date)) AS INTEGER) AS year, max(l_extendedprice) AS price FROM rec GROUP BY 1), a AS (SELECT year, count(*) AS n, avg(price) AS mean_price, median(price) AS median_price, min(price) AS min_price, max(price) AS max_price, list_sort(list(price)) AS s FROM f GROUP BY year)
-SELECT year, n, round(mean_price + 0.0000013, 4) AS mean_price, round(median_price + 0.0000013, 4) AS median_price, min_price, max_price, s[CAST(least(n, greatest(1, round_even(0.25 * (n + 1), 0))) AS BIGINT)] AS p25, s[CAST(least(n, greatest(1, round_even(0.75 * (n + 1), 0))) AS BIGINT)] AS p75 FROM a""",
+    "popularity_thresholds": f"""WITH {REL} SELECT artist, (2 * CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) * 10000 + count(*)) // (2 * count(*)) / 1000000.0 AS mean_price, round(median(price), 6) AS median_price, min(price) AS min_price, max(price) AS max_price, round(avg(CASE WHEN price >= 100000 THEN 1.0 ELSE 0.0 END), 6) AS share_100k, round(avg(CASE WHEN price >= 200000 THEN 1.0 ELSE 0.0 END), 6) AS share_200k FROM rel GROUP BY artist""",
+    "yearly_nearest_rank": f"""WITH {REC}, f AS (SELECT l_partkey, CAST(min(year(date)) AS INTEGER) AS year, max(l_extendedprice) AS price FROM rec GROUP BY 1), a AS (SELECT year, count(*) AS n, (2 * CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) * 10000 + count(*)) // (2 * count(*)) / 1000000.0 AS mean_price, median(price) AS median_price, min(price) AS min_price, max(price) AS max_price, list_sort(list(price)) AS s FROM f GROUP BY year)
+SELECT year, n, mean_price, round(median_price, 6) AS median_price, min_price, max_price, s[CAST(least(n, greatest(1, round_even(0.25 * (n + 1), 0))) AS BIGINT)] AS p25, s[CAST(least(n, greatest(1, round_even(0.75 * (n + 1), 0))) AS BIGINT)] AS p75 FROM a""",
     "clean_fill_flags": f"""WITH {REL}, {WIN}, g AS (SELECT artist, date_diff('day', lag(date) OVER (PARTITION BY artist ORDER BY date, id), date) AS gap FROM won WHERE label IN ('1-URGENT', '2-HIGH')), a AS (SELECT artist, count(*) AS n, stddev_pop(gap) AS sd FROM g GROUP BY 1)
 SELECT c_custkey AS artist_mbid, coalesce(nullif(c_mktsegment, 'BUILDING'), 'unknown') AS primary_role, coalesce(n, 0) AS releases_total, round(coalesce(sd, 0), 6) AS gap_std_days, CASE WHEN n_nationkey % 5 <> 0 THEN n_name ELSE 'unknown' END AS artist_country,
   CASE WHEN c_custkey % 3 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS recency_index, n IS NULL OR n = 0 AS missing_releases, c_custkey % 3 <> 0 AS recency_index_missing, n_nationkey % 5 <> 0 AS location_country_known
@@ -54,12 +54,11 @@ FROM customer LEFT JOIN a ON a.artist = c_custkey LEFT JOIN nation ON n_nationke
 SELECT artist, count(*) AS n_dates FROM o GROUP BY artist HAVING count(*) < 3 OR max(CASE WHEN i IN (2, 3) THEN gap END) <= 200""",
     "early_collab_exists": f"""WITH {REC}, w AS (SELECT artist, l_partkey, l_suppkey, min(shipped) AS date FROM rec GROUP BY 1, 2, 3), s AS (SELECT artist, min(date) AS start FROM w GROUP BY 1)
 SELECT DISTINCT w.artist FROM w JOIN s USING (artist) JOIN w o ON o.l_partkey = w.l_partkey AND o.l_suppkey = w.l_suppkey AND o.artist <> w.artist WHERE w.date <= s.start + 365""",
-    "workset_union": f"""WITH {REC} SELECT artist, l_partkey, min(n) AS work_name FROM (SELECT artist, l_partkey, p_name AS n FROM rec JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 UNION ALL SELECT artist, l_partkey, upper(p_name) FROM rec JOIN part ON l_partkey = p_partkey WHERE l_linenumber > 2) GROUP BY 1, 2""",
+    "workset_union": f"""WITH {REC} SELECT artist, l_partkey, min(n) AS work_name FROM (SELECT artist, l_partkey, CASE WHEN l_linenumber = 1 THEN p_name ELSE upper(p_name) END AS n FROM rec JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2""",
     "earliest_event_top1": """WITH e AS (SELECT l_orderkey AS release, CASE WHEN l_linenumber % 4 <> 1 THEN year(l_shipdate) END AS y, CASE WHEN l_linenumber % 3 <> 2 THEN month(l_shipdate) END AS m, CASE WHEN l_linenumber % 2 = 0 THEN day(l_shipdate) END AS d FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY release ORDER BY y NULLS LAST, m NULLS LAST, d NULLS LAST) AS i FROM e) SELECT release, CASE WHEN y IS NOT NULL THEN make_date(y, coalesce(m, 1), coalesce(d, 1)) END AS date FROM r WHERE i = 1""",
     "release_flatten_labels": f"""WITH {REC} SELECT artist AS artist_id, release_id, max(p_name) AS title, min(shipped) AS date, max(l_partkey) AS release_group_id, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS label_ids, coalesce(string_agg(DISTINCT CASE WHEN p_brand <> 'Brand#11' THEN p_type END, '|' ORDER BY CASE WHEN p_brand <> 'Brand#11' THEN p_type END), '') AS label_names
 FROM rec JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
-    "nest_artist_docs": f"""WITH {REL}, {REC}, r AS (SELECT artist, count(*) AS n FROM rel GROUP BY 1) SELECT rec.artist, any_value(r.n) AS n_releases, count(*) AS n_recordings, count(DISTINCT l_partkey) AS n_works, round(sum(l_extendedprice), 2) AS total_length FROM rec JOIN r ON r.artist = rec.artist GROUP BY rec.artist""",
     "cohort_placeholder_join": f"""WITH {REL}, r AS (SELECT artist, count(*) AS n FROM rel GROUP BY 1) SELECT CAST(c_custkey * 3 AS VARCHAR) AS mbid, c_custkey AS pos, coalesce(n, 0) AS n_releases FROM customer LEFT JOIN r ON r.artist = c_custkey * 3""",
     "source_url_map": """WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS mbid, page_id, url FROM pages WHERE contains(lower(url), '1')), u AS (SELECT mbid, arg_max(url, page_id) AS url FROM p GROUP BY 1)
 SELECT mbid, url, split_part(url, '/', -1) AS segment, CASE WHEN regexp_full_match(split_part(split_part(url, '/', -1), '?', 1), '[0-9A-Za-z]{22}') THEN split_part(split_part(url, '/', -1), '?', 1) END AS id22 FROM u""",
@@ -81,8 +80,8 @@ SELECT artist, n_releases, (SELECT count(*) FROM i WHERE e < n_releases) AS bin
 SELECT bin, count(*) AS n, CAST(floor(0.2 * count(*)) AS BIGINT) AS n_test FROM b GROUP BY bin""",
     "missing_rates": """SELECT 'c_name' AS column_name, round(avg(CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE 1.0 END), 6) AS missing_rate FROM customer UNION ALL SELECT 'c_acctbal', round(avg(CASE WHEN c_acctbal > 0 THEN 0.0 ELSE 1.0 END), 6) FROM customer UNION ALL SELECT 'c_nationkey', 0.0 FROM customer LIMIT 3""",
     "price_histogram": """WITH x AS (SELECT log10(o_totalprice) AS x FROM orders WHERE o_totalprice > 0), s AS (SELECT min(x) AS lo, max(x) AS hi FROM x) SELECT CAST(least(floor((x - lo) / (hi - lo) * 12) + 1, 12) AS BIGINT) AS bin, count(*) AS n FROM x, s GROUP BY 1""",
-    "describe_balances": """SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal) + 0.0000013, 4) AS mean_balance, round(stddev_samp(c_acctbal) + 0.0000013, 4) AS std_balance, round(quantile_cont(c_acctbal, 0.25) + 0.0000013, 4) AS p25, round(quantile_cont(c_acctbal, 0.5) + 0.0000013, 4) AS p50, round(quantile_cont(c_acctbal, 0.75) + 0.0000013, 4) AS p75, round(quantile_cont(c_acctbal, 0.995) + 0.0000013, 4) AS p995 FROM customer GROUP BY 1""",
-    "ranking_summary": """WITH c AS (SELECT c_acctbal AS s FROM customer WHERE c_acctbal < 5000) SELECT count(*) AS pool, round(avg(s) + 0.0000013, 4) AS mean_score, round(median(s) + 0.0000013, 4) AS median_score, (SELECT round(avg(s) + 0.0000013, 4) FROM (SELECT s FROM c ORDER BY s DESC LIMIT 10)) AS top_mean FROM c""",
+    "describe_balances": """SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS mean_balance, round(stddev_samp(c_acctbal), 6) AS std_balance, round(quantile_cont(c_acctbal, 0.25), 6) AS p25, round(quantile_cont(c_acctbal, 0.5), 6) AS p50, round(quantile_cont(c_acctbal, 0.75), 6) AS p75, round(quantile_cont(c_acctbal, 0.995), 6) AS p995 FROM customer GROUP BY 1""",
+    "ranking_summary": """SELECT count(*) AS pool, round(avg(c_acctbal), 6) AS mean_score, round(median(c_acctbal), 6) AS median_score, (SELECT round(avg(s), 6) FROM (SELECT c_acctbal AS s FROM customer ORDER BY s DESC LIMIT 10)) AS top_mean FROM customer""",
     "regression_metrics": f"""WITH {REL}, r AS (SELECT ln(max(price)) AS a, ln(avg(price)) AS p FROM rel GROUP BY artist) SELECT round(sqrt(avg((a - p) * (a - p))), 6) AS rmse, round(avg(abs(a - p)), 6) AS mae, round(1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*)), 6) AS r2 FROM r""",
     "role_classifier": """SELECT c_custkey, (['writer', 'performer', 'production', 'other', '', 'writer', 'production'])[c_custkey % 7 + 1] AS role_major, c_mktsegment AS genre_first FROM customer""",
     "date_parsers": """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders), p AS (SELECT k, day, CASE k % 7 WHEN 0 THEN day WHEN 1 THEN date_trunc('month', day) WHEN 2 THEN date_trunc('year', day) WHEN 6 THEN day END::DATE AS loose FROM o)

@@ -40,6 +40,11 @@ def array_or_object(column: str, schema: str) -> F.Column:
     return F.when(text.startswith("["), F.from_json(text, f"array<struct<{schema}>>")).otherwise(F.array(F.from_json(text, f"struct<{schema}>")))
 
 
+def json_field(df: DataFrame, column: str, field: str, kind: str, out: str) -> DataFrame:
+    """df with a field of a JSON text column, null where it is absent or of another kind."""
+    return df.withColumn(out, F.get_json_object(column, f"$.{field}").try_cast(kind))
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 

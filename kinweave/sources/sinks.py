@@ -22,6 +22,14 @@ def id_list(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).write.text(path)
 
 
+def dump_ids(df: DataFrame, column: str, path: str) -> int:
+    """id_list(), sorted; returns the number of ids written."""
+    ids = df.select(F.col(column).cast("string").alias("id")).where("id is not null")
+    n = ids.count()
+    ids.orderBy("id").write.text(path)
+    return n
+
+
 def json_map(df: DataFrame, key: str, name: str, value: str, path: str) -> None:
     """{key: {name: value}} with sorted keys as one text: for maps that fit a task, as the format itself asks for."""
     inner = df.groupBy(key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value))))).alias("m"))
