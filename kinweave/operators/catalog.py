@@ -172,10 +172,10 @@ def resource_groups(pages: DataFrame, group: str, key: str, size: str) -> DataFr
     return pages.groupBy(group).agg(F.count("*").alias("n"), F.min(key).alias("first_page"), F.max_by(key, F.struct(size, key)).alias("largest_page"))
 
 
-def nested_counts(docs: DataFrame) -> DataFrame:
-    """mbid, n_works, n_recordings, n_releases, total_length of nested documents."""
+def nested_counts(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """mbid, the carried columns, n_works, n_recordings, n_releases, total_length of nested documents."""
     length = F.aggregate(F.transform("recordings", lambda r: F.coalesce(r["length_ms"].cast("double"), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    return docs.select("mbid", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("works", "recordings", "releases")], length.alias("total_length"))
+    return docs.select("mbid", *carry, *[F.size(c).cast("long").alias(f"n_{c}") for c in ("works", "recordings", "releases")], length.alias("total_length"))
 
 
 def merge_works(written: DataFrame, played: DataFrame, keys: list[str], name: str) -> DataFrame:

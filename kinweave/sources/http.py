@@ -1,11 +1,11 @@
-"""A paged HTTP source for Spark: partitions of ids, tokens, retries, and next-page links.
-
-`spark.dataSource.register(HttpSource)`, then spark.read.format("paged_http")
-with options url (a template with {ids}), ids (comma list), batch (ids for each
-request), item (the JSON field with the list), next (the field with the next
-page's URL), token. Rows are (request, ordinal, body): JSON text of each item,
-to be parsed with a declared schema. Null items are dropped; ordinals number
-items over a request's pages.
+"""A paged HTTP source for Spark: partitions of ids, tokens, retries, and pages.
+
+fetch(ids, url, ...) asks for the ids of a DataFrame, wherever its rows are. The
+same as a data source: `spark.dataSource.register(HttpSource)`, then
+spark.read.format("paged_http") with options url (a template with {ids}), ids
+(comma list), batch (ids for each request) and those of Plan. Rows are (request,
+ordinal, body): JSON text of each item, to be parsed with a declared schema (see
+platform). Null items are dropped; ordinals number items over a request's pages.
 """
 
 from __future__ import annotations
@@ -13,9 +13,13 @@ from __future__ import annotations
 import json
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -56,12 +60,121 @@ class Token:
         return self.value
 
 
+def client_token(url: str, client: str, secret: str, opener: Callable = urllib.request.urlopen) -> tuple[str, float]:
+    """(token, seconds it lasts) for a client's credentials."""
+    import base64
+
+    basic = base64.b64encode(f"{client}:{secret}".encode()).decode()
+    ask = urllib.request.Request(url, b"grant_type=client_credentials", {"Authorization": f"Basic {basic}", "Content-Type": "application/x-www-form-urlencoded"})
+    with opener(ask, timeout=30) as r:
+        got = json.loads(r.read().decode("utf-8"))
+    return got["access_token"], float(got.get("expires_in", 3600))
+
+
+def dig(page, path: str):
+    """The value at a dotted path, None where it ends early; an empty path is the page itself."""
+    for name in path.split(".") if path else []:
+        page = page.get(name) if isinstance(page, dict) else None
+    return page
+
+
+def _items(page, item: str) -> list:
+    got = dig(page, item)
+    return [got] if isinstance(got, dict) else got or []
+
+
 def pages(url: str | None, item: str, next_field: str | None, get: Callable = get_json) -> Iterator[dict]:
-    """The items of all pages, nulls dropped."""
+    """The items of all pages, nulls dropped; an object in the place of a list is one item."""
     while url:
         page = get(url)
-        yield from (x for x in (page.get(item) or []) if x is not None)
-        url = page.get(next_field) if next_field else None
+        yield from (x for x in _items(page, item) if x is not None)
+        url = dig(page, next_field) if next_field else None
+
+
+def pages_by_offset(url: str, item: str, limit: int, get: Callable = get_json, most: int | None = None) -> Iterator[dict]:
+    """Pages of a url with {offset} and {limit}, until one has fewer than `limit` items, or `most` items are there."""
+    offset = 0
+    while most is None or offset < most:
+        got = _items(get(url.replace("{offset}", str(offset)).replace("{limit}", str(limit)).replace("{page}", str(offset // limit + 1))), item)
+        for i, x in enumerate(got):
+            if x is not None and (most is None or offset + i < most):
+                yield x
+        if len(got) < limit:
+            return
+        offset += limit
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How a request is made and paged: url (with {ids}, and {offset} or {page} and {limit} where pages are counted), the path of the
+    items, the path of the next page's url, the items of a page, the most items of a request, and a fixed token or the place to get one."""
+
+    url: str
+    item: str = "items"
+    next: str | None = None
+    limit: int = 50
+    most: int | None = None
+    token: str | None = None
+    token_url: str | None = None
+    client: str = ""
+    secret: str = ""
+    tries: int = 4
+    pause: float = 0.5
+
+    @classmethod
+    def of(cls, options: dict) -> Plan:
+        kinds = {"limit": int, "most": int, "tries": int, "pause": float}
+        names = {f.name for f in fields(cls)}
+        return cls(**{k: kinds.get(k, str)(v) for k, v in options.items() if k in names})
+
+    def getter(self) -> Callable:
+        """GET with this plan's token; a refused token is fetched again, once for each request."""
+        held = Token(lambda: client_token(self.token_url, self.client, self.secret)) if self.token_url else None
+
+        def get(url: str):
+            for fresh in (False, True):
+                value = held.get(fresh) if held else self.token
+                try:
+                    return get_json(url, {"Authorization": f"Bearer {value}"} if value else {}, self.tries, self.pause)
+                except Unauthorised:
+                    if held is None or fresh:
+                        raise
+
+        return get
+
+    def ask(self, ids: str, get: Callable) -> Iterator[dict]:
+        url = self.url.replace("{ids}", urllib.parse.quote(ids, safe=","))
+        if "{offset}" in url or "{page}" in url:
+            return pages_by_offset(url, self.item, self.limit, get, self.most)
+        return pages(url, self.item, self.next, get)
+
+
+def fetch(ids: DataFrame, column: str, plan: Plan, batch: int = 50) -> DataFrame:
+    """request, ordinal, body: the answers for the distinct ids of a column, `batch` ids to a request. Every task asks for its own ids with its own token."""
+
+    def run(batches):
+        import pandas as pd
+
+        get, held = plan.getter(), []
+
+        def answer(some):
+            request = ",".join(some)
+            for i, x in enumerate(plan.ask(request, get)):
+                yield request, i, json.dumps(x)
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["request", "ordinal", "body"])
+
+        for pdf in batches:
+            held += list(pdf["id"])
+            while len(held) >= batch:
+                yield frame(list(answer(held[:batch])))
+                held = held[batch:]
+        if held:
+            yield frame(list(answer(held)))
+
+    one = ids.select(F.col(column).cast("string").alias("id")).where("id is not null").distinct()
+    return one.mapInPandas(run, "request string, ordinal long, body string")
 
 
 class _Batch(InputPartition):
@@ -78,11 +191,10 @@ class _Reader(DataSourceReader):
         return [_Batch(",".join(ids[i : i + n])) for i in range(0, len(ids), n)] or [_Batch("")]
 
     def read(self, partition):
-        if "{ids}" in self.o["url"] and not partition.value:
+        plan = Plan.of(self.o)
+        if "{ids}" in plan.url and not partition.value:
             return
-        headers = {"Authorization": f"Bearer {self.o['token']}"} if self.o.get("token") else {}
-        url = self.o["url"].replace("{ids}", partition.value)
-        for i, x in enumerate(pages(url, self.o.get("item", "items"), self.o.get("next"), lambda u: get_json(u, headers))):
+        for i, x in enumerate(plan.ask(partition.value, plan.getter())):
             yield (partition.value, i, json.dumps(x))
 
 
