@@ -4,6 +4,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import helpers as H
 from kinweave.operators import graph_build, graph_community, graph_iterate, graph_local, graph_traverse, graph_walks
@@ -126,3 +127,57 @@ def test_registered_betweenness_uses_the_operators_sources(spark, monkeypatch):
                 through[x] += 1
     got = {r.node: r.betweenness for r in graph_queries.betweenness(spark, None).collect()}
     assert got == {x: pytest.approx(2 * k / ((n - 1) * (n - 2)), abs=1e-8) for x, k in through.items()}
+
+
+def test_hubs_and_popular_works_in_blocks(spark, monkeypatch):
+    """Dealt to blocks of two, everything is as by plain pairs."""
+    from itertools import combinations
+
+    r = random.Random(2)
+    rows = sorted({(r.randrange(4), r.randrange(15)) for _ in range(50)})
+    want = {}
+    for k in range(4):
+        for p in combinations(sorted(n for w, n in rows if w == k), 2):
+            want[p] = want.get(p, 0) + 1
+    df = spark.createDataFrame(rows, "w int, n long")
+    monkeypatch.setattr(graph_build, "BLOCK", 2)
+    assert {(x.u, x.v): x.weight for x in graph_build.pair_counts(df, "w", "n").collect()} == want
+    e = spark.createDataFrame(list(want), "u long, v long")
+    a = H.adjacency(want)
+    got = sorted(map(tuple, graph_local.two_steps(graph_local.both_ways(e), 2).collect()))
+    assert got == sorted((s, d) for m in a for s in a[m] for d in a[m] if s != d)
+
+
+def test_sampled_subgraphs(spark):
+    ring = [(i, (i + 1) % 40) for i in range(40)]
+    e = spark.createDataFrame([(min(p), max(p)) for p in ring], "u long, v long")
+    got = graph_build.sampled_subgraph(e, 20, 3, attempts=50)
+    assert got.count() >= 3 and graph_build.vertices(got).count() <= 20
+    assert graph_build.sampled_subgraph(e, 2, 4, attempts=2).count() == 4
+    m = graph_build.adjacency(e.withColumn("w", F.lit(2.0)), spark.createDataFrame([(0,), (1,), (5,)], "node long"), "node", "w")
+    assert {(r.row, r.column): r.value for r in m.collect()} == {(x, y): 2.0 if {x, y} == {0, 1} else 0.0 for x in (0, 1, 5) for y in (0, 1, 5)}
+
+
+def test_diameters_and_sampled_measures(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")]
+    e = g(spark, pairs)
+    a = H.adjacency(pairs)
+    for bound in (graph_traverse.HELD_EDGES, 0):
+        monkeypatch.setattr(graph_traverse, "HELD_EDGES", bound)
+        assert by(graph_traverse.diameters(e), "component", "diameter") == {"a": 3, "x": 1}
+        assert by(graph_traverse.path_lengths(e), "distance", "n") == {1: 8, 2: 4, 3: 2}
+        drawn = [r.node for r in graph_traverse.sources(e, 3).collect()]
+        reach = {v: [H.bfs(a, s)[v] for s in drawn if v in H.bfs(a, s)] for v in a}
+        assert by(graph_traverse.closeness(e, 3), "node", "closeness") == pytest.approx({v: len(x) / sum(x) if sum(x) else 0.0 for v, x in reach.items()})
+        assert by(graph_traverse.closeness(e), "node", "closeness") == pytest.approx(H.closeness(a))
+
+
+def test_louvain_is_modular_and_bounded(spark, monkeypatch):
+    r = random.Random(3)
+    pairs = sorted({tuple(sorted((10 * k + i, 10 * k + j))) for k in range(6) for i in range(10) for j in range(10) if i != j and r.random() < 0.6} | {(10 * k, 10 * k + 10) for k in range(5)})
+    e = spark.createDataFrame(pairs, "u long, v long")
+    got = by(graph_community.louvain(e), "node", "community")
+    assert all(len({got[10 * k + i] for i in range(10)}) == 1 for k in range(6)) and len(set(got.values())) == 6
+    monkeypatch.setattr(graph_community, "HELD_EDGES", 3)
+    with pytest.raises(ValueError, match="memory"):
+        graph_community.louvain(e)

@@ -1,7 +1,9 @@
 import json
 
-from kinweave.operators import matrix
-from kinweave.sources import http, readers, sinks
+import pytest
+
+from kinweave.operators import catalog, matrix
+from kinweave.sources import http, platform, readers, sinks
 from kinweave.streaming.resume import stream_new
 
 
@@ -82,3 +84,79 @@ def test_http_logic():
 
 def test_feature_sets():
     assert len(matrix.feature_sets(["releases_total", "degree", "n2v_0"])) == 7
+
+
+@pytest.fixture(scope="module")
+def server():
+    """A small service: tokens that are refused once, counted and linked pages, searches."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    issued = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def reply(self, code, body):
+            data = json.dumps(body).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_POST(self):
+            issued.append(1)
+            self.reply(200, {"access_token": "old" if len(issued) == 1 else "good", "expires_in": 3600})
+
+        def do_GET(self):
+            url = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(url.query).items()}
+            if url.path == "/artists":
+                if self.headers.get("Authorization") != "Bearer good":
+                    return self.reply(401, {})
+                return self.reply(200, {"artists": [None if i == "x" else {"id": i, "followers": {"total": 7} if i != "b" else None, "popularity": 3} for i in q["ids"].split(",")]})
+            if url.path == "/tracks":
+                n, at = int(q["limit"]), int(q["offset"])
+                return self.reply(200, {"items": [{"id": f"t{i}", "name": "n"} for i in range(at, min(at + n, 7))]})
+            if url.path == "/chart":
+                return self.reply(200, {"artists": {"artist": [{"name": f"p{q['page']}-{i}", "mbid": "", "listeners": "5"} for i in range(4)]}})
+            if url.path == "/linked":
+                page = int(q.get("page", "1"))
+                return self.reply(200, {"items": [{"id": f"{q['a']}-{page}"}, {"id": "same"}], "next": f"http://{self.headers['Host']}/linked?a={q['a']}&page={page + 1}" if page < 3 else None})
+            if url.path == "/search":
+                return self.reply(200, {"artists": {"items": [{"id": q["q"] + str(i), "score": 50 + i} for i in range(3)]}})
+            return self.reply(200, {"id": "w", "error": 6, "message": "none"})
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_platform_over_http(spark, server):
+    ids = spark.createDataFrame([("a",), ("b",), ("x",), ("a",), (None,)], "k string").coalesce(1)
+    plan = http.Plan(f"{server}/artists?ids={{ids}}", "artists", token_url=f"{server}/token", client="c", secret="s")
+    got = platform.metrics(http.fetch(ids, "k", plan, 2))
+    assert sorted(map(tuple, got.collect())) == [("a", 7, 3), ("b", 0, 3)]
+    one = spark.createDataFrame([("q",)], "k string")
+    t = platform.tracks(http.fetch(one, "k", http.Plan(f"{server}/tracks?a={{ids}}&offset={{offset}}&limit={{limit}}", limit=3)))
+    assert [(r.position, r.track_id) for r in t.orderBy("position").collect()] == [(i + 1, f"t{i}") for i in range(7)]
+    c = platform.chart(http.fetch(one, "k", http.Plan(f"{server}/chart?page={{page}}&limit={{limit}}", "artists.artist", limit=4, most=6)), 6)
+    assert [(r["rank"], r.name, r.mbid) for r in c.orderBy("rank").collect()] == [(i + 1, f"p{i // 4 + 1}-{i % 4}", None) for i in range(6)]
+    al = platform.albums(http.fetch(one, "k", http.Plan(f"{server}/linked?a={{ids}}", next="next")))
+    assert sorted(r.id for r in al.collect()) == ["q-1", "q-2", "q-3", "same"]
+    hits = http.fetch(one, "k", http.Plan(f"{server}/search?q={{ids}}", "artists.items"), 1)
+    assert platform.first_hit(hits).first().id == "q0" and platform.best_hit(hits, 51).first().id == "q2"
+    stats = http.fetch(one, "k", http.Plan(f"{server}/stats?mbid={{ids}}", ""), 1)
+    assert tuple(platform.listener_stats(stats).first()) == ("q", None, None)
+    spark.dataSource.register(http.HttpSource)
+    read = spark.read.format("paged_http").option("url", f"{server}/artists?ids={{ids}}").option("ids", "a,b").option("item", "artists").option("token_url", f"{server}/token").load()
+    assert platform.metrics(read).count() == 2
+
+
+def test_lookups_are_validated(spark):
+    facts = spark.createDataFrame([("Q1", "P434", "0" * 8 + "-0000-0000-0000-" + "0" * 12)], "item string, property string, value string")
+    assert catalog.lookup_by_id(facts, facts.first().value).first().item == "Q1"
+    assert catalog.lookup_by_id(facts, "' or 1=1").count() == 0

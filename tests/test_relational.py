@@ -97,7 +97,7 @@ def test_wiki_helpers(spark):
     assert catalog.with_fallback(base, rich, "k").first().asDict() == {"k": "1", "a": "x", "b": "y", "c": "z"}
     c = spark.createDataFrame([("time", '{"time": "+1990-01-02T00:00:00Z"}'), ("quantity", '{"amount": "+5"}')], "t string, v string")
     assert [r[0] for r in c.select(catalog.claim_value("t", F.col("v"))).collect()] == ["1990-01-02", "5"]
-    tr = spark.createDataFrame([(" Song", "2001", ["1", "2"], ["Zed", "amy"]), ("song", "2000", ["2", "1"], ["amy", "Zed"])], "title string, album_date string, artist_ids array<string>, artist_names array<string>")
+    tr = spark.createDataFrame([("o", " Song", "2001", ["1", "2"], ["Zed", "amy"]), ("o", "song", "2000", ["2", "1"], ["amy", "Zed"])], "owner string, title string, album_date string, artist_ids array<string>, artist_names array<string>")
     w = catalog.grouped_tracks(tr).collect()
     assert len(w) == 1 and w[0].first_release_date == "2000" and [x.name for x in w[0].collaborators] == ["amy", "Zed"]
 
@@ -111,6 +111,29 @@ def test_models(spark):
     m = p.fit(df)
     assert model.permutation_importance(m, df, ["x"], "y")["x"] > 0
     assert model.grid_search(df, "id", ["x"], "y", [{"regParam": 10.0}, {"regParam": 0.0}], "linear")[0][0] == {"regParam": 0.0}
+    folds = spark.createDataFrame([(0, 1.0, 2.0, 0.5), (1, 3.0, 2.0, 0.7)], "fold int, rmse double, mae double, r2 double")
+    assert {r.metric: (r["mean"], r.sd) for r in model.fold_summary(folds).collect()} == {"rmse": (2.0, 1.0), "mae": (2.0, 0.0), "r2": (pytest.approx(0.6), pytest.approx(0.1))}
+    train = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
+    assert [r.c_code for r in model.codes(spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "c string"), ["c"], train).collect()] == [0.0, 1.0, None, None]
+    assert [r.feature for r in model.top_importances({"a": 1.0, "b": 3.0, "c": 2.0}, spark, 2).collect()] == ["b", "c"]
+    assert model.scaled_linear(["x"], "y").fit(df).transform(df).where("abs(prediction - y) > 0.01").count() == 0
+
+
+def test_saved_models(spark, tmp_path):
+    df = spark.range(30).select((F.col("id") * 3.0).alias("y"), F.col("id").cast("double").alias("x"))
+    m = model.pipeline(["x"], "y", kind="linear").fit(df)
+    model.save(m, str(tmp_path / "m"), spark.createDataFrame([("rmse", 0.5)], "metric string, value double"))
+    assert model.load(str(tmp_path / "m")).transform(df).where("abs(prediction - y) > 0.001").count() == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "m/summary")).first().metric == "rmse" and spark.read.text(str(tmp_path / "m/status")).first().value == "ok"
+
+
+def test_numbers_and_unions(spark):
+    for rows in (7, 100_000):
+        got = relational.numbered(spark.range(50), "id", "i", rows).collect()
+        assert sorted(r.i for r in got) == list(range(50))
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([(2, "z", 5.0)], "k int, v string, w double")
+    assert sorted(map(tuple, relational.union_latest(a, b, ["k"]).collect())) == [(1, "x", None), (2, "z", 5.0)]
 
 
 def test_ergm_density(spark):
@@ -123,3 +146,35 @@ def test_ergm_density(spark):
     x = ergm.change_statistics(dy, e)
     row = x.where("u = 'a' and v = 'b'").first()
     assert (row.shared, row.gwesp) == (0, 0.0)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_change_statistics_are_differences_of_statistics(spark, monkeypatch, small):
+    """Each pair's statistics with the pair linked less those without it, computed anew, by held graph and by joins."""
+    import math
+    import random
+    from itertools import combinations
+
+    import helpers as H
+    from kinweave.operators import graph_traverse
+
+    if not small:
+        monkeypatch.setattr(graph_traverse, "HELD_EDGES", 0)
+    r = random.Random(4)
+    nodes = range(9)
+    edges = sorted({tuple(sorted(r.sample(nodes, 2))) for _ in range(16)})
+
+    def terms(links):
+        a = {x: set() for x in nodes} | H.adjacency(links)
+        partners = {(u, v): len(a[u] & a[v]) for u, v in combinations(nodes, 2)}
+        weighted = lambda n, d: math.exp(d) * (1 - (1 - math.exp(-d)) ** n)
+        return sum(weighted(partners[e], 0.5) for e in links), sum(weighted(len(a[x]), 0.8) for x in nodes), sum(weighted(n, 0.5) for n in partners.values())
+
+    used = sorted({x for e in edges for x in e})
+    pairs = list(combinations(used, 2))
+    dy = spark.createDataFrame([(u, v, int((u, v) in edges), 1.0) for u, v in pairs], "u long, v long, edge int, weight double")
+    got = {(x.u, x.v): x for x in ergm.change_statistics(dy, spark.createDataFrame(edges, "u long, v long")).collect()}
+    for p in pairs:
+        rest = [e for e in edges if e != p]
+        want = [x - y for x, y in zip(terms([*rest, p]), terms(rest), strict=True)]
+        assert (got[p].gwesp, got[p].gwdegree, got[p].gwdsp) == pytest.approx(want), p
