@@ -38,11 +38,25 @@ LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:,\n]")
 
 # Closed word classes in four languages, lower case.
-INSULT = "idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb imbecile filthy vermin coward liar".split()
-THREAT = "kill hurt beat destroy shoot stab strangle töten umbringen tuer frapper matar golpear".split()
-TARGET = "you your yours u ur he she they them this these those that du dich dein ihr euch tu te toi vous votre tú usted ustedes".split()
-NEGATION = "not no never nobody isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais aucun nunca jamás tampoco".split()
-REPORT = "said says say told claimed claims wrote reported according quoted alleged sagte schrieb laut behauptete dit écrit selon prétend dijo según escribió afirma".split()
+INSULT = (
+    "idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "filthy", "vermin",
+    "coward", "liar",
+)
+THREAT = (
+    "kill", "hurt", "beat", "destroy", "shoot", "stab", "strangle", "töten", "umbringen", "tuer", "frapper", "matar", "golpear",
+)
+TARGET = (
+    "you", "your", "yours", "u", "ur", "he", "she", "they", "them", "this", "these", "those", "that", "du", "dich", "dein", "ihr", "euch", "tu", "te",
+    "toi", "vous", "votre", "tú", "usted", "ustedes",
+)
+NEGATION = (
+    "not", "no", "never", "nobody", "isn't", "aren't", "wasn't", "don't", "doesn't", "nicht", "kein", "keine", "nie", "pas", "jamais", "aucun",
+    "nunca", "jamás", "tampoco",
+)
+REPORT = (
+    "said", "says", "say", "told", "claimed", "claims", "wrote", "reported", "according", "quoted", "alleged", "sagte", "schrieb", "laut",
+    "behauptete", "dit", "écrit", "selon", "prétend", "dijo", "según", "escribió", "afirma",
+)
 
 OTHER, IS_INSULT, IS_THREAT, IS_TARGET, IS_NEGATION, IS_REPORT = range(6)
 
