@@ -11,17 +11,21 @@ from kinweave.validate import require_columns
 
 # Columns not for models, and column names of other versions.
 DROPPED = (
-    "window_years debut_date window_cutoff_date release_velocity_releases_per_day unique_collaborator_count all_labels_str "
-    "all_genres_str all_roles_str debut_decade recency_index popularity debut_year"
-).split()
+    "window_years", "debut_date", "window_cutoff_date", "release_velocity_releases_per_day", "unique_collaborator_count", "all_labels_str",
+    "all_genres_str", "all_roles_str", "debut_decade", "recency_index", "popularity", "debut_year",
+)
 RENAMED = {"eigen_centrality": "eigencent", "participation_coef": "community_participation"}
-ZERO_COUNTS = "releases_total tracks_total unique_collaborator_count label_diversity_count label_churn genre_count".split()
+ZERO_COUNTS = (
+    "releases_total", "tracks_total", "unique_collaborator_count", "label_diversity_count", "label_churn", "genre_count",
+)
 ZERO_MEASURES = (
-    "releases_per_year avg_days_between_releases release_velocity_releases_per_day release_velocity_releases_per_year gap_median_days gap_std_days "
-    "max_dry_spell_days front_loading_index collab_track_rate label_hhi duration_ms_mean duration_ms_median duration_ms_min duration_ms_max remix_rate "
-    "acoustic_rate genre_entropy years_active recency_index"
-).split()
-UNKNOWN_TEXT = "primary_label primary_genre primary_role artist_country artist_region_city".split()
+    "releases_per_year", "avg_days_between_releases", "release_velocity_releases_per_day", "release_velocity_releases_per_year", "gap_median_days",
+    "gap_std_days", "max_dry_spell_days", "front_loading_index", "collab_track_rate", "label_hhi", "duration_ms_mean", "duration_ms_median",
+    "duration_ms_min", "duration_ms_max", "remix_rate", "acoustic_rate", "genre_entropy", "years_active", "recency_index",
+)
+UNKNOWN_TEXT = (
+    "primary_label", "primary_genre", "primary_role", "artist_country", "artist_region_city",
+)
 
 
 def build_final(base: DataFrame, nodes: DataFrame, embeddings: DataFrame, metrics: DataFrame, order: str | None = None) -> DataFrame:

@@ -76,7 +76,7 @@ def test_features_of_documents(spark):
     empty = ("m9", "Zed", "", None, None, [], [], [])
     docs = spark.createDataFrame([DOC, empty], ARTIST_DOC)
     rows = {r.artist_mbid: r for r in early.features(docs, "2020-01-01").collect()}
-    assert list(early.features(docs, "2020-01-01").columns) == EARLY_COLUMNS
+    assert list(early.features(docs, "2020-01-01").columns) == list(EARLY_COLUMNS)
     a, z = rows["m1"], rows["m9"]
     assert (a.releases_total, a.tracks_total, a.collab_track_rate, a.unique_collaborator_count, a.primary_label, a.genre_count, a.primary_role, a.remix_rate) == (2, 2, 0.5, 2, "Lab", 2, "singer", 0.5)
     assert (z.releases_total, z.debut_date, z.primary_role) == (0, None, "unknown")

@@ -98,7 +98,7 @@ def test_node_features_and_walks(spark):
     e = g(spark, TAIL)
     nodes = spark.createDataFrame([(x, "g", None, "r" + x) for x in "abcd"], "node string, primary_genre string, primary_label string, primary_role string")
     out = pipeline.node_features(e, nodes, {"primary_genre": "genre", "primary_label": "label", "primary_role": "role"})
-    assert out.columns == NODE_COLUMNS and out.count() == 4
+    assert out.columns == list(NODE_COLUMNS) and out.count() == 4
     row = out.where("node = 'a'").first()
     assert (row.same_genre_share, row.same_label_share, row.same_role_share, row.tri_within_genre, row.component_size) == (1.0, 1.0, 0.0, 1, 4)
     w = graph_walks.walks(e, 5, 2, p=0.5, q=2.0).collect()
