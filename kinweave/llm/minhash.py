@@ -220,7 +220,7 @@ def overlap_bounds(texts: DataFrame, how: NearDup, parts: int | None = None) ->
 
 
 def classes(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """One row per document: doc_id, class_id, digest (of its text, as in sketch())."""
+    """One row per document: doc_id, class_id, class_key (of the class, as class_id may be null in several), digest (of its text, as in sketch())."""
     sketched = C.materialise(sketch(docs, how), "near-sketch")
     copies = C.materialise(sketched.groupBy("key", "digest").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "near-copies")
     copies = C.rekeyed(copies, C.renumbered(copies.select("key", "digest")), "digest", "key")
@@ -268,8 +268,8 @@ def classes(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     root = roots.select(F.col("node").alias("n"), "root")
     owned = copies.select("key", "digest", "first").join(root, F.col("key") == F.col("n"), "left").select("digest", "first", F.coalesce("root", "key").alias("root"))
     smallest = owned.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = C.materialise(owned.select("digest", "root").join(smallest, "root").select(F.col("digest").alias("d"), "class_id"), "near-classes")
-    return sketched.select("doc_id", "digest").join(named, F.col("digest") == F.col("d")).select("doc_id", "class_id", "digest")
+    named = C.materialise(owned.select("digest", "root").join(smallest, "root").select(F.col("digest").alias("d"), "class_id", F.col("root").alias("class_key")), "near-classes")
+    return sketched.select("doc_id", "digest").join(named, F.col("digest") == F.col("d")).select("doc_id", "class_id", "class_key", "digest")
 
 
 def _cells(able: DataFrame, slice_texts: int) -> DataFrame:
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """The rows of docs, all columns, one of each class: its smallest doc_id (one row of it)."""
-    keep = classes(docs, how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(_some_id("class_id").alias("__kw_id")).agg(F.min("digest").alias("__kw_digest"))
+    keep = classes(docs, how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min(F.struct(_some_id("class_id").alias("id"), "digest")).alias("one")).select(F.col("one.id").alias("__kw_id"), F.col("one.digest").alias("__kw_digest"))
     keep = C.materialise(keep, "near-kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = C.digest_of(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit("")))

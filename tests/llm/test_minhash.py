@@ -17,8 +17,8 @@ def runs(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
-    """class of each row by all pairs."""
+def labelled(rows):
+    """((doc_id, text), class number) of each row by all pairs."""
     parent = list(range(len(rows)))
 
     def find(x):
@@ -32,11 +32,16 @@ def brute(rows):
             a, b = sets[i], sets[j]
             if (not a and not b) or (a | b and len(a & b) >= 0.8 * len(a | b)):
                 parent[find(i)] = find(j)
+    return [(r, find(i)) for i, r in enumerate(rows)]
+
+
+def brute(rows):
+    """doc_id and class_id of each row."""
     ids = {}
-    for i, (d, _) in enumerate(rows):
-        ids.setdefault(find(i), []).append(d)
+    for (d, _), c in labelled(rows):
+        ids.setdefault(c, []).append(d)
     least = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
-    return sorted(((d, least[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
+    return sorted(((d, least[c]) for (d, _), c in labelled(rows)), key=str)
 
 
 def test_classes(docs, corpus, clashing, nothing):
@@ -67,6 +72,8 @@ def test_one_of_each_class_stays(docs, nothing):
     n = X.near_duplicates(docs).select("class_id").distinct().count()
     assert kept.count() == n
     assert X.drop_near_duplicates(nothing).count() == 0
+    nameless = docs.limit(0).unionByName(docs.sparkSession.createDataFrame([(None, f"{i} other words than all the rest have", "en", "s", 1) for i in range(3)], docs.schema))
+    assert X.drop_near_duplicates(nameless).count() == 3
 
 
 def test_signature_estimates_probability_jaccard():

@@ -8,7 +8,8 @@ from conftest_llm import same
 from kinweave.llm import suffixes as X
 
 
-def brute(rows, n=50):
+def removed(rows, n=50):
+    """doc_id, bytes and a mark for each byte that goes, of each (doc_id, text)."""
     first = {}
     for d, t in rows:
         b = (t or "").encode()
@@ -16,18 +17,29 @@ def brute(rows, n=50):
         for p in range(len(b) - n + 1):
             k = b[p : p + n]
             first[k] = min(first.get(k, d), d)
-    out = []
     for d, t in rows:
         b, own = (t or "").encode(), X.LAST if d is None else d
         gone = bytearray(len(b))
         for p in range(len(b) - n + 1):
             if first[b[p : p + n]] < own:
                 gone[p : p + n] = b"\1" * n
+        yield d, b, gone
+
+
+def brute(rows, n=50):
+    out = []
+    for d, b, gone in removed(rows, n):
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         out.append((d, len(b), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
 
+def kept_text(rows):
+    """doc_id and remaining text of each row; a character that lost a byte is dropped, null stays null."""
+    marks = removed([r[:2] for r in rows])
+    return [(r[0], None if r[1] is None else bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")) for r, (_, b, gone) in zip(rows, marks, strict=True)]
+
+
 def test_against_brute_force(docs, corpus, clashing, nothing):
     got = X.repeats(docs)
     assert sorted(map(tuple, got.collect()), key=str) == brute([c[:2] for c in corpus])
