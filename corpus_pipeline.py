@@ -56,7 +56,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: No stage but mixing could be written in SQL; tests hold each against a brute-force version.
+#: No stage but mixing could be written in SQL; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
