@@ -88,8 +88,8 @@ def genres(t: dict[str, DataFrame], works: DataFrame) -> DataFrame | None:
     return None
 
 
-def documents(t: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """Nested documents in cohort order (pos), ids without an entity as placeholders with empty arrays."""
+def documents(t: dict[str, DataFrame], ids: DataFrame, arrays: tuple[str, ...] = ("works", "recordings", "releases")) -> DataFrame:
+    """Nested documents in cohort order (pos), ids without an entity as placeholders with empty arrays. Only the arrays asked for are built."""
     cohort = cohort_of(ids)
     inp = entities(t["artist"], cohort)
     area = t["area"].select(F.col("id").alias("aid"), F.col("name").alias("aname"))
@@ -108,11 +108,14 @@ def documents(t: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
     else:
         w = w.withColumn("collaborators", F.lit(None).cast(people))
     empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
-    work_rows = w.groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("work_id").alias("id"), F.col("work_name").alias("name"), "first_release_date", empty("genres", "array<string>").alias("genres"), empty("collaborators", people).alias("collaborators")))).alias("works"))
+    built = {}
+    built["works"] = lambda: w.groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("work_id").alias("id"), F.col("work_name").alias("name"), "first_release_date", empty("genres", "array<string>").alias("genres"), empty("collaborators", people).alias("collaborators")))).alias("works"))
     raw = raw_releases(t, works)
-    rec = raw.select("artist_id", F.col("rec_id").alias("id"), F.col("rec_name").alias("name"), "length_ms", "work_id", "release_id").distinct().groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "length_ms", "work_id", "release_id"))).alias("recordings"))
-    rel = flat_releases(raw).groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("release_id").alias("id"), "title", F.date_format("date", "yyyy-MM-dd").alias("date"), "release_group_id", "label_ids", "label_names"))).alias("releases"))
-    docs = places.join(roles(t, inp), "artist_id", "left").join(work_rows, "artist_id", "left").join(rec, "artist_id", "left").join(rel, "artist_id", "left")
+    built["recordings"] = lambda: raw.select("artist_id", F.col("rec_id").alias("id"), F.col("rec_name").alias("name"), "length_ms", "work_id", "release_id").distinct().groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "length_ms", "work_id", "release_id"))).alias("recordings"))
+    built["releases"] = lambda: flat_releases(raw).groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("release_id").alias("id"), "title", F.date_format("date", "yyyy-MM-dd").alias("date"), "release_group_id", "label_ids", "label_names"))).alias("releases"))
+    docs = places.join(roles(t, inp), "artist_id", "left")
+    for name in arrays:
+        docs = docs.join(built[name](), "artist_id", "left")
     return placeholders(cohort, docs.drop("pos", "artist_id", "area", "begin_area"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
-from kinweave.operators import catalog, early, relational
+from kinweave.operators import catalog, early, ergm, graph_build, matrix, model, relational
+from kinweave.plans import pipeline
 from kinweave.plans.entity_queries import read
 from kinweave.sources import platform, readers, sinks
 from kinweave.streaming import resume
@@ -74,8 +75,8 @@ def ids(spark, d) -> DataFrame:
     return one.union(again).union(strange).union(bad)
 
 
-def _documents(spark, d, optional: bool = True) -> DataFrame:
-    return catalog.documents(tables(spark, d, optional), ids(spark, d))
+def _documents(spark, d, *arrays: str, optional: bool = True) -> DataFrame:
+    return catalog.documents(tables(spark, d, optional), ids(spark, d), arrays or ("works", "recordings", "releases"))
 
 
 def catalog_entities(spark, d):
@@ -88,20 +89,20 @@ def _works(docs: DataFrame) -> DataFrame:
 
 
 def catalog_works(spark, d):
-    return _works(_documents(spark, d))
+    return _works(_documents(spark, d, "works"))
 
 
 def catalog_works_by_tags(spark, d):
     """Without the optional tables: tags are the genres, dates and collaborators are absent."""
-    return _works(_documents(spark, d, False))
+    return _works(_documents(spark, d, "works", optional=False))
 
 
 def catalog_recordings(spark, d):
-    return _documents(spark, d).select("mbid", F.inline("recordings")).withColumnRenamed("id", "rec_id")
+    return _documents(spark, d, "recordings").select("mbid", F.inline("recordings")).withColumnRenamed("id", "rec_id")
 
 
 def catalog_releases(spark, d):
-    r = _documents(spark, d).select("mbid", F.inline("releases")).withColumnRenamed("id", "release_id")
+    r = _documents(spark, d, "releases").select("mbid", F.inline("releases")).withColumnRenamed("id", "release_id")
     return r.withColumns({c: F.concat_ws("|", c) for c in ("label_ids", "label_names")})
 
 
@@ -121,7 +122,7 @@ def catalog_one_resource(spark, d):
 
 
 def early_song_features(spark, d):
-    return early.song_features(_documents(spark, d), 10).withColumnRenamed("artist", "mbid").withColumn("avg_collaborators", F.round("avg_collaborators", 6))
+    return early.song_features(_documents(spark, d, "works"), 10).withColumnRenamed("artist", "mbid").withColumn("avg_collaborators", F.round("avg_collaborators", 6))
 
 
 def _tracks(spark, d) -> DataFrame:
@@ -204,6 +205,75 @@ def alias_and_finite(spark, d):
     return p.select("p_partkey", S.alias_genre("g").alias("genre"), S.finite("x").alias("x"))
 
 
+# ---- documents to features, edges and model tables --------------------------------
+
+
+def accepted_documents(spark, d):
+    return pipeline.accepted(_documents(spark, d, "works")).select("mbid", F.size("works").cast("long").alias("n_works"))
+
+
+def cowork_edges(spark, d):
+    return graph_build.cowork_edges(cut(_documents(spark, d)))
+
+
+def metrics_by_platform_id(spark, d):
+    c = read(spark, d, "customer")
+    key = F.lpad(F.col("c_custkey").cast("string"), 22, "0")
+    links = c.where("c_custkey % 3 <> 0").select(_gid("c_custkey").alias("mbid"), F.concat(F.lit("https://x/artist/"), key, F.when(F.col("c_custkey") % 2 == 0, F.lit("?si=1")).otherwise(F.lit(""))).alias("url"))
+    fetched = c.select(F.when(F.col("c_custkey") % 5 != 0, key).alias("artist_id"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") * 2).alias("followers"), (F.col("c_custkey") % 100).alias("popularity"))
+    return pipeline.metrics_by_id(links, fetched)
+
+
+def prepared_covariates(spark, d):
+    """Real vertices and placeholders, of which nothing is known."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.abs("c_acctbal").alias("size"), (F.col("c_custkey") % 9 == 0).alias("placeholder"))
+    nodes = c.where("not placeholder").unionByName(c.where("placeholder").withColumn("size", F.lit(None).cast("double")))
+    return ergm.prepared(nodes, ["size"], "placeholder").select("node", "placeholder", F.round("size_z", 6).alias("size_z"))
+
+
+def category_codes(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")).alias("segment"))
+    return model.codes(c, ["segment"], c.where("segment <> 'MACHINERY'")).select("c_custkey", "segment_code")
+
+
+def sparse_columns_dropped(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).alias("rare"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("common"))
+    return relational.drop_sparse(c, 0.3)
+
+
+def feature_sets(spark, d):
+    sets = matrix.feature_sets([*read(spark, d, "customer").columns, "releases_total", "label_hhi", "degree", "kcore", "clust_local", "n2v_0"])
+    return spark.createDataFrame([(k, len(v), ",".join(v)) for k, v in sets.items()], "name string, n long, columns string")
+
+
+def parsed_params(spark, d):
+    got = model.parse_params({"model__max_depth": "8", "step__model__rate": "0.5", "name": "cat", "flag": "True"})
+    return spark.createDataFrame([(k, str(v)) for k, v in got.items()], "name string, value string")
+
+
+def canonical_labels(spark, d):
+    p = F.col("p_partkey")
+    names = F.when(p % 3 != 0, F.array("p_brand")).otherwise(F.array().cast("array<string>"))
+    ids_ = F.when(p % 2 == 0, F.array("p_type", "p_brand")).otherwise(F.array().cast("array<string>"))
+    x = read(spark, d, "part").select("p_partkey", names.alias("names"), ids_.alias("ids"))
+    return x.select("p_partkey", S.canonical_label(F.col("names"), F.col("ids")).alias("label"))
+
+
+def chart_data_written(spark, d):
+    path = scratch(spark, "chart")
+    o = read(spark, d, "orders")
+    sinks.chart_data({"prices": relational.histogram(o, "o_totalprice", 12, log=True), "status": o.groupBy("o_orderstatus").agg(F.count("*").alias("n"))}, path)
+    text = spark.read.text(path, wholetext=True).where("value <> ''")
+    got = text.select(F.explode(F.from_json("value", "map<string, array<map<string, string>>>")).alias("chart", "rows")).select("chart", F.explode("rows").alias("r"))
+    return got.select("chart", F.coalesce(F.col("r")["bin"], F.col("r")["o_orderstatus"]).alias("x"), F.col("r")["n"].try_cast("long").alias("n"))
+
+
+def example_written(spark, d):
+    path = scratch(spark, "example")
+    sinks.example(read(spark, d, "customer").select("c_name", "c_custkey"), "c_custkey", 20, path)
+    return readers.json_array(spark, path, "c_custkey long, c_name string")
+
+
 # ---- platforms' answers, as stored bodies ----------------------------------------
 
 
@@ -412,7 +482,8 @@ def saved_table(spark, d):
 NAMES = [
     catalog_entities, catalog_works, catalog_works_by_tags, catalog_recordings, catalog_releases, catalog_resources, catalog_resources_with_empty, catalog_one_resource,
     early_song_features, platform_works, relatives_of_item, subclass_closure, item_by_id, rich_lookup_fallback, claim_values, name_search, alias_and_finite,
-    platform_metrics, platform_albums_tracks, platform_popularity, platform_searches, platform_listeners, platform_chart, platform_top_tracks, platform_tracklists,
+    accepted_documents, cowork_edges, metrics_by_platform_id, prepared_covariates, category_codes, sparse_columns_dropped, feature_sets, parsed_params, canonical_labels,
+    chart_data_written, example_written, platform_metrics, platform_albums_tracks, platform_popularity, platform_searches, platform_listeners, platform_chart, platform_top_tracks, platform_tracklists,
     platform_relations, json_lines_tolerant, json_lines_skipped, json_lines_strict, raw_lines_kept, json_map_written, json_array_read, json_array_or_object, csv_round_trip, csv_as_text,
     csv_to_map, id_list_round_trip, dumped_ids, json_shards_round_trip, append_twice, streamed_once, saved_table,
 ]

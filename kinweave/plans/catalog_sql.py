@@ -74,4 +74,21 @@ t AS (SELECT 'al' || l_orderkey AS album_id, count(*) AS n_tracks, CAST(max(l_li
     "platform_top_tracks": """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS request, 'o' || o_orderkey AS name, o_orderkey % 50 AS playcount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 50 DESC, 'o' || o_orderkey) AS rank FROM orders) SELECT * FROM r WHERE rank <= 3""",
     "platform_tracklists": """SELECT CAST(l_orderkey AS VARCHAR) AS release_id, CAST(l_linenumber % 2 AS INTEGER) AS medium, CAST(l_linenumber AS INTEGER) AS position, 'r' || l_partkey AS recording_id, CASE WHEN l_suppkey % 2 = 0 THEN 'own' ELSE 'rec' END AS title, CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_quantity * 10 AS BIGINT) ELSE 77 END AS length_ms FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem)""",
     "platform_relations": """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 5 <> 0), a AS (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem) SELECT CAST(l_orderkey AS VARCHAR) AS recording_id, count(DISTINCT l.l_partkey) AS works, count(DISTINCT l_suppkey) AS authors, count(DISTINCT row(l_suppkey, l_returnflag)) AS credits FROM l JOIN a ON a.l_partkey = l.l_partkey GROUP BY l_orderkey""",
+    "accepted_documents": f"""WITH {WORKS}, f AS (SELECT l_partkey, min(CAST(l_shipdate AS DATE)) AS d FROM li WHERE l_partkey % 8 <> 0 GROUP BY 1), w AS (SELECT ws.artist, work_id, d FROM ws LEFT JOIN f ON f.l_partkey = work_id),
+s AS (SELECT artist, min(d) AS start, count(*) AS n FROM w GROUP BY 1), g AS (SELECT artist, d, row_number() OVER v AS i, date_diff('day', lag(d) OVER v, d) AS gap FROM w WHERE d IS NOT NULL WINDOW v AS (PARTITION BY artist ORDER BY d)),
+sane AS (SELECT artist FROM g GROUP BY artist HAVING count(*) < 3 OR max(CASE WHEN i IN (2, 3) THEN gap END) <= 7300)
+SELECT {_gid("s.artist")} AS mbid, n AS n_works FROM s WHERE start IS NOT NULL AND artist IN (SELECT artist FROM sane) AND EXISTS (SELECT 1 FROM w WHERE w.artist = s.artist AND work_id % 2 = 0 AND d <= start + 1825)""",
+    "cowork_edges": f"""WITH {RELS}, dated AS (SELECT artist, work_id FROM ws WHERE work_id % 8 <> 0 AND work_id IN (SELECT l_partkey FROM li) UNION SELECT rr.artist, work_id FROM rr JOIN ev ON ev.release = release_id WHERE date IS NOT NULL),
+p AS (SELECT artist, work_id, {_gid("artist")} AS n FROM dated UNION SELECT artist, work_id, 'm' || (work_id % 50) FROM dated WHERE work_id % 2 = 0 UNION SELECT artist, work_id, 'm' || (work_id % 7) FROM dated WHERE work_id % 2 = 0)
+SELECT x.n AS u, y.n AS v, count(*) AS weight FROM p x JOIN p y ON x.artist = y.artist AND x.work_id = y.work_id AND x.n < y.n GROUP BY 1, 2""",
+    "metrics_by_platform_id": f"""SELECT lpad(CAST(c_custkey AS VARCHAR), 22, '0') AS artist_id, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey * 2 ELSE 0 END AS followers, c_custkey % 100 AS popularity, {_gid("c_custkey")} AS artist_mbid FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0""",
+    "prepared_covariates": """WITH s AS (SELECT avg(ln(1 + abs(c_acctbal))) AS m, stddev_samp(ln(1 + abs(c_acctbal))) AS d FROM customer WHERE c_custkey % 9 <> 0) SELECT c_custkey AS node, c_custkey % 9 = 0 AS placeholder, CASE WHEN c_custkey % 9 = 0 THEN 0.0 ELSE round((ln(1 + abs(c_acctbal)) - m) / d, 6) END AS size_z FROM customer, s""",
+    "category_codes": """WITH v AS (SELECT c_mktsegment AS s, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS i FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 6 <> 0 AND c_mktsegment <> 'MACHINERY')) SELECT c_custkey, CASE WHEN c_custkey % 6 <> 0 THEN i END AS segment_code FROM customer LEFT JOIN v ON s = c_mktsegment""",
+    "sparse_columns_dropped": """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS common FROM customer""",
+    "feature_sets": """WITH g(name, i, c, n) AS (VALUES ('base', 1, 'releases_total,label_hhi', 2), ('graph', 2, 'clust_local,degree,kcore', 3), ('n2v', 3, 'n2v_0', 1))
+SELECT x.name AS name, CAST(x.n AS BIGINT) AS n, x.c AS columns FROM g x UNION ALL SELECT x.name || '+' || y.name, x.n + y.n, x.c || ',' || y.c FROM g x JOIN g y ON x.i < y.i UNION ALL SELECT 'base+graph+n2v', 6, 'releases_total,label_hhi,clust_local,degree,kcore,n2v_0'""",
+    "parsed_params": """SELECT * FROM (VALUES ('max_depth', '8'), ('rate', '0.5'), ('name', 'cat'), ('flag', 'True')) t(name, value)""",
+    "canonical_labels": """SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS label FROM part""",
+    "chart_data_written": """WITH x AS (SELECT log10(o_totalprice) AS x FROM orders WHERE o_totalprice > 0), s AS (SELECT min(x) AS lo, max(x) AS hi FROM x) SELECT 'prices' AS chart, CAST(CAST(least(floor((x - lo) / (hi - lo) * 12) + 1, 12) AS BIGINT) AS VARCHAR) AS x, count(*) AS n FROM x, s GROUP BY 2 UNION ALL SELECT 'status', o_orderstatus, count(*) FROM orders GROUP BY 2""",
+    "example_written": """SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20""",
 }

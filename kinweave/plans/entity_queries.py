@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import scalars as S
 from kinweave.operators import catalog, early, matrix, relational
 from kinweave.sources import readers
+from kinweave.validate import cut
 
 AS_OF = "2002-01-01"
 
@@ -78,7 +79,7 @@ def derived_work_dates(spark, d):
 
 
 def collab_rate(spark, d):
-    rec = recordings(spark, d)
+    rec = cut(recordings(spark, d).select("artist", "release_id", "l_partkey", "l_suppkey"))  # read four times
     work = F.struct("l_partkey", "l_suppkey")
     teams = rec.groupBy(work.alias("work")).agg(F.array_sort(F.collect_set("artist")).alias("collaborators"))
     inside = won(spark, d).select(F.col("id").alias("release_id"))

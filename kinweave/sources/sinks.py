@@ -39,6 +39,21 @@ def json_map(df: DataFrame, key: str, name: str, value: str, path: str) -> None:
     whole.write.text(path)
 
 
+def chart_data(frames: dict[str, DataFrame], path: str) -> None:
+    """{name: [{column: value}, ...]} of small aggregates as one JSON text, rows in order of their columns."""
+    one = None
+    for name, df in frames.items():
+        rows = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("t")).select(F.concat(F.lit(f'"{name}":'), "t").alias("t"))
+        one = rows if one is None else one.union(rows)
+    one.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("t")), ","), F.lit("}")).alias("value")).coalesce(1).write.text(path)
+
+
+def example(df: DataFrame, order: str, n: int, path: str) -> None:
+    """The first n rows as a JSON array in one text: a sample to look at."""
+    rows = df.orderBy(order).limit(n)
+    rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(order, *[c for c in df.columns if c != order])))).alias("value")).write.text(path)
+
+
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Append as JSON the rows whose key the folder doesn't have yet; running it twice writes nothing more."""
     spark = df.sparkSession
