@@ -49,6 +49,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(warc.load(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+_POWERS = " + ".join(f"coalesce(lead(c, {j}) OVER w, 0) * {pow(winnowing.BASE, 15 - j, winnowing.PRIME)}" for j in range(16))
+_LOW = (1 << winnowing.POSITION) - 1
+#: Every run of 16 characters by the definition of its polynomial, and every window of 32 of them.
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, coalesce(lead(t) OVER v, first_value(t) OVER v) AS nt, coalesce(lead(doc_id) OVER v, first_value(doc_id) OVER v) AS next_id FROM d WINDOW v AS (ORDER BY doc_id DESC)),
+e AS MATERIALIZED (SELECT doc_id, next_id, t, left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2) AS x FROM o),
+x AS (SELECT doc_id, 0 AS kind, t AS s FROM e UNION ALL SELECT doc_id, 1, x FROM e),
+c AS (SELECT doc_id, kind, length(s) AS n, unnest(range(length(s))) AS i, CAST(unicode(unnest(string_split(s, ''))) AS BIGINT) AS c FROM x WHERE s <> ''),
+h AS (SELECT doc_id, kind, n, i, ({_POWERS}) % {winnowing.PRIME} AS h FROM c WHERE n >= 16 WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+g AS (SELECT doc_id, kind, n, i, min(h * {_LOW + 1} + ({_LOW} - i)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS z FROM h WHERE i <= n - 16),
+f AS MATERIALIZED (SELECT DISTINCT doc_id, kind, z // {_LOW + 1} AS h, {_LOW} - z % {_LOW + 1} AS p FROM g WHERE i <= greatest(n - 47, 0)
+  UNION ALL SELECT doc_id, kind, list_reduce(list_prepend(0::BIGINT, list(c ORDER BY i)), lambda s, y: (s * {winnowing.BASE} + y + 1) % {winnowing.PRIME}), 0 FROM c WHERE n < 16 GROUP BY doc_id, kind),
+p AS (SELECT doc_id, kind, string_agg(printf('%X', h) || ':' || printf('%X', p), ' ' ORDER BY p) AS s FROM f GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT DISTINCT doc_id, kind, h FROM f), k AS (SELECT doc_id, kind, count(*) AS n FROM u GROUP BY 1, 2),
+se AS (SELECT a.doc_id, count(*) AS n FROM u a JOIN u b ON b.doc_id = a.doc_id AND b.kind = 1 AND b.h = a.h WHERE a.kind = 0 GROUP BY 1),
+sn AS (SELECT e.doc_id, count(*) AS n FROM e JOIN u a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN u b ON b.doc_id = e.next_id AND b.kind = 0 AND b.h = a.h GROUP BY 1),
+z AS (SELECT e.doc_id, length(t) AS n_chars, sha256(x) AS edited_sha256, coalesce(p.s, '') AS fingerprint, coalesce(q.s, '') AS edited_fingerprint, coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b, coalesce(c.n, 0) AS c, coalesce(se.n, 0) AS ab, coalesce(sn.n, 0) AS ac
+  FROM e LEFT JOIN p ON p.doc_id = e.doc_id AND p.kind = 0 LEFT JOIN p q ON q.doc_id = e.doc_id AND q.kind = 1 LEFT JOIN k a ON a.doc_id = e.doc_id AND a.kind = 0 LEFT JOIN k b ON b.doc_id = e.doc_id AND b.kind = 1
+  LEFT JOIN k c ON c.doc_id = e.next_id AND c.kind = 0 LEFT JOIN se ON se.doc_id = e.doc_id LEFT JOIN sn ON sn.doc_id = e.doc_id)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, CASE WHEN a + b - ab = 0 THEN 1.0 ELSE ab / CAST(a + b - ab AS DOUBLE) END AS near_edited, CASE WHEN a + c - ac = 0 THEN 1.0 ELSE ac / CAST(a + c - ac AS DOUBLE) END AS near_next FROM z
+"""
+
 #: All pairs of texts that share a run of five words, and reachability over those similar enough.
 OP2_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -127,6 +150,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_winnowing": OP1_SQL,
     "op2_minhash": OP2_SQL,
     "op4_line_rules": OP4_SQL,
     "op7_suffixes": OP7_SQL,

@@ -91,8 +91,11 @@ def choices(text: Column, how: Winnow = Winnow()) -> Column:
         placed = F.transform(h, lambda x, i: x * F.lit(1 << POSITION) + (last - i))
         return _let(placed, lambda g: F.when(F.size(g) < how.w, F.array(F.array_min(g))).otherwise(F.array_distinct(_doubled(g, how.w, lambda x, y, m: F.least(x, y)))))
 
+    def short(codes):  # of fewer than k characters
+        return F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: (s * F.lit(BASE) + x + 1) % F.lit(PRIME))
+
     def whole(codes):
-        return F.when(F.size(codes) >= how.k, _let(grams(codes), chosen)).otherwise(F.array(F.pmod(F.xxhash64(text), F.lit(PRIME)) * F.lit(1 << POSITION) + last))
+        return F.when(F.size(codes) >= how.k, _let(grams(codes), chosen)).otherwise(F.array(short(codes) * F.lit(1 << POSITION) + last))
 
     return F.when(text == "", F.array().cast("array<long>")).otherwise(_let(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")), whole))
 

@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import pytest
-import xxhash
 from conftest_llm import same
 from pyspark.sql import functions as F
 
@@ -46,7 +45,7 @@ def brute(text, how=X.Winnow()):
     if not text:
         return []
     if len(text) < k:
-        return [(xxhash.xxh64(text.encode(), seed=42).intdigest() % X.PRIME, 0)] if xxhash.xxh64(text.encode(), seed=42).intdigest() < 1 << 63 else [((xxhash.xxh64(text.encode(), seed=42).intdigest() - (1 << 64)) % X.PRIME, 0)]
+        return [(sum((ord(c) + 1) * X.BASE ** (len(text) - 1 - j) for j, c in enumerate(text)) % X.PRIME, 0)]
     h = [sum(ord(c) * pow(X.BASE, k - 1 - j, X.PRIME) for j, c in enumerate(text[i : i + k])) % X.PRIME for i in range(len(text) - k + 1)]
     out = []
     for i in range(max(1, len(h) - w + 1)):
