@@ -160,3 +160,12 @@ def test_lookups_are_validated(spark):
     facts = spark.createDataFrame([("Q1", "P434", "0" * 8 + "-0000-0000-0000-" + "0" * 12)], "item string, property string, value string")
     assert catalog.lookup_by_id(facts, facts.first().value).first().item == "Q1"
     assert catalog.lookup_by_id(facts, "' or 1=1").count() == 0
+
+
+def test_hits_at_one_place(spark):
+    """Of hits at one place (and of one score) the shortest, then the smallest id is taken, in whatever order rows come."""
+    rows = [("q", 5, f"o{i}", 30) for i in (100_008, 7, 200_011, 5)] + [("q", 9, "o1", 20), ("r", 2, "b", 40), ("r", 2, "a", 40), ("s", 1, None, 50), ("s", 1, "z", 50)]
+    for order in (rows, rows[::-1]):
+        hits = spark.createDataFrame([(q, n, json.dumps({"id": i, "score": score})) for q, n, i, score in order], "request string, ordinal long, body string").coalesce(1)
+        for got in (platform.first_hit(hits), platform.best_hit(hits)):
+            assert {r.request: r.id for r in got.collect()} == {"q": "o5", "r": "a", "s": "z"}
