@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.operators import catalog, matrix
 from kinweave.sources import http, platform, readers, sinks
@@ -169,3 +170,13 @@ def test_hits_at_one_place(spark):
         hits = spark.createDataFrame([(q, n, json.dumps({"id": i, "score": score})) for q, n, i, score in order], "request string, ordinal long, body string").coalesce(1)
         for got in (platform.first_hit(hits), platform.best_hit(hits)):
             assert {r.request: r.id for r in got.collect()} == {"q": "o5", "r": "a", "s": "z"}
+
+
+def test_credits_are_counted_in_rounds(spark):
+    """Works, authors and credits of each recording, nulls and repeats as in a count of distinct values; no join holds a recording's credits one a row."""
+    recorded = spark.createDataFrame([(f"r{i % 7}", f"w{i % 5}") for i in range(40)] + [("r0", None), ("lone", "nobody")], "recording_id string, work_id string")
+    credited = spark.createDataFrame([(f"w{i % 5}", f"m{i % 3}" if i % 4 else None, "ab"[i % 2] if i % 3 else None) for i in range(30)], "work_id string, mbid string, relation string")
+    plain = recorded.join(credited, "work_id").groupBy("recording_id").agg(F.countDistinct("work_id"), F.countDistinct("mbid"), F.countDistinct("mbid", "relation"))
+    got = platform.credit_counts(recorded, credited, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.columns == ["recording_id", "works", "authors", "credits"]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
