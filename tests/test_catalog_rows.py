@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from kinweave.operators import catalog
 from kinweave.plans import catalog_queries as Q
+from kinweave.validate import cut
 
 DATA = __spark_entry__.TESTDATA
 
@@ -22,3 +24,23 @@ def test_recordings_are_no_arrays(spark):
     nested = Q._documents(spark, DATA, "recordings").select("mbid", F.inline("recordings")).withColumnRenamed("id", "rec_id")
     assert "Aggregate" not in plan(got) and "Generate" not in plan(got)
     assert got.columns == nested.columns and rows(got) == rows(nested)
+
+
+def test_entities_are_counted(spark):
+    """Counts without documents; before, all recordings and releases of each artist were nested to be counted."""
+    got = Q.catalog_entities(spark, DATA)
+    nested = catalog.nested_counts(Q._documents(spark, DATA), ["artist_name", "country", "region_city", "roles", "pos"])
+    assert "collect_list" not in plan(got)
+    assert got.columns == nested.columns and rows(got) == rows(nested)
+
+
+def test_shared_releases_count_once(spark):
+    """An artist with two works on one release has it once; in rounds that hold some, or no, artists."""
+    owned = spark.createDataFrame([(a, bytes([a] * 16), w) for a in (1, 2, 3) for w in (10, 11, 12) if a + w != 15], "artist_id long, id16 binary, work_id long")
+    listed = cut(spark.createDataFrame([(10, 1, "x", 5, 7), (11, 2, "y", None, 7), (12, 3, "z", 6, 7), (12, 3, "z", 6, 8), (10, 4, "v", 1, 7)], "work_id long, rec_id long, rec_name string, length_ms long, release_id long"))
+    mbid = {a: "-".join([f"{a:02x}" * 4, *[f"{a:02x}" * 2] * 3, f"{a:02x}" * 6]) for a in (1, 2, 3, 4)}
+    cohort = spark.createDataFrame([(m, a) for a, m in mbid.items()], "mbid string, pos long")
+    described = spark.createDataFrame([(a, mbid[a], f"n{a}", 0) for a in (1, 2, 3)], "artist_id long, mbid string, artist_name string, pos long")
+    work = spark.createDataFrame([(w, "") for w in (10, 11, 12)], "id long, name string")
+    got = catalog.entity_counts(cohort, described, owned, listed, work, 5).collect()
+    assert [tuple(r)[1:] for r in got] == [("n1", 1, 3, 5, 2, 18.0), ("n2", 2, 3, 5, 2, 18.0), ("n3", 3, 2, 3, 1, 6.0), (None, 4, 0, 0, 0, 0.0)]
