@@ -44,3 +44,12 @@ def test_shared_releases_count_once(spark):
     work = spark.createDataFrame([(w, "") for w in (10, 11, 12)], "id long, name string")
     got = catalog.entity_counts(cohort, described, owned, listed, work, 5).collect()
     assert [tuple(r)[1:] for r in got] == [("n1", 1, 3, 5, 2, 18.0), ("n2", 2, 3, 5, 2, 18.0), ("n3", 3, 2, 3, 1, 6.0), (None, 4, 0, 0, 0, 0.0)]
+
+
+def test_releases_are_no_arrays(spark):
+    """Releases one a row, equal to the nested ones; before, all were nested for each artist."""
+    got = Q.catalog_releases(spark, DATA)
+    nested = Q._documents(spark, DATA, "releases").select("mbid", F.inline("releases")).withColumnRenamed("id", "release_id")
+    nested = nested.withColumns({c: F.concat_ws("|", c) for c in ("label_ids", "label_names")})
+    assert "inline" not in plan(got)
+    assert got.columns == nested.columns and rows(got) == rows(nested)
