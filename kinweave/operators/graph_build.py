@@ -16,6 +16,8 @@ from kinweave.functions import scalars as S
 
 #: Participants of a work that one task pairs with all others of it.
 BLOCK = 1024
+#: People of a work whose pairs are made from one row.
+PEOPLE = 64
 
 
 def _pairs(m: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +51,21 @@ def cowork_edges(docs: DataFrame) -> DataFrame:
     return pair_counts(dated.select("owner", "work", F.explode(people).alias("person")), ["owner", "work"], "person")
 
 
+def _pairs_of_arrays(rows: DataFrame, keys: list[str], people: str) -> DataFrame:
+    """u < v: all pairs of each row's distinct people, one row each; long arrays are dealt to blocks."""
+    inside = F.explode(F.flatten(F.transform(people, lambda x, i: F.transform(F.slice(F.col(people), i + 2, F.size(people)), lambda y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))))))
+    short = rows.where(F.size(people) <= PEOPLE).select(inside.alias("p")).select("p.u", "p.v")
+    long = rows.where(F.size(people) > PEOPLE).select(*keys, F.explode(people).alias("n"))
+    return short.union(_pairs(long, keys).select("u", "v"))
+
+
+def owned_work_edges(owned: DataFrame, works: DataFrame, owner: Column) -> DataFrame:
+    """cowork_edges() without documents. owned: work and what `owner` is made of after the join, once each; works: work, people, one row for each dated work (of any owner)."""
+    people = F.array_distinct(F.array_compact(F.array_union(F.array("owner"), F.coalesce("people", F.array().cast("array<string>")))))
+    rows = owned.join(works, "work").withColumn("owner", owner).select("owner", "work", people.alias("people"))
+    return _pairs_of_arrays(rows, ["owner", "work"], "people").groupBy("u", "v").agg(F.count("*").alias("weight"))
+
+
 def size_adjusted_edges(members: DataFrame, key: str | list[str], node: str) -> DataFrame:
     """Edges whose weight from a work of n participants is 1 / (n - 1)."""
     keys = [key] if isinstance(key, str) else key

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from kinweave.operators import catalog
+from kinweave.operators import catalog, graph_build
 from kinweave.plans import catalog_queries as Q
 from kinweave.validate import cut
 
@@ -53,3 +53,13 @@ def test_releases_are_no_arrays(spark):
     nested = nested.withColumns({c: F.concat_ws("|", c) for c in ("label_ids", "label_names")})
     assert "inline" not in plan(got)
     assert got.columns == nested.columns and rows(got) == rows(nested)
+
+
+def test_edges_without_documents(spark, monkeypatch):
+    """Edges of the catalog equal those of nested documents, with long lists of people dealt to blocks too."""
+    want = rows(graph_build.cowork_edges(Q._documents(spark, DATA)))
+    got = Q.cowork_edges(spark, DATA)
+    assert "releases" not in plan(got) and "recordings" not in plan(got)
+    assert rows(got) == want
+    monkeypatch.setattr(graph_build, "PEOPLE", 2)
+    assert rows(Q.cowork_edges(spark, DATA)) == want
