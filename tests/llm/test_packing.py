@@ -28,6 +28,27 @@ def test_ids_by_the_contract():
     assert b(f"hi {end} there").tolist() == [5303, 220, 50256, 612]
 
 
+RUN = 3_000_000
+LONG = ["a" * RUN, "\n" * RUN, " " * RUN, "\t" * RUN, "\u2003" * (RUN // 3), f"one two{' ' * RUN}<|endoftext|> three.", "\r\n" * (RUN // 2) + "x", ("word" + "\n" * 150_000) * 5, "." * RUN, "7" * RUN]
+
+
+def test_long_runs(spark):
+    """Runs of three million characters: every id is there, in pieces of the contract's ids."""
+    contract = contract_ids()
+    assert all(FAST(t).tolist() == contract(t) for t in ("x" + " " * n for n in (X.LONG_RUN - 1, X.LONG_RUN, X.LONG_RUN + 1)))
+    rows = [(i, t) for i, t in enumerate([*LONG, "short", None, ""])]
+    pieces = {}
+    for r in X.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert len(pieces) == len(rows)
+    for i, t in rows:
+        ids, at = np.array([*contract(t or ""), 0], "<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", " ", "\n", "  ", "'s", "12", "é"]), st.text(max_size=6)), max_size=12))
 def test_ids_of_any_text(parts):
