@@ -31,8 +31,8 @@ that is an address or has one label is its own registered domain, with suffix ''
 An outcome belongs to the page of the same number; it is bad if any of its label
 rows has quality 0 or toxic 1; label rows with neither value count nowhere. Rows
 with equal page_id are separate pages that share outcomes; pages without page_id
-have none. No labels: the rate of all is 1/2 with no weight but the prior's, and
-nothing is blocked. No pages, no rows. Other columns are not read.
+have none. No labels: the rate of all is base_rate, and no host's bound is above
+max_bad. No pages, no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -61,6 +61,8 @@ class Reputation:
     suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")  # public suffixes of two labels
     max_bad: float = 0.3
     z: float = 1.6448536269514722  # 95 % of a normal distribution lie above its mean less z
+    base_rate: float = 0.1  # of all pages, worth base_weight outcomes
+    base_weight: float = 2.0
     rho_least: float = 0.001
     rho_most: float = 0.5
     rho_unknown: float = 0.05
@@ -157,7 +159,7 @@ def reputations(parsed: DataFrame, seen: DataFrame, how: Reputation = Reputation
     domains = C.materialise(hosts.groupBy("domain", "suffix").agg(*sums), "domain-outcomes")
     suffixes = domains.groupBy("suffix").agg(*sums)
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-    rate = (whole.k + 1.0) / (whole.n + 2.0)
+    rate = (whole.k + how.base_weight * how.base_rate) / (whole.n + how.base_weight)
     weight = {level: (1.0 - rho) / rho for level, rho in (("suffix", _spread(suffixes.withColumn("all", F.lit(0)), "all", how)), ("domain", _spread(domains, "suffix", how)), ("host", _spread(hosts, "domain", how)))}
     shrunk = lambda prior, w: (F.lit(w) * prior + F.col("k")) / (F.lit(w) + F.col("n"))
     suffixes = suffixes.withColumn("suffix_rate", shrunk(F.lit(rate), weight["suffix"])).select("suffix", "suffix_rate", "children")

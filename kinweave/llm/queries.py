@@ -181,7 +181,7 @@ h1 AS (SELECT *, regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') OR
 h AS MATERIALIZED (SELECT name, n, k, CASE WHEN own THEN name WHEN two THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain, CASE WHEN own THEN '' WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h1),
 d AS MATERIALIZED (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
 s AS MATERIALIZED (SELECT suffix, 0 AS whole, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
-w AS (SELECT {_weight("s", "whole")} AS ws, {_weight("d", "suffix")} AS wd, {_weight("h", "domain")} AS wh, (SELECT (coalesce(sum(k), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) FROM s) AS rate),
+w AS (SELECT {_weight("s", "whole")} AS ws, {_weight("d", "suffix")} AS wd, {_weight("h", "domain")} AS wh, (SELECT (coalesce(sum(k), 0) + {_HOW.base_weight * _HOW.base_rate}) / (coalesce(sum(n), 0) + {_HOW.base_weight}) FROM s) AS rate),
 b AS (SELECT name, wh * dr + h.k AS a, wh * (1 - dr) + h.n - h.k AS b FROM h JOIN (SELECT domain, (wd * sr + d.k) / (wd + d.n) AS dr FROM d JOIN (SELECT suffix, (ws * rate + s.k) / (ws + s.n) AS sr FROM s, w) USING (suffix), w) USING (domain), w),
 v AS (SELECT name, 1 / (1 + exp(-({_digamma("a")} - {_digamma("b")} - {_HOW.z} * sqrt({_trigamma("a")} + {_trigamma("b")})))) > {_HOW.max_bad} AS blocked FROM b)
 SELECT p.page_id, p.host, p.path, x.h || x.p AS rule, CASE WHEN x IS NOT NULL AND x.h IS NOT NULL THEN x.v WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
