@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -17,12 +18,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Scratch paths of this driver that sweep() may delete.
-_made: list[str] = []
+#: Lists that scratch paths are kept in for their owners to sweep, the innermost last; none outside collecting(). (A plain list: this module goes to workers by value.)
+_owners: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting(made: list[str]):
+    """Scratch paths made inside go to `made`, and to no other list."""
+    _owners.append(made)
+    try:
+        yield
+    finally:
+        _owners.pop()
 
 
 def scratch_dir(spark: SparkSession, name: str, swept: bool = True) -> str:
-    """A new path below spark.checkpoint.dir, deleted when the driver ends, or by sweep() before.
+    """A new path below spark.checkpoint.dir, deleted when the driver ends, or before by whoever collects it and sweeps.
 
     Where the setting is absent a local master gets one local folder; a cluster's executors could not read that, so there it is an error.
     """
@@ -38,15 +49,15 @@ def scratch_dir(spark: SparkSession, name: str, swept: bool = True) -> str:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    if swept:
-        _made.append(path)
+    if swept and _owners:
+        _owners[-1].append(path)
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all scratch tables made so far: for a caller whose results so far are all written elsewhere."""
-    while _made:
-        drop_path(spark, _made.pop())
+def sweep(spark: SparkSession, made: list[str]) -> None:
+    """Delete collected scratch tables: for a caller whose results from them are all written elsewhere. Others' tables stay."""
+    while made:
+        drop_path(spark, made.pop())
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -11,7 +11,7 @@ import xxhash
 from conftest_llm import words_of
 
 import corpus_pipeline as P
-from kinweave.llm import langid, mixing, queries
+from kinweave.llm import langid, mixing, packing, queries
 
 
 def test_stages(spark, docs, clashing, nothing, tmp_path):
@@ -28,6 +28,23 @@ def test_stages(spark, docs, clashing, nothing, tmp_path):
         assert (df.count() > 0) == (start is not nothing)
 
 
+def test_other_results_outlive_stages(spark, docs):
+    """Frames held unread keep their scratch tables while stages run: those of queries, and those of another run."""
+    before = list(P._alone)
+    held = packing.pack(docs)
+    assert P._alone == before
+    token = P._of_run.set([])
+    of_run = P.packed_sequences(spark, docs, "")
+    P._of_run.reset(token)
+    alone = P.packed_sequences(spark, docs, "")
+    made = list(P._alone)
+    P.mixing_sources(spark, docs, "").count()
+    assert made and not set(made) & set(P._alone)  # swept by the next stage
+    assert held.count() == of_run.count() > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        alone.count()
+
+
 # ---- brute-force versions of the stages, on lists of rows (doc_id, text, lang, source, n_chars) ----
 
 
