@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators import order_statistics
 from kinweave.operators.graph_build import vertices
 
 
@@ -39,7 +40,10 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def degree_summary(edges: DataFrame) -> DataFrame:
-    return degree(edges).agg(F.avg("degree").alias("mean_degree"), F.median("degree").alias("median_degree"), F.max("degree").alias("max_degree"), F.var_pop("degree").alias("var_degree"))
+    d = degree(edges)
+    plain = d.agg(F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"), F.var_pop("degree").alias("var_degree"))
+    middle = order_statistics.percentiles(d, "degree", {"median_degree": 0.5})
+    return plain.join(F.broadcast(middle), F.lit(True), "left").select("mean_degree", "median_degree", "max_degree", "var_degree")  # one row each
 
 
 def triangles(edges: DataFrame) -> DataFrame:

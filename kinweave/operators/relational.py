@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kinweave.operators import order_statistics
+
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the last by an explicit order: an aggregation, so no key's rows are sorted."""
@@ -50,15 +52,16 @@ def threshold_profile(df: DataFrame, keys: list[str], column: str, thresholds: d
 def yearly_profile(first: DataFrame, column: str) -> DataFrame:
     """first: one row for each item, with its earliest year. year, n, mean_, median_, min_, max_, and the quartiles p25 and p75 by nearest rank.
 
-    The two ranks are found by numbering a year's values, so no year is gathered.
+    Ranks and median are found by counts over intervals, so no year is sorted or gathered.
     """
-    n = F.count("*").over(W.partitionBy("year"))
-    ranked = first.where(F.col(column).isNotNull()).withColumn("__i", F.row_number().over(W.partitionBy("year").orderBy(column))).withColumn("__n", n)
-    at = lambda p: F.least(F.col("__n"), F.greatest(F.lit(1).cast("bigint"), F.bround(F.lit(p) * (F.col("__n") + 1)).cast("bigint")))
-    return ranked.groupBy("year").agg(
-        F.count("*").alias("n"), F.avg(column).alias(f"mean_{column}"), F.percentile(column, F.lit(0.5)).alias(f"median_{column}"), F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"),
-        F.max(F.when(F.col("__i") == at(0.25), F.col(column))).alias("p25"), F.max(F.when(F.col("__i") == at(0.75), F.col(column))).alias("p75"),
-    )
+    some = first.where(F.col(column).isNotNull())
+    plain = some.groupBy("year").agg(F.count("*").alias("n"), F.avg(column).alias(f"mean_{column}"), F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"))
+    middle = order_statistics.percentiles(some, column, {f"median_{column}": 0.5}, ["year"])
+    ranks = order_statistics.nearest_ranks(some, column, {"p25": 0.25, "p75": 0.75}, ["year"])
+    for more in (middle, ranks):
+        more = more.withColumnRenamed("year", "__y")
+        plain = plain.join(more, F.col("year").eqNullSafe(F.col("__y"))).drop("__y")
+    return plain.select("year", "n", f"mean_{column}", f"median_{column}", f"min_{column}", f"max_{column}", "p25", "p75")
 
 
 def id_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -91,7 +94,7 @@ def top_or_other(df: DataFrame, column: str, k: int = 10, other: str = "Other")
 
 def below_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """Rows up to the exact quantile (linear interpolation) of a column."""
-    cutoff = df.agg(F.percentile(column, F.lit(q)).alias("__q"))
+    cutoff = order_statistics.percentiles(df, column, {"__q": q})
     return df.join(F.broadcast(cutoff), F.col(column) <= F.col("__q")).drop("__q")  # one row
 
 
@@ -114,18 +117,17 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quantile_bins(df: DataFrame, column: str, q: int = 10) -> DataFrame:
     """bin 0..q-1 by exact quantile edges, right-closed as the usual library cut; equal edges are merged."""
-    probs = [i / q for i in range(q + 1)]
-    e = df.agg(F.array_distinct(F.percentile(column, F.array(*map(F.lit, probs)))).alias("__e"))
-    j = df.join(F.broadcast(e), F.lit(True))  # one row
+    edges = {f"__e{i}": i / q for i in range(q + 1)}
+    e = order_statistics.percentiles(df, column, edges).select(F.array_distinct(F.array(*edges)).alias("__e"))
+    j = df.join(F.broadcast(e), F.lit(True), "left")  # one row
     inner = F.slice("__e", F.lit(2), F.greatest(F.size("__e") - 2, F.lit(0)))
     return j.withColumn("bin", F.size(F.filter(inner, lambda x: x < F.col(column)))).drop("__e")
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """is_test: in each stratum the floor(share * n) rows of smallest hash."""
-    by = W.partitionBy(stratum)
-    rank = F.row_number().over(by.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn("is_test", rank <= F.floor(F.count("*").over(by) * F.lit(share)))
+    rank = order_statistics.numbered(df, [stratum], F.xxhash64(F.col(key), F.lit(seed)), [key], "__rank")
+    return rank.withColumn("is_test", F.col("__rank") <= F.floor(F.col("__group_n") * F.lit(share))).select(*df.columns, "is_test")
 
 
 def not_done(todo: DataFrame, done: DataFrame, id_column: str, name_column: str | None = None) -> DataFrame:
@@ -177,7 +179,9 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def ranking_summary(df: DataFrame, score: str, k: int = 10) -> DataFrame:
     """pool, mean, median, and the mean of the k best."""
     top = df.orderBy(F.col(score).desc_nulls_last()).limit(k).agg(F.avg(score).alias("top_mean"))
-    return df.agg(F.count("*").alias("pool"), F.avg(score).alias("mean_score"), F.median(score).alias("median_score")).join(F.broadcast(top), F.lit(True))  # one row
+    middle = order_statistics.percentiles(df, score, {"median_score": 0.5})
+    plain = df.agg(F.count("*").alias("pool"), F.avg(score).alias("mean_score"))
+    return plain.join(F.broadcast(middle), F.lit(True), "left").join(F.broadcast(top), F.lit(True)).select("pool", "mean_score", "median_score", "top_mean")  # one row each
 
 
 def template_rows(missing: DataFrame, edges: DataFrame, features: DataFrame, key: str) -> DataFrame:
