@@ -3,7 +3,8 @@
 The adjacency goes to every task as a compressed row array, so its size is
 checked first: up to HELD_EDGES edges (two ints each), whose vertices' names take
 up to HELD_BYTES, are broadcast, and tasks work through blocks of sources. Beyond that, distances come from frontier joins
-(`distances_by_joins`), which need no task to hold the graph.
+(`distances_by_joins`) and dependencies from the same joins walked back (`dependencies_by_joins`), batches of sources at
+a time, which need no task to hold the graph. `neighbourhoods` gives all vertices' distances approximately, by sketches.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from kinweave.validate import cut, forget
 
 HELD_EDGES = 20_000_000
 HELD_BYTES = 1 << 30
+#: Pairs of source and vertex that a batch of sources may make in tables.
+BATCH_PAIRS = 1 << 31
 
 
 class Csr:
@@ -126,6 +129,52 @@ def distances_by_joins(edges: DataFrame, from_nodes: DataFrame) -> DataFrame:
         before, front, seen = front, new, seen.union(new)
 
 
+def dependencies_by_joins(edges: DataFrame, from_nodes: DataFrame, batch_pairs: int | None = None) -> DataFrame:
+    """node, b: Brandes' dependencies of the sources, summed, by tables.
+
+    Forward, frontiers carry their path counts along the edges, level by level;
+    back, each level's vertices hand (1 + dependency) / paths to those of the
+    level before that they are linked to. A level is a written table of (source,
+    node), so a task has a partition of it, and sources go in batches of at most
+    batch_pairs such rows.
+    """
+    a = cut(both_ways(edges))
+    n, k = vertices(edges).count(), from_nodes.count()
+    batches = max(1, -(-n * k // (batch_pairs or BATCH_PAIRS)))
+    sums = []
+    for i in range(batches):
+        own = from_nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == i)
+        levels = [cut(own.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+        while True:
+            new = levels[-1].select("source", F.col("node").alias("src"), "paths").join(a, "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            for known in levels[-2:]:  # a neighbour is at most one level up
+                new = new.join(known.select("source", "node"), ["source", "node"], "left_anti")
+            new = cut(new)
+            if new.isEmpty():
+                forget(new)
+                break
+            levels.append(new)
+        below = None
+        for level in reversed(levels[1:]):
+            here = level if below is None else level.join(below.select("source", F.col("dst").alias("node"), "x"), ["source", "node"], "left")
+            here = here.select("source", "node", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0)) if below is not None else F.lit(0.0)).alias("delta"))
+            here = cut(here)
+            sums.append(cut(here.groupBy("node").agg(F.sum("delta").alias("b"))))
+            up = here.select("source", F.col("node").alias("src"), ((1 + F.col("delta")) / F.col("paths")).alias("x")).join(a, "src").groupBy("source", "dst").agg(F.sum("x").alias("x"))
+            if below is not None:
+                forget(below, held_here)
+            below, held_here = cut(up), here
+        if below is not None:
+            forget(below, held_here)
+        forget(*levels)
+    if not sums:
+        return from_nodes.select("node", F.lit(0.0).alias("b"))
+    total = sums[0]
+    for x in sums[1:]:
+        total = total.union(x)
+    return total.groupBy("node").agg(F.sum("b").alias("b"))
+
+
 def _reach(edges: DataFrame, from_nodes: DataFrame, own: bool) -> DataFrame:
     """node, r, d: how many sources a node reaches and the sum of their distances; own: a source's own figures over all that it reaches.
 
@@ -179,15 +228,18 @@ def betweenness(edges: DataFrame, k: int | None = 256, seed: int = 0) -> DataFra
     """node, betweenness, normalised; exact if k is None or no less than the number of vertices.
 
     Sources are shared out to tasks, and each task adds up its own dependencies
-    before anything is sent.
+    before anything is sent. Of a graph too large for a task, dependencies are
+    found by tables.
     """
-    g = held(edges)
-    if g is None:
-        raise ValueError(f"betweenness needs the graph in a task's memory: over {HELD_EDGES} edges, use a sample of the graph")
-    kind, n = dict(edges.dtypes)["u"], len(g.nodes)
-    shared = edges.sparkSession.sparkContext.broadcast((g.nodes, g.to, g.at))
+    g, kind = held(edges), dict(edges.dtypes)["u"]
+    n = vertices(edges).count() if g is None else len(g.nodes)
     used = n if k is None else min(k, n)
     scale = (n / used) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    from_nodes = sources(edges, None if used == n else used, seed)
+    if g is None:
+        total = dependencies_by_joins(edges, cut(from_nodes)).select("node", (F.col("b") * scale).alias("betweenness"))
+        return vertices(edges).join(total, "node", "left").fillna(0.0, ["betweenness"])
+    shared = edges.sparkSession.sparkContext.broadcast((g.nodes, g.to, g.at))
 
     def run(batches):
         import pandas as pd
@@ -202,7 +254,6 @@ def betweenness(edges: DataFrame, k: int | None = 256, seed: int = 0) -> DataFra
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"node": names[hit], "b": total[hit]})
 
-    from_nodes = sources(edges, None if used == n else used, seed)
     parts = from_nodes.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"node {kind}, b double")
     total = parts.groupBy("node").agg((F.sum("b") * scale).alias("betweenness"))
     return vertices(edges).join(total, "node", "left").fillna(0.0, ["betweenness"])
@@ -253,26 +304,119 @@ def approximate_diameter(edges: DataFrame, start) -> int:
     return int(far["distance"])
 
 
-def diameters(edges: DataFrame) -> DataFrame:
-    """component, diameter: the exact greatest distance inside each component, by a search from every vertex."""
+def diameters(edges: DataFrame, searches: int = 8, held_bounds: dict | None = None) -> DataFrame:
+    """component, diameter: the exact greatest distance inside each component.
+
+    Every search from a source s bounds all vertices of its component: with
+    e the greatest distance from s and d that of a vertex, its own greatest
+    distance is at least max(d, e - d) and at most d + e. A component is done once
+    no upper bound is above its greatest lower bound; until then it is searched
+    from the vertices of greatest upper and least lower bound and, after four rounds, from about
+    `searches` more of those still in question, drawn by a hash, twice as many each round.
+    held_bounds, if given, gets the number of searches.
+    """
     from kinweave.operators.graph_iterate import connected_components
 
-    g, kind = held(edges), dict(edges.dtypes)["u"]
-    of = connected_components(edges).select("node", "component")
-    if g is None:
-        far = distances_by_joins(edges, vertices(edges)).groupBy(F.col("source").alias("node")).agg(F.max("distance").alias("far"))
-    else:
-        shared = edges.sparkSession.sparkContext.broadcast((g.nodes, g.to, g.at))
+    g = held(edges)
+    shared = None if g is None else edges.sparkSession.sparkContext.broadcast((g.nodes, g.to, g.at))
+    of = connected_components(edges).select("node", "component", "component_size")
+    links = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("links"))
+    state = cut(of.join(links, "node").select("node", "component", "links", F.lit(0).cast("long").alias("low"), (F.col("component_size") - 1).alias("high")))
+    done, used, step = None, 0, 0
+    while True:
+        best = state.groupBy("component").agg(F.max("low").alias("diameter"), F.max("high").alias("most"))
+        over = cut(best.where("diameter >= most").select("component", "diameter"))
+        done = over if done is None else done.union(over)
+        unsure = state.join(best.where("diameter < most").select("component", "diameter"), "component")
+        state, before = cut(unsure.where("high > diameter OR low = diameter").drop("diameter")), state  # others can neither raise the diameter nor hold it
+        forget(before)
+        if state.isEmpty():
+            if held_bounds is not None:
+                held_bounds["searches"] = used
+            return done
+        tie = F.md5(F.col("node").cast("string"))
+        per = state.groupBy("component").agg(
+            F.max_by("node", F.struct("high", "links", tie)).alias("far"), F.min_by("node", F.struct("low", -F.col("links"), tie)).alias("near"), F.count("*").alias("n")
+        )
+        drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 20)) < F.lit(float(searches << min(max(step - 4, 0), 20))) / F.col("n") * F.lit(1 << 20)
+        more = state.where("high > low").join(per.select("component", "n"), "component").where(drawn).select("node") if step >= 4 else state.select("node").limit(0)
+        chosen = cut(per.select(F.explode(F.array("far", "near")).alias("node")).union(more).distinct())
+        used += chosen.count()
+        bounds = _bounds(edges, chosen, shared)
+        after = state.join(bounds, "node", "left").select("node", "component", "links", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high"))
+        # the greatest lower bound may lie at a vertex that is out of question already
+        state, before = cut(after.withColumn("high", F.greatest("low", "high"))), state
+        forget(before, chosen)
+        step += 1
 
-        def run(batches):
-            import pandas as pd
 
-            nodes, to, at = shared.value
-            c = Csr.__new__(Csr)
-            c.nodes, c.to, c.at = nodes, to, at
-            names = np.array(nodes)
-            for pdf in batches:
-                yield pd.DataFrame({"node": pdf["node"], "far": [len(c.levels(int(np.searchsorted(names, s)))[1]) - 1 for s in pdf["node"]]})
+def _bounds(edges: DataFrame, from_nodes: DataFrame, shared) -> DataFrame:
+    """node, l, h: bounds of a vertex's greatest distance by the sources that reach it. shared: the graph for tasks to hold, or None."""
+    if shared is None:
+        found = cut(distances_by_joins(edges, from_nodes))
+        reach = found.groupBy("source").agg(F.max("distance").alias("e"))
+        return found.join(reach, "source").groupBy("node").agg(F.max(F.greatest("distance", F.col("e") - F.col("distance"))).alias("l"), F.min(F.col("distance") + F.col("e")).alias("h"))
+
+    def run(batches):
+        import pandas as pd
+
+        nodes, to, at = shared.value
+        c = Csr.__new__(Csr)
+        c.nodes, c.to, c.at = nodes, to, at
+        names = np.array(nodes)
+        low, high = np.zeros(len(names), np.int64), np.full(len(names), np.iinfo(np.int64).max)
+        for pdf in batches:
+            for s in pdf["node"]:
+                dist, fronts = c.levels(int(np.searchsorted(names, s)))
+                hit, far = dist >= 0, len(fronts) - 1
+                low[hit] = np.maximum(low[hit], np.maximum(dist[hit], far - dist[hit]))
+                high[hit] = np.minimum(high[hit], dist[hit] + far)
+        some = np.flatnonzero(high < np.iinfo(np.int64).max)
+        yield pd.DataFrame({"node": names[some], "l": low[some], "h": high[some]})
+
+    parts = from_nodes.repartition(from_nodes.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"node {dict(edges.dtypes)['u']}, l long, h long")
+    return parts.groupBy("node").agg(F.max("l").alias("l"), F.min("h").alias("h"))
+
+
+def neighbourhoods(edges: DataFrame, lg_k: int = 10) -> DataFrame:
+    """node, distance, n: about how many vertices lie within a distance of each, for the distances at which that still grows.
+
+    Every vertex's ball is a sketch, and the ball of distance d + 1 is the union of its own and its neighbours' at d: one join
+    along the edges and one aggregation of sketches for each of as many steps as the greatest distance. The relative
+    standard error of a number is about 1.04 / sqrt(2 ^ lg_k), 3.3 % at 10 and 1.6 % at 12, and sketches of so many distinct
+    vertices or fewer as they hold one by one are exact. A sketch takes 2 ^ (lg_k - 1) bytes.
+    """
+    a = cut(both_ways(edges))
+    ball = cut(vertices(edges).groupBy("node").agg(F.hll_sketch_agg(F.col("node"), lg_k).alias("ball")).select("node", "ball", F.lit(1).cast("long").alias("estimate"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("grew")))
+    out, step = ball.select("node", F.lit(0).cast("long").alias("distance"), "n"), 0
+    while True:
+        step += 1
+        # a neighbour whose ball stayed the same adds nothing new
+        sent = a.join(ball.where("grew").select(F.col("node").alias("dst"), "ball"), "dst").select(F.col("src").alias("node"), "ball").unionByName(ball.select("node", "ball"))
+        grown = sent.groupBy("node").agg(F.hll_union_agg("ball").alias("ball")).withColumn("estimate", F.hll_sketch_estimate("ball"))
+        was = ball.select("node", F.col("n").alias("was"), F.col("estimate").alias("before"))
+        new = grown.join(was, "node").select("node", "ball", "estimate", F.greatest("estimate", "was").alias("n"), (F.col("estimate") != F.col("before")).alias("grew"), "was")
+        new = cut(new)
+        if new.where("grew").isEmpty():
+            return out
+        out = out.unionByName(new.where("n > was").select("node", F.lit(step).cast("long").alias("distance"), "n"))
+        ball = new.drop("was")
+
+
+def _shells(edges: DataFrame, lg_k: int) -> DataFrame:
+    """node, distance, n: about how many vertices are at exactly a distance."""
+    before = F.lag("n").over(W.partitionBy("node").orderBy("distance"))
+    return neighbourhoods(edges, lg_k).withColumn("n", F.col("n") - F.coalesce(before, F.lit(0))).where("distance > 0")
+
+
+def sketched_closeness(edges: DataFrame, lg_k: int = 10) -> DataFrame:
+    """node, closeness of all vertices from sketched neighbourhoods, as closeness() defines it: steps bounded by the diameter, not by the number of vertices."""
+    n = vertices(edges).count()
+    per = _shells(edges, lg_k).groupBy("node").agg(F.sum("n").alias("r"), F.sum(F.col("distance") * F.col("n")).alias("d"))
+    value = F.when(F.col("d") > 0, F.col("r") / F.col("d") * (F.col("r") / F.lit(max(n - 1, 1)))).otherwise(0.0)
+    return vertices(edges).join(per.select("node", value.alias("closeness")), "node", "left").fillna(0.0, ["closeness"])
+
 
-        far = vertices(edges).repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"node {kind}, far long")
-    return of.join(far, "node").groupBy("component").agg(F.max("far").alias("diameter"))
+def sketched_path_lengths(edges: DataFrame, lg_k: int = 10) -> DataFrame:
+    """distance, n over all sources, about: the neighbourhood function's increments."""
+    return _shells(edges, lg_k).groupBy("distance").agg(F.sum("n").alias("n"))
