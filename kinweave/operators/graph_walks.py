@@ -1,53 +1,206 @@
-"""Node embeddings from weighted random walks and skip-gram.
+"""Node embeddings from weighted random walks and skip-gram with negative sampling.
 
-All walkers step together: each joins its vertex's cumulative weights and takes
-the neighbour under a hash of (seed, walker, step), so walks are the same at
-every run. A vertex's neighbours are an array on one row; the return parameter
-and the in-out parameter need the vertex before, which each walker carries.
+Walks. A vertex's neighbours are rows, not an array: each has an interval of the
+vertex's weight (in whole units, some 2^40 a vertex), and a vertex of n
+neighbours is cut into n / 16 ranges of equal weight. A walker draws a number by
+a hash of (seed, walker, step), which names a range and one interval in it, and
+joins by (vertex, range): walkers at a hub meet as many keys as it has ranges,
+and a hub's neighbours never travel together. Return and in-out parameters are
+met by rejection: a drawn neighbour is taken with a chance in proportion to its
+bias, which asks only whether the pair of it and the vertex before is an edge
+(one join on the pair); walkers that took none draw again until all have moved.
+
+Skip-gram. Vertices are dealt to blocks by hash, and pairs of centre and context
+to pairs of blocks. In a round every block of centres meets one block of
+contexts, all in parallel; after as many rounds as blocks each pair has been met
+once. A task holds the vectors of two blocks and streams the pairs between
+them. Vectors are written after each round, so a lost executor costs a round.
+Everything is drawn by hash: the same walks and vectors at every run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from kinweave.operators.graph_build import vertices
-from kinweave.validate import cut
+from kinweave.validate import cut, forget
 
+#: Neighbours to a range of a vertex's weight, on average.
+RANGE = 16
+#: Neighbours whose weights are summed in one go.
+RUN = 1024
+UNITS = 1 << 40
+#: Vertices of a block: two blocks' vectors are in a task's memory.
+BLOCK = 50_000
+#: Draws that a walker makes at once where some are rejected.
+TRIES = 6
 
-def walks(edges: DataFrame, length: int = 10, per_node: int = 8, seed: int = 42, p: float = 1.0, q: float = 1.0) -> DataFrame:
-    """node, walk (array of strings, `length` vertices or fewer at a dead end)."""
+
+def hoods(edges: DataFrame) -> DataFrame:
+    """src, range, low, high, dst, and the whole weight (all) and a range's (width) of dst: a row for each range that a neighbour's interval touches."""
     w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    one = edges.select(F.col("u").cast("string").alias("src"), F.col("v").cast("string").alias("dst"), w.alias("w"))
-    a = one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    hood = cut(a.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "w"))).alias("to")))
-    state = vertices(edges).select(F.col("node").cast("string").alias("node")).withColumn("walker", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
-    state = state.withColumn("at", F.col("node")).withColumn("before", F.lit(None).cast("string")).withColumn("known", F.array().cast("array<string>")).withColumn("walk", F.array("node"))
+    one = edges.select(F.col("u").cast("string").alias("a"), F.col("v").cast("string").alias("b"), w.alias("w")).where("w > 0")
+    links = one.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))))
+    sums = links.groupBy("src").agg(F.sum("w").alias("s"), F.count("*").alias("n"))
+    units = F.greatest(F.lit(1).cast("long"), F.round(F.col("w") / F.col("s") * F.lit(float(UNITS))).cast("long"))
+    rows = cut(links.join(sums, "src").select("src", "dst", units.alias("units"), "n", F.pmod(F.xxhash64("dst"), F.ceil(F.col("n") / RUN)).alias("run")))
+    info = cut(rows.groupBy("src").agg(F.sum("units").alias("all"), F.ceil(F.sum("units") / F.ceil(F.max("n") / RANGE)).alias("width")))
+    runs = rows.groupBy("src", "run").agg(F.sum("units").alias("u"))
+    runs = runs.withColumn("base", F.sum("u").over(W.partitionBy("src").orderBy("run")) - F.col("u")).drop("u")  # a row for each RUN neighbours
+    inside = F.sum("units").over(W.partitionBy("src", "run").orderBy("dst", "units").rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumn("upto", inside).join(runs, ["src", "run"]).select("src", "dst", (F.col("base") + F.col("upto") - F.col("units")).alias("low"), (F.col("base") + F.col("upto")).alias("high"))
+    placed = placed.join(info.select("src", F.col("width").alias("w")), "src").withColumn("range", F.explode(F.sequence(F.expr("low div w"), F.expr("(high - 1) div w")))).drop("w")
+    return cut(placed.join(info.withColumnRenamed("src", "dst"), "dst").select("src", "range", "low", "high", "dst", "all", "width"))
+
+
+def _drawn(walkers: DataFrame, hood: DataFrame, step: int, turn: int, tries: int, seed: int) -> DataFrame:
+    """walkers with try, to (a neighbour drawn by weight), its all and width."""
+    t = walkers.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))) if tries > 1 else walkers.withColumn("try", F.lit(0))
+    t = t.withColumn("t", F.pmod(F.shiftrightunsigned(F.xxhash64("node", "walker", F.lit(step), F.lit(turn), "try", F.lit(seed)), 1), F.col("all"))).withColumn("r", F.expr("t div width")).drop("all", "width")
+    return t.join(hood, (F.col("at") == F.col("src")) & (F.col("r") == F.col("range")) & (F.col("low") <= F.col("t")) & (F.col("t") < F.col("high"))).drop("src", "range", "low", "high", "t", "r").withColumnRenamed("dst", "to")
+
+
+def walks(edges: DataFrame, length: int = 10, per_node: int = 8, seed: int = 42, p: float = 1.0, q: float = 1.0) -> DataFrame:
+    """node, walk (array of strings, `length` vertices). p, q: return and in-out parameters."""
+    hood = hoods(edges)
+    begin = hood.select(F.col("dst").alias("node"), "all", "width").distinct()
+    state = begin.withColumn("walker", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select("node", "walker", F.col("node").alias("at"), F.lit(None).cast("string").alias("before"), "all", "width", F.array("node").alias("walk"))
+    biased = (p, q) != (1.0, 1.0)
+    pairs = cut(edges.select(F.inline(F.array(F.struct(F.col("u").cast("string").alias("x"), F.col("v").cast("string").alias("y")), F.struct(F.col("v").cast("string").alias("x"), F.col("u").cast("string").alias("y"))))).distinct()) if biased else None
     for step in range(1, length):
-        j = state.join(hood, F.col("at") == F.col("src"), "left")
-        if p == 1.0 and q == 1.0:
-            biased = F.col("to")
+        if not biased or step == 1:
+            after = cut(_moved(_drawn(state, hood, step, 0, 1, seed)))
         else:
-            biased = F.transform("to", lambda x: F.struct(x["dst"].alias("dst"), (x["w"] * F.when(F.col("before").isNull(), 1.0).when(x["dst"] == F.col("before"), 1 / p).when(F.array_contains("known", x["dst"]), 1.0).otherwise(1 / q)).alias("w")))
-        j = j.withColumn("to", biased)
-        u = F.shiftrightunsigned(F.xxhash64("node", "walker", F.lit(step), F.lit(seed)), 11) / F.lit(float(1 << 53))
-        total = F.aggregate("to", F.lit(0.0), lambda s, x: s + x["w"])
-        start = F.struct(F.lit(None).cast("string").alias("dst"), (u * total).alias("left"))
-        pick = F.aggregate("to", start, lambda s, x: F.when(s["dst"].isNotNull(), s).when(s["left"] < x["w"], F.struct(x["dst"].alias("dst"), s["left"].alias("left"))).otherwise(F.struct(s["dst"].alias("dst"), (s["left"] - x["w"]).alias("left"))))
-        last = F.try_element_at(F.col("to"), F.lit(-1))["dst"]
-        chosen = F.coalesce(pick["dst"], last)  # rounding may leave a crumb
-        j = j.withColumn("next", chosen)
-        known = F.transform("to", lambda x: x["dst"]) if (p, q) != (1.0, 1.0) else F.col("known")
-        state = cut(j.select("node", "walker", F.coalesce("next", "at").alias("at"), F.col("at").alias("before"), known.alias("known"), F.when(F.col("next").isNotNull(), F.concat("walk", F.array("next"))).otherwise(F.col("walk")).alias("walk")))
+            after = _accepted(state, hood, pairs, step, p, q, seed)
+        if step > 1:
+            forget(state)
+        state = after
     return state.select("node", "walk")
 
 
-def node2vec(edges: DataFrame, dimensions: int = 32, length: int = 10, per_node: int = 8, window: int = 10, seed: int = 42, p: float = 1.0, q: float = 1.0, iterations: int = 1, parts: int = 1) -> DataFrame:
-    """node, n2v_0 .. n2v_<d-1>."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+def _moved(drawn: DataFrame) -> DataFrame:
+    return drawn.select("node", "walker", F.col("to").alias("at"), F.col("at").alias("before"), "all", "width", F.concat("walk", F.array("to")).alias("walk"))
+
+
+def _accepted(state: DataFrame, hood: DataFrame, pairs: DataFrame, step: int, p: float, q: float, seed: int) -> DataFrame:
+    """state after a step whose neighbours are taken by bias: 1 / p back, 1 to a neighbour of the vertex before, 1 / q elsewhere."""
+    most, done, left, turn = max(1.0, 1 / p, 1 / q), None, state, 0
+    while True:
+        t = _drawn(left, hood, step, turn, TRIES, seed)
+        t = t.join(pairs, (F.col("before") == F.col("x")) & (F.col("to") == F.col("y")), "left")
+        bias = F.when(F.col("to") == F.col("before"), F.lit(1 / p)).when(F.col("x").isNotNull(), F.lit(1.0)).otherwise(F.lit(1 / q))
+        chance = F.shiftrightunsigned(F.xxhash64("walker", "node", "try", F.lit(turn), F.lit(step), F.lit(seed + 1)), 11) / F.lit(float(1 << 53))
+        taken = t.where(chance * F.lit(most) < bias).groupBy("node", "walker").agg(F.min_by(F.struct("at", "to", "all", "width", "walk"), "try").alias("m")).select("node", "walker", "m.*")
+        taken = cut(_moved(taken))
+        done = taken if done is None else done.unionByName(taken)
+        rest = cut(left.join(taken.select("node", "walker"), ["node", "walker"], "left_anti"))
+        if turn:
+            forget(left)
+        left, turn = rest, turn + 1
+        if left.isEmpty():
+            forget(left)
+            return cut(done)
+
+
+def window_pairs(walked: DataFrame, window: int) -> DataFrame:
+    """node, context: every two vertices of a walk at most `window` apart, both ways; order: where in which walk."""
+    own = walked.select("walk", F.xxhash64("node", "walk").alias("h"), F.posexplode("walk").alias("i", "node"))
+    near = F.slice("walk", F.greatest(F.lit(1), F.col("i") + 1 - window), F.least(F.col("i"), F.lit(window)) + 1 + window)
+    return own.select("node", "h", "i", F.posexplode(near).alias("j", "context")).where("context <> node").select("node", "context", F.xxhash64("h", "i", "j").alias("order"))
 
-    w = walks(edges, length, per_node, seed, p, q).orderBy(F.xxhash64("walk"))
-    model = Word2Vec(vectorSize=dimensions, windowSize=window, minCount=1, seed=seed, maxIter=iterations, numPartitions=parts, inputCol="walk", outputCol="v").fit(w)
-    v = model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector", "float32").alias("v"))
-    return v.select("node", *[F.col("v")[i].alias(f"n2v_{i}") for i in range(dimensions)])
+
+def skip_gram(pairs: DataFrame, dimensions: int = 32, negatives: int = 5, epochs: int = 3, rate: float = 0.05, seed: int = 42, blocks: int | None = None, batch: int = 64) -> DataFrame:
+    """node, vector: centres' vectors. pairs: node, context, order (a long)."""
+    pairs = cut(pairs)
+    count = pairs.groupBy("context").agg(F.count("*").alias("n"))
+    known = pairs.select("node").distinct().join(count, F.col("node") == F.col("context"), "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
+    n_nodes = known.count()
+    blocks = blocks or max(4, -(-n_nodes // BLOCK))
+    of = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(blocks)).cast("int")
+    number = lambda i: F.shiftrightunsigned(F.xxhash64("node", F.lit(i), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    start = F.array(*[((number(i) - 0.5) / dimensions).cast("float") for i in range(dimensions)])
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
+    both = F.array(F.struct(F.lit(0).alias("kind"), start.alias("vector")), F.struct(F.lit(1).alias("kind"), nothing.alias("vector")))
+    held = cut(known.select("node", "n", of("node").alias("block"), F.inline(both)))
+    dealt = cut(pairs.select("node", "context", "order", of("node").alias("block"), of("context").alias("other")))
+    names = ["group", "kind", "order", "node", "context", "n", "vector"]
+    rounds = blocks * epochs
+
+    def trainer(nth: int):
+        return lambda batches: _trained(batches, dimensions, negatives, rate * (1 - nth / rounds), seed + nth, batch)
+
+    for nth in range(rounds):
+        shift = nth % blocks
+        vectors = held.select(F.when(F.col("kind") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - shift, F.lit(blocks))).alias("group"), "kind", F.lit(0).cast("long").alias("order"), "node", F.lit(None).cast("string").alias("context"), "n", "vector")
+        now = dealt.where(F.pmod(F.col("other") - F.col("block"), F.lit(blocks)) == shift).select(F.col("block").alias("group"), F.lit(2).alias("kind"), F.xxhash64("order", F.lit(nth)).alias("order"), "node", "context", F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<float>").alias("vector"))
+        rows = vectors.unionByName(now).select(*names).repartition(blocks, "group").sortWithinPartitions("group", "kind", "order", "node", "context")
+        trained = rows.mapInArrow(trainer(nth), "group int, kind int, node string, n long, vector array<float>")
+        after = cut(trained.select("node", "n", F.when(F.col("kind") == 0, F.col("group")).otherwise(F.pmod(F.col("group") + shift, F.lit(blocks))).alias("block"), "kind", "vector"))
+        forget(held)
+        held = after
+    return held.where("kind = 0").select("node", "vector")
+
+
+def _trained(batches, dimensions: int, negatives: int, rate: float, seed: int, size: int):
+    """Rows of whole groups, sorted by group and kind: vectors of centres (0), of contexts (1), then pairs (2). The vectors after all pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    group, tables, state = None, None, None
+
+    def ready():
+        names = [np.array(t[0], dtype=object) for t in tables]
+        vectors = [np.array(t[2], np.float32).reshape(len(t[0]), dimensions) for t in tables]
+        weight = np.cumsum(np.maximum(np.array(tables[1][1], float), 1e-9) ** 0.75) if tables[1][0] else None
+        return names, vectors, [{x: i for i, x in enumerate(y)} for y in names], weight, np.random.default_rng([seed & 0x7FFFFFFF, group])
+
+    def learn(centre, context):
+        _, (a, b), _, weight, draw = state
+        for s in range(0, len(centre), size):
+            c, x = centre[s : s + size], context[s : s + size]
+            others = np.minimum(np.searchsorted(weight, draw.random((len(c), negatives)) * weight[-1], "right"), len(weight) - 1)
+            to = np.concatenate((x[:, None], others), 1)
+            u, v = a[c], b[to]
+            z = 1 / (1 + np.exp(-np.clip(np.einsum("id,ikd->ik", u, v), -30, 30)))
+            z[:, 0] -= 1
+            z[:, 1:] *= others != x[:, None]  # a negative that is the context itself
+            np.add.at(a, c, -rate * np.einsum("ik,ikd->id", z, v).astype(np.float32))
+            np.add.at(b, to, (-rate * z[:, :, None] * u[:, None, :]).astype(np.float32))
+
+    def out():
+        for kind in (0, 1):
+            names, n = tables[kind][0], tables[kind][1]
+            vectors = (state[1][kind] if state else np.array(tables[kind][2], np.float32)).reshape(len(names), dimensions)
+            for s in range(0, len(names), 4096):
+                m = min(4096, len(names) - s)
+                flat = pa.array(vectors[s : s + m].reshape(-1), pa.float32())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * dimensions, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([pa.array([group] * m, pa.int32()), pa.array([kind] * m, pa.int32()), pa.array(names[s : s + m], pa.string()), pa.array(n[s : s + m], pa.int64()), lists], ["group", "kind", "node", "n", "vector"])
+
+    for rows in batches:
+        g, k = rows.column("group").to_numpy(), rows.column("kind").to_numpy()
+        edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(k) != 0)) + 1
+        for s, e in zip([0, *edges], [*edges, len(g)], strict=True):
+            if s == e:
+                continue
+            if group != g[s]:
+                if group is not None:
+                    yield from out()
+                group, tables, state = int(g[s]), [([], [], []), ([], [], [])], None
+            part = rows.slice(s, e - s)
+            if k[s] < 2:
+                for held, c in zip(tables[k[s]], ("node", "n", "vector"), strict=True):
+                    held.extend(part.column(c).to_pylist())
+                continue
+            state = state or ready()
+            at = [np.array([index[x] for x in part.column(c).to_pylist()]) for index, c in zip(state[2], ("node", "context"), strict=True)]
+            learn(*at)
+    if group is not None:
+        yield from out()
+
+
+def node2vec(edges: DataFrame, dimensions: int = 32, length: int = 10, per_node: int = 8, window: int = 10, seed: int = 42, p: float = 1.0, q: float = 1.0, iterations: int = 3, blocks: int | None = None) -> DataFrame:
+    """node, n2v_0 .. n2v_<d-1>."""
+    v = skip_gram(window_pairs(walks(edges, length, per_node, seed, p, q), window), dimensions, epochs=iterations, seed=seed, blocks=blocks)
+    return v.select("node", *[F.col("vector")[i].alias(f"n2v_{i}") for i in range(dimensions)])
