@@ -31,6 +31,13 @@ SELECT {_gid("artist")} AS mbid, work_id, p_name AS name, strftime(d, '%Y-%m-%d'
     "catalog_releases": f"""WITH {RELS} SELECT {_gid("artist")} AS mbid, release_id, 'T' || (release_id % 100) AS title, strftime(date, '%Y-%m-%d') AS date, release_id % 1000 AS release_group_id,
   CASE WHEN release_id % 4 <> 0 AND release_id % 30 < 25 THEN 'L' || (release_id % 30) ELSE '' END AS label_ids, CASE WHEN release_id % 4 <> 0 AND release_id % 30 < 25 AND release_id % 30 % 4 <> 0 THEN lower(n_name) ELSE '' END AS label_names
 FROM rel LEFT JOIN ev ON ev.release = release_id LEFT JOIN nation ON n_nationkey = release_id % 30""",
+    "nested_documents": f"""WITH {RELS}, {COHORT}, f AS (SELECT l_partkey, strftime(min(CAST(l_shipdate AS DATE)), '%Y-%m-%d') AS d FROM li WHERE l_partkey % 8 <> 0 GROUP BY 1),
+w AS (SELECT artist, count(*) AS n, md5(string_agg(work_id || ':' || p_name || ':' || coalesce(d, '-'), '|' ORDER BY work_id, p_name)) AS x FROM ws JOIN part ON p_partkey = work_id LEFT JOIN f ON f.l_partkey = work_id GROUP BY 1),
+r AS (SELECT artist, count(*) AS n, md5(string_agg(rec || ':R' || rec || ':' || CAST(l_quantity * 1000 AS BIGINT) || ':' || work_id || ':' || release_id, '|' ORDER BY rec, CAST(l_quantity * 1000 AS BIGINT), work_id, release_id)) AS x FROM rr GROUP BY 1),
+l AS (SELECT artist, count(*) AS n, md5(string_agg(release_id || ':T' || (release_id % 100) || ':' || coalesce(strftime(date, '%Y-%m-%d'), '-') || ':' || (release_id % 1000) || ':' || CASE WHEN release_id % 4 <> 0 AND release_id % 30 < 25 THEN 'L' || (release_id % 30) ELSE '' END || ':' ||
+  CASE WHEN release_id % 4 <> 0 AND release_id % 30 < 25 AND release_id % 30 % 4 <> 0 THEN lower(n_name) ELSE '' END, '|' ORDER BY release_id)) AS x FROM rel LEFT JOIN ev ON ev.release = release_id LEFT JOIN nation ON n_nationkey = release_id % 30 GROUP BY 1)
+SELECT mbid, c_name AS artist_name, pos, coalesce(w.n, 0) AS n_works, coalesce(r.n, 0) AS n_recordings, coalesce(l.n, 0) AS n_releases, coalesce(w.x, md5('')) AS works, coalesce(r.x, md5('')) AS recordings, coalesce(l.x, md5('')) AS releases
+FROM cohort LEFT JOIN customer ON c_custkey = k LEFT JOIN w ON w.artist = k LEFT JOIN r ON r.artist = k LEFT JOIN l ON l.artist = k""",
     "catalog_resources": f"""SELECT {_gid("c_custkey")} AS mbid, ty.name AS type, 'http://x/' || c_custkey AS url, CAST(c_custkey % 7 + 1991 AS INTEGER) AS begin_year, CASE WHEN (c_custkey % 7 + 1) % 2 = 0 THEN 2005 END AS end_year FROM customer LEFT JOIN {TYPES} ON ty.id = c_custkey % 7 + 1 WHERE c_custkey % 5 <> 0""",
     "catalog_resources_with_empty": f"""SELECT {_gid("c_custkey")} AS mbid, CAST(c_custkey % 5 <> 0 AS BIGINT) AS n FROM customer""",
     "catalog_one_resource": f"""SELECT {_gid("c_custkey")} AS mbid, CAST(NULL AS VARCHAR) AS type, 'http://x/7' AS url, 1991 AS begin_year, CAST(NULL AS INTEGER) AS end_year FROM customer WHERE c_custkey = 7""".replace("CAST(NULL AS VARCHAR)", "'writer'"),
@@ -68,7 +75,7 @@ SELECT 'Q' || k AS qid, CASE WHEN k % 7 <> 0 AND k % 2 = 0 THEN s_name ELSE 'Q'
     "platform_albums_tracks": """WITH a AS (SELECT 'al' || (o_orderkey % 700) AS album_id, CAST(o_custkey AS VARCHAR) AS request, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS release_date, lower(o_orderstatus) AS kind, row_number() OVER (PARTITION BY o_orderkey % 700 ORDER BY CAST(o_custkey AS VARCHAR), o_orderkey) AS i FROM orders),
 t AS (SELECT 'al' || l_orderkey AS album_id, count(*) AS n_tracks, CAST(max(l_linenumber) AS BIGINT) AS last, CAST(sum(l_suppkey) AS BIGINT) AS length_ms FROM lineitem GROUP BY 1) SELECT a.album_id, request, release_date, kind, n_tracks, last, length_ms FROM a LEFT JOIN t ON t.album_id = a.album_id WHERE i = 1""",
     "platform_popularity": """SELECT DISTINCT 't' || (p_partkey % 500) AS id, p_partkey % 500 % 100 AS popularity FROM part WHERE p_partkey % 6 <> 0""",
-    "platform_searches": """SELECT CAST(o_custkey AS VARCHAR) AS request, 'o' || arg_min(o_orderkey, (o_orderkey * 7919) % 100003) AS first, 'o' || arg_max(o_orderkey, row(o_orderkey % 101, -((o_orderkey * 7919) % 100003))) FILTER (WHERE o_orderkey % 101 >= 20) AS best FROM orders GROUP BY o_custkey""",
+    "platform_searches": """SELECT CAST(o_custkey AS VARCHAR) AS request, 'o' || arg_min(o_orderkey, row((o_orderkey * 7919) % 100003, length(CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey AS VARCHAR))) AS first, 'o' || arg_min(o_orderkey, row(-(o_orderkey % 101), (o_orderkey * 7919) % 100003, length(CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey AS VARCHAR))) FILTER (WHERE o_orderkey % 101 >= 20) AS best FROM orders GROUP BY o_custkey""",
     "platform_listeners": """SELECT CAST(c_custkey AS VARCHAR) AS request, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey * 3 END AS listeners, CASE WHEN c_custkey % 10 <> 0 AND c_custkey % 7 <> 0 THEN c_custkey * 5 END AS playcount FROM customer""",
     "platform_chart": """SELECT c_custkey AS rank, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN 'm' || c_custkey END AS mbid, c_custkey * 2 AS listeners FROM customer WHERE c_custkey <= 100""",
     "platform_top_tracks": """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS request, 'o' || o_orderkey AS name, o_orderkey % 50 AS playcount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 50 DESC, 'o' || o_orderkey) AS rank FROM orders) SELECT * FROM r WHERE rank <= 3""",
