@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kinweave.functions import scalars as S
-from kinweave.validate import cut, forget
+from kinweave.validate import cut, forget, scratch
 
 # Relation names of authorship, and the narrower contributor list.
 AUTHOR_ROLES = (
@@ -116,7 +116,7 @@ def recording_rows(owned_: DataFrame, listed_: DataFrame) -> DataFrame:
     return owned_.select(unpacked("id16").alias("mbid"), "work_id").join(listed_, "work_id").select("mbid", "rec_id", F.col("rec_name").alias("name"), "length_ms", "work_id", "release_id")
 
 
-def entity_counts(cohort: DataFrame, described_: DataFrame, owned_: DataFrame, listed_: DataFrame, work: DataFrame, rounds: int = 4) -> DataFrame:
+def entity_counts(cohort: DataFrame, described_: DataFrame, owned_: DataFrame, listed_: DataFrame, work: DataFrame, rounds: int | None = None) -> DataFrame:
     """nested_counts() of documents(), which are not built: the columns of described(), pos, n_works, n_recordings, n_releases, total_length.
 
     Works and recordings are counted by work, then added up. Releases that two
@@ -128,7 +128,7 @@ def entity_counts(cohort: DataFrame, described_: DataFrame, owned_: DataFrame, l
     named = work.where("id is not null").select(F.col("id").alias("work_id")).distinct().join(by_work, "work_id", "left")
     counts = cut(owned_.join(named, "work_id").groupBy("artist_id", "id16").agg(F.count("*").alias("n_works"), F.sum(F.coalesce("n", zero)).alias("n_recordings"), F.sum(F.coalesce("length", F.lit(0.0))).alias("total_length")))
     on = listed_.select("work_id", "release_id").repartition("work_id").distinct()
-    releases = []
+    rounds, releases = rounds or rounds_for(owned_, listed_), []
     for k in range(rounds):
         some = owned_.where(F.pmod(F.xxhash64("artist_id"), F.lit(rounds)) == k).select("artist_id", "work_id")
         releases.append(cut(some.join(on, "work_id").select("artist_id", "release_id").repartition("artist_id").distinct().groupBy("artist_id").agg(F.count("*").alias("n_releases"))))
@@ -156,7 +156,7 @@ def dated_works(t: dict[str, DataFrame]) -> DataFrame:
     return cut(w.groupBy("work").agg(F.array_distinct(F.flatten(F.collect_list("people"))).alias("people")), "zstd")
 
 
-def release_rows(facts: DataFrame, owned_: DataFrame, listed_: DataFrame, rounds: int = 4) -> DataFrame:
+def release_rows(facts: DataFrame, owned_: DataFrame, listed_: DataFrame, rounds: int | None = None) -> DataFrame:
     """mbid, release_id, title, date, release_group_id, label_ids, label_names: the releases of documents() one a row.
 
     A release comes with the smallest work by which an artist has it. The other
@@ -166,6 +166,7 @@ def release_rows(facts: DataFrame, owned_: DataFrame, listed_: DataFrame, rounds
     shuffled any more. Deletes listed_.
     """
     on = cut(listed_.select("work_id", "release_id").repartition("work_id").distinct(), "zstd")
+    rounds = rounds or rounds_for(owned_, listed_)
     forget(listed_)
     nth = F.dense_rank().over(W.partitionBy("artist_id", "release_id").orderBy("work_id"))
     again = []
@@ -202,11 +203,8 @@ def described(t: dict[str, DataFrame], inp: DataFrame) -> DataFrame:
     return places.join(roles(t, inp), "artist_id", "left")
 
 
-def documents(t: dict[str, DataFrame], ids: DataFrame, arrays: tuple[str, ...] = ("works", "recordings", "releases")) -> DataFrame:
-    """Nested documents in cohort order (pos), ids without an entity as placeholders with empty arrays. Only the arrays asked for are built."""
-    cohort = cohort_of(ids)
-    inp = entities(t["artist"], cohort)
-    works = workset(t, inp)
+def nested(t: dict[str, DataFrame], inp: DataFrame, works: DataFrame, on: DataFrame | None, facts: DataFrame | None, arrays: tuple[str, ...]) -> DataFrame:
+    """The columns of described() and the arrays asked for, of the artists of inp. works: theirs, as of workset(); on: listings(); facts: release_facts()."""
     w = works
     g = genres(t, works)
     w = w.join(g, ["artist_id", "work_id"], "left") if g is not None else w.withColumn("genres", F.lit(None).cast("array<string>"))
@@ -222,21 +220,79 @@ def documents(t: dict[str, DataFrame], ids: DataFrame, arrays: tuple[str, ...] =
     empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
     built = {}
     built["works"] = lambda: w.groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("work_id").alias("id"), F.col("work_name").alias("name"), "first_release_date", empty("genres", "array<string>").alias("genres"), empty("collaborators", people).alias("collaborators")))).alias("works"))
-    on = listings(t)
     built["recordings"] = lambda: works.select("artist_id", "work_id").join(on, "work_id").groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rec_id").alias("id"), F.col("rec_name").alias("name"), "length_ms", "work_id", "release_id"))).alias("recordings"))
-    built["releases"] = lambda: works.select("artist_id", "work_id").join(on.select("work_id", "release_id").distinct(), "work_id").select("artist_id", "release_id").distinct().join(release_facts(t), "release_id").groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("release_id").alias("id"), "title", F.date_format("date", "yyyy-MM-dd").alias("date"), "release_group_id", "label_ids", "label_names"))).alias("releases"))
+    built["releases"] = lambda: works.select("artist_id", "work_id").join(on.select("work_id", "release_id").distinct(), "work_id").select("artist_id", "release_id").distinct().join(facts, "release_id").groupBy("artist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("release_id").alias("id"), "title", F.date_format("date", "yyyy-MM-dd").alias("date"), "release_group_id", "label_ids", "label_names"))).alias("releases"))
     docs = described(t, inp)
     for name in arrays:
         docs = docs.join(built[name](), "artist_id", "left")
+    return docs
+
+
+ARRAYS = ("works", "recordings", "releases")
+
+
+def documents(t: dict[str, DataFrame], ids: DataFrame, arrays: tuple[str, ...] = ARRAYS) -> DataFrame:
+    """Nested documents in cohort order (pos), ids without an entity as placeholders with empty arrays. Only the arrays asked for are built.
+
+    One plan: rows of artist and recording, many times the input, are all on disk at once. written_documents() bounds that.
+    """
+    cohort = cohort_of(ids)
+    inp = entities(t["artist"], cohort)
+    docs = nested(t, inp, workset(t, inp), listings(t), release_facts(t), arrays)
     return placeholders(cohort, docs.drop("pos", "artist_id"))
 
 
+#: Rows of artist and recording that a round makes; the number of rounds follows from their count.
+ROUND_ROWS = 1 << 24
+
+
+def rounds_for(owners: DataFrame, listed_: DataFrame, rows: int | None = None) -> int:
+    """Rounds in which (owner, listing) rows, counted by work and not made, are at most ROUND_ROWS each on average."""
+    n, m = owners.groupBy("work_id").agg(F.count("*").alias("__n")), listed_.groupBy("work_id").agg(F.count("*").alias("__m"))
+    total = n.join(m, "work_id").agg(F.sum(F.col("__n") * F.col("__m")).alias("x")).first().x or 0
+    return -(-total // (rows or ROUND_ROWS)) or 1
+
+
+def written_documents(t: dict[str, DataFrame], ids: DataFrame, arrays: tuple[str, ...] = ARRAYS, rows: int | None = None) -> DataFrame:
+    """documents() as a written table, in no order.
+
+    A part of the artists at a time, drawn by hash: as many rounds as their (artist, recording) rows, counted before they are
+    made, need. Each round's shuffle files go before the next, and what all rounds share (works, listings, releases) is written once.
+    """
+    spark, cohort = ids.sparkSession, cut(cohort_of(ids))
+    inp = cut(entities(t["artist"], cohort), "zstd")
+    works = cut(workset(t, inp), "zstd")
+    wide = set(arrays) & {"recordings", "releases"}
+    on = listed(t) if wide else None
+    facts = cut(release_facts(t), "zstd") if "releases" in arrays else None
+    n = rounds_for(works, on, rows) if wide else 1
+    path, setting = scratch(spark, "documents"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        for k in range(n):
+            own = lambda df: df.where(F.pmod(F.xxhash64("artist_id"), F.lit(n)) == k) if n > 1 else df  # noqa: E731, B023
+            docs = nested(t, own(inp), own(works), on, facts, arrays).drop("artist_id")
+            docs = _filled(docs)
+            docs.write.mode("append").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, held)
+    forget(inp, works, *[x for x in (on, facts) if x is not None])
+    out = spark.read.schema(docs.schema).parquet(path)
+    without = cohort.join(out.select("mbid").distinct(), "mbid", "left_anti")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("mbid", "pos") else F.col(f.name) for f in docs.schema]
+    names = ["mbid", *[c for c in docs.columns if c not in ("mbid", "pos")], "pos"]
+    return out.select(*names).unionByName(_filled(without.select(*none)))
+
+
+def _filled(docs: DataFrame) -> DataFrame:
+    """Empty arrays for those that are missing."""
+    return docs.withColumns({f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in docs.schema if f.dataType.typeName() == "array"})
+
+
 def placeholders(cohort: DataFrame, docs: DataFrame) -> DataFrame:
     """Every cohort id in order, with empty arrays where there is no document."""
-    out = cohort.join(docs, "mbid", "left")
-    for f in docs.schema:
-        if f.dataType.typeName() == "array":
-            out = out.withColumn(f.name, F.coalesce(F.col(f.name), F.array().cast(f.dataType)))
+    out = _filled(cohort.join(docs, "mbid", "left"))
     return out.select("mbid", *[c for c in docs.columns if c != "mbid"], "pos").orderBy("pos")
 
 

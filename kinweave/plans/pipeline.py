@@ -22,7 +22,7 @@ def accepted(docs: DataFrame, excluded: tuple[str, ...] = ("[unknown]",)) -> Dat
 
 def prepare(tables: dict[str, DataFrame], ids: DataFrame, as_of: str, years: int = 5) -> dict[str, DataFrame]:
     """docs, and the early features of those accepted."""
-    docs = cut(catalog.documents(tables, ids).drop("pos"))
+    docs = catalog.written_documents(tables, ids).drop("pos")
     return {"docs": docs, "features": matrix.clean_features(early.features(accepted(docs), as_of, years))}
 
 
@@ -51,10 +51,19 @@ def node_features(edges: DataFrame, nodes: DataFrame, attributes: dict[str, str]
     return out.select(*[c for c in NODE_COLUMNS if c in out.columns])
 
 
-def network(docs: DataFrame, features: DataFrame, dimensions: int = 32, **options) -> dict[str, DataFrame]:
-    """edges, node features and embeddings of the co-work graph of documents."""
-    semi = docs.join(features.select(F.col("artist_mbid").alias("mbid")).distinct(), "mbid", "left_semi")
-    edges = cut(graph_build.cowork_edges(semi))
+def catalog_edges(tables: dict[str, DataFrame], features: DataFrame) -> DataFrame:
+    """The edges of the documents of features' artists, found in the catalog: no document is built or read."""
+    owned = catalog.owned(tables, features.select(F.col("artist_mbid").alias("mbid")).distinct())
+    return graph_build.owned_work_edges(owned.select("id16", F.col("work_id").alias("work")), catalog.dated_works(tables), catalog.unpacked("id16"))
+
+
+def network(docs: DataFrame | None, features: DataFrame, dimensions: int = 32, tables: dict[str, DataFrame] | None = None, **options) -> dict[str, DataFrame]:
+    """edges, node features and embeddings of the co-work graph of documents; with the catalog's tables docs are not needed."""
+    if tables is None:
+        semi = docs.join(features.select(F.col("artist_mbid").alias("mbid")).distinct(), "mbid", "left_semi")
+        edges = cut(graph_build.cowork_edges(semi))
+    else:
+        edges = cut(catalog_edges(tables, features))
     nodes = features.select(F.col("artist_mbid").alias("node"), "primary_genre", "primary_label", "primary_role")
     return {"edges": edges, "nodes": node_features(edges, nodes, {"primary_genre": "genre", "primary_label": "label", "primary_role": "role"}, **options), "embeddings": graph_walks.node2vec(edges, dimensions).withColumnRenamed("node", "artist_mbid")}
 

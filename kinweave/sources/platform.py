@@ -16,6 +16,8 @@ from kinweave.operators.relational import keep_first, numbered, top_k
 from kinweave.validate import cut, forget
 
 PERSON = "struct<id: string, name: string>"
+#: Credits that a round of credit_counts() sends; the number of rounds follows from their count.
+ROUND_CREDITS = 1 << 28
 
 
 def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
@@ -97,7 +99,7 @@ def work_authors(bodies: DataFrame) -> DataFrame:
     return x.where("r.artist is not null").select("work_id", F.col("r.artist.id").alias("mbid"), F.col("r.artist.name").alias("name"), F.lower("r.type").alias("relation")).distinct()
 
 
-def credit_counts(recorded: DataFrame, credited: DataFrame, rounds: int = 4) -> DataFrame:
+def credit_counts(recorded: DataFrame, credited: DataFrame, rounds: int | None = None) -> DataFrame:
     """recording_id, works, authors, credits: of each recording's works that have authors, how many there are, of how many authors and of how many (author, relation).
 
     recorded: recording_id, work_id; credited: work_id, mbid, relation. Each
@@ -113,6 +115,9 @@ def credit_counts(recorded: DataFrame, credited: DataFrame, rounds: int = 4) ->
     coded = credit.join(people, "mbid", "left").join(kinds, "relation", "left")
     sets = cut(coded.groupBy("work_id").agg(F.array_sort(F.collect_list(code)).alias("__codes")))
     forget(credit, people, kinds)
+    if rounds is None:
+        n = pairs.groupBy("work_id").agg(F.count("*").alias("n")).join(sets.select("work_id", F.size("__codes").alias("m")), "work_id")
+        rounds = -(-(n.agg(F.sum(F.col("n") * F.col("m")).alias("x")).first().x or 0) // ROUND_CREDITS) or 1
     out = []
     for k in range(rounds):
         sent = pairs.where(F.pmod(F.xxhash64("recording_id"), F.lit(rounds)) == k).join(sets, "work_id")
