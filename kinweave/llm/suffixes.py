@@ -23,7 +23,8 @@ by their first `length` bytes. That is done block by block:
    Suffixes whose hash no other document's suffix has are left out before.
    An anchor with more than `hot` strings would fill a block by itself: its
    windows go one by one to the block of their own hash. Tasks are told of such
-   anchors by a table of at most (bytes of the corpus / hot) numbers.
+   anchors by a table of at most (bytes of the corpus / hot) numbers, and never
+   more than most_hot, as `hot` grows with the corpus beyond that.
 3. Marked ranges go back to their texts.
 
 Texts that occur in several documents (equal in their whole digest) enter once,
@@ -40,7 +41,7 @@ strings and the longest text.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,6 +63,7 @@ class Suffixes:
     part: int = 1 << 19  # suffixes of a block handled at a time, about
     bucket: int = 1 << 18  # suffixes sorted at a time
     hot: int = 1 << 20  # strings of one anchor, about, beyond which its windows are dealt one by one
+    most_hot: int = 1 << 22  # anchors that this is done for and tasks are told of (8 bytes each): of a larger corpus those with more than bytes / most_hot strings
     often: int = 16  # of an anchor in one task, from where on the task tells its count
     key_bits: int = 64  # fewer only in tests
 
@@ -469,6 +471,7 @@ def marked(docs: DataFrame, how: Suffixes = Suffixes()) -> tuple[DataFrame, Data
     new = C.renumbered(firsts.select("key", "digest"))
     firsts, rows = C.rekeyed(firsts, new, "digest", "key"), C.rekeyed(rows, new, "__kw_digest", "__kw_key")
     total = firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    how = replace(how, hot=max(how.hot, int(total // how.most_hot) + 1))
     blocks = int(max(total // how.block_bytes, how.least_blocks))
     slim = rows.where(F.octet_length("__kw_text") >= how.length).select(F.col("__kw_key").alias("key"), F.col("__kw_doc").alias("doc"), F.col("__kw_text").alias("text"))
     repeated = C.materialise(_repeated(_anchors(slim.select("key", "text"), blocks, how), blocks, how), "suffix-repeated")

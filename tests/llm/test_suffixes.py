@@ -60,7 +60,7 @@ def test_periodic_and_overlapping(spark, seed):
     assert sorted(map(tuple, X.repeats(df, how).collect()), key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("how", [X.Suffixes(hot=2, least_blocks=3), X.Suffixes(hot=30, often=2, least_blocks=2), X.Suffixes(key_bits=3), X.Suffixes(key_bits=0, hot=5)])
+@pytest.mark.parametrize("how", [X.Suffixes(hot=2, least_blocks=3), X.Suffixes(hot=30, often=2, least_blocks=2), X.Suffixes(key_bits=3), X.Suffixes(key_bits=0, hot=5), X.Suffixes(hot=1, most_hot=3, least_blocks=2)])
 def test_hot_anchors_and_clashing_keys(docs, corpus, spark, how):
     """Frequent passages between ever different words; texts whose keys are the same."""
     r = random.Random(8)
