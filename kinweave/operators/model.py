@@ -67,7 +67,7 @@ def codes(df: DataFrame, columns: list[str], training: DataFrame) -> DataFrame:
 
 
 def scaled_linear(features: list[str], label: str, **params) -> Pipeline:
-    """Standardised features into a linear model: what stands in for a small neural network, which Spark ML has for classes only."""
+    """Standardised features into a linear model; neural.fit() has the small neural network."""
     from pyspark.ml.feature import StandardScaler
 
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__features", withMean=True), LinearRegression(featuresCol="__features", labelCol=label, **params)])
@@ -102,8 +102,51 @@ def grid_search(df: DataFrame, key: str, features: list[str], label: str, grid:
     return sorted(got, key=lambda x: x[1])
 
 
+def drawn_parameters(space: dict[str, list | tuple], n: int, seed: int = 42) -> list[dict]:
+    """n settings drawn from a space: a list is one of its values, a tuple (low, high) a number between, whole if both are; repeats are left out."""
+    import random
+
+    r, out = random.Random(seed), []
+    for _ in range(20 * n):
+        one = {k: r.choice(v) if isinstance(v, list) else r.randint(*v) if all(isinstance(x, int) for x in v) else r.uniform(*v) for k, v in sorted(space.items())}
+        if one not in out:
+            out.append(one)
+        if len(out) == n:
+            break
+    return out
+
+
+def halving_search(df: DataFrame, key: str, features: list[str], label: str, space: dict[str, list | tuple], candidates: int = 27, factor: int = 3, share: float | None = None, kind: str = "gbt", folds: int = 3, seed: int = 42, categorical: list[str] = ()) -> DataFrame:
+    """rung, rows, parameters (a string), rmse, kept: random search by successive halving.
+
+    The first rung tries all candidates on a small sample of rows, each further rung the best 1 / factor of them on factor
+    times as many rows, until one is left or all rows are used. Samples are by a hash of the key, each inside the next, so
+    a rerun chooses the same. share: the first rung's share of rows; by default the last rung has all.
+    """
+    spark, left, out = df.sparkSession, drawn_parameters(space, candidates, seed), []
+    rungs = 0
+    while factor ** (rungs + 1) <= len(left):
+        rungs += 1
+    share = share or factor**-rungs
+    drawn = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    rung = 0
+    while True:
+        rows = df.where(drawn < min(1.0, share * factor**rung))
+        n, got = rows.count(), []
+        for params in left:
+            rmse = cross_validate(rows, key, pipeline(features, label, categorical, kind, **params), label, folds, seed).agg(F.avg("rmse")).first()[0]
+            got.append((float("inf") if rmse is None else rmse, left.index(params), params))
+        got.sort(key=lambda x: x[:2])
+        last = len(left) == 1 or share * factor**rung >= 1
+        left = [x[2] for x in got[: 1 if last else max(1, len(got) // factor)]]
+        out += [(rung, n, repr(params), rmse, params in left) for rmse, _, params in got]
+        if last:
+            return spark.createDataFrame(out, "rung int, rows long, parameters string, rmse double, kept boolean")
+        rung += 1
+
+
 def permutation_importance(model, df: DataFrame, features: list[str], label: str, seed: int = 1) -> dict[str, float]:
-    """Rise of rmse when a column is taken from another row (a shifted order by hash): a substitute for Shapley values."""
+    """Rise of rmse when a column is taken from another row (a shifted order by hash); explain.shapley_values() has Shapley values."""
     from pyspark.sql.window import Window as W
 
     base = regression_metrics(model.transform(df), label, "prediction").first()["rmse"]
