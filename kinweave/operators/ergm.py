@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators import order_statistics
 from kinweave.operators.graph_build import vertices
 from kinweave.operators.graph_local import both_ways, degree, density, two_steps
 from kinweave.operators.graph_traverse import Csr, held
@@ -136,6 +138,73 @@ def covariates(dyads: DataFrame, nodes: DataFrame, key: str, match: list[str] =
     return j.select(*dyads.columns, *made)
 
 
+def pair_covariate(dyads: DataFrame, pairs: DataFrame, value: str, name: str) -> DataFrame:
+    """edgecov_<name>: a number that belongs to the pair itself, in either order of its ends; 0 for pairs without one. Several of a pair add up."""
+    known = pairs.select(F.least("u", "v").alias("__a"), F.greatest("u", "v").alias("__b"), F.col(value).cast("double").alias("__x"))
+    known = known.groupBy("__a", "__b").agg(F.sum("__x").alias("__x"))
+    j = dyads.join(known, (F.least("u", "v") == F.col("__a")) & (F.greatest("u", "v") == F.col("__b")), "left")
+    return j.select(*dyads.columns, F.coalesce("__x", F.lit(0.0)).alias(f"edgecov_{name}"))
+
+
+def block_dyads(edges: DataFrame, nodes: DataFrame, key: str, block: str, within: float = 5.0, between: float = 2.0, seed: int = 1) -> DataFrame:
+    """u, v, edge, weight, match_<block>: every edge, and random non-edges drawn apart within blocks and between them.
+
+    within and between are draws for each edge. Within blocks a vertex is drawn first and then a partner of its block, so pairs
+    of a block are drawn alike; the weights make each block's non-edges, and those between blocks, stand for all of theirs.
+    An unknown block is a block; so is a vertex that nodes lacks.
+    """
+    spark, salt = edges.sparkSession, lambda i: F.xxhash64("id", F.lit(i), F.lit(seed))
+    named = vertices(edges).join(nodes.select(F.col(key).alias("node"), F.col(block).cast("string").alias("block")), "node", "left").select("node", F.coalesce("block", F.lit("unknown")).alias("block"))
+    v = cut(numbered(named, "node", "i"))
+    sizes = cut(v.groupBy("block").agg(F.count("*").alias("size"), F.min("i").alias("least")))
+    inside = order_statistics.numbered(v, ["block"], F.xxhash64("node", F.lit(seed)), ["node"], "j")
+    inside = cut(inside.select("node", "block", "i", (F.col("j") - 1).alias("j")))
+    n, m = v.count(), edges.count()
+    of = inside.select("node", "block")
+    linked = edges.select("u", "v").join(of.withColumnsRenamed({"node": "u", "block": "bu"}), "u").join(of.withColumnsRenamed({"node": "v", "block": "bv"}), "v")
+    linked = cut(linked)
+    one = spark.range(int(max(within * m, 64))).select(F.pmod(salt(1), F.lit(max(n, 1))).alias("i"), salt(2).alias("draw"))
+    one = one.join(inside.select("i", "node", "block", "j"), "i").join(sizes.select("block", "size"), "block").where("size > 1")
+    other = F.pmod(F.col("draw"), F.col("size"))
+    one = one.select("block", F.col("node").alias("a"), "j", other.alias("k")).where("j <> k")
+    own = one.join(inside.select("block", F.col("j").alias("k"), F.col("node").alias("b")), ["block", "k"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.col("block").alias("bu"), F.col("block").alias("bv")).distinct()
+    two = spark.range(int(max(between * m, 64))).select(F.pmod(salt(3), F.lit(max(n, 1))).alias("x"), F.pmod(salt(4), F.lit(max(n, 1))).alias("y")).where("x <> y")
+    ends = inside.select("i", "node", "block")
+    two = two.join(ends.select(F.col("i").alias("x"), F.col("node").alias("a"), F.col("block").alias("p")), "x").join(ends.select(F.col("i").alias("y"), F.col("node").alias("b"), F.col("block").alias("q")), "y").where("p <> q")
+    swap = F.col("a") > F.col("b")
+    apart = two.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.when(swap, F.col("q")).otherwise(F.col("p")).alias("bu"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("bv")).distinct()
+    non = cut(own.unionByName(apart).join(edges.select("u", "v"), ["u", "v"], "left_anti"))
+    stratum = F.when(F.col("bu") == F.col("bv"), F.col("bu"))  # null: between blocks
+    drawn = non.groupBy(stratum.alias("s")).agg(F.count("*").alias("k"))
+    links = linked.groupBy(stratum.alias("s")).agg(F.count("*").alias("m"))
+    pairs = sizes.select(F.col("block").alias("s"), (F.col("size") * (F.col("size") - 1) / 2).alias("pairs"))
+    all_inside = sizes.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("x")).first().x or 0.0
+    pairs = pairs.unionByName(spark.createDataFrame([(None, n * (n - 1) / 2 - all_inside)], "s string, pairs double"))
+    rate = drawn.join(pairs.withColumnRenamed("s", "ps"), F.col("s").eqNullSafe(F.col("ps"))).join(links.withColumnRenamed("s", "ls"), F.col("s").eqNullSafe(F.col("ls")), "left")
+    rate = rate.select(F.col("s").alias("rs"), ((F.col("pairs") - F.coalesce("m", F.lit(0))) / F.col("k")).alias("weight"))
+    match = (F.col("bu") == F.col("bv")).cast("int").alias(f"match_{block}")
+    zero = non.join(rate, stratum.eqNullSafe(F.col("rs"))).select("u", "v", F.lit(0).alias("edge"), "weight", match)
+    return linked.select("u", "v", F.lit(1).alias("edge"), F.lit(1.0).alias("weight"), match).unionByName(zero)
+
+
+def inference(dyads: DataFrame, estimates: dict[str, float]) -> DataFrame:
+    """term, estimate, std_error, z, p: of fit()'s estimates, by the Fisher information of the pseudo-likelihood, one aggregation of its terms' products.
+
+    As always with pseudo-likelihood, they take the pairs as independent.
+    """
+    terms = [t for t in estimates if t not in ("edges", "deviance", "aic", "bic")]
+    x = [F.lit(1.0), *[F.col(t).cast("double") for t in terms]]
+    eta = sum((F.lit(float(estimates[t])) * c for t, c in zip(["edges", *terms], x, strict=True)), F.lit(0.0))
+    p = 1 / (1 + F.exp(-eta))
+    w = F.col("weight") * p * (1 - p)
+    k = len(x)
+    sums = dyads.agg(*[F.sum(w * x[i] * x[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    info = np.array([[sums[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+    error = np.sqrt(np.diag(np.linalg.pinv(info)))
+    rows = [(t, float(estimates[t]), float(e), float(estimates[t] / e), math.erfc(abs(estimates[t] / e) / math.sqrt(2))) for t, e in zip(["edges", *terms], error, strict=True)]
+    return dyads.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, z double, p double")
+
+
 def prepared(nodes: DataFrame, numbers: list[str], placeholder: str) -> DataFrame:
     """log1p z-scores (sample deviation) over real vertices, 0 for placeholders: <c>_z."""
     real = z_scores(nodes.where(~F.col(placeholder)), numbers, sample=True, log=True)
@@ -164,11 +233,11 @@ def fit(dyads: DataFrame, terms: list[str], max_iter: int = 50) -> dict[str, flo
 
 
 def ladder(dyads: DataFrame, models: dict[str, list[str]]) -> DataFrame:
-    """model, term, estimate for a dictionary of formulas, each fitted by itself; a formula that fails gives no estimates."""
+    """model, term, estimate for a dictionary of formulas, each fitted by itself; a formula that fails has its reason as the term, and no estimate."""
     rows = []
     for name, terms in models.items():
         try:
             rows += [(name, t, float(v)) for t, v in fit(dyads, terms).items()]
-        except (ValueError, ZeroDivisionError):
-            rows.append((name, "failed", None))
+        except (ValueError, ZeroDivisionError) as why:
+            rows.append((name, f"failed: {why}", None))
     return dyads.sparkSession.createDataFrame(rows, "model string, term string, estimate double")
