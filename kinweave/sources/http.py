@@ -149,32 +149,39 @@ class Plan:
         return pages(url, self.item, self.next, get)
 
 
-def fetch(ids: DataFrame, column: str, plan: Plan, batch: int = 50) -> DataFrame:
-    """request, ordinal, body: the answers for the distinct ids of a column, `batch` ids to a request. Every task asks for its own ids with its own token."""
+def answers(ids: DataFrame, plan: Plan, batch: int = 50, per_second: float | None = None) -> DataFrame:
+    """request, ordinal, body: the answers for the rows of a column id, `batch` ids to a request; every task asks for its own with its own token, at most per_second requests a second."""
 
     def run(batches):
         import pandas as pd
 
-        get, held = plan.getter(), []
+        held, due = [], [0.0]
+        ask = plan.getter()
 
-        def answer(some):
-            request = ",".join(some)
-            for i, x in enumerate(plan.ask(request, get)):
-                yield request, i, json.dumps(x)
+        def get(url: str):
+            if per_second:
+                time.sleep(max(0.0, due[0] - time.monotonic()))
+                due[0] = time.monotonic() + 1 / per_second
+            return ask(url)
 
-        def frame(rows):
-            return pd.DataFrame(rows, columns=["request", "ordinal", "body"])
+        def frame(some):
+            request = ",".join(some)
+            return pd.DataFrame([(request, i, json.dumps(x)) for i, x in enumerate(plan.ask(request, get))], columns=["request", "ordinal", "body"])
 
         for pdf in batches:
             held += list(pdf["id"])
             while len(held) >= batch:
-                yield frame(list(answer(held[:batch])))
+                yield frame(held[:batch])
                 held = held[batch:]
         if held:
-            yield frame(list(answer(held)))
+            yield frame(held)
+
+    return ids.mapInPandas(run, "request string, ordinal long, body string")
+
 
-    one = ids.select(F.col(column).cast("string").alias("id")).where("id is not null").distinct()
-    return one.mapInPandas(run, "request string, ordinal long, body string")
+def fetch(ids: DataFrame, column: str, plan: Plan, batch: int = 50, per_second: float | None = None) -> DataFrame:
+    """answers() for the distinct ids of a column."""
+    return answers(ids.select(F.col(column).cast("string").alias("id")).where("id is not null").distinct(), plan, batch, per_second)
 
 
 class _Batch(InputPartition):

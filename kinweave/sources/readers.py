@@ -59,9 +59,10 @@ def csv_text(spark: SparkSession, path: str, key: str, ints: tuple[str, ...] = (
 
 
 def csv_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """key, value of a two-column CSV; of several values the last in the file (one file, read in order)."""
-    raw = spark.read.option("header", True).csv(path).withColumn("__i", F.monotonically_increasing_id())
-    return raw.groupBy(key).agg(F.max_by(value, "__i").alias(value))
+    """key, value of a two-column CSV; of several values the last: of the files in order of their paths, and in each the last line."""
+    raw = spark.read.option("header", True).csv(path)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # a block's lines are in one task, in order
+    return raw.select(key, value, place.alias("__i")).groupBy(key).agg(F.max_by(value, "__i").alias(value))
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:

@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.validate import scratch
+
 
 def json_shards(df: DataFrame, path: str, max_bytes: int = 300 * 1024 * 1024, mode: str = "error") -> int:
-    """JSON files of about max_bytes at most; the rows per file come from the mean size of a row. Returns that number."""
-    mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct("*"))) + 1)).first()[0] or 1.0
-    rows = max(1, int(max_bytes / mean))
-    df.write.mode(mode).option("maxRecordsPerFile", rows).json(path)
-    return rows
+    """JSON lines in files of max_bytes at most; a row longer than that has a file of its own. Returns the number of size classes.
+
+    Rows go by classes of length, each from over a half to the whole of a power of two bytes, so that as many rows of a
+    class as fit at its greatest length never exceed the cap, whatever the other rows' lengths.
+    """
+    spark, held = df.sparkSession, scratch(df.sparkSession, "shards")
+    size = F.octet_length(F.to_json(F.struct("*"))) + 1  # with the end of its line
+    df.withColumn("__bits", F.ceil(F.log2(size)).cast("int")).write.partitionBy("__bits").option("compression", "zstd").parquet(held)
+    kept = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, __bits int").parquet(held)
+    classes = sorted(r["__bits"] for r in kept.select("__bits").distinct().collect())  # some forty at most
+    if not classes:
+        df.write.mode(mode).json(path)
+    for i, bits in enumerate(classes):
+        rows = max(1, max_bytes >> bits)
+        kept.where(F.col("__bits") == bits).drop("__bits").write.mode("append" if i else mode).option("maxRecordsPerFile", rows).json(path)
+    return len(classes)
 
 
 def csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error") -> None:

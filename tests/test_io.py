@@ -180,3 +180,91 @@ def test_credits_are_counted_in_rounds(spark):
     got = platform.credit_counts(recorded, credited, 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.columns == ["recording_id", "works", "authors", "credits"]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shards_never_exceed_their_cap(spark, tmp_path):
+    """A few long rows among many short ones, and one longer than the cap: by bytes written."""
+    import os
+
+    rows = [(i, "x" * (1500 if i % 1000 == 7 else 5 + i % 11)) for i in range(3000)] + [(9999, "y" * 9000)]
+    df = spark.createDataFrame(rows, "i long, t string").coalesce(2)
+    path = str(tmp_path / "capped")
+    sinks.json_shards(df, path, 4000)
+    files = [os.path.join(path, f) for f in os.listdir(path) if f.startswith("part-")]
+    sizes = sorted(map(os.path.getsize, files))
+    assert sizes[-1] > 9000 and all(n <= 4000 for n in sizes[:-1])
+    assert sum(sizes) / 4000 * 3 > len(sizes)  # and are mostly well filled
+    assert sorted(map(tuple, spark.read.schema("i long, t string").json(path).collect())) == sorted(rows)
+    sinks.json_shards(df.limit(0), str(tmp_path / "none"), 4000)
+    assert spark.read.schema("i long, t string").json(str(tmp_path / "none")).count() == 0
+
+
+def test_harvest_goes_on_where_it_ended(spark, tmp_path):
+    """A service that breaks down in the middle: what was finished is not asked for again, nothing is missed, no answer comes twice."""
+    import threading
+    from collections import Counter
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    from kinweave.streaming import resume
+
+    asked, broken = [], [True]
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def do_GET(self):
+            some = parse_qs(urlparse(self.path).query)["ids"][0].split(",")
+            bad = broken[0] and len(asked) >= 40
+            if not bad:
+                asked.extend(some)
+            data = json.dumps({"items": [{"id": i} for i in some]}).encode()
+            self.send_response(500 if bad else 200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    ids, out, ck = (str(tmp_path / x) for x in ("ids", "out", "ck"))
+    known = spark.range(100).selectExpr("concat('i', id) AS k")
+    assert resume.id_files(known.union(known.limit(5)).union(spark.sql("SELECT CAST(NULL AS STRING)")), "k", ids, 10) == 100
+    plan = http.Plan(f"http://127.0.0.1:{s.server_port}/?ids={{ids}}", tries=1)
+    run = lambda: resume.harvest(spark, ids, plan, out, ck, files=1, batch=5, per_second=200.0).awaitTermination()
+    with pytest.raises(Exception, match="500"):
+        run()
+    finished = {x.id for x in spark.read.schema("body string").json(out).selectExpr("get_json_object(body, '$.id') AS id").collect()}
+    assert finished
+    broken[0] = False
+    run()
+    got = Counter(x.id for x in spark.read.schema("body string").json(out).selectExpr("get_json_object(body, '$.id') AS id").collect())
+    assert got == Counter(f"i{i}" for i in range(100))
+    times = Counter(asked)
+    assert all(times[i] == 1 for i in finished) and max(times.values()) <= 2
+    before = len(asked)
+    run()
+    assert len(asked) == before
+    resume.id_files(spark.sql("SELECT 'late' AS k"), "k", ids)
+    run()
+    assert asked[before:] == ["late"]
+    s.shutdown()
+
+
+def test_stream_forgets_old_keys(spark, tmp_path):
+    from kinweave.streaming.resume import stream_new as new
+
+    src = tmp_path / "in"
+    src.mkdir()
+    go = lambda: new(spark, str(src), "k string, t timestamp", "k", str(tmp_path / "out"), str(tmp_path / "ck"), "t", "1 hour").awaitTermination()
+    for i, rows in enumerate(([("a", "2020-01-01T00:00:00")] * 2, [("a", "2020-01-01T00:30:00"), ("b", "2020-01-03T00:00:00")], [("c", "2020-01-03T01:00:00"), ("b", "2020-01-03T00:10:00")])):
+        (src / f"{i}.json").write_text("".join(json.dumps({"k": k, "t": t}) + "\n" for k, t in rows))
+        go()
+    assert sorted(r.k for r in spark.read.schema("k string").json(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_last_value_over_files(spark, tmp_path):
+    for name, rows in (("b.csv", "k,v\na,3\n"), ("a.csv", "k,v\na,1\na,2\nb,9\n" + "".join(f"x{i},{i}\n" for i in range(500)))):
+        (tmp_path / name).write_text(rows)
+    got = {r.k: r.v for r in readers.csv_map(spark, str(tmp_path), "k", "v").collect()}
+    assert got["a"] == "3" and got["b"] == "9" and len(got) == 502
