@@ -103,9 +103,11 @@ def duration_title_profile(rows: DataFrame, remix: str = "remix", acoustic: str
 
 def collaboration(recordings: DataFrame, works: DataFrame) -> DataFrame:
     """recordings: artist, work; works: work, collaborators (array, the artist among them). A work of one is solo."""
-    flagged = recordings.join(works.select("work", (F.size("collaborators") > 1).alias("collab"), "collaborators"), "work", "left").withColumn("collab", F.coalesce("collab", F.lit(False)))
+    flagged = recordings.join(works.select("work", (F.size("collaborators") > 1).alias("collab")), "work", "left").withColumn("collab", F.coalesce("collab", F.lit(False)))
     rate = flagged.groupBy("artist").agg(F.count("*").alias("tracks_total"), F.count_if("collab").alias("collab_tracks"), S.ratio(F.count_if("collab"), F.count("*")).alias("collab_track_rate"))
-    entries = flagged.where("collab").select("artist", "work", "collaborators").distinct().select("artist", F.explode("collaborators").alias("c")).distinct()
+    # names are sent once for each work of an artist, not as an array with each recording
+    people = works.where(F.size("collaborators") > 1).select("work", F.explode("collaborators").alias("c"))
+    entries = recordings.select("artist", "work").distinct().join(people, "work").select("artist", "c").distinct()
     unique = entries.groupBy("artist").agg(F.count("*").alias("unique_collaborator_count"))
     return rate.join(unique, "artist", "left").withColumn("unique_collaborator_count", F.coalesce("unique_collaborator_count", F.lit(0)))
 

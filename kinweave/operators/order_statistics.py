@@ -6,7 +6,8 @@ interval, and running counts tell which interval holds the rank. Values that
 equal a cut have an interval of their own, so a value that a third of all rows
 share is never sorted. Rows of an interval that holds a rank are kept and cut
 again until `most` of them are left; only those are sorted. With 64 cuts two
-passes serve groups of some 10^8 rows, three of 10^10.
+passes serve groups of some 10^8 rows, three of 10^10. A column that has no more
+than `most` values in all (counted) is sorted at once.
 
 Ranks of rows in an order of hashes are numbered the same way in two levels:
 counts by the hash's first bits, and a row number inside.
@@ -88,7 +89,11 @@ def values_at(df: DataFrame, column: str, ranks: DataFrame, keys: list[str] | No
 
 def _of_ranks(df: DataFrame, column: str, places: dict[str, Column], keys: list[str], most: int, seen: list[int] | None) -> DataFrame:
     """keys, __n and one column per place (a rank by __n): its value. Groups without values have none."""
-    sizes = cut(df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n")))
+    some = df.where(F.col(column).isNotNull())
+    if some.count() <= most:  # no more than a task sorts anyway
+        whole = some.groupBy(*keys).agg(F.sort_array(F.collect_list(column)).alias("__all")).withColumn("__n", F.size("__all").cast("long")).where("__n > 0")
+        return whole.select(*keys, "__n", *[F.get("__all", rank.cast("int")).alias(name) for name, rank in places.items()])
+    sizes = cut(some.groupBy(*keys).agg(F.count("*").alias("__n")))
     ranks = sizes.select(*keys, F.explode(F.array(*places.values())).alias("__rank"))
     got = values_at(df, column, ranks, keys, most, seen)
     other = [f"__r{i}" for i in range(len(keys))]

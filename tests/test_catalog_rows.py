@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from kinweave.operators import catalog, graph_build
 from kinweave.plans import catalog_queries as Q
+from kinweave.plans import pipeline
 from kinweave.validate import cut
 
 DATA = __spark_entry__.TESTDATA
@@ -63,3 +64,24 @@ def test_edges_without_documents(spark, monkeypatch):
     assert rows(got) == want
     monkeypatch.setattr(graph_build, "PEOPLE", 2)
     assert rows(Q.cowork_edges(spark, DATA)) == want
+
+
+def test_documents_written_in_rounds(spark, monkeypatch):
+    """Documents of many rounds, and of one, equal those of one plan; the rounds follow from counted rows."""
+    t, ids = Q.tables(spark, DATA), Q.ids(spark, DATA)
+    want = Q._documents(spark, DATA)
+    owned, listed = catalog.owned(t, ids), catalog.listed(t)
+    n = owned.join(listed, "work_id").count()
+    assert catalog.rounds_for(owned, listed, n // 3) in (3, 4) and catalog.rounds_for(owned, listed) == 1
+    got = catalog.written_documents(t, ids, rows=n // 2 + 1)
+    assert got.columns == want.columns and rows(got) == rows(want)
+    some = catalog.written_documents(t, ids, ("works",))
+    assert rows(some) == rows(Q._documents(spark, DATA, "works"))
+
+
+def test_edges_of_a_run_come_from_the_catalog(spark):
+    t, ids = Q.tables(spark, DATA), Q.ids(spark, DATA)
+    docs = Q._documents(spark, DATA)
+    features = docs.where("pos % 2 = 0").select(F.col("mbid").alias("artist_mbid"))
+    kept = docs.join(features.select(F.col("artist_mbid").alias("mbid")), "mbid", "left_semi")
+    assert rows(pipeline.catalog_edges(t, features)) == rows(graph_build.cowork_edges(kept))
