@@ -7,13 +7,15 @@ readers and sinks write below the scratch folder and read what they wrote.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
 from kinweave.operators import catalog, early, ergm, graph_build, matrix, model, relational
 from kinweave.plans import pipeline
-from kinweave.plans.entity_queries import read
+from kinweave.plans.entity_queries import AS_OF, read, rounded
 from kinweave.sources import platform, readers, sinks
 from kinweave.streaming import resume
 from kinweave.validate import cut, forget, require_columns, scratch
@@ -135,6 +137,15 @@ def nested_documents(spark, d):
     return docs.select("mbid", "artist_name", "pos", F.size("works").cast("long").alias("n_works"), F.size("recordings").cast("long").alias("n_recordings"), F.size("releases").cast("long").alias("n_releases"), works.alias("works"), recordings.alias("recordings"), releases.alias("releases"))
 
 
+def nested_features(spark, d):
+    """The 40 early features of every nested document."""
+    t, lines, every = _kept(spark, d)
+    docs = catalog.written_documents(t, every)
+    forget(lines)
+    out = early.features(docs.drop("pos"), AS_OF)
+    return rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
+
+
 def catalog_releases(spark, d):
     t, lines, every = _kept(spark, d)
     owned, listed = catalog.owned(t, every), catalog.listed(t)
@@ -512,15 +523,18 @@ def streamed_once(spark, d):
 
 
 def saved_table(spark, d):
-    name = "kinweave_artist"
+    name = f"kinweave_artist_{uuid.uuid4().hex}"
     sinks.table(tables(spark, d)["artist"], name, "id", 4)
-    got = readers.tables(spark, [name, "kinweave_absent"])
-    require_columns(got[name], ["id", "gid"])
-    return cut(readers.ids_of(got[name])).withColumn("tables", F.lit(len(got)).cast("long"))
+    try:
+        got = readers.tables(spark, [name, "kinweave_absent"])
+        require_columns(got[name], ["id", "gid"])
+        return cut(readers.ids_of(got[name])).withColumn("tables", F.lit(len(got)).cast("long"))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 NAMES = [
-    catalog_entities, catalog_works, catalog_works_by_tags, catalog_recordings, nested_documents, catalog_releases, catalog_resources, catalog_resources_with_empty, catalog_one_resource,
+    catalog_entities, catalog_works, catalog_works_by_tags, catalog_recordings, nested_documents, nested_features, catalog_releases, catalog_resources, catalog_resources_with_empty, catalog_one_resource,
     early_song_features, platform_works, relatives_of_item, subclass_closure, item_by_id, rich_lookup_fallback, claim_values, name_search, alias_and_finite,
     accepted_documents, cowork_edges, metrics_by_platform_id, prepared_covariates, category_codes, sparse_columns_dropped, feature_sets, parsed_params, canonical_labels,
     chart_data_written, example_written, platform_metrics, platform_albums_tracks, platform_popularity, platform_searches, platform_listeners, platform_chart, platform_top_tracks, platform_tracklists,

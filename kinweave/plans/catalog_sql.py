@@ -18,8 +18,42 @@ RELS = f"{RECS}, {EVENT}, rel AS MATERIALIZED (SELECT DISTINCT artist, release_i
 ROLES = f"roles AS (SELECT artist, string_agg(DISTINCT name, ', ' ORDER BY name) AS roles FROM (SELECT artist, ty.name FROM li JOIN {TYPES} ON ty.id = l_linenumber WHERE l_linenumber <= 4 UNION ALL SELECT artist, coalesce(ty.name, 'performer') FROM li LEFT JOIN {TYPES} ON ty.id = l_linenumber WHERE l_linenumber >= 4) GROUP BY 1)"
 TRACKS = "tr AS (SELECT 'a' || o_custkey AS owner, lower(trim(p_name)) AS title, CAST(o_orderdate AS DATE) AS day, 's' || (l_suppkey % 3) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
 GOOD = "event_id % 100 <> 0"
+#: The catalog's works, releases and recordings in each artist's first five years, and what is counted of them.
+FEATURES = f"""WITH {RELS}, {COHORT}, {ROLES}, own AS (SELECT l_partkey AS work_id, min(CAST(l_shipdate AS DATE)) AS own FROM li WHERE l_partkey % 8 <> 0 GROUP BY 1),
+wk AS (SELECT ws.artist, ws.work_id, p_size, own FROM ws JOIN part ON p_partkey = ws.work_id LEFT JOIN own ON own.work_id = ws.work_id),
+rl AS (SELECT artist, release_id AS id, date, CASE WHEN release_id % 4 = 0 OR release_id % 30 >= 25 THEN '' WHEN release_id % 30 % 4 <> 0 THEN lower(n_name) ELSE 'L' || (release_id % 30) END AS label FROM rel LEFT JOIN ev ON ev.release = release_id LEFT JOIN nation ON n_nationkey = release_id % 30),
+al AS (SELECT artist, date, 0 AS kind FROM rl UNION ALL SELECT artist, own, 1 FROM wk),
+win AS (SELECT artist, d AS debut_date, CAST(d + INTERVAL 5 YEAR AS DATE) AS cutoff FROM (SELECT artist, coalesce(min(date) FILTER (kind = 0), min(date) FILTER (kind = 1)) AS d FROM al GROUP BY artist)),
+won AS MATERIALIZED (SELECT rl.*, debut_date, cutoff FROM rl JOIN win USING (artist) WHERE date < cutoff),
+g AS (SELECT *, date_diff('day', lag(date) OVER w, date) AS gap, row_number() OVER w AS n, date_diff('day', debut_date, date) AS days, CASE WHEN date < debut_date + CAST(floor(date_diff('day', debut_date, cutoff) / 2) AS INTEGER) THEN 1.0 ELSE 0.0 END AS early FROM won WINDOW w AS (PARTITION BY artist ORDER BY date, id)),
+m AS (SELECT artist, avg(CAST(days AS DOUBLE)) AS mx, avg(CAST(n AS DOUBLE)) AS my FROM g GROUP BY artist),
+k AS (SELECT g.artist, sum((days - mx) * (n - my)) / nullif(sum((days - mx) * (days - mx)), 0) AS slope FROM g JOIN m USING (artist) GROUP BY g.artist),
+cad AS (SELECT g.artist, count(*) AS releases_total, count(*) / nullif(greatest(0, date_diff('day', any_value(debut_date), least(any_value(cutoff), DATE '2002-01-01'))) / 365.25, 0) AS per_year, avg(gap) AS gap_mean, any_value(slope) AS slope, median(gap) AS gap_median, stddev_pop(gap) AS gap_sd, CAST(max(gap) AS DOUBLE) AS gap_max, avg(early) AS front FROM g JOIN k ON k.artist = g.artist GROUP BY g.artist),
+vis AS (SELECT DISTINCT artist, id, date FROM won),
+hd AS MATERIALIZED (SELECT rr.artist, rr.work_id, CAST(l_quantity * 1000 AS BIGINT) AS len FROM rr JOIN vis ON vis.artist = rr.artist AND vis.id = rr.release_id),
+dv AS (SELECT rr.artist, rr.work_id, min(vis.date) AS derived FROM rr JOIN vis ON vis.artist = rr.artist AND vis.id = rr.release_id GROUP BY 1, 2),
+wi AS (SELECT wk.artist, wk.work_id, p_size FROM wk LEFT JOIN dv ON dv.artist = wk.artist AND dv.work_id = wk.work_id JOIN win ON win.artist = wk.artist WHERE least(own, derived) < cutoff),
+tm AS (SELECT hd.artist, hd.work_id, len, coalesce(wi.work_id % 2 = 0, false) AS collab FROM hd LEFT JOIN wi ON wi.artist = hd.artist AND wi.work_id = hd.work_id),
+co AS (SELECT artist, count(*) AS tracks_total, (count(*) FILTER (collab)) / CAST(count(*) AS DOUBLE) AS collab_rate, avg(len) AS len_mean, median(len) AS len_median, min(len) AS len_min, max(len) AS len_max FROM tm GROUP BY artist),
+un AS (SELECT artist, count(DISTINCT c) AS n FROM (SELECT DISTINCT artist, unnest(['m' || (work_id % 50) || ' composer', 'm' || (work_id % 7) || ' lyricist']) AS c FROM tm WHERE collab) GROUP BY artist),
+lc AS (SELECT artist, date, id, label, CASE WHEN lag(label) OVER w <> label THEN 1 ELSE 0 END AS changed FROM won WHERE label <> '' WINDOW w AS (PARTITION BY artist ORDER BY date, id)),
+lf AS (SELECT artist, label, min(row(date, id)) AS first_seen, count(*) AS n, sum(changed) AS changed FROM lc GROUP BY 1, 2),
+lb AS (SELECT artist, count(*) AS diversity, sum(changed) AS churn, sum(n * n) / CAST(sum(n) * sum(n) AS DOUBLE) AS hhi, arg_min(label, row(-n, label)) AS top, string_agg(lower(label), ', ' ORDER BY first_seen) AS labels FROM lf GROUP BY artist),
+gn AS (SELECT artist, 'g' || (p_size % 10) AS genre, count(*) AS n FROM wi WHERE work_id % 6 <> 0 GROUP BY 1, 2),
+gp AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY artist) AS DOUBLE) AS p FROM gn),
+ge AS (SELECT artist, count(*) AS n, -sum(p * ln(p)) AS entropy, arg_min(genre, row(-n, genre)) AS top, string_agg(genre, ', ' ORDER BY genre) AS genres FROM gp GROUP BY artist),
+tc AS (SELECT artist, min(date) AS a, max(date) AS b FROM al WHERE date IS NOT NULL GROUP BY artist)
+SELECT mbid AS artist_mbid, c_name AS artist_name, 5 AS window_years, debut_date, cutoff AS window_cutoff_date, coalesce(releases_total, 0) AS releases_total, round(per_year, 6) AS releases_per_year, round(gap_mean, 6) AS avg_days_between_releases, round(slope, 6) AS release_velocity_releases_per_day,
+  round(slope * 365.25, 6) AS release_velocity_releases_per_year, round(gap_median, 6) AS gap_median_days, round(gap_sd, 6) AS gap_std_days, gap_max AS max_dry_spell_days, round(front, 6) AS front_loading_index, coalesce(tracks_total, 0) AS tracks_total, round(collab_rate, 6) AS collab_track_rate,
+  coalesce(un.n, 0) AS unique_collaborator_count, coalesce(diversity, 0) AS label_diversity_count, CAST(coalesce(churn, 0) AS BIGINT) AS label_churn, round(hhi, 6) AS label_hhi, lb.top AS primary_label, labels AS all_labels_str, round(len_mean, 6) AS duration_ms_mean, round(len_median, 6) AS duration_ms_median,
+  len_min AS duration_ms_min, len_max AS duration_ms_max, CASE WHEN tracks_total > 0 THEN 0.0 END AS remix_rate, CASE WHEN tracks_total > 0 THEN 0.0 END AS acoustic_rate, coalesce(ge.n, 0) AS genre_count, round(entropy, 6) AS genre_entropy, ge.top AS primary_genre, genres AS all_genres_str,
+  x.n_name AS artist_country, y.n_name AS artist_region_city, round(date_diff('day', a, DATE '2002-01-01') / 365.25, 6) AS years_active, CAST(year(a) AS INTEGER) AS debut_year, CAST(year(a) - year(a) % 10 AS INTEGER) AS debut_decade, round(exp(-0.1 * greatest(0, date_diff('day', b, DATE '2002-01-01')) / 30.44), 6) AS recency_index,
+  coalesce(split_part(roles, ', ', 1), 'unknown') AS primary_role, coalesce(roles, '') AS all_roles_str
+FROM cohort LEFT JOIN customer ON c_custkey = k LEFT JOIN nation x ON x.n_nationkey = c_nationkey LEFT JOIN nation y ON y.n_nationkey = (c_nationkey + 5) % 25 AND c_custkey % 3 <> 0 LEFT JOIN roles ON roles.artist = k LEFT JOIN win ON win.artist = k LEFT JOIN cad ON cad.artist = k
+  LEFT JOIN co ON co.artist = k LEFT JOIN un ON un.artist = k LEFT JOIN lb ON lb.artist = k LEFT JOIN ge ON ge.artist = k LEFT JOIN tc ON tc.artist = k"""
 
 SQL = {
+    "nested_features": FEATURES,
     "catalog_entities": f"""WITH {RELS}, {COHORT}, {ROLES}, w AS (SELECT artist, count(*) AS n FROM ws GROUP BY 1), r AS (SELECT artist, count(*) AS n, sum(CAST(l_quantity * 1000 AS BIGINT)) AS len FROM rr GROUP BY 1), l AS (SELECT artist, count(*) AS n FROM rel GROUP BY 1)
 SELECT mbid, c_name AS artist_name, x.n_name AS country, y.n_name AS region_city, roles, pos, coalesce(w.n, 0) AS n_works, coalesce(r.n, 0) AS n_recordings, coalesce(l.n, 0) AS n_releases, CAST(coalesce(len, 0) AS DOUBLE) AS total_length
 FROM cohort LEFT JOIN customer ON c_custkey = k LEFT JOIN nation x ON x.n_nationkey = c_nationkey LEFT JOIN nation y ON y.n_nationkey = (c_nationkey + 5) % 25 AND c_custkey % 3 <> 0 LEFT JOIN roles ON roles.artist = k LEFT JOIN w ON w.artist = k LEFT JOIN r ON r.artist = k LEFT JOIN l ON l.artist = k""",

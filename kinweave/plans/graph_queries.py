@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators import ergm, graph_build, graph_community, graph_iterate, graph_local, graph_traverse, graph_walks, model, relational
+from kinweave.operators import ergm, explain, graph_build, graph_community, graph_iterate, graph_local, graph_traverse, graph_walks, model, relational, target_statistics
+from kinweave.plans import pipeline
 from kinweave.plans.entity_queries import AS_OF, parts, read, recordings, releases, rounded
 from kinweave.operators import early
 from kinweave.validate import cut
@@ -268,6 +269,32 @@ def _model_rows(spark, d):
 _FEATURES = ["releases_total", "gap_std_days", "max_dry_spell_days", "label_hhi", "front_loading_index", "primary_label"]
 
 
+def node_features(spark, d):
+    """The node table of a whole run, without the columns that follow from an eigenvector's or a partition's last digits."""
+    nodes = attributes(spark, d).withColumn("node", F.col("node").cast("string"))
+    out = pipeline.node_features(edges(spark, d), nodes, {"c_mktsegment": "role", "c_nationkey": "genre"}, closeness_k=50)
+    out = out.drop("eigencent", "dist_to_hub_min", "community_participation")
+    out = rounded(out, "clust_local", "gwesp_score", "log_degree", "weak_tie_frac", "same_genre_share", "same_role_share")
+    return rounded(out, "betweenness", "closeness", digits=9)
+
+
+def sketched_path_lengths(spark, d):
+    return graph_traverse.sketched_path_lengths(edges(spark, d), 12)
+
+
+def ordered_target_statistic(spark, d):
+    """A customer's segment as the mean balance, in cents, of the customers of the segment before it."""
+    c = read(spark, d, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    return rounded(target_statistics.ordered_statistic(c, "c_custkey", "segment", "cents", "statistic"), "statistic")
+
+
+def shapley_contributions(spark, d):
+    """What each numeric feature adds to each artist's prediction by boosted trees."""
+    names = _FEATURES[:-1]
+    fitted = model.pipeline(names, "target", kind="gbt", maxIter=5, maxDepth=3, seed=1).fit(rows := cut(_model_rows(spark, d)))
+    return explain.shapley_values(fitted.stages[-1], fitted.stages[0].transform(rows), "__features", names, ["artist"])
+
+
 def gbt_regression_cv(spark, d):
     p = model.pipeline(_FEATURES, "target", ["primary_label"], "gbt", maxIter=10, maxDepth=3, seed=1)
     return model.cross_validate(cut(_model_rows(spark, d)), "artist", p, "target")
@@ -284,6 +311,6 @@ NAMES = [
     connected_components, component_sizes, hub_distance, kcore, kcore_profile, eigen_centrality, eigen_steps, pagerank, betweenness, closeness, path_lengths,
     path_length_summary, approximate_diameter, component_diameters, hub_distances_from_sources, sampled_closeness, induced_sample, sample_adjacency, writer_edges,
     author_dedupe, author_names, modularity_given_partition, participation, louvain, louvain_modularity, node2vec_embeddings, endpoint_template_fill,
-    sampled_subgraph, ergm_density_logit, ergm_dyad_stats, ergm_mple_fit, gbt_regression_cv, rank_by_prediction,
+    node_features, sketched_path_lengths, ordered_target_statistic, shapley_contributions, sampled_subgraph, ergm_density_logit, ergm_dyad_stats, ergm_mple_fit, gbt_regression_cv, rank_by_prediction,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

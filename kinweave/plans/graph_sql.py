@@ -119,3 +119,10 @@ FROM dy LEFT JOIN side ON side.u = dy.u AND side.v = dy.v LEFT JOIN dyadwise w O
     "author_dedupe": "WITH r AS (SELECT l_orderkey AS recording_id, 'S' || l_suppkey AS name, CASE WHEN l_suppkey % 7 <> 0 THEN 'm' || l_suppkey END AS mbid, CASE l_returnflag WHEN 'N' THEN 'composer' WHEN 'R' THEN 'lyricist' ELSE 'publisher' END AS relation FROM lineitem) SELECT recording_id, min(mbid) AS mbid, relation, min(name) AS name FROM r GROUP BY recording_id, coalesce(mbid, name), relation",
     "author_names": "WITH r AS (SELECT l_orderkey AS recording_id, 'S' || l_suppkey AS name, CASE WHEN l_suppkey % 7 <> 0 THEN 'm' || l_suppkey END AS mbid, CASE l_returnflag WHEN 'N' THEN 'composer' WHEN 'R' THEN 'lyricist' ELSE 'publisher' END AS relation FROM lineitem) SELECT DISTINCT mbid, name FROM r WHERE mbid IS NOT NULL",
 }
+_BY_NODE = ("triangles_clustering_wedges", "shared_partners_gwesp_weak", "kcore", "betweenness", "sampled_closeness", "homophily_shares", "triangle_mixing", "connected_components", "open_dyads")
+#: The node table from the single measures' own SQL.
+SQL["node_features"] = f"""SELECT CAST(d.node AS VARCHAR) AS node, clust_local, triangles, open_wedges, gwesp_score, d.degree, log_degree, kcore, betweenness, closeness, same_nation_share AS same_genre_share, same_role_share,
+  tri_within_nation AS tri_within_genre, tri_within_role, tri_cross_nation AS tri_cross_genre, tri_cross_role, component_size, open_dyads, weak_tie_frac
+FROM ({SQL["graph_degree"]}) d {" ".join(f"LEFT JOIN ({SQL[q]}) t{i} ON t{i}.node = d.node" for i, q in enumerate(_BY_NODE))}"""
+SQL["ordered_target_statistic"] = """WITH c AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, md5('42:' || c_custkey) AS o FROM customer), m AS (SELECT avg(cents) AS m FROM c)
+SELECT c_custkey, segment, cents, round((coalesce(sum(cents) OVER w, 0) + 1.0 * m) / (count(cents) OVER w + 1.0), 6) AS statistic FROM c, m WINDOW w AS (PARTITION BY segment ORDER BY o, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
