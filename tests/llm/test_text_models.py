@@ -213,16 +213,17 @@ def test_grammar():
     assert g.states == 2 * 4 * 2
 
 
-def brute_clauses(text, weights):
-    """Scores above 0 of a text's clauses, rule by rule."""
+def brute_clauses(text, weights, weight=None):
+    """Scores above 0 of a text's clauses, rule by rule; weights of beginnings of words, or weight of a word."""
     import re
 
     T, out = toxicity, []
+    weight = weight or (lambda word: max((w for s, w in weights.items() if word.startswith(s)), default=0))
     for clause in re.split(r"[.!?;:,\n]", text.lower()):
         target = report = False
         scope = total = 0
         for word in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause):
-            insult = max((w for s, w in weights.items() if word.startswith(s)), default=0)
+            insult = weight(word)
             if insult or word in T.THREAT and word not in T.TARGET + T.NEGATION + T.REPORT:
                 factor = insult * (1.5 if target else 1) if insult else 1.5 * target
                 total += factor * (0.5 if scope else 1) * (0.6 if report else 1)
@@ -249,6 +250,63 @@ def test_clauses_against_brute_force():
         assert (got[2] > 0) == bool(want)
 
 
+def brute_toxicity(rows, labels):
+    """doc_id -> score: terms learned by counting sets, stems pruned, clauses scored rule by rule, a logistic fit by least squares."""
+    import math
+    import re
+
+    how, label, learned = toxicity.Toxicity(), {}, []
+    for d, _, t in labels:
+        if d is not None and t is not None and zlib.crc32(str(d).encode()) % how.folds != how.held:
+            label[d] = max(label.get(d, 0), t)
+    for d, text, *_ in rows:
+        if d in label:
+            words = set(re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", (text or "").lower()))
+            learned.append(({"=" + w for w in words if len(w) >= 3} | {"^" + w[:n] for w in words for n in range(how.min_stem, min(how.max_stem, len(w)) + 1)}, label[d] > 0, text or ""))
+    n = {t: sum(1 for x in learned if x[1] is t) for t in (True, False)}
+    odds = {}
+    for term in set().union(*(x[0] for x in learned)):
+        a, b = (sum(1 for x in learned if x[1] is t and term in x[0]) for t in (True, False))
+        z = math.log((a + 0.5) / (n[True] + 1)) - math.log((b + 0.5) / (n[False] + 1)) - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        if a >= max(how.min_support, how.min_support_share * n[True]) and z >= how.min_log_odds:
+            odds[term] = z
+    exact = dict.fromkeys(toxicity.INSULT, how.prior_weight) | {t[1:]: min(z, 6) / 4 for t, z in odds.items() if t[0] == "="}
+    stems = {}
+    for stem in sorted((t[1:] for t in odds if t[0] == "^"), key=len):
+        if all(not stem.startswith(k) or odds["^" + stem] >= odds["^" + k] + 1 for k in stems):
+            stems[stem] = min(odds["^" + stem], 6) / 4
+    weight = lambda word: max([exact.get(word, 0), *(w for s, w in stems.items() if word.startswith(s))])
+
+    def features(text):
+        got = brute_clauses(text, {}, weight) if text else []
+        return [1.0, math.log1p(sum(got)), max(got), 100 * len(got) / (text.count(" ") + text.count("\n") + 1)] if got else [1.0, 0.0, 0.0, 0.0]
+
+    x, y, b = np.array([features(t) for *_, t in learned]), np.array([float(t) for _, t, _ in learned]), np.zeros(4)
+    ridge = np.diag(np.sqrt([1e-6, 1, 1, 1]))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x @ b)))
+        w = np.sqrt(p * (1 - p))
+        b = np.linalg.lstsq(np.vstack((x * w[:, None], ridge)), np.concatenate(((x @ b) * w + (y - p) / w, np.zeros(4))), rcond=None)[0]
+    return {d: 1 / (1 + math.exp(-float(np.dot(b, features(t))))) for d, t, *_ in rows}
+
+
+def test_whole_toxicity_against_brute_force(spark):
+    """Terms, stems, weights, clauses, fit and scores, all together."""
+    rows, labels = toxic_rows(500)
+    r = random.Random(5)
+    odd = ["You {}, stop", "she said {} again", "not {} at all", "you are not {}! Kill you", "{}. {}\n{}", "THEM {}s; fine"]
+    rows = [(d, t + " " + (r.choice(odd).replace("{}", r.choice(["grobbelfang", "river", "idiot", "grobbelzap", "lamp"])) if r.random() < 0.5 else ""), *x) for d, t, *x in rows]
+    rows += [(9000, None, "en", "s", 0), (9001, "", "en", "s", 0), (9002, "grobbelfangs you grobbelfang", "en", "s", 0)]
+    labels += [(3, None, 1), (4, None, None), (9000, 1, 0), (77777, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {x.doc_id: x for x in toxicity.toxicity(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    want = brute_toxicity(rows, labels)
+    assert len({round(v, 6) for v in want.values()}) > 20
+    for d, p in want.items():
+        assert got[d].score == pytest.approx(p, abs=1e-6), d
+        assert got[d].predicted == int(got[d].score >= 0.5)
+
+
 @pytest.mark.parametrize("n", [3, 300, 500, 20_000])
 def test_clause_of_any_length(n):
     s = toxicity.Scorer({"idiot": 1.0}, {})
