@@ -47,7 +47,7 @@ SELECT mbid AS artist_mbid, c_name AS artist_name, 5 AS window_years, debut_date
   round(slope * 365.25, 6) AS release_velocity_releases_per_year, round(gap_median, 6) AS gap_median_days, round(gap_sd, 6) AS gap_std_days, gap_max AS max_dry_spell_days, round(front, 6) AS front_loading_index, coalesce(tracks_total, 0) AS tracks_total, round(collab_rate, 6) AS collab_track_rate,
   coalesce(un.n, 0) AS unique_collaborator_count, coalesce(diversity, 0) AS label_diversity_count, CAST(coalesce(churn, 0) AS BIGINT) AS label_churn, round(hhi, 6) AS label_hhi, lb.top AS primary_label, labels AS all_labels_str, round(len_mean, 6) AS duration_ms_mean, round(len_median, 6) AS duration_ms_median,
   len_min AS duration_ms_min, len_max AS duration_ms_max, CASE WHEN tracks_total > 0 THEN 0.0 END AS remix_rate, CASE WHEN tracks_total > 0 THEN 0.0 END AS acoustic_rate, coalesce(ge.n, 0) AS genre_count, round(entropy, 6) AS genre_entropy, ge.top AS primary_genre, genres AS all_genres_str,
-  x.n_name AS artist_country, y.n_name AS artist_region_city, round(date_diff('day', a, DATE '2002-01-01') / 365.25, 6) AS years_active, CAST(year(a) AS INTEGER) AS debut_year, CAST(year(a) - year(a) % 10 AS INTEGER) AS debut_decade, round(exp(-0.1 * greatest(0, date_diff('day', b, DATE '2002-01-01')) / 30.44), 6) AS recency_index,
+  x.n_name AS artist_country, y.n_name AS artist_region_city, round(date_diff('day', a, DATE '2002-01-01') / 365.25, 6) AS years_active, CAST(year(a) AS INTEGER) AS debut_year, CAST(year(a) - year(a) % 10 AS INTEGER) AS debut_decade, CASE WHEN b IS NOT NULL THEN round(exp(-0.1 * greatest(0, date_diff('day', b, DATE '2002-01-01')) / 30.44), 6) END AS recency_index,
   coalesce(split_part(roles, ', ', 1), 'unknown') AS primary_role, coalesce(roles, '') AS all_roles_str
 FROM cohort LEFT JOIN customer ON c_custkey = k LEFT JOIN nation x ON x.n_nationkey = c_nationkey LEFT JOIN nation y ON y.n_nationkey = (c_nationkey + 5) % 25 AND c_custkey % 3 <> 0 LEFT JOIN roles ON roles.artist = k LEFT JOIN win ON win.artist = k LEFT JOIN cad ON cad.artist = k
   LEFT JOIN co ON co.artist = k LEFT JOIN un ON un.artist = k LEFT JOIN lb ON lb.artist = k LEFT JOIN ge ON ge.artist = k LEFT JOIN tc ON tc.artist = k"""
