@@ -242,8 +242,8 @@ def documents(t: dict[str, DataFrame], ids: DataFrame, arrays: tuple[str, ...] =
     return placeholders(cohort, docs.drop("pos", "artist_id"))
 
 
-#: Rows of artist and recording that a round makes; the number of rounds follows from their count.
-ROUND_ROWS = 1 << 24
+#: Rows of artist and recording that a round makes, where they are counted, and where they are nested; the number of rounds follows from their count.
+ROUND_ROWS, NESTED_ROWS = 1 << 28, 1 << 26
 
 
 def rounds_for(owners: DataFrame, listed_: DataFrame, rows: int | None = None) -> int:
@@ -265,7 +265,7 @@ def written_documents(t: dict[str, DataFrame], ids: DataFrame, arrays: tuple[str
     wide = set(arrays) & {"recordings", "releases"}
     on = listed(t) if wide else None
     facts = cut(release_facts(t), "zstd") if "releases" in arrays else None
-    n = rounds_for(works, on, rows) if wide else 1
+    n = rounds_for(works, on, rows or NESTED_ROWS) if wide else 1
     path, setting = scratch(spark, "documents"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     held = spark.conf.get(setting, "false")
     spark.conf.set(setting, "true")
