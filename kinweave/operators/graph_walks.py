@@ -110,7 +110,7 @@ def window_pairs(walked: DataFrame, window: int) -> DataFrame:
     return own.select("node", "h", "i", F.posexplode(near).alias("j", "context")).where("context <> node").select("node", "context", F.xxhash64("h", "i", "j").alias("order"))
 
 
-def skip_gram(pairs: DataFrame, dimensions: int = 32, negatives: int = 5, epochs: int = 3, rate: float = 0.05, seed: int = 42, blocks: int | None = None, batch: int = 64) -> DataFrame:
+def skip_gram(pairs: DataFrame, dimensions: int = 32, negatives: int = 5, epochs: int = 3, rate: float = 0.05, seed: int = 42, blocks: int | None = None, batch: int = 256) -> DataFrame:
     """node, vector: centres' vectors. pairs: node, context, order (a long)."""
     pairs = cut(pairs)
     count = pairs.groupBy("context").agg(F.count("*").alias("n"))
