@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from kinweave.operators import catalog, graph_build
+from kinweave.operators import catalog, early, graph_build
 from kinweave.plans import catalog_queries as Q
 from kinweave.plans import pipeline
 from kinweave.validate import cut
@@ -85,3 +85,22 @@ def test_edges_of_a_run_come_from_the_catalog(spark):
     features = docs.where("pos % 2 = 0").select(F.col("mbid").alias("artist_mbid"))
     kept = docs.join(features.select(F.col("artist_mbid").alias("mbid")), "mbid", "left_semi")
     assert rows(pipeline.catalog_edges(t, features)) == rows(graph_build.cowork_edges(kept))
+
+
+def test_nested_by_work(spark):
+    """What a work adds is put together once, and documents that are only digested are not written; before, each artist's rows were gathered one by one, and written."""
+    t, ids = Q.tables(spark, DATA), Q.ids(spark, DATA)
+    works = catalog.by_work(t, catalog.listings(t), catalog.release_facts(t), catalog.ARRAYS)
+    assert works.count() == works.select("work_id").distinct().count()
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in catalog.ARRAYS]
+    got = catalog.written_documents(t, ids, rows=1 << 17, kept=lambda docs: docs.select("mbid", *sizes))
+    assert got.columns == ["mbid", "n_works", "n_recordings", "n_releases"]
+    assert rows(got) == rows(Q.catalog_entities(spark, DATA).select(*got.columns))
+
+
+def test_features_in_rounds(spark):
+    """Features of a round's documents, which go with the round, equal those of all documents at once; before, all were written first."""
+    t, ids = Q.tables(spark, DATA), Q.ids(spark, DATA)
+    kept = lambda docs: early.temporal_controls(docs.select(F.col("mbid").alias("artist"), F.explode("works").alias("w")).select("artist", F.col("w.first_release_date").cast("date").alias("date")), "2002-01-01")
+    got = catalog.written_documents(t, ids, ("works",), rows=1 << 12, kept=kept, again=True)
+    assert got.count() > 0 and rows(got) == rows(kept(Q._documents(spark, DATA, "works")))
