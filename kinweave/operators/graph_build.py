@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
+from kinweave.validate import cut
 
 #: Participants of a work that one task pairs with all others of it.
 BLOCK = 1024
+#: Rows of members, and of pairs, that one task holds on average.
+TASK_ROWS = 1 << 20
 #: People of a work whose pairs are made from one row.
 PEOPLE = 64
 
 
-def _pairs(m: DataFrame, keys: list[str]) -> DataFrame:
+def _pairs(m: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """m (keys, n and more) joined with itself: u < v, once a pair and key, with the further columns of u's row.
 
     A key's rows are dealt to blocks of u; every row is copied to each block as v.
@@ -29,14 +32,28 @@ def _pairs(m: DataFrame, keys: list[str]) -> DataFrame:
     dealt = m.join(large, keys, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1).cast("long")))
     a = dealt.withColumn("__block", F.pmod(F.xxhash64("n"), "__blocks")).drop("__blocks").withColumnRenamed("n", "u")
     b = dealt.select(*keys, F.col("n").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__block"))
+    if tasks:
+        a, b = (x.repartition(tasks, *keys, "__block") for x in (a, b))
     return a.join(b, [*keys, "__block"]).where("u < v").drop("__block")
 
 
+def _dealt_pairs(m: DataFrame, keys: list[str]) -> DataFrame:
+    """_pairs() dealt by (u, v), by as many tasks as its counted rows need, so that no task's share grows with the input. m is written, as it is read several times."""
+    m = cut(m)
+    sizes = m.groupBy(*keys).agg(F.count("*").alias("__c"))
+    rows, pairs = sizes.agg(F.sum("__c"), F.sum(F.col("__c") * (F.col("__c") - 1) / 2)).first()
+    return _pairs(m, keys, _tasks(rows)).repartition(_tasks(pairs), "u", "v")
+
+
+def _tasks(rows: float | None) -> int:
+    return int((rows or 0) // TASK_ROWS) + 1
+
+
 def pair_counts(members: DataFrame, key: str | list[str], node: str, weight: Column | None = None) -> DataFrame:
     """members: one row per (key, node). Edges weighted by the number of keys shared, or the sum of a column of the left row."""
     keys = [key] if isinstance(key, str) else key
     m = members.select(*keys, F.col(node).alias("n"), *([weight.alias("w")] if weight is not None else [])).where("n is not null").dropDuplicates([*keys, "n"])
-    pairs = _pairs(m, keys)
+    pairs = _dealt_pairs(m, keys)
     return pairs.groupBy("u", "v").agg((F.count("*") if weight is None else F.sum("w")).alias("weight"))
 
 
@@ -78,7 +95,7 @@ def pair_examples(members: DataFrame, key: str | list[str], node: str, title: st
     """u, v, weight and the sorted distinct titles of the shared works, joined by '; '."""
     keys = [key] if isinstance(key, str) else key
     m = members.select(*keys, F.col(node).alias("n"), F.col(title).alias("t")).dropDuplicates([*keys, "n"])
-    pairs = _pairs(m, keys)
+    pairs = _dealt_pairs(m, keys)
     return pairs.groupBy("u", "v").agg(F.count("*").alias("weight"), F.concat_ws("; ", F.array_sort(F.collect_set("t"))).alias("examples"))
 
 

@@ -1,6 +1,7 @@
 """What keeps a query's work in proportion to its input: one pass over the rows, tasks by counted rows, no sort of all."""
 
 import __spark_entry__
+from kinweave.operators import graph_build
 from kinweave.plans import entity_queries
 
 DATA = __spark_entry__.TESTDATA
@@ -13,3 +14,12 @@ def plan(df):
 def test_ranks_read_rows_once(spark):
     """Before, each rank and level of intervals joined and grouped all recordings again."""
     assert "lineitem" not in plan(entity_queries.yearly_nearest_rank(spark, DATA))
+
+
+def test_pairs_by_counted_rows(spark, monkeypatch):
+    """Tasks follow from the counted pairs; before, a task's share of the pairs grew with the input."""
+    m = spark.createDataFrame([(w, n, f"t{w}") for w in range(4) for n in range(6)], "work long, n long, t string")
+    monkeypatch.setattr(graph_build, "TASK_ROWS", 10)
+    for got in (graph_build.pair_examples(m, "work", "n", "t"), graph_build.size_adjusted_edges(m, "work", "n")):
+        assert got.rdd.getNumPartitions() == 7 and got.count() == 15
+    assert {r.examples for r in graph_build.pair_examples(m, "work", "n", "t").collect()} == {"t0; t1; t2; t3"}
