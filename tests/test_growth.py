@@ -2,7 +2,7 @@
 
 import __spark_entry__
 from kinweave.operators import graph_build
-from kinweave.plans import entity_queries
+from kinweave.plans import catalog_queries, entity_queries
 
 DATA = __spark_entry__.TESTDATA
 
@@ -23,3 +23,9 @@ def test_pairs_by_counted_rows(spark, monkeypatch):
     for got in (graph_build.pair_examples(m, "work", "n", "t"), graph_build.size_adjusted_edges(m, "work", "n")):
         assert got.rdd.getNumPartitions() == 7 and got.count() == 15
     assert {r.examples for r in graph_build.pair_examples(m, "work", "n", "t").collect()} == {"t0; t1; t2; t3"}
+
+
+def test_platform_works_unsorted(spark):
+    """Before, all documents were sorted by a constant, in one task, and recordings and releases were nested for nothing."""
+    p = plan(catalog_queries.platform_works(spark, DATA))
+    assert "rangepartitioning" not in p and "album" not in p.replace("album_date", "")
