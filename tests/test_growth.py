@@ -29,3 +29,16 @@ def test_platform_works_unsorted(spark):
     """Before, all documents were sorted by a constant, in one task, and recordings and releases were nested for nothing."""
     p = plan(catalog_queries.platform_works(spark, DATA))
     assert "rangepartitioning" not in p and "album" not in p.replace("album_date", "")
+
+
+def test_works_are_rows(spark):
+    """Works one a row, equal to the nested ones; before, they were nested, sorted with their documents and taken apart again."""
+    got, nested = catalog_queries.catalog_works(spark, DATA), catalog_queries._works(catalog_queries._documents(spark, DATA, "works"))
+    assert "inline" not in plan(got) and "rangepartitioning" not in plan(got)
+    assert got.columns == nested.columns and sorted(map(str, got.collect())) == sorted(map(str, nested.collect()))
+
+
+def test_no_order_where_none_is_asked(spark):
+    """Before, nested documents were sorted by pos and their order thrown away."""
+    assert "rangepartitioning" not in plan(catalog_queries.early_song_features(spark, DATA))
+    assert "rangepartitioning" not in plan(catalog_queries.accepted_documents(spark, DATA))
