@@ -1,7 +1,7 @@
 """What keeps a query's work in proportion to its input: one pass over the rows, tasks by counted rows, no sort of all."""
 
 import __spark_entry__
-from kinweave.operators import graph_build
+from kinweave.operators import catalog, graph_build
 from kinweave.plans import catalog_queries, entity_queries
 
 DATA = __spark_entry__.TESTDATA
@@ -42,3 +42,21 @@ def test_no_order_where_none_is_asked(spark):
     """Before, nested documents were sorted by pos and their order thrown away."""
     assert "rangepartitioning" not in plan(catalog_queries.early_song_features(spark, DATA))
     assert "rangepartitioning" not in plan(catalog_queries.accepted_documents(spark, DATA))
+
+
+def test_repeats_by_numbers(spark, monkeypatch):
+    """Who has a release by several works is found among sorted numbers, in rounds and blocks that follow from counts; before, all rows of artist, work and release were made and sorted."""
+    owned = spark.createDataFrame([(a, w) for a in range(1, 7) for w in (10, 11, 12) if (a + w) % 3], "artist_id long, work_id long")
+    on = spark.createDataFrame([(10, 1), (11, 1), (12, 1), (11, 2), (12, 3), (10, 4), (12, 4)], "work_id long, release_id long")
+    have = sorted((a, r, w) for a, w in owned.collect() for x, r in on.collect() if x == w)
+    want = [(a, w, r) for i, (a, r, w) in enumerate(have) if i and have[i - 1][:2] == (a, r)]
+    assert want and sorted(map(tuple, catalog.repeats(owned, on).collect())) == sorted(want)
+    monkeypatch.setattr(catalog, "TASK_ROWS", 2)
+    monkeypatch.setattr(catalog, "ROUND_ROWS", 5)
+    assert sorted(map(tuple, catalog.repeats(owned, on).collect())) == sorted(want)
+
+
+def test_release_texts_before_the_join(spark):
+    """Before, each row's mbid, date and labels were made into text after the join that makes the rows."""
+    above = plan(catalog_queries.catalog_releases(spark, DATA)).split("Join")[0]
+    assert "hex" not in above and "date_format" not in above and "concat_ws" not in above
