@@ -60,3 +60,11 @@ def test_release_texts_before_the_join(spark):
     """Before, each row's mbid, date and labels were made into text after the join that makes the rows."""
     above = plan(catalog_queries.catalog_releases(spark, DATA)).split("Join")[0]
     assert "hex" not in above and "date_format" not in above and "concat_ws" not in above
+
+
+def test_entities_count_releases_once_a_round(spark, monkeypatch):
+    """Releases are counted by work, less those that several works bring; before, all (artist, release) were made and made distinct."""
+    asked, real = [], catalog.repeats
+    monkeypatch.setattr(catalog, "repeats", lambda *a: asked.append(a) or real(*a))
+    catalog_queries.catalog_entities(spark, DATA)
+    assert len(asked) == 1
