@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from kinweave.operators import ergm, explain, graph_build, graph_community, grap
 from kinweave.plans import pipeline
 from kinweave.plans.entity_queries import AS_OF, parts, read, recordings, releases, rounded
 from kinweave.operators import early
-from kinweave.validate import cut
+from kinweave.validate import cut, dealt, forget
 
 
 def members(spark, d) -> DataFrame:
@@ -258,12 +260,21 @@ def ergm_mple_fit(spark, d):
 
 
 def _model_rows(spark, d):
-    r = releases(spark, d)
-    window = early.career_window(r)
-    won = early.in_window(r, window)
-    x = early.cadence(won, AS_OF).join(early.label_profile(won), "artist").join(early.temporal_controls(r, AS_OF), "artist")
-    y = r.groupBy("artist").agg(F.log1p(F.sum("price") + 1).alias("target"))
-    return x.join(y, "artist").select("artist", "primary_label", "target", "years_active", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("releases_total", "gap_std_days", "max_dry_spell_days", "label_hhi", "front_loading_index")])
+    """A row for each artist, in a table. Releases, those of the early years and each group of features are written once: no task sorts for several joins at once."""
+    r = cut(releases(spark, d).select("artist", "id", "date", "label", "price"))
+    with dealt(spark, r.count()):
+        won = cut(early.in_window(r, early.career_window(r)))
+        held = [
+            early.cadence(won, AS_OF).select("artist", "releases_total", "gap_std_days", "max_dry_spell_days", "front_loading_index"),
+            early.label_profile(won).select("artist", "primary_label", "label_hhi"),
+            early.temporal_controls(r, AS_OF).select("artist", "years_active"),
+            r.groupBy("artist").agg(F.log1p(F.sum("price") + 1).alias("target")),
+        ]
+        held = [cut(x) for x in held]
+        x = reduce(lambda a, b: a.join(b, "artist"), held)
+        rows = cut(x.select("artist", "primary_label", "target", "years_active", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("releases_total", "gap_std_days", "max_dry_spell_days", "label_hhi", "front_loading_index")]))
+    forget(r, won, *held)
+    return rows
 
 
 _FEATURES = ["releases_total", "gap_std_days", "max_dry_spell_days", "label_hhi", "front_loading_index", "primary_label"]
@@ -291,13 +302,13 @@ def ordered_target_statistic(spark, d):
 def shapley_contributions(spark, d):
     """What each numeric feature adds to each artist's prediction by boosted trees."""
     names = _FEATURES[:-1]
-    fitted = model.pipeline(names, "target", kind="gbt", maxIter=5, maxDepth=3, seed=1).fit(rows := cut(_model_rows(spark, d)))
+    fitted = model.pipeline(names, "target", kind="gbt", maxIter=5, maxDepth=3, seed=1).fit(rows := _model_rows(spark, d))
     return explain.shapley_values(fitted.stages[-1], fitted.stages[0].transform(rows), "__features", names, ["artist"])
 
 
 def gbt_regression_cv(spark, d):
     p = model.pipeline(_FEATURES, "target", ["primary_label"], "gbt", maxIter=10, maxDepth=3, seed=1)
-    return model.cross_validate(cut(_model_rows(spark, d)), "artist", p, "target")
+    return model.cross_validate(_model_rows(spark, d), "artist", p, "target")
 
 
 def rank_by_prediction(spark, d):

@@ -1,8 +1,11 @@
 """What keeps a query's work in proportion to its input: one pass over the rows, tasks by counted rows, no sort of all."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
-from kinweave.operators import catalog, graph_build
-from kinweave.plans import catalog_queries, entity_queries
+from kinweave import validate
+from kinweave.operators import catalog, early, graph_build
+from kinweave.plans import catalog_queries, entity_queries, graph_queries
 
 DATA = __spark_entry__.TESTDATA
 
@@ -68,3 +71,19 @@ def test_entities_count_releases_once_a_round(spark, monkeypatch):
     monkeypatch.setattr(catalog, "repeats", lambda *a: asked.append(a) or real(*a))
     catalog_queries.catalog_entities(spark, DATA)
     assert len(asked) == 1
+
+
+def test_model_rows_by_counted_rows(spark, monkeypatch):
+    """Features of artists go to tasks by counted releases, one group of features at a time; before, one plan sorted for all joins in tasks that grew with the input."""
+    r = graph_queries.releases(spark, DATA)
+    won = early.in_window(r, early.career_window(r))
+    x = early.cadence(won, graph_queries.AS_OF).join(early.label_profile(won), "artist").join(early.temporal_controls(r, graph_queries.AS_OF), "artist")
+    x = x.join(r.groupBy("artist").agg(F.log1p(F.sum("price") + 1).alias("target")), "artist")
+    monkeypatch.setattr(validate, "DEALT_ROWS", r.count() // 9)
+    asked, real = [], validate.settings
+    monkeypatch.setattr(validate, "settings", lambda s, values: asked.append(values.get("spark.sql.shuffle.partitions")) or real(s, values))
+    got = graph_queries._model_rows(spark, DATA)
+    assert "10" in asked and "Join" not in plan(got)
+    columns = ["artist", "primary_label", "target", "years_active", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in got.columns[4:]]]
+    for a, b in zip(got.orderBy("artist").collect(), x.select(*columns).orderBy("artist").collect(), strict=True):
+        assert a[:2] == b[:2] and max(abs(p - q) for p, q in zip(a[2:], b[2:], strict=True)) < 1e-9
