@@ -68,19 +68,26 @@ def cowork_edges(docs: DataFrame) -> DataFrame:
     return pair_counts(dated.select("owner", "work", F.explode(people).alias("person")), ["owner", "work"], "person")
 
 
-def _pairs_of_arrays(rows: DataFrame, keys: list[str], people: str) -> DataFrame:
-    """u < v: all pairs of each row's distinct people, one row each; long arrays are dealt to blocks."""
+def _pairs_of_arrays(rows: DataFrame, key: str, people: str, weight: str) -> DataFrame:
+    """u < v, weight: all pairs of each row's distinct people, one row each; long arrays are dealt to blocks."""
     inside = F.explode(F.flatten(F.transform(people, lambda x, i: F.transform(F.slice(F.col(people), i + 2, F.size(people)), lambda y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))))))
-    short = rows.where(F.size(people) <= PEOPLE).select(inside.alias("p")).select("p.u", "p.v")
-    long = rows.where(F.size(people) > PEOPLE).select(*keys, F.explode(people).alias("n"))
-    return short.union(_pairs(long, keys).select("u", "v"))
+    short = rows.where(F.size(people) <= PEOPLE).select(inside.alias("p"), weight).select("p.u", "p.v", weight)
+    long = rows.where(F.size(people) > PEOPLE).select(key, F.explode(people).alias("n"), weight)
+    return short.union(_pairs(long, [key]).select("u", "v", weight))
 
 
 def owned_work_edges(owned: DataFrame, works: DataFrame, owner: Column) -> DataFrame:
-    """cowork_edges() without documents. owned: work and what `owner` is made of after the join, once each; works: work, people, one row for each dated work (of any owner)."""
-    people = F.array_distinct(F.array_compact(F.array_union(F.array("owner"), F.coalesce("people", F.array().cast("array<string>")))))
-    rows = owned.join(works, "work").withColumn("owner", owner).select("owner", "work", people.alias("people"))
-    return _pairs_of_arrays(rows, ["owner", "work"], "people").groupBy("u", "v").agg(F.count("*").alias("weight"))
+    """cowork_edges() without documents. owned: work and what `owner` is made of, once each; works: work, people, one row for each dated work (of any owner).
+
+    Pairs among a work's people are the same for all its owners: they are made once and weigh as many. An owner who is not among them is
+    paired with each.
+    """
+    some = works.select("work", F.array_distinct(F.array_compact("people")).alias("people")).where(F.size("people") > 0)
+    n = owned.groupBy("work").agg(F.count("*").alias("weight"))
+    among = _pairs_of_arrays(some.where(F.size("people") > 1).join(n, "work"), "work", "people", "weight")
+    apart = owned.select("work", owner.alias("owner")).where("owner is not null").join(some, "work").where(~F.array_contains("people", F.col("owner"))).select("owner", F.explode("people").alias("person"))
+    pairs = among.union(apart.select(F.least("owner", "person").alias("u"), F.greatest("owner", "person").alias("v"), F.lit(1).cast("long").alias("weight")))
+    return pairs.groupBy("u", "v").agg(F.sum("weight").alias("weight"))
 
 
 def size_adjusted_edges(members: DataFrame, key: str | list[str], node: str) -> DataFrame:
