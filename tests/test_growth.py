@@ -97,3 +97,30 @@ def test_edges_of_owners_and_people(spark):
     got = graph_build.owned_work_edges(owned, works, F.col("id"))
     assert {(r.u, r.v): r.weight for r in got.collect()} == want
     assert plan(got).count("owner") > 0 and not any("transform" in x and "owner" in x for x in plan(got).splitlines())
+
+
+def test_credits_counted_by_batches():
+    """Many recordings' credits are sorted as numbers at once, a recording over several batches too; before, functions were called for each credit, in three arrays a recording."""
+    import pyarrow as pa
+
+    from kinweave.sources import platform
+
+    rows = [("a", [3, 5, 4]), ("a", [5, 9]), ("b", []), ("c", [7, 6]), ("c", [8]), ("c", [7]), ("d", [2 << 60])]  # many = 3: 3, 6 and 9 are without a relation
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["recording_id", "__codes"])
+    last = (2 << 60) % 3 != 0
+    for size in (1, 2, 3, 7):
+        got = [tuple(x.values()) for out in platform._counted([whole.slice(i, size) for i in range(0, len(rows), size)], 3) for x in out.to_pylist()]
+        assert got == [("a", 2, 2, 2), ("b", 1, 0, 0), ("c", 3, 1, 2), ("d", 1, 1, int(last))]
+
+
+def test_relations_keep_what_they_need(spark):
+    """Before, both sides of platform_relations shuffled all four columns of the lines twice."""
+    p = []
+    from kinweave.sources import platform
+
+    held, platform.credit_counts = platform.credit_counts, lambda a, b: p.extend([plan(a), plan(b)])
+    try:
+        catalog_queries.platform_relations(spark, DATA)
+    finally:
+        platform.credit_counts = held
+    assert [x.count("Exchange hashpartitioning") for x in p] == [2, 2] and "l_suppkey" not in p[0]
