@@ -10,12 +10,15 @@ met by rejection: a drawn neighbour is taken with a chance in proportion to its
 bias, which asks only whether the pair of it and the vertex before is an edge
 (one join on the pair); walkers that took none draw again until all have moved.
 
-Skip-gram. Vertices are dealt to blocks by hash, and pairs of centre and context
-to pairs of blocks. In a round every block of centres meets one block of
-contexts, all in parallel; after as many rounds as blocks each pair has been met
-once. A task holds the vectors of two blocks and streams the pairs between
-them. Vectors are written after each round, so a lost executor costs a round.
-Everything is drawn by hash: the same walks and vectors at every run.
+Skip-gram. Vertices are dealt to blocks by hash and numbered inside them; walks
+are arrays of these numbers. Pairs of centre and context are never rows: packed
+as numbers, some thousand a row, they are written by their two blocks, so that a
+round reads only what it trains. In a round every block of centres meets one
+block of contexts, all in parallel; after as many rounds as blocks each pair has
+been met once. A task holds the vectors of two blocks and streams the pairs
+between them. Vectors are written after each round, so a lost executor costs a
+round. Everything is drawn by hash or from a seed: the same walks and vectors at
+every run.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinweave.validate import cut, forget
+from kinweave.validate import cut, forget, scratch
 
 #: Neighbours to a range of a vertex's weight, on average.
 RANGE = 16
 #: Neighbours whose weights are summed in one go.
 RUN = 1024
 UNITS = 1 << 40
-#: Vertices of a block: two blocks' vectors are in a task's memory.
-BLOCK = 50_000
+#: Most vertices of a block on average (two blocks' vectors are in a task's memory), blocks that are trained side by side, and vertices below which a few are enough.
+BLOCK, SIDE, FEW = 1 << 18, 12, 20_000
+#: Walks whose pairs are packed in one go, and vectors to a row.
+PACK, ROW = 1 << 14, 1 << 12
 #: Draws that a walker makes at once where some are rejected.
 TRIES = 6
 
@@ -63,9 +68,13 @@ def _drawn(walkers: DataFrame, hood: DataFrame, step: int, turn: int, tries: int
 
 def walks(edges: DataFrame, length: int = 10, per_node: int = 8, seed: int = 42, p: float = 1.0, q: float = 1.0) -> DataFrame:
     """node, walk (array of strings, `length` vertices). p, q: return and in-out parameters."""
-    hood = hoods(edges)
-    begin = hood.select(F.col("dst").alias("node"), "all", "width").distinct()
-    state = begin.withColumn("walker", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select("node", "walker", F.col("node").alias("at"), F.lit(None).cast("string").alias("before"), "all", "width", F.array("node").alias("walk"))
+    return _walked(edges, hoods(edges).withColumn("mark", F.col("dst")), length, per_node, seed, p, q)
+
+
+def _walked(edges: DataFrame, hood: DataFrame, length: int, per_node: int, seed: int, p: float, q: float) -> DataFrame:
+    """walks() whose arrays hold what the hood's column mark says of its dst."""
+    begin = hood.select(F.col("dst").alias("node"), "all", "width", "mark").distinct()
+    state = begin.withColumn("walker", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select("node", "walker", F.col("node").alias("at"), F.lit(None).cast("string").alias("before"), "all", "width", F.array("mark").alias("walk"))
     biased = (p, q) != (1.0, 1.0)
     pairs = cut(edges.select(F.inline(F.array(F.struct(F.col("u").cast("string").alias("x"), F.col("v").cast("string").alias("y")), F.struct(F.col("v").cast("string").alias("x"), F.col("u").cast("string").alias("y"))))).distinct()) if biased else None
     for step in range(1, length):
@@ -80,7 +89,7 @@ def walks(edges: DataFrame, length: int = 10, per_node: int = 8, seed: int = 42,
 
 
 def _moved(drawn: DataFrame) -> DataFrame:
-    return drawn.select("node", "walker", F.col("to").alias("at"), F.col("at").alias("before"), "all", "width", F.concat("walk", F.array("to")).alias("walk"))
+    return drawn.select("node", "walker", F.col("to").alias("at"), F.col("at").alias("before"), "all", "width", F.concat("walk", F.array("mark")).alias("walk"))
 
 
 def _accepted(state: DataFrame, hood: DataFrame, pairs: DataFrame, step: int, p: float, q: float, seed: int) -> DataFrame:
@@ -91,7 +100,7 @@ def _accepted(state: DataFrame, hood: DataFrame, pairs: DataFrame, step: int, p:
         t = t.join(pairs, (F.col("before") == F.col("x")) & (F.col("to") == F.col("y")), "left")
         bias = F.when(F.col("to") == F.col("before"), F.lit(1 / p)).when(F.col("x").isNotNull(), F.lit(1.0)).otherwise(F.lit(1 / q))
         chance = F.shiftrightunsigned(F.xxhash64("walker", "node", "try", F.lit(turn), F.lit(step), F.lit(seed + 1)), 11) / F.lit(float(1 << 53))
-        taken = t.where(chance * F.lit(most) < bias).groupBy("node", "walker").agg(F.min_by(F.struct("at", "to", "all", "width", "walk"), "try").alias("m")).select("node", "walker", "m.*")
+        taken = t.where(chance * F.lit(most) < bias).groupBy("node", "walker").agg(F.min_by(F.struct("at", "to", "all", "width", "mark", "walk"), "try").alias("m")).select("node", "walker", "m.*")
         taken = cut(_moved(taken))
         done = taken if done is None else done.unionByName(taken)
         rest = cut(left.join(taken.select("node", "walker"), ["node", "walker"], "left_anti"))
@@ -110,97 +119,231 @@ def window_pairs(walked: DataFrame, window: int) -> DataFrame:
     return own.select("node", "h", "i", F.posexplode(near).alias("j", "context")).where("context <> node").select("node", "context", F.xxhash64("h", "i", "j").alias("order"))
 
 
-def skip_gram(pairs: DataFrame, dimensions: int = 32, negatives: int = 5, epochs: int = 3, rate: float = 0.05, seed: int = 42, blocks: int | None = None, batch: int = 256) -> DataFrame:
-    """node, vector: centres' vectors. pairs: node, context, order (a long)."""
-    pairs = cut(pairs)
-    count = pairs.groupBy("context").agg(F.count("*").alias("n"))
-    known = pairs.select("node").distinct().join(count, F.col("node") == F.col("context"), "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
-    n_nodes = known.count()
-    blocks = blocks or max(4, -(-n_nodes // BLOCK))
-    of = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(blocks)).cast("int")
-    number = lambda i: F.shiftrightunsigned(F.xxhash64("node", F.lit(i), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    start = F.array(*[((number(i) - 0.5) / dimensions).cast("float") for i in range(dimensions)])
-    nothing = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    both = F.array(F.struct(F.lit(0).alias("kind"), start.alias("vector")), F.struct(F.lit(1).alias("kind"), nothing.alias("vector")))
-    held = cut(known.select("node", "n", of("node").alias("block"), F.inline(both)))
-    dealt = cut(pairs.select("node", "context", "order", of("node").alias("block"), of("context").alias("other")))
-    names = ["group", "kind", "order", "node", "context", "n", "vector"]
+def in_blocks(nodes: DataFrame, seed: int = 42, blocks: int | None = None) -> tuple[DataFrame, int]:
+    """node, block, place (from 0, by name), mark (both in a long), kept in a table, and the number of blocks."""
+    n = nodes.count()
+    blocks = blocks or (SIDE * -(-n // (SIDE * BLOCK)) if n > FEW else 4)
+    block = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(blocks)).cast("int")
+    placed = nodes.select("node", block.alias("block")).withColumn("place", F.row_number().over(W.partitionBy("block").orderBy("node")) - 1)
+    return cut(placed.withColumn("mark", F.shiftleft(F.col("block").cast("long"), 32) + F.col("place"))), blocks
+
+
+def skip_gram(walked: DataFrame, nodes: DataFrame, blocks: int, window: int = 10, dimensions: int = 32, negatives: int = 5, epochs: int = 3, rate: float = 0.05, seed: int = 42, batch: int = 256) -> DataFrame:
+    """node, vector: centres' vectors. walked: node, walk (array of marks); nodes: in_blocks().
+
+    What rounds pass on are rows (block, kind, first, data): vectors of places
+    from `first`, of centres (kind 0) or contexts (1). A task gets these, the
+    contexts' counts (2) and its packed pairs (3), in this order.
+    """
+    spark = walked.sparkSession
+    total = walked.count()
+    counts = walked.mapInArrow(lambda rows: _contexts(rows, window), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+    counts = nodes.join(counts, "mark", "left").groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("n", F.lit(0).cast("long")).alias("n")))), lambda x: x["n"]).alias("n"))
+    counts = cut(counts)
+    path = scratch(spark, "pairs")
+    kept = walked.repartition(-(-total // (8 * PACK)) or 1, "node").sortWithinPartitions("node", "walk")
+    packed = kept.mapInArrow(lambda rows: _packed(rows, window, blocks), "block int, other int, first long, data binary")
+    packed.withColumn("shift", F.pmod(F.col("other") - F.col("block"), F.lit(blocks))).write.partitionBy("shift").parquet(path)
+    dealt = spark.read.schema("block int, other int, first long, data binary, shift int").parquet(path)
+    sizes = counts.select("block", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), F.size("n").alias("size"))
+    held = cut(sizes.mapInArrow(lambda rows: _begun(rows, dimensions, seed), "block int, kind int, first long, data binary"))
     rounds = blocks * epochs
+    none = F.lit(None).cast("array<long>").alias("n")
 
     def trainer(nth: int):
         return lambda batches: _trained(batches, dimensions, negatives, rate * (1 - nth / rounds), seed + nth, batch)
 
     for nth in range(rounds):
         shift = nth % blocks
-        vectors = held.select(F.when(F.col("kind") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - shift, F.lit(blocks))).alias("group"), "kind", F.lit(0).cast("long").alias("order"), "node", F.lit(None).cast("string").alias("context"), "n", "vector")
-        now = dealt.where(F.pmod(F.col("other") - F.col("block"), F.lit(blocks)) == shift).select(F.col("block").alias("group"), F.lit(2).alias("kind"), F.xxhash64("order", F.lit(nth)).alias("order"), "node", "context", F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<float>").alias("vector"))
-        rows = vectors.unionByName(now).select(*names).repartition(blocks, "group").sortWithinPartitions("group", "kind", "order", "node", "context")
-        trained = rows.mapInArrow(trainer(nth), "group int, kind int, node string, n long, vector array<float>")
-        after = cut(trained.select("node", "n", F.when(F.col("kind") == 0, F.col("group")).otherwise(F.pmod(F.col("group") + shift, F.lit(blocks))).alias("block"), "kind", "vector"))
+        of_context = F.pmod(F.col("block") - shift, F.lit(blocks))
+        vectors = held.select(F.when(F.col("kind") == 0, F.col("block")).otherwise(of_context).alias("group"), "kind", F.lit(0).cast("long").alias("order"), "first", "data", none)
+        weights = counts.select(of_context.alias("group"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("order"), F.lit(0).cast("long").alias("first"), F.lit(None).cast("binary").alias("data"), "n")
+        now = dealt.where(F.col("shift") == shift).select(F.col("block").alias("group"), F.lit(3).alias("kind"), F.xxhash64("first", F.lit(nth)).alias("order"), "first", "data", none)
+        rows = vectors.unionByName(weights).unionByName(now).repartitionById(blocks, F.col("group")).sortWithinPartitions("group", "kind", "order", "first")
+        trained = rows.mapInArrow(trainer(nth), "group int, kind int, first long, data binary")
+        after = cut(trained.select(F.when(F.col("kind") == 0, F.col("group")).otherwise(F.pmod(F.col("group") + shift, F.lit(blocks))).alias("block"), "kind", "first", "data"))
         forget(held)
         held = after
-    return held.where("kind = 0").select("node", "vector")
+    vectors = held.where("kind = 0").mapInArrow(lambda rows: _unpacked(rows, dimensions), "mark long, vector array<float>")
+    return nodes.join(vectors, "mark").select("node", "vector")
 
 
-def _trained(batches, dimensions: int, negatives: int, rate: float, seed: int, size: int):
-    """Rows of whole groups, sorted by group and kind: vectors of centres (0), of contexts (1), then pairs (2). The vectors after all pairs."""
+def _matrices(batches, most: int):
+    """The walks of batches as matrices of `most` rows (the last of fewer), wherever batches end."""
+    import numpy as np
+
+    held, n = [], 0
+    for rows in batches:
+        if not len(rows):
+            continue
+        walk = rows.column("walk")
+        held.append(walk.flatten().to_numpy().reshape(len(rows), -1))
+        n += len(rows)
+        while n >= most:
+            whole = np.concatenate(held)
+            yield whole[:most]
+            held, n = [whole[most:]], n - most
+    if n:
+        yield np.concatenate(held)
+
+
+def _near(walk, window: int):
+    """Centres and contexts of a matrix of walks, as window_pairs() has them."""
+    import numpy as np
+
+    n = walk.shape[1]
+    at = [(i, j) for i in range(n) for j in range(max(0, i - window), min(n, i + window + 1)) if i != j]
+    centre, context = (np.concatenate([walk[:, x[k]] for x in at]) if at else walk[:0, 0] for k in (0, 1))
+    differ = centre != context
+    return centre[differ], context[differ]
+
+
+def _contexts(batches, window: int):
+    """mark, n: how often each vertex is a context, counted for PACK walks at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    for walk in _matrices(batches, PACK):
+        mark, n = np.unique(_near(walk, window)[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(n)], ["mark", "n"])
+
+
+def _packed(batches, window: int, blocks: int):
+    """block, other, first (a number of its own), data: places of centres, then of contexts, of the pairs between two blocks in PACK walks."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    for nth, walk in enumerate(_matrices(batches, PACK)):
+        centre, context = _near(walk, window)
+        key = (centre >> 32) * blocks + (context >> 32)
+        order = np.argsort(key.astype(np.uint16) if blocks <= 256 else key, kind="stable")
+        key, places = key[order], [(x[order] & 0xFFFFFFFF).astype(np.int32) for x in (centre, context)]
+        cuts = np.flatnonzero(np.diff(key)) + 1 if len(key) else []
+        ends = list(zip([0, *cuts], [*cuts, len(key)], strict=True)) if len(key) else []
+        first = (TaskContext.get().partitionId() << 24) + nth
+        data = [b"".join(x[s:e].tobytes() for x in places) for s, e in ends]
+        kinds = [int(key[s]) for s, _ in ends]
+        columns = [pa.array([k // blocks for k in kinds], pa.int32()), pa.array([k % blocks for k in kinds], pa.int32()), pa.array([first] * len(kinds), pa.int64()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "other", "first", "data"])
+
+
+def _rows(names, block: int, kind: int, vectors):
+    """A block's vectors, ROW to a row."""
+    import pyarrow as pa
+
+    for s in range(0, len(vectors), ROW):
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kind], pa.int32()), pa.array([s], pa.int64()), pa.array([vectors[s : s + ROW].tobytes()], pa.binary())], names)
+
+
+def _begun(batches, dimensions: int, seed: int):
+    """The vectors before training: small ones of centres, zeros of contexts."""
+    import numpy as np
+
+    for rows in batches:
+        for block, kind, size in zip(*[c.to_pylist() for c in rows.columns], strict=True):
+            draw = np.random.default_rng([seed & 0x7FFFFFFF, block])
+            vectors = (draw.random((size, dimensions)) - 0.5) / dimensions if kind == 0 else np.zeros((size, dimensions))
+            yield from _rows(["block", "kind", "first", "data"], block, kind, vectors.astype(np.float32))
+
+
+def _unpacked(batches, dimensions: int):
     import numpy as np
     import pyarrow as pa
 
-    group, tables, state = None, None, None
+    for rows in batches:
+        for block, first, data in zip(*[rows.column(c).to_pylist() for c in ("block", "first", "data")], strict=True):
+            flat = np.frombuffer(data, np.float32)
+            m = len(flat) // dimensions
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * dimensions, pa.int32()), pa.array(flat, pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array((block << 32) + first + np.arange(m), pa.int64()), lists], ["mark", "vector"])
+
+
+class _Weighted:
+    """Numbers drawn in proportion to weights: searchsorted() of uniform draws, begun from a table."""
+
+    def __init__(self, weights):
+        import numpy as np
 
-    def ready():
-        names = [np.array(t[0], dtype=object) for t in tables]
-        vectors = [np.array(t[2], np.float32).reshape(len(t[0]), dimensions) for t in tables]
-        weight = np.cumsum(np.maximum(np.array(tables[1][1], float), 1e-9) ** 0.75) if tables[1][0] else None
-        return names, vectors, [{x: i for i, x in enumerate(y)} for y in names], weight, np.random.default_rng([seed & 0x7FFFFFFF, group])
+        self.upto = np.cumsum(weights)
+        self.total, self.cells = self.upto[-1], 4 * len(weights)
+        self.guide = np.searchsorted(self.upto, np.arange(self.cells) * (self.total / self.cells), "right")
+
+    def at(self, uniform):
+        import numpy as np
+
+        want, last = uniform * self.total, len(self.upto) - 1
+        at = np.minimum(self.guide[(uniform * self.cells).astype(np.int64)], last)
+        at -= (at > 0) & (self.upto[at - 1] > want)  # a cell's edge is rounded
+        for _ in range(2):
+            at = np.minimum(at + (self.upto[at] <= want), last)
+        far = (self.upto[at] <= want) & (at < last)
+        if far.any():
+            at[far] = np.minimum(np.searchsorted(self.upto, want[far], "right"), last)
+        return at
+
+
+def _added(table, at, rows):
+    """table[at] += rows, repeats and all, by the compiled form that add.at() has for one axis."""
+    import numpy as np
+
+    d = table.shape[1]
+    np.add.at(table.reshape(-1), (at.reshape(-1, 1) * d + np.arange(d)).ravel(), rows.reshape(-1))
+
+
+def _trained(batches, dimensions: int, negatives: int, rate: float, seed: int, size: int):
+    """Rows of whole groups, sorted by group and kind: vectors of centres (0), of contexts (1), counts of contexts (2), then packed pairs (3). The vectors after all pairs."""
+    import numpy as np
+
+    names = ["group", "kind", "first", "data"]
+    group, parts, a, b, weighted, draw = None, ([], []), None, None, None, None
+
+    def whole(k):
+        return np.concatenate([np.frombuffer(x, np.float32) for x in parts[k]] or [np.zeros(0, np.float32)]).reshape(-1, dimensions)
 
     def learn(centre, context):
-        _, (a, b), _, weight, draw = state
+        order = draw.permutation(len(centre))
+        centre, context = centre[order], context[order]
         for s in range(0, len(centre), size):
             c, x = centre[s : s + size], context[s : s + size]
-            others = np.minimum(np.searchsorted(weight, draw.random((len(c), negatives)) * weight[-1], "right"), len(weight) - 1)
+            others = weighted.at(draw.random((len(c), negatives)))
             to = np.concatenate((x[:, None], others), 1)
             u, v = a[c], b[to]
             z = 1 / (1 + np.exp(-np.clip(np.einsum("id,ikd->ik", u, v), -30, 30)))
             z[:, 0] -= 1
             z[:, 1:] *= others != x[:, None]  # a negative that is the context itself
-            np.add.at(a, c, -rate * np.einsum("ik,ikd->id", z, v).astype(np.float32))
-            np.add.at(b, to, (-rate * z[:, :, None] * u[:, None, :]).astype(np.float32))
+            z = (-rate * z).astype(np.float32)
+            _added(a, c, np.einsum("ik,ikd->id", z, v))
+            _added(b, to, z[:, :, None] * u[:, None, :])
 
     def out():
-        for kind in (0, 1):
-            names, n = tables[kind][0], tables[kind][1]
-            vectors = (state[1][kind] if state else np.array(tables[kind][2], np.float32)).reshape(len(names), dimensions)
-            for s in range(0, len(names), 4096):
-                m = min(4096, len(names) - s)
-                flat = pa.array(vectors[s : s + m].reshape(-1), pa.float32())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * dimensions, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array([group] * m, pa.int32()), pa.array([kind] * m, pa.int32()), pa.array(names[s : s + m], pa.string()), pa.array(n[s : s + m], pa.int64()), lists], ["group", "kind", "node", "n", "vector"])
+        for kind, vectors in ((0, whole(0) if a is None else a), (1, whole(1) if b is None else b)):
+            yield from _rows(names, group, kind, vectors)
 
     for rows in batches:
-        g, k = rows.column("group").to_numpy(), rows.column("kind").to_numpy()
-        edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(k) != 0)) + 1
-        for s, e in zip([0, *edges], [*edges, len(g)], strict=True):
-            if s == e:
-                continue
-            if group != g[s]:
+        for g, k, data, n in zip(rows.column("group").to_pylist(), rows.column("kind").to_pylist(), rows.column("data"), rows.column("n"), strict=True):
+            if g != group:
                 if group is not None:
                     yield from out()
-                group, tables, state = int(g[s]), [([], [], []), ([], [], [])], None
-            part = rows.slice(s, e - s)
-            if k[s] < 2:
-                for held, c in zip(tables[k[s]], ("node", "n", "vector"), strict=True):
-                    held.extend(part.column(c).to_pylist())
-                continue
-            state = state or ready()
-            at = [np.array([index[x] for x in part.column(c).to_pylist()]) for index, c in zip(state[2], ("node", "context"), strict=True)]
-            learn(*at)
+                group, parts, a, b, weighted, draw = g, ([], []), None, None, None, np.random.default_rng([seed & 0x7FFFFFFF, g])
+            if k < 2:
+                parts[k].append(data.as_py())
+            elif k == 2:
+                weighted = _Weighted(np.maximum(n.values.to_numpy().astype(float), 1e-9) ** 0.75)
+            else:
+                if a is None:
+                    a, b = whole(0), whole(1)
+                    parts = ([], [])
+                learn(*np.frombuffer(data.as_py(), np.int32).reshape(2, -1).astype(np.int64))
     if group is not None:
         yield from out()
 
 
 def node2vec(edges: DataFrame, dimensions: int = 32, length: int = 10, per_node: int = 8, window: int = 10, seed: int = 42, p: float = 1.0, q: float = 1.0, iterations: int = 3, blocks: int | None = None) -> DataFrame:
     """node, n2v_0 .. n2v_<d-1>."""
-    v = skip_gram(window_pairs(walks(edges, length, per_node, seed, p, q), window), dimensions, epochs=iterations, seed=seed, blocks=blocks)
+    hood = hoods(edges)
+    nodes, blocks = in_blocks(hood.select(F.col("dst").alias("node")).distinct(), seed, blocks)
+    marked = cut(hood.join(nodes.select(F.col("node").alias("dst"), "mark"), "dst"))
+    walked = _walked(edges, marked, length, per_node, seed, p, q)
+    v = skip_gram(walked, nodes, blocks, window, dimensions, epochs=iterations, seed=seed)
     return v.select("node", *[F.col("vector")[i].alias(f"n2v_{i}") for i in range(dimensions)])

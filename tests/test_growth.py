@@ -124,3 +124,42 @@ def test_relations_keep_what_they_need(spark):
     finally:
         platform.credit_counts = held
     assert [x.count("Exchange hashpartitioning") for x in p] == [2, 2] and "l_suppkey" not in p[0]
+
+
+def test_pairs_are_packed(spark, monkeypatch):
+    """A walk's pairs are packed by their two blocks and read by the round that trains them; before, they were rows of two names, all read in each round."""
+    from collections import Counter
+
+    import numpy as np
+
+    from kinweave.operators import graph_walks as G
+
+    monkeypatch.setattr(G, "PACK", 3)
+    mark = lambda k: ((k % 2) << 32) + k // 2
+    walks = [[0, 1, 2, 1], [3, 3, 0, 2], [4, 1, 4, 1], [2, 3, 2, 0]]
+    frame = spark.createDataFrame([(str(w[0]), [mark(k) for k in w]) for w in walks], "node string, walk array<long>").coalesce(1)
+    want = Counter((r.node, r.context) for r in G.window_pairs(frame.withColumn("walk", F.col("walk").cast("array<string>")), 2).collect())
+    got, size = Counter(), 3
+    packed = frame.mapInArrow(lambda rows: G._packed(rows, 2, 2), "block int, other int, first long, data binary").collect()
+    for r in packed:
+        centre, context = np.frombuffer(r.data, np.int32).reshape(2, -1)
+        got.update((str((r.block << 32) + int(a)), str((r.other << 32) + int(b))) for a, b in zip(centre, context, strict=True))
+    assert got == want and len(packed) <= 4 * -(-len(walks) // size)
+    counts = frame.mapInArrow(lambda rows: G._contexts(rows, 2), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).collect()
+    assert {str(r.mark): r.n for r in counts} == Counter(b for _, b in want.elements())
+
+
+def test_weighted_draws():
+    """The table gives what a search of the summed weights gives, for even and for very uneven ones; adding keeps repeats."""
+    import numpy as np
+
+    from kinweave.operators import graph_walks as G
+
+    r = np.random.default_rng(3)
+    for w in (np.ones(7), r.random(1000) ** 9, np.array([1e-9, 5, 1e-9, 1e-9, 1e-9, 1e-9, 3])):
+        u = r.random((500, 5))
+        upto = np.cumsum(w)
+        assert (G._Weighted(w).at(u) == np.minimum(np.searchsorted(upto, u * upto[-1], "right"), len(w) - 1)).all()
+    table, at, rows = np.zeros((4, 3), np.float32), np.array([[1, 1], [3, 1]]), np.ones((2, 2, 3), np.float32)
+    G._added(table, at, rows)
+    assert table[:, 0].tolist() == [0, 3, 0, 1]
