@@ -163,3 +163,40 @@ def test_weighted_draws():
     table, at, rows = np.zeros((4, 3), np.float32), np.array([[1, 1], [3, 1]]), np.ones((2, 2, 3), np.float32)
     G._added(table, at, rows)
     assert table[:, 0].tolist() == [0, 3, 0, 1]
+
+
+def test_ids_by_many_tasks(spark):
+    """Ids are read and normalised after they are dealt out, once a row; before, by the one task that scans a small file of customers."""
+    p = plan(catalog.cohort_of(catalog_queries.ids(spark, DATA))).split("\n")
+    dealt = [i for i, x in enumerate(p) if "REPARTITION_BY_COL" in x]
+    work = [i for i, x in enumerate(p) if "regexp_replace" in x or "RLIKE" in x]
+    assert len(dealt) == 4 and work and max(work) < min(dealt) and str(p).count("regexp_replace") == 1
+    odd = spark.createDataFrame([(" {0A0B0C0D-0102-0304-0506-0708090A0B0C}", 3), ("0a0b0c0d010203040506-0708090a0b0c", 2), ("urn:uuid:0a0b0c0d-0102-0304-0506-0708090a0b0d", 5), (None, 1), ("", 0), ("bad", 4)], "mbid string, pos long")
+    assert sorted(map(tuple, catalog.cohort_of(odd).collect())) == [("0a0b0c0d-0102-0304-0506-0708090a0b0c", 2), ("0a0b0c0d-0102-0304-0506-0708090a0b0d", 5)]
+
+
+def test_pairs_are_shuffled_once(spark):
+    """Written and recorded works are put together before the cohort is joined; before, written works were shuffled for that and then again to be made distinct."""
+    t = catalog_queries.tables(spark, DATA)
+    inp = catalog.entities(t["artist"], catalog.cohort_of(catalog_queries.ids(spark, DATA))).select("artist_id", "mbid")
+    with validate.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        p = plan(catalog.work_pairs({k: validate.cut(t[k]) for k in ("link", "link_type", "l_artist_work", "artist_credit", "artist_credit_name", "recording", "l_recording_work")}, validate.cut(inp)))
+    assert "hashpartitioning(entity0" not in p and p.index("Union") > p.index("Exchange hashpartitioning(artist_id")
+    few = inp.where("artist_id % 3 = 0")
+    got = catalog.work_pairs(t, few.union(few))  # an artist named twice has each work once
+    written = t["l_artist_work"].where("link <= 4").select("entity0", "entity1")
+    recorded = t["recording"].join(t["l_recording_work"], F.col("id") == F.col("entity0")).select(F.col("artist_credit") - 1_000_000, "entity1")
+    want = written.union(recorded).distinct().toDF("artist_id", "work_id").join(few, "artist_id").select("artist_id", "mbid", "work_id")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lines_by_one_sort(spark):
+    """Of lines with equal numbers the first is told by a window; before, by an aggregation of structs, made twice over sorted rows."""
+    got = catalog_queries._lines(spark, DATA)
+    assert "Aggregate" not in plan(got)
+    li = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    want = {}
+    for r in sorted(map(tuple, li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").collect())):
+        want.setdefault(r[:2], r)
+    assert len(want) < li.count()
+    assert sorted(map(tuple, got.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate").collect())) == sorted((*r[:3], *r[4:]) for r in want.values())
