@@ -219,3 +219,114 @@ def features(docs: DataFrame, as_of: str, years: int = 5) -> DataFrame:
     zero = ["releases_total", "tracks_total", "unique_collaborator_count", "label_diversity_count", "label_churn", "genre_count"]
     out = out.fillna(0, zero).withColumn("window_years", F.lit(years))
     return out.withColumnsRenamed({"artist": "artist_mbid", "country": "artist_country", "region_city": "artist_region_city"}).select(*EARLY_COLUMNS)
+
+
+def work_parts(works: DataFrame, listings: DataFrame, facts: DataFrame, remix: str = "remix", acoustic: str = "acoustic") -> DataFrame:
+    """work_id, works, released, lengths, remixes, acoustics, releases: what measured() needs of each work, made once for all its artists.
+
+    works: catalog.work_facts(); listings: catalog.listings(); facts: catalog.release_facts(). released and lengths have an
+    entry for each listing, remixes and acoustics the release dates of those with the word in their name.
+    """
+    entry = F.struct(S.strict_date("first_release_date").alias("own"), "genres", F.transform("collaborators", lambda c: F.to_json(c)).alias("people"))
+    w = works.select("work_id", entry.alias("__w")).groupBy("work_id").agg(F.collect_list("__w").alias("works"))
+    r = facts.select("release_id", S.strict_date(F.date_format("date", "yyyy-MM-dd")).alias("date"), S.canonical_label(F.col("label_names"), F.col("label_ids")).alias("label"))
+    name = F.lower(F.coalesce(F.col("rec_name"), F.lit("")))
+    has = lambda word: F.collect_list(F.when(F.contains(name, F.lit(word)), F.col("date")))
+    c = listings.join(r, "release_id").groupBy("work_id").agg(F.collect_list(F.struct("date", F.col("release_id").alias("id"), "label", "length_ms")).alias("__c"), has(remix).alias("remixes"), has(acoustic).alias("acoustics"))
+    release = F.transform("__c", lambda x: F.struct(x["date"].alias("date"), x["id"].alias("id"), x["label"].alias("label")))
+    c = c.select("work_id", F.col("__c")["date"].alias("released"), F.col("__c")["length_ms"].alias("lengths"), "remixes", "acoustics", release.alias("releases"))
+    both = w.join(c, "work_id", "left")
+    return both.withColumns({f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in c.schema if f.name != "work_id"})
+
+
+def _run_starts(c: str) -> Column:
+    """Where runs of equal entries start in a sorted array."""
+    return F.array_compact(F.transform(c, lambda x, i: F.when((i == 0) | (x != F.get(c, i - 1)), i)))
+
+
+def _runs(c: str, starts: str) -> Column:
+    """(n, item) of the runs of a sorted array."""
+    return F.transform(starts, lambda s, j: F.struct((F.coalesce(F.get(starts, j + 1), F.size(c)) - s).alias("n"), F.get(c, s).alias("item")))
+
+
+def _most_frequent(runs: str) -> Column:
+    """The most frequent item of runs, the smallest of equally frequent ones."""
+    return F.array_min(F.transform(runs, lambda x: F.struct((-x["n"]).alias("n"), x["item"].alias("item"))))["item"]
+
+
+def _median(c: str) -> Column:
+    """Of a sorted array without nulls."""
+    return (F.get(c, F.floor((F.size(c) - 1) / 2).cast("int")) + F.get(c, F.floor(F.size(c) / 2).cast("int"))) / F.lit(2.0)
+
+
+def measured(docs: DataFrame, as_of: str, years: int = 5) -> DataFrame:
+    """The 40 features of features(), of rows of mbid, artist_name, roles, country, region_city and parts, an array of work_parts() of the artist's works.
+
+    All by functions of a row's arrays, so that neither recordings nor releases leave the row they came with.
+    """
+    from kinweave.schemas import EARLY_COLUMNS
+
+    zero, now, cutoff, debut = F.lit(0).cast("long"), as_date(as_of), F.col("window_cutoff_date"), F.col("debut_date")
+    total = lambda c, f=lambda x: x: F.aggregate(c, zero, lambda a, x: a + f(x).cast("long"))
+    d = docs.withColumns({"releases": F.sort_array(F.flatten(F.col("parts")["releases"])), "__own": F.flatten(F.col("parts")["works"])["own"]})
+    ends = {"__r0": F.array_min(F.col("releases")["date"]), "__r1": F.array_max(F.col("releases")["date"]), "__w0": F.array_min("__own"), "__w1": F.array_max("__own")}
+    d = d.withColumns(ends).withColumn("debut_date", F.coalesce("__r0", "__w0")).withColumn("window_cutoff_date", F.add_months("debut_date", 12 * years))
+
+    # releases in the window by date and id; one that several works bring is next to itself
+    won = F.filter("releases", lambda x, i: (x["date"] < cutoff) & ((i == 0) | (F.get("releases", i - 1)["id"] != x["id"])))
+    heard = F.transform("parts", lambda p: F.struct(
+        p["works"].alias("works"), F.array_min(p["released"]).alias("first"), F.filter(p["lengths"], lambda x, i: F.get(p["released"], i) < cutoff).alias("lengths"),
+        F.size(F.filter(p["remixes"], lambda x: x < cutoff)).alias("remixes"), F.size(F.filter(p["acoustics"], lambda x: x < cutoff)).alias("acoustics"),
+    ))
+    d = d.withColumns({"__won": won, "__heard": heard}).drop("releases", "parts", "__own")
+
+    # works in the window: their own date or that of the first release heard
+    inside = lambda h: F.filter(h["works"], lambda w: F.least(w["own"], F.when(h["first"] < cutoff, h["first"])) < cutoff)
+    teams = F.transform("__heard", lambda h: F.struct(F.size(h["lengths"]).alias("n"), inside(h).alias("works")))
+    d = d.withColumns({
+        "__days": F.transform("__won", lambda x: F.datediff(x["date"], debut)), "__label": F.filter(F.col("__won")["label"], lambda x: x != ""), "__teams": teams,
+        "__length": F.flatten(F.col("__heard")["lengths"]), "__remixes": total(F.col("__heard")["remixes"]), "__acoustics": total(F.col("__heard")["acoustics"]),
+    }).drop("__won", "__heard")
+
+    n, step = F.size("__days"), F.transform("__days", lambda x, i: x - F.get("__days", i - 1))
+    sums = F.struct(*[zero.alias(c) for c in ("n", "x", "xx", "xy")])
+    add = lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["x"] + x).alias("x"), (a["xx"] + x.cast("long") * x).alias("xx"), (a["xy"] + (a["n"] + 1) * x).alias("xy"))
+    team = F.flatten(F.transform(F.filter("__teams", lambda t: t["n"] > 0), lambda t: F.flatten(F.filter(t["works"], lambda w: F.size(w["people"]) > 1)["people"])))
+    role = F.split(F.coalesce("roles", F.lit("")), ",")
+    d = d.withColumns({
+        "__gaps": F.sort_array(F.array_compact(step)), "__sums": F.aggregate("__days", sums, add), "__labels": F.sort_array("__label"), "__lengths": F.sort_array(F.array_compact("__length")),
+        "__genres": F.sort_array(F.filter(F.flatten(F.flatten(F.col("__teams")["works"])["genres"]), lambda x: x != "")),
+        "__roles": F.sort_array(F.filter(F.transform(role, S.clean), lambda x: x != "")), "__people": F.size(F.array_distinct(team)).cast("long"),
+        "tracks_total": total("__teams", lambda t: t["n"] * F.greatest(F.lit(1), F.size(t["works"]))),
+        "__collab": total("__teams", lambda t: t["n"] * F.size(F.filter(t["works"], lambda w: F.size(w["people"]) > 1))),
+    })
+    kinds = ("__labels", "__genres", "__roles")
+    d = d.withColumns({f"{c}_at": _run_starts(c) for c in kinds}).withColumns({f"{c}_n": _runs(c, f"{c}_at") for c in kinds})
+
+    real = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    share = lambda c, f: F.aggregate(f"{c}_n", F.lit(0.0), lambda a, x: a + f(x["n"] / F.size(c)))
+    m, k, tracks = F.size("__gaps"), real(n), F.size("__length")
+    span = F.get("__days", n - 1) - F.get("__days", F.lit(0))
+    x, xx, xy = (real(F.col("__sums")[c]) for c in ("x", "xx", "xy"))
+    slope = F.try_divide(k * xy - x * (k * (k + 1) / 2), F.nullif(k * xx - x * x, F.lit(0.0)))
+    elapsed = F.greatest(F.lit(0), F.datediff(F.least(cutoff, now), debut)) / 365.25
+    half = F.floor(F.datediff(cutoff, debut) / 2).cast("int")
+    a, b = F.least("__r0", "__w0"), F.greatest("__r1", "__w1")
+    some = lambda c, value: F.when(F.size(c) > 0, value)
+    out = d.withColumns({
+        "artist_mbid": F.col("mbid"), "artist_country": F.col("country"), "artist_region_city": F.col("region_city"), "window_years": F.lit(years),
+        "releases_total": n.cast("long"), "releases_per_year": some("__days", F.try_divide(k, F.nullif(elapsed, F.lit(0.0)))), "avg_days_between_releases": F.try_divide(real(span), F.nullif(real(m), F.lit(0.0))),
+        "release_velocity_releases_per_day": slope, "release_velocity_releases_per_year": slope * 365.25, "gap_median_days": _median("__gaps"),
+        "gap_std_days": some("__gaps", F.sqrt(real(m) * real(total("__gaps", lambda g: g.cast("long") * g)) - real(span) * real(span)) / real(m)), "max_dry_spell_days": real(F.array_max("__gaps")),
+        "front_loading_index": some("__days", real(F.size(F.filter("__days", lambda t: t < half))) / k),
+        "collab_track_rate": F.when(F.col("tracks_total") > 0, S.ratio(F.col("__collab"), F.col("tracks_total"))), "unique_collaborator_count": F.col("__people"),
+        "label_diversity_count": F.size("__labels_n").cast("long"), "label_churn": F.size(F.filter("__label", lambda l, i: l != F.get("__label", i - 1))).cast("long"),
+        "label_hhi": some("__labels", share("__labels", lambda p: p * p)), "primary_label": _most_frequent("__labels_n"), "all_labels_str": some("__labels", S.ordered_set_text(F.array_distinct("__label"))),
+        "duration_ms_mean": some("__lengths", real(total("__lengths")) / F.size("__lengths")), "duration_ms_median": _median("__lengths"), "duration_ms_min": F.get("__lengths", F.lit(0)), "duration_ms_max": F.get("__lengths", F.size("__lengths") - 1),
+        "remix_rate": some("__length", real("__remixes") / tracks), "acoustic_rate": some("__length", real("__acoustics") / tracks),
+        "genre_count": F.size("__genres_n").cast("long"), "genre_entropy": some("__genres", -share("__genres", lambda p: p * F.ln(p))), "primary_genre": _most_frequent("__genres_n"),
+        "all_genres_str": some("__genres", F.concat_ws(", ", F.array_sort(F.transform("__genres_n", lambda g: F.lower(g["item"]))))),
+        "years_active": F.datediff(now, a) / 365.25, "debut_year": F.year(a), "debut_decade": F.year(a) - F.year(a) % 10, "recency_index": F.exp(-0.1 * F.when(b.isNotNull(), F.greatest(F.lit(0), F.datediff(now, b))) / 30.44),
+        "primary_role": F.coalesce(_most_frequent("__roles_n"), F.lit("unknown")), "all_roles_str": S.ordered_set_text(role),
+    })
+    return out.select(*EARLY_COLUMNS)
